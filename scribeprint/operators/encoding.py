@@ -11,6 +11,7 @@ from scribeprint.operators.lookup import MAX_BROADCAST_ROWS, lookup_join
 BEGIN, PAD, END, UNKNOWN = 0, 1, 2, 3
 FIRST_TOKEN_ID = 4
 MAX_LENGTH = 512
+MAX_TOKEN_CHARS = 256
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
@@ -24,11 +25,14 @@ def build_vocabulary(df: DataFrame, size: int, text: str = "code") -> DataFrame:
     """``token, token_id`` of the ``size`` most frequent tokens; equal counts by token.
 
     Counts are added up before the shuffle, so a token that is everywhere costs
-    one row per task, and only ``size`` rows reach the single sorted list.
+    one row per task, and only ``size`` rows reach the single sorted list. A token
+    of more than ``MAX_TOKEN_CHARS`` characters is never part of a vocabulary, which
+    bounds the bytes of the table as well as its rows.
     """
     if size > MAX_BROADCAST_ROWS:
         raise ValueError(f"a vocabulary may have at most {MAX_BROADCAST_ROWS} tokens")
     counts = (df.select(F.explode(text_tokens(F.col(text))).alias("token"))
+                .filter(F.length("token") <= MAX_TOKEN_CHARS)
                 .groupBy("token").agg(F.count("*").alias("n")))
     top = counts.orderBy(F.desc("n"), F.asc("token")).limit(size)
     order = Window.orderBy(F.desc("n"), F.asc("token"))

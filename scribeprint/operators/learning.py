@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import IDF, HashingTF, NGram, SQLTransformer
+from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,12 +59,14 @@ def fit_classifier(train: DataFrame, features: str = "features", label: str = "l
 
 
 def text_features(n_features: int = 1 << 12, n: int = 2) -> Pipeline:
-    """Estimator from ``tokens`` to ``features``: hashed counts of tokens and of runs of ``n``."""
+    """Estimator from ``tokens`` to ``features``: hashed counts of tokens and of runs of ``n``,
+    weighted by rarity and brought to length 1."""
     return Pipeline(stages=[
         NGram(inputCol="tokens", outputCol="grams", n=n),
         SQLTransformer(statement="SELECT *, concat(tokens, grams) AS terms FROM __THIS__"),
         HashingTF(inputCol="terms", outputCol="counts", numFeatures=n_features),
-        IDF(inputCol="counts", outputCol="features"),
+        IDF(inputCol="counts", outputCol="rare"),
+        Normalizer(inputCol="rare", outputCol="features"),
     ])
 
 

@@ -34,7 +34,7 @@ def select_entries(catalog: Iterable[Entry], config: Mapping[str, Mapping] | Non
 
 def read_entry(spark: SparkSession, root: str, entry: Entry) -> DataFrame:
     """One entry, read by the suffix of its path: root/language/path, or an absolute path."""
-    path = entry.path if "://" in entry.path or entry.path.startswith("/") else "/".join(
+    path = entry.path if ":/" in entry.path or entry.path.startswith("/") else "/".join(
         [root.rstrip("/"), entry.language, entry.path])
     if path.endswith(".csv"):
         rows = read_csv(spark, path, entry.language, **entry.options)
