@@ -8,13 +8,14 @@ per type come from ``operators.trees.tree_stats`` instead.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scribeprint.functions.text import (repetition_ratio, substring_count,
-                                        substring_counts, words)
+                                        words)
 
 # Node names counted together, by feature.
 NODE_GROUPS: dict[str, tuple[str, ...]] = {
@@ -95,27 +96,43 @@ def with_structural_features(df: DataFrame, text: str = "code",
                              groups: Mapping[str, Sequence[str]] = NODE_GROUPS) -> DataFrame:
     """``df`` plus the 23 feature columns, in the order of ``FEATURES``.
 
-    One narrow pass: no shuffle, and the words are split once for all the
-    features that need them.
+    One narrow pass: no shuffle, and the text is split into words once. Names with
+    an underscore are counted in the words that have one: a name without white
+    space lies inside one word, so the number is that of the whole text, and the
+    text to search is much shorter. ``groups`` may replace the names that are
+    counted together; a name may not contain white space.
     """
-    s = F.col(text)
+    named = {**groups, **LITERAL_NAMES, **STYLE_NAMES}
+    if any(re.search(r"\s", n) for names in named.values() for n in names):
+        raise ValueError("a counted name may not contain white space")
+    s, tokens = F.col(text), F.col("__words")
+
+    def occurrences(names: Sequence[str]) -> Column:
+        return sum((substring_count(F.col("__snake") if "_" in n else s, n) for n in names),
+                   F.lit(0))
+
     opens, spaces = substring_count(s, "("), substring_count(s, " ")
-    columns: dict[str, Column] = {"max_depth": max_nesting(s)}
-    columns |= {name: substring_counts(s, needles) for name, needles in groups.items()}
-    columns |= {
+    columns: dict[str, Column] = {
+        "max_depth": max_nesting(s),
         "n_chars": F.length(s),
-        "open_parens": opens,
-        "spaces": spaces,
-        "branching": F.coalesce(F.try_divide(spaces.cast("double"), opens), F.lit(0.0)),
+        "open_parens": F.col("__opens"),
+        "spaces": F.col("__spaces"),
+        "branching": F.coalesce(F.try_divide(F.col("__spaces").cast("double"), F.col("__opens")),
+                                F.lit(0.0)),
+        "nested_ifs": F.col("__nested.ifs"),
+        "nested_loops": F.col("__nested.loops"),
+        "repetition": repetition_ratio(tokens),
+        **{name: occurrences(names) for name, names in named.items()},
     }
-    columns |= {name: substring_counts(s, needles) for name, needles in LITERAL_NAMES.items()}
-    columns |= {"nested_ifs": F.col("__nested.ifs"), "nested_loops": F.col("__nested.loops")}
-    columns |= {name: substring_counts(s, needles) for name, needles in STYLE_NAMES.items()}
-    columns["repetition"] = repetition_ratio(F.col("__words"))
-    return (df.withColumn("__words", words(s))
-              .withColumn("__nested", nested_control(F.col("__words")))
-              .select(*[F.col(c) for c in df.columns],
-                      *[columns[name].alias(name) for name in columns]))
+    order = [*FEATURES, *(name for name in groups if name not in FEATURES)]
+    helpers = df.withColumn("__words", words(s)).withColumns({
+        "__snake": F.array_join(F.filter(tokens, lambda w: w.contains("_")), " "),
+        "__nested": nested_control(tokens),
+        "__opens": opens,
+        "__spaces": spaces,
+    })
+    return helpers.select(*[F.col(c) for c in df.columns],
+                          *[columns[name].alias(name) for name in order if name in columns])
 
 
 def feature_array(names: Sequence[str] = FEATURES) -> Column:

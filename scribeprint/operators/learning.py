@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from scribeprint.functions.scoring import argmax2
 from scribeprint.operators.vectors import with_tokens
+from scribeprint.session import shared_dir
 
 MAX_ITERATIONS = 1000
 TEXT_WEIGHT, TREE_WEIGHT = 0.6, 0.4
@@ -47,8 +48,12 @@ def fit_classifier(train: DataFrame, features: str = "features", label: str = "l
     The objective is half the squared norm plus ``c`` times the sum of weighted
     losses. Spark divides the losses by the sum of the weights, which for
     balanced weights is the number of rows, so the penalty is divided by it too.
+
+    Every iteration is a pass over the rows, so they are checkpointed first: the
+    features are made once, and a lost executor does not make them again.
     """
-    weighted = with_balanced_weights(train, label)
+    shared_dir(train.sparkSession)
+    weighted = with_balanced_weights(train.select(label, features).checkpoint(), label)
     total = weighted.agg(F.sum("weight")).first()[0]
     if not total:
         raise ValueError("no training rows")
@@ -71,12 +76,13 @@ def text_features(n_features: int = 1 << 12, n: int = 2) -> Pipeline:
 
 
 def fit_text_classifier(train: DataFrame, text: str = "code", label: str = "label",
-                        n_features: int = 1 << 12, **settings) -> PipelineModel:
+                        n_features: int = 1 << 12, tol: float = 1e-4,
+                        **settings) -> PipelineModel:
     """Text to two-class probabilities: tokens, hashed terms, rarity weights, linear model."""
     tokens = with_tokens(train, text)
     stages = text_features(n_features).fit(tokens)
     terms = stages.transform(tokens).select(label, "features")
-    return PipelineModel(stages.stages + [fit_classifier(terms, label=label, **settings)])
+    return PipelineModel(stages.stages + [fit_classifier(terms, label=label, tol=tol, **settings)])
 
 
 def predict(model, df: DataFrame, keep: list[str]) -> DataFrame:

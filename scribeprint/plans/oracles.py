@@ -8,7 +8,6 @@ trees are found by interval joins.
 from __future__ import annotations
 
 from scribeprint.functions.structure import FEATURES, LITERAL_NAMES, NODE_GROUPS, STYLE_NAMES
-from scribeprint.functions.text import WHITESPACE
 from scribeprint.functions.tokens import KEYWORDS, MARKUP, VOID_TAGS
 from scribeprint.operators.encoding import TOKEN_PATTERN
 from scribeprint.plans.queries import (CHAT_LENGTH, DATASET_CAP, DATASETS, DISPATCH,
@@ -16,6 +15,11 @@ from scribeprint.plans.queries import (CHAT_LENGTH, DATASET_CAP, DATASETS, DISPA
                                        VOCABULARY_SIZE)
 
 
+# The characters between words, spelled out.
+WHITESPACE = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+              r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+")
+
+
 def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 

@@ -55,7 +55,8 @@ class ModelOptions:
     add_structural_features: bool = False
     text_uses_tree: bool = False
     max_iterations: int = learning.MAX_ITERATIONS
-    weights: Mapping[str, float] = None
+    tolerance: float = 1e-4
+    weights: Mapping[str, float] | None = None
 
     def blend_weights(self) -> Mapping[str, float]:
         return self.weights or {TEXT: learning.TEXT_WEIGHT, TREE: learning.TREE_WEIGHT}
@@ -145,7 +146,8 @@ def _scored(model, held_out: DataFrame) -> DataFrame:
 def _text_scores(rows: DataFrame, options: ModelOptions) -> DataFrame:
     text = "tree" if options.text_uses_tree else "code"
     train = rows.filter(F.col("split") == "train")
-    model = learning.fit_text_classifier(train, text, max_iterations=options.max_iterations)
+    model = learning.fit_text_classifier(train, text, tol=options.tolerance,
+                                         max_iterations=options.max_iterations)
     return _scored(model, vectors.with_tokens(rows.filter(F.col("split") != "train"), text))
 
 
@@ -163,5 +165,6 @@ def _tree_scores(rows: DataFrame, options: ModelOptions) -> DataFrame:
         scaler = vectors.fit_scaler(embedded.filter(is_train), vector)
         embedded, vector = vectors.apply_scaler(embedded, scaler, vector, "scaled"), "scaled"
     ready = embedded.select(*KEPT, vectors.as_vector(F.col(vector)).alias("features"))
-    model = learning.fit_classifier(ready.filter(is_train), max_iterations=options.max_iterations)
+    model = learning.fit_classifier(ready.filter(is_train), tol=options.tolerance,
+                                    max_iterations=options.max_iterations)
     return _scored(model, ready.filter(~is_train))
