@@ -21,26 +21,25 @@ class Settled(NamedTuple):
     fits: bool
 
 
-def settle(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Settled:
-    """Compute a per-key table once. At most ``max_rows + 1`` short rows of it are read to
-    learn its size; a larger one is kept as a checkpoint in the shared folder."""
-    head = small.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
+def settle(small: DataFrame) -> Settled:
+    """Compute a per-key table once. One short row more than the bound is read to learn
+    its size; a larger table is kept as a checkpoint in the shared folder."""
+    head = small.limit(MAX_BROADCAST_ROWS + 1).toArrow()
+    if head.num_rows <= MAX_BROADCAST_ROWS:
         return Settled(small.sparkSession.createDataFrame(head, small.schema), True)
     shared_dir(small.sparkSession)
     return Settled(small.checkpoint(), False)
 
 
 def lookup_join(big: DataFrame, small: DataFrame | Settled, on: Sequence[str],
-                spread_by: Column, how: str = "inner",
-                max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                spread_by: Column, how: str = "inner") -> DataFrame:
     """``big`` with the columns of ``small``, matched on ``on`` (nulls match nulls).
 
     A ``small`` within the bound is broadcast and ``big`` is not shuffled.
     Beyond it both sides are shuffled on the key plus a salt taken from
     ``spread_by``, so that one hot key is spread over ``SALTS`` tasks.
     """
-    table, fits = small if isinstance(small, Settled) else settle(small, max_rows)
+    table, fits = small if isinstance(small, Settled) else settle(small)
     renamed = {c: f"__{c}" for c in on}
     table = table.withColumnsRenamed(renamed)
     if fits:

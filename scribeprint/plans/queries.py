@@ -63,6 +63,12 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("lang") == "en").cast("int").alias("label"))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and texts of the documents, over all cores."""
+    return readers.spread(_samples(spark, sf_dir).select("sample_id", "language", "code"),
+                          "sample_id")
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that have a label; the label is their quality."""
     labels = _read(spark, sf_dir, "labels").select(
@@ -72,8 +78,9 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "pages").select(
+    pages = _read(spark, sf_dir, "pages").select(
         F.col("page_id").cast("string").alias("sample_id"), F.col("html").alias("code"))
+    return readers.spread(pages, "sample_id")
 
 
 def _node_words(s: Column) -> Column:
@@ -86,7 +93,7 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truth and rule for the labelled documents. The ratio is taken before the join, so
     texts are not shuffled."""
     ratio = text.repetition_ratio(F.col("words"))
-    docs = (_read(spark, sf_dir, "documents")
+    docs = (readers.spread(_read(spark, sf_dir, "documents").drop("n_chars"), "doc_id")
             .select("doc_id", "lang", "source", text.words(F.col("text")).alias("words"))
             .select("doc_id", "lang", "source",
                     (ratio < REPETITION_CUT).cast("int").alias("y_pred")))
@@ -187,8 +194,7 @@ def language_dispatch(spark, sf_dir):
     tokens = {lang: F.regexp_extract_all("code", F.lit(pattern), F.lit(0))
               for lang, pattern in DISPATCH.items()}
     found = by_language(F.col("language"), tokens, "array<string>")
-    return _samples(spark, sf_dir).select("sample_id", "language",
-                                          F.size(found).alias("n_tokens"))
+    return _texts(spark, sf_dir).select("sample_id", "language", F.size(found).alias("n_tokens"))
 
 
 # --- sampling and splitting --------------------------------------------------
@@ -243,7 +249,7 @@ def nodes_from_markup(spark, sf_dir):
 
 
 def nodes_from_code(spark, sf_dir):
-    prose = _samples(spark, sf_dir).select("sample_id", "code", F.lit("python").alias("language"))
+    prose = _texts(spark, sf_dir).withColumn("language", F.lit("python"))
     return trees.nodes_from_code(prose)
 
 
@@ -274,20 +280,20 @@ def tree_stats(spark, sf_dir):
 # --- structural features -----------------------------------------------------
 
 def structural_features(spark, sf_dir):
-    named = _samples(spark, sf_dir).select("sample_id", _node_words(F.col("code")).alias("code"))
+    named = _texts(spark, sf_dir).select("sample_id", _node_words(F.col("code")).alias("code"))
     features = structure.with_structural_features(named).select("sample_id", *structure.FEATURES)
     return _rounded(features, "branching", "repetition")
 
 
 def nested_control(spark, sf_dir):
-    named = _samples(spark, sf_dir).select(
+    named = _texts(spark, sf_dir).select(
         "sample_id", text.words(_node_words(F.col("code"))).alias("words"))
     return named.select("sample_id", structure.nested_control(F.col("words")).alias("n")).select(
         "sample_id", F.col("n.ifs").alias("nested_ifs"), F.col("n.loops").alias("nested_loops"))
 
 
 def repetition_ratio(spark, sf_dir):
-    words = _samples(spark, sf_dir).select("sample_id", text.words(F.col("code")).alias("words"))
+    words = _texts(spark, sf_dir).select("sample_id", text.words(F.col("code")).alias("words"))
     return words.select("sample_id", F.round(text.repetition_ratio(F.col("words")), 6).alias("ratio"))
 
 
@@ -299,7 +305,7 @@ def _chat(spark, sf_dir):
 
 
 def build_vocabulary(spark, sf_dir):
-    return encoding.build_vocabulary(_samples(spark, sf_dir), 5000)
+    return encoding.build_vocabulary(_texts(spark, sf_dir), 5000)
 
 
 def encode_tokens(spark, sf_dir):
@@ -322,12 +328,12 @@ def mean_pool(spark, sf_dir):
 
 
 def embed_text(spark, sf_dir):
-    tokens = vectors.with_tokens(_samples(spark, sf_dir).select("sample_id", "code"))
+    tokens = vectors.with_tokens(_texts(spark, sf_dir).select("sample_id", "code"))
     return vectors.embed_text(tokens, vectors.text_embedder().fit(tokens), ["sample_id"])
 
 
 def assemble_features(spark, sf_dir):
-    documents = _samples(spark, sf_dir).select(
+    documents = _texts(spark, sf_dir).select(
         F.col("sample_id").cast("bigint").alias("vec_id"), _node_words(F.col("code")).alias("code"))
     features = structure.with_structural_features(documents).drop("code")
     embedded = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -382,7 +388,7 @@ def text_classifier(spark, sf_dir):
 
 
 def weighted_blend(spark, sf_dir):
-    counted = _samples(spark, sf_dir).select("sample_id", text.words(F.col("code")).alias("words"),
+    counted = _texts(spark, sf_dir).select("sample_id", text.words(F.col("code")).alias("words"),
                                              text.substring_count(F.col("code"), ",").alias("commas"))
     ratio = text.repetition_ratio(F.col("words"))
     by_text = scoring.sigmoid(ratio * 2 - 2 * REPETITION_CUT)

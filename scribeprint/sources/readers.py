@@ -29,6 +29,16 @@ def _row_id(prefix: str) -> Column:
     return F.concat_ws(":", F.lit(prefix), F.monotonically_increasing_id().cast("string"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a table that is stored in fewer pieces than there are cores, over all cores.
+
+    For heavy work on the text of small tables. A scan that already has a task
+    for every core, as any large table's has, is left alone and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def read_folder(spark: SparkSession, path: str, language: str) -> DataFrame:
     """One sample per file, labelled by the file name's prefix; sub-folders are not read."""
     name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
