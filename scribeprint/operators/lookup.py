@@ -15,10 +15,12 @@ SALTS = 64
 
 
 class Settled(NamedTuple):
-    """A computed table that is not computed again, and whether it fits a broadcast."""
+    """A computed table that is not computed again, whether it fits a broadcast, and
+    whether it is a single row."""
 
     table: DataFrame
     fits: bool
+    single: bool = False
 
 
 def settle(small: DataFrame) -> Settled:
@@ -26,7 +28,8 @@ def settle(small: DataFrame) -> Settled:
     its size; a larger table is kept as a checkpoint in the shared folder."""
     head = small.limit(MAX_BROADCAST_ROWS + 1).toArrow()
     if head.num_rows <= MAX_BROADCAST_ROWS:
-        return Settled(small.sparkSession.createDataFrame(head, small.schema), True)
+        table = small.sparkSession.createDataFrame(head, small.schema)
+        return Settled(table, True, head.num_rows == 1)
     shared_dir(small.sparkSession)
     return Settled(small.checkpoint(), False)
 
@@ -39,9 +42,17 @@ def lookup_join(big: DataFrame, small: DataFrame | Settled, on: Sequence[str],
     Beyond it both sides are shuffled on the key plus a salt taken from
     ``spread_by``, so that one hot key is spread over ``SALTS`` tasks.
     """
-    table, fits = small if isinstance(small, Settled) else settle(small)
+    table, fits, single = small if isinstance(small, Settled) else settle(small)
     renamed = {c: f"__{c}" for c in on}
     table = table.withColumnsRenamed(renamed)
+    if single and how == "inner":
+        # One row needs no join: read it as a scalar. (A constant key would leave a join
+        # without an equality to hash on.)
+        matched = big.withColumn("__row", table.select(F.struct("*")).scalar())
+        for c in on:
+            matched = matched.filter(F.col(c).eqNullSafe(F.col("__row")[f"__{c}"]))
+        added = [c for c in table.columns if c not in renamed.values()]
+        return matched.select(*big.columns, *[F.col("__row")[c].alias(c) for c in added])
     if fits:
         return big.join(F.broadcast(table), same_keys(on), how).drop(*renamed.values())
     copies = table.withColumn("__copy", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))

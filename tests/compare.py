@@ -33,7 +33,7 @@ def _rows(table) -> list[tuple]:
 def differences(spark_df, con, sql: str) -> str:
     """Empty when equal, else the first difference."""
     left = spark_df.toArrow()
-    right = con.execute(sql).to_arrow_table()
+    right = con.sql(sql).to_arrow_table()
     if sorted(left.column_names) != sorted(right.column_names):
         return f"columns {sorted(left.column_names)} != {sorted(right.column_names)}"
     a, b = _rows(left), _rows(right)

@@ -139,6 +139,15 @@ def test_argument_rules(spark):
         splitting.split_dataset(df, strata=[])
 
 
+def test_one_constant_dataset(spark):
+    df = spark.range(100).selectExpr("CAST(id AS string) AS sample_id", "'only' AS dataset")
+    split = splitting.split_dataset(df, 0.1, 0.2, ["dataset"])
+    assert dict(map(tuple, split.groupBy("split").count().collect())) == {
+        "test": 10, "val": 20, "train": 70}
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Exchange" not in plan
+
+
 def test_approximate_split_covers_all_rows(spark):
     split = splitting.split_dataset_approx(table(spark, {"a": 2000}), 0.1, 0.1)
     counts = dict(map(tuple, split.groupBy("split").count().collect()))
