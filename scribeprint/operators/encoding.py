@@ -31,7 +31,9 @@ def build_vocabulary(df: DataFrame, size: int, text: str = "code") -> DataFrame:
     """
     if size > MAX_BROADCAST_ROWS:
         raise ValueError(f"a vocabulary may have at most {MAX_BROADCAST_ROWS} tokens")
-    counts = (df.select(F.explode(text_tokens(F.col(text))).alias("token"))
+    # The outer form: from the inner one Spark would derive a filter that tokenises twice.
+    # A text without tokens gives a null, which the length test drops.
+    counts = (df.select(F.explode_outer(text_tokens(F.col(text))).alias("token"))
                 .filter(F.length("token") <= MAX_TOKEN_CHARS)
                 .groupBy("token").agg(F.count("*").alias("n")))
     top = counts.orderBy(F.desc("n"), F.asc("token")).limit(size)

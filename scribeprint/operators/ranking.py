@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scribeprint.operators.lookup import Settled, lookup_join, same_keys, settle
+from scribeprint.operators.lookup import Settled, lookup_join, settle
 
 ALL, NONE = "g", ""  # above and below every hex string
 
@@ -37,17 +37,23 @@ def bucket_counts(df: DataFrame, strata: Sequence[str], id_col: str, seed: int,
               .groupBy(*strata, "bucket").agg(F.count("*").alias("n_bucket")))
 
 
-def with_cuts(df: DataFrame, counts: DataFrame, quotas: DataFrame, strata: Sequence[str],
-              cuts: Sequence[str], id_col: str, seed: int, purpose: str) -> DataFrame:
+def running_counts(counts: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """``counts`` plus ``upto`` (rows of the stratum up to and in the bucket) and ``n`` (all)."""
+    in_order = Window.partitionBy(*strata).orderBy("bucket").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return (counts.withColumn("upto", F.sum("n_bucket").over(in_order))
+                  .withColumn("n", F.sum("n_bucket").over(Window.partitionBy(*strata))))
+
+
+def with_cuts(df: DataFrame, running: DataFrame, strata: Sequence[str], cuts: Sequence[str],
+              id_col: str, seed: int, purpose: str) -> DataFrame:
     """``df`` plus one boolean column per name in ``cuts``: is the row among the first k?
 
-    ``quotas`` has one row per stratum, with k in the column of that name. Rows
-    whose stratum has no quota are dropped.
+    ``running`` is ``running_counts`` plus a column of that name holding k, the same in all
+    rows of a stratum. Rows whose stratum is not in it are dropped.
     """
     strata, cuts = list(strata), list(cuts)
-    if not strata:
-        raise ValueError("name at least one stratum column")
-    points = _cut_points(df, counts, quotas, strata, cuts, id_col, seed, purpose)
+    points = _cut_points(df, running, strata, cuts, id_col, seed, purpose)
     keyed = df.withColumn("__h", hash_key(id_col, seed, purpose))
     joined = lookup_join(keyed, points, strata, spread_by=F.col(id_col))
     h, i = F.col("__h"), F.col(id_col)
@@ -57,34 +63,28 @@ def with_cuts(df: DataFrame, counts: DataFrame, quotas: DataFrame, strata: Seque
     return joined.drop("__h", *[f"__{cut}" for cut in cuts])
 
 
-def _cut_points(df: DataFrame, counts: DataFrame, quotas: DataFrame, strata: list[str],
-                cuts: list[str], id_col: str, seed: int, purpose: str) -> DataFrame:
+def _cut_points(df: DataFrame, running: DataFrame, strata: list[str], cuts: list[str],
+                id_col: str, seed: int, purpose: str) -> DataFrame:
     """One row per stratum with, per cut, ``struct(h, id)`` of the last row inside."""
-    renamed = {c: f"__{c}" for c in strata}
-    totals = Window.partitionBy(*strata).orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    running = counts.withColumn("upto", F.sum("n_bucket").over(totals)).withColumnsRenamed(renamed)
-    wanted = quotas.select(*strata, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("cut"), F.col(c).cast("bigint").alias("k"))
-        for c in cuts])).alias("w")).select(*strata, "w.cut", "w.k")
-    # The bucket in which a cut falls: none when it is empty or takes the whole stratum.
-    falls_in = ((F.col("k") > 0) & (F.col("upto") >= F.col("k"))
-                & (F.col("upto") - F.col("n_bucket") < F.col("k")))
-    before = F.col("upto") - F.col("n_bucket")
-    ends = settle(wanted.join(running, same_keys(strata) & falls_in, "left")
-                        .select(*strata, "cut", "k", "bucket", (F.col("k") - before).alias("need")))
+    named = F.explode(F.array(*[F.struct(F.lit(c).alias("cut"), F.col(c).cast("bigint").alias("k"))
+                                for c in cuts]))
+    k, upto, before = F.col("w.k"), F.col("upto"), F.col("upto") - F.col("n_bucket")
+    # A cut inside the stratum is kept with the bucket it falls in. One that takes nothing
+    # or everything needs no bucket; it is kept once, with the first.
+    trivial = (k <= 0) | (k >= F.col("n"))
+    kept = F.when(trivial, before == 0).otherwise((upto >= k) & (before < k))
+    ends = settle(running.select("*", named.alias("w")).filter(kept).select(
+        *strata, "w.cut", F.when(~trivial, F.col("bucket")).alias("bucket"),
+        (k - before).alias("need"), F.when(k > 0, F.lit(ALL)).otherwise(F.lit(NONE)).alias("all")))
 
     rows = df.select(*strata, F.col(id_col).alias("id"), hash_key(id_col, seed, purpose).alias("h"))
     rows = rows.withColumn("bucket", F.substring("h", 1, 4))
-    inside = Settled(ends.table.filter(F.col("bucket").isNotNull()).drop("k"), ends.fits)
+    inside = Settled(ends.table.filter(F.col("bucket").isNotNull()).drop("all"), ends.fits)
     in_end = lookup_join(rows, inside, [*strata, "bucket"], spread_by=F.col("id"))
     order = Window.partitionBy(*strata, "cut", "bucket").orderBy("h", "id")
     last = (in_end.withColumn("rank", F.row_number().over(order))
-                  .filter(F.col("rank") == F.col("need"))
-                  .select(*strata, "cut", "h", "id")
-                  .withColumnsRenamed(renamed | {"cut": "__cut"}))
-    beyond = F.when(F.col("k") > 0, F.lit(ALL)).otherwise(F.lit(NONE))
-    found = ends.table.join(last, same_keys([*strata, "cut"]), "left").select(
-        *strata, "cut", F.struct(F.coalesce("h", beyond).alias("h"), "id").alias("last"))
-    return (found.groupBy(*strata).pivot("cut", cuts).agg(F.first("last"))
-                 .withColumnsRenamed({c: f"__{c}" for c in cuts}))
+                  .filter(F.col("rank") == F.col("need")).select(*strata, "cut", "h", "id"))
+    beyond = ends.table.filter(F.col("bucket").isNull()).select(
+        *strata, "cut", F.col("all").alias("h"), F.lit(None).cast(df.schema[id_col].dataType).alias("id"))
+    return last.unionByName(beyond).groupBy(*strata).agg(*[
+        F.max(F.when(F.col("cut") == c, F.struct("h", "id"))).alias(f"__{c}") for c in cuts])

@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scribeprint.operators.ranking import bucket_counts, hash_key, with_cuts
+from scribeprint.operators.lookup import same_keys
+from scribeprint.operators.ranking import bucket_counts, hash_key, running_counts, with_cuts
 
 SEED = 42
 
@@ -75,8 +76,10 @@ def stratified_cap(df: DataFrame, cap: int | str = "max_sample_count",
     groups = [*strata, label]
     carried = [cap] if isinstance(cap, str) else []
     counts = bucket_counts(df, [*groups, *carried], id_col, seed, "cap")
-    quotas = label_quotas(counts, strata, label, cap)
-    kept = with_cuts(df, counts, quotas, groups, ["keep"], id_col, seed, "cap")
+    quotas = label_quotas(counts, strata, label, cap).withColumnsRenamed(
+        {c: f"__{c}" for c in groups})
+    running = running_counts(counts, groups).join(quotas, same_keys(groups))
+    kept = with_cuts(df, running, groups, ["keep"], id_col, seed, "cap")
     return kept.filter("keep").drop("keep")
 
 
@@ -98,16 +101,16 @@ def split_dataset(df: DataFrame, test_size: float | str = 0.1, val_size: float |
     ``test_size`` 1 sends every row to test, 0 makes a two-way split.
     """
     strata = list(strata)
+    if not strata:
+        raise ValueError("name at least one stratum column")
     sizes = {k: v for k, v in (("test_size", test_size), ("val_size", val_size))}
     carried = [v for v in sizes.values() if isinstance(v, str)]
     counts = bucket_counts(df, [*strata, *carried], id_col, seed, "split")
     test, val = (F.col(v) if isinstance(v, str) else F.lit(float(v)) for v in sizes.values())
     n_test, n_val = split_counts(F.col("n"), test, val)
-    quotas = (counts.groupBy(*strata, *carried).agg(F.sum("n_bucket").alias("n"))
-                    .withColumn("to_test", n_test).withColumn("n_val", n_val)
-                    .withColumn("to_val", F.col("to_test") + F.col("n_val"))
-                    .select(*strata, "to_test", "to_val"))
-    cut = with_cuts(df, counts, quotas, strata, ["to_test", "to_val"], id_col, seed, "split")
+    running = (running_counts(counts, strata).withColumn("to_test", n_test)
+               .withColumn("to_val", F.col("to_test") + n_val))
+    cut = with_cuts(df, running, strata, ["to_test", "to_val"], id_col, seed, "split")
     split = F.when(F.col("to_test"), F.lit("test")).when(F.col("to_val"), F.lit("val"))
     return cut.withColumn("split", split.otherwise(F.lit("train"))).drop("to_test", "to_val")
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, HashingTF, VectorAssembler
+from pyspark.ml.feature import (IDF, CountVectorizerModel, Normalizer, SQLTransformer,
+                                VectorAssembler)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -48,16 +49,22 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, vector: str, out: str) -> Dat
     return df.withColumn("__s", row).withColumn(out, scaled).drop("__s")
 
 
-def text_embedder(size: int = 256) -> Pipeline:
-    """Estimator of fixed-size text vectors: hashed token counts, weighted by rarity.
+def text_embedder(digits: int = 2) -> Pipeline:
+    """Estimator of fixed-size text vectors: token counts by hash, weighted by rarity.
 
-    With counts divided by the number of tokens, the vector is the mean of the
-    one-hot vectors of the (hashed) tokens. The fitted model has ``size`` weights,
-    however large the vocabulary is.
+    A token belongs to the bucket named by the first ``digits`` hex digits of its
+    md5, so there are ``16 ** digits`` dimensions, however large the vocabulary is.
+    Counts become shares of the text's tokens, so before weighting the vector is the
+    mean of the one-hot vectors of the tokens' buckets.
     """
+    buckets = [f"{i:0{digits}x}" for i in range(16 ** digits)]
+    hashed = (f"SELECT *, transform(tokens, t -> substring(md5(t), 1, {digits})) AS buckets "
+              "FROM __THIS__")
     return Pipeline(stages=[
-        HashingTF(inputCol="tokens", outputCol="counts", numFeatures=size),
-        IDF(inputCol="counts", outputCol="weighted"),
+        SQLTransformer(statement=hashed),
+        CountVectorizerModel.from_vocabulary(buckets, inputCol="buckets", outputCol="counts"),
+        Normalizer(p=1.0, inputCol="counts", outputCol="shares"),
+        IDF(inputCol="shares", outputCol="weighted"),
     ])
 
 
@@ -69,9 +76,7 @@ def with_tokens(df: DataFrame, text: str = "code",
 
 def embed_text(df: DataFrame, fitted, keep: Sequence[str]) -> DataFrame:
     """``keep`` columns plus ``embedding``, from a frame with ``tokens``."""
-    n = F.greatest(F.size("tokens"), F.lit(1)).cast("double")
-    array = F.transform(vector_to_array("weighted"), lambda v: (v / n).cast("float"))
-    return fitted.transform(df).select(*keep, array.alias("embedding"))
+    return fitted.transform(df).select(*keep, vector_to_array("weighted").alias("embedding"))
 
 
 def assemble(df: DataFrame, embedding: str = "embedding",

@@ -394,6 +394,16 @@ FROM split_rows GROUP BY split""",
 SELECT label, (dim - 1)::INT AS dim, round(avg(x::DOUBLE), 6) AS mean FROM (
   SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings)
 GROUP BY label, dim""",
+    "embed_text": f"""
+WITH t AS (SELECT doc_id, list_slice({_TOKENS}, 1, 1022) AS t FROM documents),
+counted AS (
+  SELECT doc_id, ('0x' || md5(token)[1:2])::INT AS dim, count(*) AS c
+  FROM (SELECT doc_id, unnest(t) AS token FROM t) GROUP BY ALL),
+rarity AS (
+  SELECT dim, ln(((SELECT count(*) FROM t) + 1)::DOUBLE / (count(*) + 1)) AS idf
+  FROM counted GROUP BY dim)
+SELECT doc_id::VARCHAR AS sample_id, dim, round(c * idf / len(t), 6) AS value
+FROM counted JOIN rarity USING (dim) JOIN t USING (doc_id) WHERE idf > 0""",
     "assemble_features": f"""WITH {FEATURE_CTES},
 vecs AS (
   SELECT vec_id, list_concat(embedding::DOUBLE[], [{', '.join(f'{f}::DOUBLE' for f in FEATURES)}])

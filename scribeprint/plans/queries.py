@@ -329,7 +329,9 @@ def mean_pool(spark, sf_dir):
 
 def embed_text(spark, sf_dir):
     tokens = vectors.with_tokens(_texts(spark, sf_dir).select("sample_id", "code"))
-    return vectors.embed_text(tokens, vectors.text_embedder().fit(tokens), ["sample_id"])
+    embedded = vectors.embed_text(tokens, vectors.text_embedder().fit(tokens), ["sample_id"])
+    return _rounded(embedded.select("sample_id", F.posexplode_outer("embedding").alias("dim", "value"))
+                            .filter("value > 0"), "value")
 
 
 def assemble_features(spark, sf_dir):
@@ -339,7 +341,7 @@ def assemble_features(spark, sf_dir):
     embedded = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     vector = vector_to_array(F.col("features"))
     joined = vectors.assemble(embedded.join(features, "vec_id"))
-    return joined.select("vec_id", F.posexplode(vector).alias("dim", "value")).withColumn(
+    return joined.select("vec_id", F.posexplode_outer(vector).alias("dim", "value")).withColumn(
         "value", F.round("value", 6))
 
 
@@ -347,7 +349,7 @@ def standard_scale(spark, sf_dir):
     embedded = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     scaled = vectors.apply_scaler(embedded, vectors.fit_scaler(embedded, "embedding"),
                                   "embedding", "scaled")
-    return _rounded(scaled.select("vec_id", F.posexplode("scaled").alias("dim", "value")), "value",
+    return _rounded(scaled.select("vec_id", F.posexplode_outer("scaled").alias("dim", "value")), "value",
                     digits=5)
 
 
@@ -395,7 +397,7 @@ def weighted_blend(spark, sf_dir):
     by_tree = F.least(F.lit(1.0), F.col("commas") * 4.0 / F.greatest(F.size("words"), F.lit(1)))
     pairs = F.array(F.struct(F.lit("text").alias("model"), by_text.alias("p1")),
                     F.struct(F.lit("tree").alias("model"), by_tree.alias("p1")))
-    scores = counted.select("sample_id", F.explode(pairs).alias("s")).select(
+    scores = counted.select("sample_id", F.explode_outer(pairs).alias("s")).select(
         "sample_id", "s.model", (1 - F.col("s.p1")).alias("p0"), F.col("s.p1").alias("p1"))
     blended = learning.blend_scores(scores, {"text": learning.TEXT_WEIGHT,
                                              "tree": learning.TREE_WEIGHT})

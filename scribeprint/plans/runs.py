@@ -158,7 +158,7 @@ def _tree_scores(rows: DataFrame, options: ModelOptions) -> DataFrame:
     extra = list(FEATURES) if options.add_structural_features else []
     embedded = vectors.embed_text(tokens, embedder, [*KEPT, *extra])
     if extra:
-        numbers = [F.col(c).cast("float") for c in extra]
+        numbers = [F.col(c).cast("double") for c in extra]
         embedded = embedded.withColumn("embedding", F.concat("embedding", F.array(*numbers)))
     vector = "embedding"
     if options.use_scaler:
