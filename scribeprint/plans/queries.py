@@ -71,10 +71,11 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that have a label; the label is their quality."""
-    labels = _read(spark, sf_dir, "labels").select(
-        F.col("doc_id").cast("string").alias("__id"), F.col("quality").alias("label"))
-    return _samples(spark, sf_dir).drop("label").join(
-        labels, F.col("sample_id") == F.col("__id")).drop("__id")
+    labels = _read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return _read(spark, sf_dir, "documents").join(labels, "doc_id").select(
+        F.col("doc_id").cast("string").alias("sample_id"), F.col("source").alias("dataset"),
+        F.col("lang").alias("language"), F.lit("unknown").alias("ai"), F.col("text").alias("code"),
+        "label")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
