@@ -99,7 +99,7 @@ def code_tokens(code: Column, language: str) -> Column:
 def by_language(language: Column, expressions: Mapping[str, Column],
                 result_type: str, policy: str = "fail") -> Column:
     """The expression of the row's language. Others stop the job, or give null (``keep``)."""
-    unknown = F.concat(F.lit("unsupported language: "), F.coalesce(language, F.lit("none")))
+    unknown = F.concat(F.lit("no token rules for language: "), F.coalesce(language, F.lit("none")))
     other = F.lit(None) if policy == "keep" else F.raise_error(unknown)
     chosen = F
     for name, expression in expressions.items():

@@ -70,9 +70,9 @@ def metrics_by_group(predictions: DataFrame, groups: Sequence[Sequence[str]]) ->
 
 def as_percent(metrics: DataFrame, columns: Sequence[str] = (
         "accuracy", "recall", "false_positive_rate", "false_negative_rate")) -> DataFrame:
-    """The rates as text with two decimals, for display."""
+    """The rates as text with two decimals, for display. Halves go to the even digit."""
     return metrics.withColumns({
-        c: F.when(F.col(c).isNotNull(), F.format_string("%.2f%%", F.col(c) * 100))
+        c: F.when(F.col(c).isNotNull(), F.format_string("%.2f%%", F.bround(F.col(c) * 100, 2)))
         for c in columns})
 
 

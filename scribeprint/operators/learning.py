@@ -95,7 +95,7 @@ def predict(model, df: DataFrame, keep: list[str]) -> DataFrame:
 
 def check_weights(weights: Mapping[str, float]) -> None:
     if abs(sum(weights.values()) - 1.0) > 1e-6:
-        raise ValueError("weights must sum to 1.0")
+        raise ValueError("the weights of a blend must add up to 1")
 
 
 def blend_scores(scores: DataFrame, weights: Mapping[str, float], policy: str = "fail",

@@ -18,6 +18,7 @@ def epoch_pairs(log: DataFrame, block: int = BLOCK) -> DataFrame:
     An epoch may hold most of the lines, so the search runs inside blocks of
     ``block`` line numbers, which bound the rows of a window; what a block
     takes over from earlier ones is looked up in a summary of one row per block.
+    (For numbers with wide gaps, give a wider block: it is a bound, not a size.)
     """
     useful = F.col("epoch").isNotNull() & (F.col("loss").isNotNull()
                                            | F.col("eval_loss").isNotNull())

@@ -266,7 +266,7 @@ FROM pages""",
     "jsonl_scan": """
 SELECT conv_id || ':' || turn AS sample_id, text AS code,
        CASE role WHEN 'assistant' THEN 1 WHEN 'user' THEN 0 END AS label,
-       CASE WHEN role NOT IN ('assistant', 'user') THEN 'invalid label: none' END AS reject
+       CASE WHEN role NOT IN ('assistant', 'user') THEN 'label not known: none' END AS reject
 FROM conversations""",
     "clean_text": r"""
 SELECT doc_id, replace(replace(replace(text, ', ', ',    '), '. ', '.' || chr(13)), chr(9), '    ')
@@ -276,7 +276,7 @@ SELECT conv_id, turn, text AS code FROM conversations WHERE role = 'assistant'""
     "label_from_prefix": f"""
 SELECT {_PREFIX} || '_' || doc_id || '.txt' AS sample_id,
        CASE {_PREFIX} WHEN '1' THEN 0 WHEN '0' THEN 1 END AS label,
-       CASE WHEN {_PREFIX} NOT IN ('0', '1') THEN 'invalid label: ' || {_PREFIX} END AS reject
+       CASE WHEN {_PREFIX} NOT IN ('0', '1') THEN 'label not known: ' || {_PREFIX} END AS reject
 FROM labels""",
     "label_from_word": f"""
 SELECT doc_id, {_WORD} AS word, CASE {_WORD} WHEN 'lm' THEN 1 WHEN 'human' THEN 0 END AS label
@@ -298,6 +298,11 @@ SELECT doc_id::VARCHAR AS sample_id, lang AS language, len(CASE lang
     "stratified_cap": f"""WITH {SAMPLES}, {cap_sql('samples', 'dataset', str(DATASET_CAP))}
 SELECT sample_id, dataset, label FROM capped""",
     "split_three_way": f"WITH {SAMPLES}, {_SPLIT} SELECT sample_id, dataset, split FROM split_rows",
+    "split_approximate": f"""WITH {SAMPLES},
+shared AS (SELECT *, ('0x' || md5('42|split|' || sample_id)[1:8])::BIGINT / 4294967296 AS share
+           FROM samples)
+SELECT sample_id, dataset, CASE WHEN share < 0.1 THEN 'test' WHEN share < 0.2 THEN 'val'
+       ELSE 'train' END AS split FROM shared""",
     "split_holdout": """
 SELECT doc_id::VARCHAR AS sample_id, source AS dataset, 'test' AS split FROM documents""",
     "split_two_way": f"""

@@ -210,6 +210,11 @@ def split_three_way(spark, sf_dir):
     return splitting.split_dataset(samples, 0.1, 0.1, ["dataset"])
 
 
+def split_approximate(spark, sf_dir):
+    samples = _samples(spark, sf_dir).select("sample_id", "dataset")
+    return splitting.split_dataset_approx(samples, 0.1, 0.1)
+
+
 def split_holdout(spark, sf_dir):
     samples = _samples(spark, sf_dir).select("sample_id", "dataset")
     return splitting.split_dataset(samples, 1, 0, ["dataset"])
@@ -455,7 +460,7 @@ def runs(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     catalog_scan, csv_scan, jsonl_scan, clean_text, drop_null_text, label_from_prefix,
     label_from_word, label_from_number, filter_datasets, config_lookup, language_dispatch,
-    stratified_cap, split_three_way, split_holdout, split_two_way, split_by_config, union_splits,
+    stratified_cap, split_three_way, split_approximate, split_holdout, split_two_way, split_by_config, union_splits,
     split_summary, nodes_from_markup, nodes_from_code, node_types, node_text, serialise_tree,
     serialise_tokens, tree_stats, structural_features, nested_control, repetition_ratio,
     build_vocabulary, encode_tokens, truncated_count, mean_pool, embed_text, assemble_features,

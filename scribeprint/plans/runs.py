@@ -69,7 +69,8 @@ def run_report(samples: DataFrame, configs: Sequence[RunConfig],
 
     All splits are made first; only samples that some run uses are represented,
     once for all runs, and kept as a table in the shared folder. The models of a
-    run are fitted on the same rows.
+    run are fitted on the same rows. Splits, samples and predictions stay in that
+    folder (``runs-...``) for later reports, until the user removes them.
     """
     learning.check_weights(options.blend_weights())
     spark = samples.sparkSession

@@ -21,7 +21,7 @@ NA_STRINGS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-na
 
 
 def _bad_label(given: Column, label: Column) -> Column:
-    text = F.concat(F.lit("invalid label: "), F.coalesce(given, F.lit("none")))
+    text = F.concat(F.lit("label not known: "), F.coalesce(given, F.lit("none")))
     return F.when(label.isNull(), text)
 
 

@@ -37,6 +37,12 @@ def test_rates_and_display(spark):
     assert (shown["accuracy"], shown["false_positive_rate"]) == ("75.00%", "28.57%")
 
 
+def test_display_rounds_halves_to_even(spark):
+    df = spark.createDataFrame([(1 / 32,), (3 / 32,), (0.285,), (None,), (1.0,)], "accuracy double")
+    shown = [r[0] for r in E.as_percent(df, ["accuracy"]).collect()]
+    assert shown == ["3.12%", "9.38%", "28.50%", None, "100.00%"]
+
+
 def report(pairs):
     """Per class and averaged scores by counting."""
     rows, n = {}, len(pairs)

@@ -44,11 +44,11 @@ def test_folder_rejects_other_prefixes(spark, root):
     with open(f"{root}/java/alpha/2_bad.java", "w") as f:
         f.write("x")
     df = readers.read_folder(spark, f"{root}/java/alpha", "java")
-    with pytest.raises(Exception, match="invalid label: 2"):
+    with pytest.raises(Exception, match="label not known: 2"):
         enforce(df).count()
     good, bad = split_rejects(df)
     assert good.count() == 2
-    assert [r["reject"] for r in bad.collect()] == ["invalid label: 2"]
+    assert [r["reject"] for r in bad.collect()] == ["label not known: 2"]
 
 
 def test_csv(spark, root):
@@ -61,7 +61,7 @@ def test_csv(spark, root):
 
 def test_csv_bad_label_stops_the_job(spark, tmp_path):
     (tmp_path / "b.csv").write_text("code,label\nx,LM\n")
-    with pytest.raises(Exception, match="invalid label: LM"):
+    with pytest.raises(Exception, match="label not known: LM"):
         enforce(readers.read_csv(spark, str(tmp_path / "b.csv"), "python")).collect()
 
 
@@ -78,7 +78,7 @@ def test_jsonl_rejects(spark, tmp_path):
     good, bad = split_rejects(df)
     assert pairs(good) == [("ok", 1)]
     assert sorted(r["reject"] for r in bad.collect()) == [
-        "invalid label: 1", "invalid label: 2", "invalid label: none", "no code",
+        "label not known: 1", "label not known: 2", "label not known: none", "no code",
         "not a JSON object", "not a JSON object"]
     with pytest.raises(Exception):
         enforce(df).collect()
