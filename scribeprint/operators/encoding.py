@@ -38,7 +38,8 @@ def build_vocabulary(df: DataFrame, size: int, text: str = "code") -> DataFrame:
                 .groupBy("token").agg(F.count("*").alias("n")))
     top = counts.orderBy(F.desc("n"), F.asc("token")).limit(size)
     order = Window.orderBy(F.desc("n"), F.asc("token"))
-    return top.select("token", (F.row_number().over(order) + (FIRST_TOKEN_ID - 1)).alias("token_id"))
+    number = F.row_number().over(order) + (FIRST_TOKEN_ID - 1)
+    return top.select("token", number.alias("token_id"))
 
 
 def pad(ids: Column, max_length: int) -> tuple[Column, Column]:

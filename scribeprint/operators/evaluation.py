@@ -92,7 +92,8 @@ def class_report(predictions: DataFrame) -> DataFrame:
 
     cells = predictions.agg(*_cells())
     classes = cells.select(
-        scores(CLASS_NAMES[0], tn, fn, fp).alias("a"), scores(CLASS_NAMES[1], tp, fp, fn).alias("b"),
+        scores(CLASS_NAMES[0], tn, fn, fp).alias("a"),
+        scores(CLASS_NAMES[1], tp, fp, fn).alias("b"),
         F.coalesce(_ratio(tn + tp, tn + tp + fn + fp), F.lit(0.0)).alias("accuracy"),
         (tn + tp + fn + fp).alias("n"))
     n = F.col("n")
@@ -105,8 +106,8 @@ def class_report(predictions: DataFrame) -> DataFrame:
     macro = average("macro avg", lambda x, y: (x + y) / 2)
     weighted = average("weighted avg", lambda x, y: F.coalesce(F.try_divide(
         x * F.col("a.support") + y * F.col("b.support"), n), F.lit(0.0)))
-    accuracy = F.struct(F.lit("accuracy").alias("name"), F.lit(None).cast("double").alias("precision"),
-                        F.lit(None).cast("double").alias("recall"), F.col("accuracy").alias("f1"),
-                        n.alias("support"))
+    none = F.lit(None).cast("double")
+    accuracy = F.struct(F.lit("accuracy").alias("name"), none.alias("precision"),
+                        none.alias("recall"), F.col("accuracy").alias("f1"), n.alias("support"))
     rows = F.array(F.col("a"), F.col("b"), accuracy, macro, weighted)
     return classes.select(F.explode(rows).alias("r")).select("r.*")

@@ -121,7 +121,8 @@ def blend_scores(scores: DataFrame, weights: Mapping[str, float], policy: str =
     counts = [F.col(f"n_{i}") for i in range(len(weights))]
     twice = F.greatest(*counts, F.lit(0)) > 1
     missing = F.least(*counts, F.lit(1)) < 1
-    message = F.concat(F.lit("scores are not one per model for sample "), F.col(id_col).cast("string"))
+    message = F.concat(F.lit("scores are not one per model for sample "),
+                       F.col(id_col).cast("string"))
     stop = F.raise_error(message).cast("boolean")
     keep = F.when(twice, stop).when(
         missing, stop if policy == "fail" else F.lit(False)).otherwise(F.lit(True))

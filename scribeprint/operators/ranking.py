@@ -85,6 +85,7 @@ def _cut_points(df: DataFrame, running: DataFrame, strata: list[str], cuts: list
     last = (in_end.withColumn("rank", F.row_number().over(order))
                   .filter(F.col("rank") == F.col("need")).select(*strata, "cut", "h", "id"))
     beyond = ends.table.filter(F.col("bucket").isNull()).select(
-        *strata, "cut", F.col("all").alias("h"), F.lit(None).cast(df.schema[id_col].dataType).alias("id"))
+        *strata, "cut", F.col("all").alias("h"),
+        F.lit(None).cast(df.schema[id_col].dataType).alias("id"))
     return last.unionByName(beyond).groupBy(*strata).agg(*[
         F.max(F.when(F.col("cut") == c, F.struct("h", "id"))).alias(f"__{c}") for c in cuts])

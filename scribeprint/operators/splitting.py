@@ -72,7 +72,8 @@ def label_quotas(counts: DataFrame, strata: Sequence[str], label: str = "label",
 def stratified_cap(df: DataFrame, cap: int | str = "max_sample_count",
                    strata: Sequence[str] = ("dataset", "language", "ai"), label: str = "label",
                    id_col: str = "sample_id", seed: int = SEED) -> DataFrame:
-    """At most ``cap`` rows per stratum (a number, or the column that holds it), label ratio kept."""
+    """At most ``cap`` rows per stratum (a number, or the column that holds it); the ratio of
+    the labels is kept."""
     groups = [*strata, label]
     carried = [cap] if isinstance(cap, str) else []
     counts = bucket_counts(df, [*groups, *carried], id_col, seed, "cap")

@@ -300,7 +300,8 @@ def nested_control(spark, sf_dir):
 
 def repetition_ratio(spark, sf_dir):
     words = _texts(spark, sf_dir).select("sample_id", text.words(F.col("code")).alias("words"))
-    return words.select("sample_id", F.round(text.repetition_ratio(F.col("words")), 6).alias("ratio"))
+    ratio = text.repetition_ratio(F.col("words"))
+    return words.select("sample_id", F.round(ratio, 6).alias("ratio"))
 
 
 # --- encoding and vectors ----------------------------------------------------
