@@ -6,10 +6,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribeprint.llm import decontamination, licenses, resampling, token_counts
+from scribeprint.llm import decontamination, licenses, mixing, quality_rules, resampling, secrets, token_counts
 from scribeprint.llm.scratch import documents
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    taken = mixing.taken_words(documents(spark, sf_dir, "doc_id", "text", "source"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.quality_rules(documents(spark, sf_dir, "doc_id", "text", "source"), keep_text=False)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept")
+
+
+def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex",
+                        F.sha2(secrets.written_spans("base_spans"), 256).alias("base_sha256"),
+                        secrets.written_spans("spans").alias("spans"))
+
+
 def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their importance weight; kept is the Gumbel top-k sample."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -43,5 +62,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES = {f.__name__: f for f in (
-    op4_importance_resampling, op7_license_scan, op8_prefix_token_counts,
+    op1_source_mix, op3_host_quality, op4_importance_resampling, op5_markov_secrets, op7_license_scan, op8_prefix_token_counts,
     op10_benchmark_decontamination)}

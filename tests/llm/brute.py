@@ -53,3 +53,60 @@ def licence_phrases(text):
     starts = [k for k, _ in found]
     return (len(words), len(found), min(starts, default=None), max(starts, default=None),
             ",".join(sorted({label for _, label in found})))
+
+
+def blank_words(text):
+    return BLANK_WORDS.findall(text or "")
+
+
+def quality(docs):
+    """doc_id -> (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)"""
+    out = []
+    for doc, text in docs:
+        text = text or ""
+        words = blank_words(text)
+        lines = [x for x in text.split("\n") if BLANK_WORDS.search(x)]
+        places = {}
+        for k in range(len(words) - 7):
+            places.setdefault(tuple(words[k:k + 8]), []).append(k)
+        hit = {k + j for own in places.values() if len(own) > 1 for k in own for j in range(8)}
+        out.append((doc, len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text),
+                    len(lines) - len(set(lines)), len(hit),
+                    len(words) < 20 or 100 * len(hit) > 30 * len(words)))
+    return out
+
+
+SECRET_PATTERNS = (
+    ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?"""
+                          r"([A-Za-z0-9+/_.=-]+)", re.ASCII), lambda m: len(m[2]) >= 6),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+    ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+)
+
+
+def secrets(text):
+    """(n_assign, n_access, n_hex, base_sha256)"""
+    spans, counts = [], []
+    for n, (kind, pattern, good) in enumerate(SECRET_PATTERNS):
+        own = [m for m in pattern.finditer(text or "") if good(m)]
+        counts.append(len(own))
+        spans += [(m.start(), n, f"{kind}:{m.start()}:{m.end()}") for m in own]
+    return (*counts, sha(",".join(s for *_, s in sorted(spans))))
+
+
+def mix_targets(sizes):
+    """source -> target, by filling again and again. ``sizes``: source -> words."""
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    target, left = dict.fromkeys(names, 0.0), 1.5 * sum(sizes.values())
+    while left > 1e-9:
+        open_ = [s for s in names if target[s] < 2 * sizes[s] - 1e-9]
+        if not open_:
+            break
+        total, rest = sum(weight[s] for s in open_), 0.0
+        for s in open_:
+            want = target[s] + left * weight[s] / total
+            rest += max(0.0, want - 2 * sizes[s])
+            target[s] = min(want, 2 * sizes[s])
+        left = rest
+    return target
