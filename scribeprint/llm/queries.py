@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribeprint.llm import decontamination, licenses, mixing, quality_rules, resampling, secrets, token_counts
+from scribeprint.llm import decontamination, licenses, mixing, quality_rules, resampling, secrets, substring_dedup, token_counts
 from scribeprint.llm.scratch import documents
 
 
@@ -37,6 +37,11 @@ def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
                                resampling.good_share(labels))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.remove_repeats(documents(spark, sf_dir, "doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(documents(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word",
@@ -62,5 +67,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_source_mix, op3_host_quality, op4_importance_resampling, op5_markov_secrets, op7_license_scan, op8_prefix_token_counts,
+    op1_source_mix, op3_host_quality, op4_importance_resampling, op5_markov_secrets, op6_substring_dedup, op7_license_scan, op8_prefix_token_counts,
     op10_benchmark_decontamination)}

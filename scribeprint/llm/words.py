@@ -60,12 +60,12 @@ class _Powers:
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.size:
             self.size = max(n, PIECE_BYTES + 1)
-            self.up, self.down = (_running_powers(b, self.size)
+            self.up, self.down = (running_powers(b, self.size)
                                   for b in (_BASE, pow(_BASE, -1, 1 << 64)))
         return self.up[:n], self.down[:n]
 
 
-def _running_powers(base: int, n: int) -> np.ndarray:
+def running_powers(base: int, n: int) -> np.ndarray:
     out = np.empty(n, _U)
     out[0], done = 1, 1
     while done < n:

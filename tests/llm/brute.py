@@ -110,3 +110,19 @@ def mix_targets(sizes):
             target[s] = min(want, 2 * sizes[s])
         left = rest
     return target
+
+
+def repeats(docs, size=35):
+    """(doc_id, n_words, n_removed, kept_sha256)"""
+    places = {}
+    all_words = [blank_words(text) for _, text in docs]
+    for d, words in enumerate(all_words):
+        for k in range(len(words) - size + 1):
+            places.setdefault(tuple(words[k:k + size]), []).append((d, k))
+    gone = [set() for _ in docs]
+    for own in places.values():
+        if len(own) > 1:
+            for d, k in own:
+                gone[d].update(range(k, k + size))
+    return [(doc, len(words), len(g), sha(" ".join(w for k, w in enumerate(words) if k not in g)))
+            for (doc, _), words, g in zip(docs, all_words, gone)]
