@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribeprint.llm import decontamination, licenses, mixing, quality_rules, resampling, secrets, substring_dedup, token_counts
+from scribeprint.llm import decontamination, licenses, mixing, near_dedup, quality_rules, resampling, secrets, substring_dedup, token_counts
 from scribeprint.llm.scratch import documents
 
 
@@ -16,6 +16,11 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(documents(spark, sf_dir, "doc_id", "text", "source"), keep_text=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -67,5 +72,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_source_mix, op3_host_quality, op4_importance_resampling, op5_markov_secrets, op6_substring_dedup, op7_license_scan, op8_prefix_token_counts,
+    op1_source_mix, op2_minhash_near_dedup, op3_host_quality, op4_importance_resampling, op5_markov_secrets, op6_substring_dedup, op7_license_scan, op8_prefix_token_counts,
     op10_benchmark_decontamination)}

@@ -126,3 +126,34 @@ def repeats(docs, size=35):
                 gone[d].update(range(k, k + size))
     return [(doc, len(words), len(g), sha(" ".join(w for k, w in enumerate(words) if k not in g)))
             for (doc, _), words, g in zip(docs, all_words, gone)]
+
+
+def near(docs, percent=75):
+    """(doc_id, n_shingles, component_id, kept); ids are unique"""
+    sets = {}
+    for doc, text in docs:
+        words = blank_words((text or "").translate(LOWER))
+        sets[doc] = ({tuple(words[k:k + 5]) for k in range(len(words) - 4)} if len(words) >= 5
+                     else {tuple(words)} if words else set())
+    up = {doc: doc for doc in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    at = {}
+    for doc, own in sets.items():
+        for shingle in own:
+            at.setdefault(shingle, []).append(doc)
+    tried = set()
+    for own in at.values():
+        for n, x in enumerate(own):
+            for y in own[n + 1:]:
+                if (x, y) not in tried:
+                    tried.add((x, y))
+                    both = len(sets[x] & sets[y])
+                    if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                        a, b = sorted((root(x), root(y)))
+                        up[b] = a
+    return [(doc, len(own), root(doc), root(doc) == doc) for doc, own in sets.items()]
