@@ -4,16 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scribeprint.llm import decontamination
-from scribeprint.llm.scratch import documents, written
+from scribeprint.llm import decontamination, mixing, near_dedup, quality_rules, secrets
+from scribeprint.llm.scratch import documents, importable, written
+
+
+def reject_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules, from hosts that are not rejected."""
+    return quality_rules.keep_good(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    importable(spark)
+    return near_dedup.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
+    importable(spark)
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("decontaminate", drop_contaminated)]
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in their texts."""
+    return secrets.mask_secrets(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes words of: id, source, size, its source's size and target, words taken."""
+    return mixing.taken_words(docs).filter("taken > 0")
+
+
+STAGES = [
+    ("quality rules", reject_bad),
+    ("near dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("secret scans", hide_secrets),
+    ("source mix", mix_sources),
+]
+#: The secret stage trains its model on the documents, which SQL cannot express.
 ORACLE_SQL = None
 
 
@@ -21,5 +50,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each result written and read again."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribeprint.llm import decontamination, licenses, mixing, near_dedup, quality_rules, resampling, secrets, substring_dedup, token_counts
+from scribeprint.llm import decontamination, licenses, mixing, near_dedup, quality_rules, resampling, secrets, substring_dedup, token_counts, warc
 from scribeprint.llm.scratch import documents
 
 
@@ -61,6 +61,11 @@ def op8_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_benchmark(documents(spark, sf_dir, "doc_id", "text"),
                                            spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -72,5 +77,6 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_source_mix, op2_minhash_near_dedup, op3_host_quality, op4_importance_resampling, op5_markov_secrets, op6_substring_dedup, op7_license_scan, op8_prefix_token_counts,
-    op10_benchmark_decontamination)}
+    op1_source_mix, op2_minhash_near_dedup, op3_host_quality, op4_importance_resampling,
+    op5_markov_secrets, op6_substring_dedup, op7_license_scan, op8_prefix_token_counts,
+    op9_warc_round_trip, op10_benchmark_decontamination)}

@@ -157,3 +157,19 @@ def near(docs, percent=75):
                         a, b = sorted((root(x), root(y)))
                         up[b] = a
     return [(doc, len(own), root(doc), root(doc) == doc) for doc, own in sets.items()]
+
+
+def archive(pages):
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to)"""
+    first = {}
+    for page, html in pages:
+        data = (html or "").encode()
+        if len(data) >= 100 and page is not None:
+            first[data] = min(page, first.get(data, page))
+    out = []
+    for page, html in pages:
+        data = (html or "").encode()
+        again = data in first and first[data] != page
+        out.append((page, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response",
+                    first[data] if again else None))
+    return out
