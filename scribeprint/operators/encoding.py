@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scribeprint.operators.lookup import MAX_BROADCAST_ROWS, lookup_join
+from scribeprint.operators.lookup import lookup_join
 
 # Ids of the marks, and the length most text models take.
 BEGIN, PAD, END, UNKNOWN = 0, 1, 2, 3
 FIRST_TOKEN_ID = 4
 MAX_LENGTH = 512
-MAX_TOKEN_CHARS = 256
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
@@ -25,16 +26,13 @@ def build_vocabulary(df: DataFrame, size: int, text: str = "code") -> DataFrame:
     """``token, token_id`` of the ``size`` most frequent tokens; equal counts by token.
 
     Counts are added up before the shuffle, so a token that is everywhere costs
-    one row per task, and only ``size`` rows reach the single sorted list. A token
-    of more than ``MAX_TOKEN_CHARS`` characters is never part of a vocabulary, which
-    bounds the bytes of the table as well as its rows.
+    one row per task, and only ``size`` rows reach the single sorted list. Tokens may
+    have any length, and a vocabulary any size.
     """
-    if size > MAX_BROADCAST_ROWS:
-        raise ValueError(f"a vocabulary may have at most {MAX_BROADCAST_ROWS} tokens")
     # The outer form: from the inner one Spark would derive a filter that tokenises twice.
-    # A text without tokens gives a null, which the length test drops.
+    # A text without tokens gives a null.
     counts = (df.select(F.explode_outer(text_tokens(F.col(text))).alias("token"))
-                .filter(F.length("token") <= MAX_TOKEN_CHARS)
+                .filter(F.col("token").isNotNull())
                 .groupBy("token").agg(F.count("*").alias("n")))
     top = counts.orderBy(F.desc("n"), F.asc("token")).limit(size)
     order = Window.orderBy(F.desc("n"), F.asc("token"))
@@ -50,8 +48,10 @@ def pad(ids: Column, max_length: int) -> tuple[Column, Column]:
 
 
 def encode_tokens(df: DataFrame, vocabulary: DataFrame, max_length: int = MAX_LENGTH,
-                  id_col: str = "sample_id", text: str = "code") -> DataFrame:
+                  id_col: str = "sample_id", text: str = "code",
+                  keep: Sequence[str] = ()) -> DataFrame:
     """``id_col, input_ids, attention_mask`` of every row: begin, token ids, end, filling.
+    Columns in ``keep``, such as a label, stay with their row.
 
     The text is tokenised as a whole and the list is cut to what a row of
     ``max_length`` can hold, so one row sends at most that many tokens on. The
@@ -59,18 +59,19 @@ def encode_tokens(df: DataFrame, vocabulary: DataFrame, max_length: int = MAX_LE
     together again inside the same layout.
     """
     kept = F.slice(text_tokens(F.coalesce(F.col(text), F.lit(""))), 1, max_length - 2)
-    lists = df.select(id_col, kept.alias("tokens")).repartition(id_col)
-    opened = lists.select(id_col, F.posexplode_outer("tokens").alias("pos", "token"))
-    found = lookup_join(opened, vocabulary, ["token"], spread_by=F.col(id_col), how="left")
+    own = [id_col, *keep]
+    lists = df.select(*own, kept.alias("tokens")).repartition(id_col)
+    opened = lists.select(*own, F.posexplode_outer("tokens").alias("pos", "token"))
+    found = lookup_join(opened, vocabulary, ["token"], how="left")
     # A row without tokens has one opened row, with no position.
     numbered = F.when(F.col("pos").isNotNull(), F.struct(
         "pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("token_id")))
-    grouped = found.groupBy(id_col).agg(F.sort_array(F.collect_list(numbered)).alias("found"))
+    grouped = found.groupBy(*own).agg(F.sort_array(F.collect_list(numbered)).alias("found"))
     ids = F.concat(F.array(F.lit(BEGIN)), F.transform("found", lambda x: x["token_id"]),
                    F.array(F.lit(END)))
     input_ids, mask = pad(F.col("ids"), max_length)
-    return (grouped.select(id_col, ids.alias("ids"))
-                   .select(id_col, input_ids.alias("input_ids"), mask.alias("attention_mask")))
+    return (grouped.select(*own, ids.alias("ids"))
+                   .select(id_col, input_ids.alias("input_ids"), mask.alias("attention_mask"), *keep))
 
 
 def mask_length(text: Column, max_length: int = MAX_LENGTH) -> Column:

@@ -76,8 +76,9 @@ def as_percent(metrics: DataFrame, columns: Sequence[str] = (
         for c in columns})
 
 
-def class_report(predictions: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and support per class, then accuracy, macro and weighted averages.
+def class_report(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Precision, recall, F1 and support per class, then accuracy, macro and weighted averages,
+    for each group of ``by``.
 
     A zero denominator gives 0.
     """
@@ -90,9 +91,9 @@ def class_report(predictions: DataFrame) -> DataFrame:
         return F.struct(F.lit(name).alias("name"), precision.alias("precision"),
                         recall.alias("recall"), f1.alias("f1"), (hit + missed).alias("support"))
 
-    cells = predictions.agg(*_cells())
+    cells = predictions.groupBy(*by).agg(*_cells())
     classes = cells.select(
-        scores(CLASS_NAMES[0], tn, fn, fp).alias("a"),
+        *by, scores(CLASS_NAMES[0], tn, fn, fp).alias("a"),
         scores(CLASS_NAMES[1], tp, fp, fn).alias("b"),
         F.coalesce(_ratio(tn + tp, tn + tp + fn + fp), F.lit(0.0)).alias("accuracy"),
         (tn + tp + fn + fp).alias("n"))
@@ -110,4 +111,4 @@ def class_report(predictions: DataFrame) -> DataFrame:
     accuracy = F.struct(F.lit("accuracy").alias("name"), none.alias("precision"),
                         none.alias("recall"), F.col("accuracy").alias("f1"), n.alias("support"))
     rows = F.array(F.col("a"), F.col("b"), accuracy, macro, weighted)
-    return classes.select(F.explode(rows).alias("r")).select("r.*")
+    return classes.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, SQLTransformer
+from pyspark.ml.feature import IDF, CountVectorizerModel, NGram, Normalizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,26 +63,59 @@ def fit_classifier(train: DataFrame, features: str = "features", label: str = "l
         family="binomial").fit(weighted)
 
 
-def text_features(n_features: int = 1 << 12, n: int = 2) -> Pipeline:
-    """Estimator from ``tokens`` to ``features``: hashed counts of tokens and of runs of ``n``,
-    weighted by rarity and brought to length 1."""
-    return Pipeline(stages=[
-        NGram(inputCol="tokens", outputCol="grams", n=n),
-        SQLTransformer(statement="SELECT *, concat(tokens, grams) AS terms FROM __THIS__"),
-        HashingTF(inputCol="terms", outputCol="counts", numFeatures=n_features),
-        IDF(inputCol="counts", outputCol="rare"),
-        Normalizer(inputCol="rare", outputCol="features"),
-    ])
-
-
-def fit_text_classifier(train: DataFrame, text: str = "code", label: str = "label",
-                        n_features: int = 1 << 12, tol: float = 1e-4,
-                        **settings) -> PipelineModel:
-    """Text to two-class probabilities: tokens, hashed terms, rarity weights, linear model."""
-    tokens = with_tokens(train, text)
-    stages = text_features(n_features).fit(tokens)
-    terms = stages.transform(tokens).select(label, "features")
-    return PipelineModel(stages.stages + [fit_classifier(terms, label=label, tol=tol, **settings)])
+def hash_terms(df: DataFrame, keep: Sequence[str], text: str = "code", digits: int = 3,
+               n: int = 2) -> DataFrame:
+    """``keep`` columns plus ``counts``: how often tokens, and runs of ``n`` tokens, of each bucket occur.
+
+    A term belongs to the bucket named by the first ``digits`` hex digits of its md5. Short sparse rows
+    come out, so store them: learning and scoring then read and cut every text once.
+    """
+    buckets = [f"{i:0{digits}x}" for i in range(16 ** digits)]
+    hashed = (f"SELECT *, transform(concat(tokens, grams), t -> substring(md5(t), 1, {digits})) "
+              "AS buckets FROM __THIS__")
+    stages = (NGram(inputCol="tokens", outputCol="grams", n=n), SQLTransformer(statement=hashed),
+              CountVectorizerModel.from_vocabulary(buckets, inputCol="buckets", outputCol="counts"))
+    for stage in stages:
+        df = stage.transform(with_tokens(df, text) if stage is stages[0] else df)
+    return df.select(*keep, "counts")
+
+
+def stored_terms(df: DataFrame, keep: Sequence[str], text: str = "code") -> DataFrame:
+    """``hash_terms``, checkpointed in the shared folder."""
+    shared_dir(df.sparkSession)
+    return hash_terms(df, keep, text).checkpoint()
+
+
+def term_features() -> Pipeline:
+    """Estimator from ``counts`` to ``features``: weighted by rarity and brought to length 1."""
+    return Pipeline(stages=[IDF(inputCol="counts", outputCol="rare"),
+                            Normalizer(inputCol="rare", outputCol="features")])
+
+
+def fit_terms_classifier(train: DataFrame, label: str = "label", tol: float = 1e-4,
+                         **settings) -> PipelineModel:
+    """Counts of terms to two-class probabilities: rarity weights and a linear model."""
+    stages = term_features().fit(train)
+    features = stages.transform(train).select(label, "features")
+    return PipelineModel(stages.stages + [fit_classifier(features, label=label, tol=tol, **settings)])
+
+
+def objective_gradient(model: LogisticRegressionModel, train: DataFrame, features: str = "features",
+                       label: str = "label", c: float = 1.0) -> DataFrame:
+    """``dim, gradient`` of the objective of ``fit_classifier`` at the fitted weights; all 0 at its minimum.
+
+    The last dimension is the intercept, which has no penalty.
+    """
+    weights, intercept = [float(w) for w in model.coefficients], float(model.intercept)
+    x = F.concat(vector_to_array(features), F.array(F.lit(1.0)))
+    z = F.aggregate(F.zip_with(x, F.array(*[F.lit(w) for w in [*weights, intercept]]), lambda a, b: a * b),
+                    F.lit(0.0), lambda a, b: a + b)
+    error = F.col("weight") * (1 / (1 + F.exp(-F.col("z"))) - F.col(label))
+    rows = with_balanced_weights(train.select(label, features), label).withColumn("z", z)
+    summed = rows.select(F.posexplode(F.transform(x, lambda a: a * error)).alias("dim", "part"))
+    own = F.element_at(F.array(*[F.lit(w) for w in [*weights, 0.0]]), F.col("dim") + 1)
+    return summed.groupBy("dim").agg(F.sum("part").alias("loss")).select(
+        "dim", (c * F.col("loss") + own).alias("gradient"))
 
 
 def predict(model, df: DataFrame, keep: list[str]) -> DataFrame:

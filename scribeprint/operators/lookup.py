@@ -1,64 +1,22 @@
-"""Join of a large table with a per-key table, broadcast only after its size is known."""
+"""Join of a large table with a per-key table, nulls matching nulls."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scribeprint.session import shared_dir
 
-MAX_BROADCAST_ROWS = 100_000
-SALTS = 64
+def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str],
+                how: str = "inner") -> DataFrame:
+    """``big`` with the columns of ``small``, matched on ``on``.
 
-
-class Settled(NamedTuple):
-    """A computed table that is not computed again, whether it fits a broadcast, and
-    whether it is a single row."""
-
-    table: DataFrame
-    fits: bool
-    single: bool = False
-
-
-def settle(small: DataFrame) -> Settled:
-    """Compute a per-key table once. One short row more than the bound is read to learn
-    its size; a larger table is kept as a checkpoint in the shared folder."""
-    head = small.limit(MAX_BROADCAST_ROWS + 1).toArrow()
-    if head.num_rows <= MAX_BROADCAST_ROWS:
-        table = small.sparkSession.createDataFrame(head, small.schema)
-        return Settled(table, True, head.num_rows == 1)
-    shared_dir(small.sparkSession)
-    return Settled(small.checkpoint(), False)
-
-
-def lookup_join(big: DataFrame, small: DataFrame | Settled, on: Sequence[str],
-                spread_by: Column, how: str = "inner") -> DataFrame:
-    """``big`` with the columns of ``small``, matched on ``on`` (nulls match nulls).
-
-    A ``small`` within the bound is broadcast and ``big`` is not shuffled.
-    Beyond it both sides are shuffled on the key plus a salt taken from
-    ``spread_by``, so that one hot key is spread over ``SALTS`` tasks.
+    A plain equi-join without a hint: adaptive execution broadcasts a side that turns out small and
+    splits a key that turns out hot.
     """
-    table, fits, single = small if isinstance(small, Settled) else settle(small)
     renamed = {c: f"__{c}" for c in on}
-    table = table.withColumnsRenamed(renamed)
-    if single and how == "inner":
-        # One row needs no join: read it as a scalar. (A constant key would leave a join
-        # without an equality to hash on.)
-        matched = big.withColumn("__row", table.select(F.struct("*")).scalar())
-        for c in on:
-            matched = matched.filter(F.col(c).eqNullSafe(F.col("__row")[f"__{c}"]))
-        added = [c for c in table.columns if c not in renamed.values()]
-        return matched.select(*big.columns, *[F.col("__row")[c].alias(c) for c in added])
-    if fits:
-        return big.join(F.broadcast(table), same_keys(on), how).drop(*renamed.values())
-    copies = table.withColumn("__copy", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    salted = big.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
-    matched = salted.join(copies, same_keys(on) & (F.col("__salt") == F.col("__copy")), how)
-    return matched.drop(*renamed.values(), "__copy", "__salt")
+    return big.join(small.withColumnsRenamed(renamed), same_keys(on), how).drop(*renamed.values())
 
 
 def same_keys(on: Sequence[str]) -> Column:

@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scribeprint.operators.lookup import Settled, lookup_join, settle
+from scribeprint.operators.lookup import lookup_join
 
 ALL, NONE = "g", ""  # above and below every hex string
 
@@ -55,7 +55,8 @@ def with_cuts(df: DataFrame, running: DataFrame, strata: Sequence[str], cuts: Se
     strata, cuts = list(strata), list(cuts)
     points = _cut_points(df, running, strata, cuts, id_col, seed, purpose)
     keyed = df.withColumn("__h", hash_key(id_col, seed, purpose))
-    joined = lookup_join(keyed, points, strata, spread_by=F.col(id_col))
+    keyed = keyed.withColumn("__zero", _zero(F.col("__h")))
+    joined = lookup_join(keyed, points, [*strata, "__zero"]).drop("__zero")
     h, i = F.col("__h"), F.col(id_col)
     for cut in cuts:
         last = F.col(f"__{cut}")
@@ -73,19 +74,32 @@ def _cut_points(df: DataFrame, running: DataFrame, strata: list[str], cuts: list
     # or everything needs no bucket; it is kept once, with the first.
     trivial = (k <= 0) | (k >= F.col("n"))
     kept = F.when(trivial, before == 0).otherwise((upto >= k) & (before < k))
-    ends = settle(running.select("*", named.alias("w")).filter(kept).select(
+    ends = running.select("*", named.alias("w")).filter(kept).select(
         *strata, "w.cut", F.when(~trivial, F.col("bucket")).alias("bucket"),
-        (k - before).alias("need"), F.when(k > 0, F.lit(ALL)).otherwise(F.lit(NONE)).alias("all")))
+        (k - before).alias("need"), F.when(k > 0, F.lit(ALL)).otherwise(F.lit(NONE)).alias("all"))
 
     rows = df.select(*strata, F.col(id_col).alias("id"), hash_key(id_col, seed, purpose).alias("h"))
     rows = rows.withColumn("bucket", F.substring("h", 1, 4))
-    inside = Settled(ends.table.filter(F.col("bucket").isNotNull()).drop("all"), ends.fits)
-    in_end = lookup_join(rows, inside, [*strata, "bucket"], spread_by=F.col("id"))
+    inside = ends.filter(F.col("bucket").isNotNull()).drop("all")
+    in_end = lookup_join(rows, inside, [*strata, "bucket"])
     order = Window.partitionBy(*strata, "cut", "bucket").orderBy("h", "id")
+    # Rows of one id cannot be told apart, so a cut between them has no right place.
+    repeated = F.raise_error(F.concat(F.lit("repeated id: "), F.col("id").cast("string")))
     last = (in_end.withColumn("rank", F.row_number().over(order))
-                  .filter(F.col("rank") == F.col("need")).select(*strata, "cut", "h", "id"))
-    beyond = ends.table.filter(F.col("bucket").isNull()).select(
+                  .withColumn("next", F.lead("id").over(order))
+                  .filter(F.col("rank") == F.col("need"))
+                  .withColumn("id", F.when(F.col("next").eqNullSafe(F.col("id")) & F.col("id").isNotNull(),
+                                           repeated.cast(df.schema[id_col].dataType))
+                              .otherwise(F.col("id")))
+                  .select(*strata, "cut", "h", "id"))
+    beyond = ends.filter(F.col("bucket").isNull()).select(
         *strata, "cut", F.col("all").alias("h"),
         F.lit(None).cast(df.schema[id_col].dataType).alias("id"))
-    return last.unionByName(beyond).groupBy(*strata).agg(*[
+    points = last.unionByName(beyond).groupBy(*strata).agg(*[
         F.max(F.when(F.col("cut") == c, F.struct("h", "id"))).alias(f"__{c}") for c in cuts])
+    return points.withColumn("__zero", _zero(F.col(f"__{cuts[0]}.h")))
+
+
+def _zero(text: Column) -> Column:
+    """0, worked out from a row: strata of a single constant value would leave no equality to join on."""
+    return F.pmod(F.length(text), F.lit(1))

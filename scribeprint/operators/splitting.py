@@ -59,8 +59,9 @@ def label_quotas(counts: DataFrame, strata: Sequence[str], label: str = "label",
     size = F.col(cap) if capped else F.lit(cap).cast("bigint")
     shares = (per_label.withColumn("n", F.sum("n_label").over(whole))
                        .withColumn("size", F.least(F.coalesce(size, F.col("n")), F.col("n")))
-                       # whole numbers only, so the shares are exact
-                       .withColumn("product", F.col("size") * F.col("n_label"))
+                       # whole numbers only, so the shares are exact, and wide enough for any two counts
+                       .withColumn("product", F.col("size").cast("decimal(19,0)")
+                                   * F.col("n_label").cast("decimal(19,0)"))
                        .withColumn("floor", F.expr("product div n"))
                        .withColumn("rest", F.col("product") % F.col("n"))
                        .withColumn("left", F.col("size") - F.sum("floor").over(whole)))

@@ -28,9 +28,10 @@ _OPEN, _CLOSE, _LEAF = "open", "close", "leaf"
 
 def nodes_from_markup(pages: DataFrame, id_col: str = "sample_id", text: str = "code") -> DataFrame:
     """Node table of the tags of HTML or XML, under a root of type ``document``."""
-    return nodes_from_tokens(pages.filter(F.col(text).isNotNull()).select(
-        F.col(id_col).alias("sample_id"), F.lit("document").alias("root"),
-        markup_tokens(F.col(text)).alias("tokens")))
+    texts = pages.filter(F.col(text).isNotNull()).select(
+        F.col(id_col).alias("sample_id"), F.col(text).alias("code")).repartition("sample_id")
+    return nodes_from_tokens(texts.select(
+        "sample_id", F.lit("document").alias("root"), markup_tokens(F.col("code")).alias("tokens")))
 
 
 def nodes_from_code(samples: DataFrame, policy: str = "fail",
@@ -40,9 +41,10 @@ def nodes_from_code(samples: DataFrame, policy: str = "fail",
     ``samples`` has ``sample_id``, ``code`` and ``language``. An unsupported
     language stops the job (``fail``), or its rows are left out (``drop``).
     """
-    samples = samples.filter(F.col("code").isNotNull())
+    samples = samples.filter(F.col("code").isNotNull()).select("sample_id", "language", "code")
     if policy == "drop":
         samples = samples.filter(F.col("language").isin(*languages))
+    samples = samples.repartition("sample_id")
     tokens = by_language(F.col("language"), {
         name: code_tokens(F.col("code"), name) for name in languages}, f"array<{TOKEN}>")
     root = by_language(F.col("language"), {n: F.lit(ROOTS[n]) for n in languages}, "string")
@@ -54,7 +56,11 @@ def nodes_from_tokens(tokenised: DataFrame) -> DataFrame:
     """Node table of token arrays (``sample_id``, ``root``, ``tokens``; see functions.tokens).
 
     A close ends the innermost open node. A close with no open node is dropped,
-    and nodes still open at the end of the text end there.
+    and nodes still open at the end of the text end there. Two token arrays of
+    one ``sample_id`` stop the job.
+
+    The input should be laid out by ``sample_id`` before it is tokenised: then texts are what is
+    exchanged, and every window below keeps that layout.
     """
     # Levels still open at the end get a close of their own, so that every open has one.
     def walk(acc: Column, t: Column) -> Column:
@@ -66,10 +72,8 @@ def nodes_from_tokens(tokenised: DataFrame) -> DataFrame:
                     F.col("root").alias("type"), F.lit(0).alias("n_bytes"))
     end = F.struct(F.lit(-1).alias("step"), F.lit(False).alias("is_node"),
                    none.alias("type"), F.lit(0).alias("n_bytes"))
-    # One exchange, of the compact arrays; every window below keeps this layout.
-    laid_out = tokenised.select("sample_id", "root", "tokens").repartition("sample_id")
     whole = F.concat(F.array(root), F.col("tokens"), F.array_repeat(end, still_open + 1))
-    rows = (laid_out.select("sample_id", whole.alias("tokens"))
+    rows = (tokenised.select("sample_id", whole.alias("tokens"))
                     .select("sample_id", F.size("tokens").alias("n"),
                             # the outer form: Spark derives no filter from it that would
                             # tokenise every text a second time
@@ -80,7 +84,10 @@ def nodes_from_tokens(tokenised: DataFrame) -> DataFrame:
     so_far = reading.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = reading.rowsBetween(Window.unboundedPreceding, -1)
     is_root, is_last = F.col("pos") == 0, F.col("pos") == F.col("n") - 1
-    rows = (rows.withColumn("sum", F.sum("step").over(so_far))
+    twice = F.raise_error(F.concat(F.lit("two texts have the id "), F.col("sample_id").cast("string")))
+    rows = (rows.withColumn("step", F.when(F.sum(is_root.cast("int")).over(so_far) > 1, twice.cast("int"))
+                            .otherwise(F.col("step")))
+                .withColumn("sum", F.sum("step").over(so_far))
                 .withColumn("seen", F.sum(F.col("is_node").cast("int")).over(so_far))
                 .withColumn("to_byte", F.sum("n_bytes").over(so_far))
                 # The level never sinks below 0: take off what stray closes took from the sum.
@@ -149,15 +156,15 @@ def node_text(nodes: DataFrame, samples: DataFrame) -> DataFrame:
     """The text of every node: the bytes from ``start_byte`` to ``end_byte`` (exclusive).
 
     Nodes are gathered to one row per sample before the join, so the text of a
-    sample is moved and encoded once and not once per node.
+    sample is moved and encoded once and not once per node. They are opened
+    again before the bytes are cut, so the texts of all nodes are never held at once.
     """
     spans = nodes.groupBy("sample_id").agg(
         F.collect_list(F.struct("node_id", "start_byte", "end_byte")).alias("spans"))
     joined = spans.join(_bytes_of(samples), F.col("sample_id") == F.col("__id"))
-    texts = F.transform("spans", lambda s: F.struct(
-        s["node_id"].alias("node_id"),
-        _slice(F.col("__bytes"), s["start_byte"], s["end_byte"]).alias("text")))
-    return joined.select("sample_id", F.explode_outer(texts).alias("t")).select("sample_id", "t.*")
+    opened = joined.select("sample_id", "__bytes", F.explode_outer("spans").alias("s"))
+    return opened.select("sample_id", "s.node_id", _slice(
+        F.col("__bytes"), F.col("s.start_byte"), F.col("s.end_byte")).alias("text"))
 
 
 def serialise_tree(nodes: DataFrame) -> DataFrame:

@@ -5,18 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import (IDF, CountVectorizerModel, Normalizer, SQLTransformer,
-                                VectorAssembler)
+from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer, SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scribeprint.functions.structure import FEATURES
+from scribeprint.functions.structure import FEATURES, feature_array
 from scribeprint.operators.encoding import text_tokens
 
-EMBEDDING_TOKENS = 1024
-
 
 def as_vector(array: Column) -> Column:
     return array_to_vector(array.cast("array<double>"))
@@ -68,10 +65,9 @@ def text_embedder(digits: int = 2) -> Pipeline:
     ])
 
 
-def with_tokens(df: DataFrame, text: str = "code",
-                max_tokens: int = EMBEDDING_TOKENS) -> DataFrame:
-    """``df`` plus ``tokens``: those that a model input of ``max_tokens`` can hold."""
-    return df.withColumn("tokens", F.slice(text_tokens(F.col(text)), 1, max_tokens - 2))
+def with_tokens(df: DataFrame, text: str = "code") -> DataFrame:
+    """``df`` plus ``tokens``, all of the text's: vectors by hash have one size for any length."""
+    return df.withColumn("tokens", text_tokens(F.col(text)))
 
 
 def embed_text(df: DataFrame, fitted, keep: Sequence[str]) -> DataFrame:
@@ -81,7 +77,6 @@ def embed_text(df: DataFrame, fitted, keep: Sequence[str]) -> DataFrame:
 
 def assemble(df: DataFrame, embedding: str = "embedding",
              features: Sequence[str] = FEATURES) -> DataFrame:
-    """``df`` plus the vector ``features``: the embedding, then the named columns."""
-    assembler = VectorAssembler(inputCols=["__embedding", *features], outputCol="features")
-    with_vector = df.withColumn("__embedding", as_vector(F.col(embedding)))
-    return assembler.transform(with_vector).drop("__embedding")
+    """``df`` plus the array ``features``: the embedding, then the named columns, as floats."""
+    return df.withColumn("features", F.concat(F.col(embedding).cast("array<float>"),
+                                              feature_array(features)))

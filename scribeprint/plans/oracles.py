@@ -7,13 +7,58 @@ trees are found by interval joins.
 
 from __future__ import annotations
 
-from scribeprint.functions.structure import FEATURES, LITERAL_NAMES, NODE_GROUPS, STYLE_NAMES
-from scribeprint.functions.tokens import KEYWORDS, MARKUP, VOID_TAGS
-from scribeprint.operators.encoding import TOKEN_PATTERN
 from scribeprint.plans.queries import (CHAT_LENGTH, DATASET_CAP, DATASETS, DISPATCH,
                                        DOCUMENT_LENGTH, NODE_WORDS, REPETITION_CUT, SPLIT_CONFIG,
-                                       VOCABULARY_SIZE)
-
+                                       TREE_LENGTH, VOCABULARY_SIZE)
+
+# Fixed values, written out here so that a name lost from the package is noticed.
+FEATURES = ("max_depth", "control_flow", "functions", "classes", "assignments", "imports",
+            "data_structures", "n_chars", "open_parens", "spaces", "branching", "identifiers",
+            "strings", "integers", "floats", "booleans", "nested_ifs", "nested_loops",
+            "comments", "passes", "returns", "parameter_lists", "repetition")
+NODE_GROUPS = {
+    "control_flow": ("if_statement", "for_statement", "while_statement", "switch_statement",
+                     "try_statement", "catch_clause", "except_clause", "finally_clause"),
+    "functions": ("function_definition", "method_declaration", "method_invocation", "call",
+                  "lambda", "constructor_declaration"),
+    "classes": ("class_definition", "class_declaration", "interface_declaration",
+                "field_declaration", "variable_declarator"),
+    "assignments": ("assignment", "assignment_expression", "expression_statement",
+                    "binary_expression", "unary_expression"),
+    "imports": ("import_statement", "import_from_statement", "import_declaration"),
+    "data_structures": ("list", "dictionary", "array_creation_expression", "array_access",
+                        "list_comprehension", "dictionary_comprehension", "set_comprehension"),
+}
+LITERAL_NAMES = {
+    "identifiers": ("identifier",),
+    "strings": ("string",),
+    "integers": ("integer",),
+    "floats": ("float",),
+    "booleans": ("true", "false"),
+}
+STYLE_NAMES = {
+    "comments": ("comment",),
+    "passes": ("pass_statement",),
+    "returns": ("return_statement",),
+    "parameter_lists": ("parameter_list",),
+}
+VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
+             "source", "track", "wbr")
+KEYWORDS = {
+    "python": ("False", "None", "True", "and", "as", "assert", "async", "await", "break",
+               "class", "continue", "def", "del", "elif", "else", "except", "finally", "for",
+               "from", "global", "if", "import", "in", "is", "lambda", "nonlocal", "not", "or",
+               "pass", "raise", "return", "try", "while", "with", "yield"),
+    "java": ("abstract", "assert", "boolean", "break", "byte", "case", "catch", "char", "class",
+             "const", "continue", "default", "do", "double", "else", "enum", "extends", "false",
+             "final", "finally", "float", "for", "goto", "if", "implements", "import",
+             "instanceof", "int", "interface", "long", "native", "new", "null", "package",
+             "private", "protected", "public", "return", "short", "static", "strictfp", "super",
+             "switch", "synchronized", "this", "throw", "throws", "transient", "true", "try",
+             "void", "volatile", "while"),
+}
+MARKUP = r"(?s)<!--.*?-->|<[^>]*>|[^<]+|<"
+TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
 # The characters between words, spelled out.
 WHITESPACE = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -60,19 +105,19 @@ levelled AS (
   SELECT *, s - least(0, min(s) OVER (PARTITION BY sample_id ORDER BY pos)) AS lvl FROM summed),
 stepped AS (
   SELECT *, coalesce(lag(lvl) OVER (PARTITION BY sample_id ORDER BY pos), 0) AS prev FROM levelled),
-ends AS (SELECT sample_id, max(pos) + 1 AS last_pos, max(to_byte) AS n_bytes,
-                string_agg(txt, '' ORDER BY pos) AS all_txt FROM tok JOIN summed
-                USING (sample_id, pos, txt) GROUP BY sample_id),
-opens AS (SELECT sample_id, pos, type, to_byte - strlen(txt) AS start_byte, lvl AS depth
-          FROM stepped WHERE step = 1),
-closes AS (SELECT sample_id, pos, to_byte, prev AS depth FROM stepped WHERE step = -1 AND prev > 0),
+ends AS (SELECT sample_id, max(pos) + 1 AS last_pos, max(to_byte) AS n_bytes FROM summed
+         GROUP BY sample_id),
+turns AS (
+  SELECT sample_id, pos, type, to_byte - strlen(txt) AS start_byte, to_byte, step,
+         CASE WHEN step = 1 THEN lvl ELSE prev END AS depth
+  FROM stepped WHERE step = 1 OR (step = -1 AND prev > 0)),
+nexts AS (
+  SELECT *, lead(pos) OVER w AS next_pos, lead(to_byte) OVER w AS next_byte FROM turns
+  WINDOW w AS (PARTITION BY sample_id, depth ORDER BY pos)),
 closed AS (
-  SELECT o.sample_id, o.pos, o.type, o.start_byte, o.depth,
-         coalesce(min(c.pos), any_value(e.last_pos)) AS close_pos,
-         coalesce(min(c.to_byte), any_value(e.n_bytes)) AS end_byte
-  FROM opens o JOIN ends e USING (sample_id) LEFT JOIN closes c
-       ON c.sample_id = o.sample_id AND c.depth = o.depth AND c.pos > o.pos
-  GROUP BY ALL),
+  SELECT sample_id, pos, type, start_byte, depth, coalesce(next_pos, last_pos) AS close_pos,
+         coalesce(next_byte, n_bytes) AS end_byte
+  FROM nexts JOIN ends USING (sample_id) WHERE step = 1),
 placed AS (
   SELECT sample_id, pos, type, start_byte, depth, close_pos, end_byte FROM closed
   UNION ALL
@@ -84,10 +129,13 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY pos) - 1 AS pre,
          row_number() OVER (PARTITION BY sample_id ORDER BY close_pos, depth DESC) - 1 AS post
   FROM placed),
-kids AS (
-  SELECT p.sample_id, p.pre, count(*) AS n FROM ranked p JOIN ranked c
-    ON c.sample_id = p.sample_id AND c.depth = p.depth + 1 AND c.pre > p.pre AND c.post < p.post
-  GROUP BY ALL),
+families AS (
+  SELECT sample_id, depth AS lvl, pre, pre AS own FROM ranked
+  UNION ALL SELECT sample_id, depth - 1, pre, NULL FROM ranked WHERE depth > 0),
+parents AS (
+  SELECT sample_id, own, last_value(own IGNORE NULLS) OVER (PARTITION BY sample_id, lvl ORDER BY pre
+         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pre FROM families),
+kids AS (SELECT sample_id, pre, count(*) AS n FROM parents WHERE own IS NULL GROUP BY ALL),
 nodes AS (
   SELECT r.sample_id, r.pre::INT AS node_id, r.pre::INT AS pre, r.post::INT AS post,
          r.depth::INT AS depth, coalesce(k.n, 0)::INT AS n_children, r.type,
@@ -110,28 +158,41 @@ tok AS (
 MARKUP_NODES = f"WITH {MARKUP_TOKENS}, {NODES.replace('@ROOT@', 'document')}"
 
 _QUOTED = r'"[^"\\\n]*(?:\\.[^"\\\n]*)*"|' + r"'[^'\\\n]*(?:\\.[^'\\\n]*)*'"
-_PYTHON = (r'(?s)#[^\n]*|""".*?"""|' + r"'''.*?'''|" + _QUOTED
-           + r"|\p{N}[\p{L}\p{N}_.]*|[\p{L}_$][\p{L}\p{N}_$]*|\s+|.")
+_REST = _QUOTED + r"|\p{N}[\p{L}\p{N}_.]*|[\p{L}_$][\p{L}\p{N}_$]*|\s+|."
+_CODE = {"python": r'(?s)#[^\n]*|""".*?"""|' + r"'''.*?'''|" + _REST,
+         "java": r"(?s)//[^\n]*|/\*.*?\*/|" + _REST}
+
+
+def code_tokens(language: str, remainder: int) -> str:
+    """Pieces of the documents in one language; the language changes with the id."""
+    return f"""SELECT doc_id::VARCHAR AS sample_id, '{language}' AS language,
+         regexp_extract_all({node_words('text')}, {quoted(_CODE[language])}) AS t
+  FROM documents WHERE doc_id % 2 = {remainder}"""
+
+
 CODE_NODES = f"""WITH raw AS (
-  SELECT doc_id::VARCHAR AS sample_id, regexp_extract_all(text, {quoted(_PYTHON)}) AS t
-  FROM documents),
-pieces AS (SELECT sample_id, unnest(t) AS txt, generate_subscripts(t, 1) AS spot FROM raw),
+  {code_tokens('python', 0)}
+  UNION ALL
+  {code_tokens('java', 1)}),
+pieces AS (SELECT sample_id, language, unnest(t) AS txt, generate_subscripts(t, 1) AS spot FROM raw),
 tok AS (
   SELECT sample_id, 2 * spot AS pos, txt, 0 AS step, NOT regexp_matches(txt, '^\\s') AS is_node,
     CASE WHEN regexp_matches(txt, '^\\s') THEN NULL
-         WHEN txt LIKE '#_%' THEN 'comment'
+         WHEN language = 'python' AND txt LIKE '#_%' THEN 'comment'
+         WHEN language = 'java' AND (txt LIKE '//%' OR txt LIKE '/*%') THEN 'comment'
          WHEN txt LIKE '"%' OR txt LIKE '''%' THEN 'string'
          WHEN regexp_matches(txt, '^[0-9]+$') THEN 'integer'
          WHEN regexp_matches(txt, '^\\p{{N}}') THEN 'float'
-         WHEN regexp_matches(txt, '^[\\p{{L}}_$]') AND txt NOT IN ({listed(KEYWORDS["python"])})
-           THEN 'identifier' ELSE txt END AS type FROM pieces
+         WHEN regexp_matches(txt, '^[\\p{{L}}_$]') AND NOT CASE language
+              WHEN 'python' THEN txt IN ({listed(KEYWORDS["python"])})
+              ELSE txt IN ({listed(KEYWORDS["java"])}) END THEN 'identifier'
+         ELSE txt END AS type FROM pieces
   UNION ALL
   SELECT sample_id, 2 * spot - 1, '', 1, true, CASE txt WHEN '(' THEN 'parenthesized'
          WHEN '[' THEN 'bracketed' ELSE 'block' END FROM pieces WHERE txt IN ('(', '[', '{{')
   UNION ALL
   SELECT sample_id, 2 * spot + 1, '', -1, false, NULL FROM pieces WHERE txt IN (')', ']', '}}')),
-{NODES.replace('@ROOT@', 'module')}
-SELECT * FROM nodes"""
+{NODES.replace("'@ROOT@'", "CASE sample_id::BIGINT % 2 WHEN 0 THEN 'module' ELSE 'program' END")}"""
 
 # Every node opens before what follows it and closes after all that is below it.
 TREE_EVENTS = """events AS (
@@ -140,6 +201,49 @@ TREE_EVENTS = """events AS (
   UNION ALL
   SELECT sample_id, 2 * post + depth + 1, ')' FROM nodes WHERE n_children > 0)"""
 
+
+
+def token_events(texts: str, atomic: str) -> str:
+    """Marks and texts of the nodes that no atomic node covers, from ``texts`` (sample_id, code)."""
+    return f"""marked AS (
+  SELECT *, n_children = 0 OR type IN ({atomic}) AS atomic FROM nodes),
+shown AS (
+  SELECT * FROM (
+    SELECT *, max(CASE WHEN atomic THEN post + depth END) OVER (PARTITION BY sample_id ORDER BY pre
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS covered FROM marked)
+  WHERE covered IS NULL OR pre > covered),
+originals AS ({texts}),
+events AS (
+  SELECT sample_id, 2 * pre - depth AS spot, CASE WHEN atomic
+         THEN decode(array_slice(encode(code), start_byte + 1, end_byte)) ELSE type || '::left' END AS txt
+  FROM shown JOIN originals USING (sample_id)
+  UNION ALL
+  SELECT sample_id, 2 * post + depth + 1, type || '::right' FROM shown WHERE NOT atomic)
+SELECT sample_id, string_agg(txt, ' ' ORDER BY spot) AS tree FROM events GROUP BY sample_id"""
+
+
+def encode_sql(texts: str, length: int, kept: str = "") -> str:
+    """Ids and masks of ``texts`` (sample_id, code, kept columns)."""
+    return f"""coded AS ({texts}),
+t AS (SELECT sample_id{kept}, regexp_extract_all(code, {quoted(TOKEN_PATTERN)}) AS t FROM coded),
+vocabulary AS (
+  SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) + 3 AS token_id
+  FROM (SELECT unnest(t) AS token FROM t) GROUP BY token
+  ORDER BY count(*) DESC, token LIMIT {VOCABULARY_SIZE}),
+spread AS (SELECT sample_id, unnest(t) AS token, generate_subscripts(t, 1) AS spot FROM t),
+ids AS (
+  SELECT sample_id, list(coalesce(token_id, 3) ORDER BY spot) AS ids
+  FROM spread LEFT JOIN vocabulary USING (token) WHERE spot <= {length - 2}
+  GROUP BY sample_id),
+bare AS (SELECT sample_id{kept}, coalesce(ids, []) AS ids FROM t LEFT JOIN ids USING (sample_id))
+SELECT sample_id,
+       array_to_string([0] || ids || [2] || list_transform(range({length - 2} - len(ids)),
+                       lambda x: 1), ' ') AS input_ids,
+       array_to_string(list_transform(range({length}), lambda x:
+                       CASE WHEN x < len(ids) + 2 THEN 1 ELSE 0 END), ' ') AS attention_mask{kept}
+FROM bare"""
+
+
 # --- ranks ---------------------------------------------------------------------------------
 
 
@@ -190,11 +294,9 @@ _SPLIT = split_sql("samples", "dataset", "0.1", "0.1", "sample_id, dataset, code
 _COUNTED = {
     **{name: count_all("s", needles) for name, needles in NODE_GROUPS.items()},
     "n_chars": "length(s)::INT", "open_parens": count_all("s", "("), "spaces": count_all("s", " "),
-    "branching": f"round(coalesce({count_of('s', ' ')}::DOUBLE / nullif({count_of('s', '(')}, 0)"
-                 ", 0), 6)",
+    "branching": f"coalesce({count_of('s', ' ')}::DOUBLE / nullif({count_of('s', '(')}, 0), 0)",
     **{name: count_all("s", needles) for name, needles in {**LITERAL_NAMES, **STYLE_NAMES}.items()},
-    "repetition": "CASE WHEN len(w) = 0 THEN 0.0 ELSE round(len(w)::DOUBLE / len(list_distinct(w)),"
-                  " 6) END",
+    "repetition": "CASE WHEN len(w) = 0 THEN 0.0::DOUBLE ELSE len(w)::DOUBLE / len(list_distinct(w)) END",
     "max_depth": "coalesce(d.max_depth, 0)::INT",
     "nested_ifs": "coalesce(c.nested_ifs, 0)::INT", "nested_loops": "coalesce(c.nested_loops, 0)::INT",
 }
@@ -242,6 +344,34 @@ RATES = """round((tp + tn)::DOUBLE / nullif(tp + tn + fp + fn, 0), 6) AS accurac
        round(tp::DOUBLE / nullif(tp + fn, 0), 6) AS recall,
        round(fp::DOUBLE / nullif(fp + tn, 0), 6) AS false_positive_rate,
        round(fn::DOUBLE / nullif(fn + tp, 0), 6) AS false_negative_rate"""
+EXACT_RATES = RATES.replace("round(", "(").replace(", 6)", ")")
+
+
+def report_sql(by: str = "") -> str:
+    """The class report, for each group of the columns in ``by`` (with a comma after each)."""
+    return f"""WITH {PREDICTIONS},
+spine AS (SELECT unnest([0, 1]) AS class),
+counted AS (
+  SELECT {by}class, count(*) FILTER (y_true = class AND y_pred = class)::DOUBLE AS hit,
+         count(*) FILTER (y_pred = class) AS said, count(*) FILTER (y_true = class) AS support
+  FROM spine, predictions GROUP BY {by}class),
+scored AS (
+  SELECT {by}class, coalesce(hit / nullif(said, 0), 0) AS p, coalesce(hit / nullif(support, 0), 0) AS r,
+         coalesce(2 * hit / nullif(said + support, 0), 0) AS f, support, hit FROM counted),
+sums AS (
+  SELECT {by}sum(hit) / sum(support) AS right_share, avg(p) AS mp, avg(r) AS mr, avg(f) AS mf,
+         sum(p * support) / sum(support) AS wp, sum(r * support) / sum(support) AS wr,
+         sum(f * support) / sum(support) AS wf, sum(support) AS n
+  FROM scored {'GROUP BY ' + by.rstrip(', ') if by else ''}),
+report AS (
+  SELECT {by}CASE class WHEN 0 THEN 'Human' ELSE 'AI' END AS name, p, r, f, support FROM scored
+  UNION ALL SELECT {by}'accuracy', NULL, NULL, right_share, n FROM sums
+  UNION ALL SELECT {by}'macro avg', mp, mr, mf, n FROM sums
+  UNION ALL SELECT {by}'weighted avg', wp, wr, wf, n FROM sums)
+SELECT {by}name, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1,
+       support::BIGINT AS support FROM report"""
+
+
 LOG = """log AS (
   SELECT event_id AS seq, user_id::DOUBLE AS epoch,
          CASE WHEN event_type IN ('click', 'signup') THEN value END AS loss,
@@ -264,7 +394,7 @@ UNION ALL SELECT 'pages/html/unknown/' || page_id, 'pages', 'html', 'unknown', l
 FROM pages""",
     "csv_scan": "SELECT text AS code, (role = 'assistant')::INT AS label FROM conversations",
     "jsonl_scan": """
-SELECT conv_id || ':' || turn AS sample_id, text AS code,
+SELECT text AS code,
        CASE role WHEN 'assistant' THEN 1 WHEN 'user' THEN 0 END AS label,
        CASE WHEN role NOT IN ('assistant', 'user') THEN 'label not known: none' END AS reject
 FROM conversations""",
@@ -326,7 +456,7 @@ SELECT CASE WHEN grouping(dataset) = 1 THEN 'Total' ELSE dataset END AS dataset,
        count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test
 FROM split_rows GROUP BY GROUPING SETS ((dataset, language, ai), ())""",
     "nodes_from_markup": f"{MARKUP_NODES} SELECT * FROM nodes",
-    "nodes_from_code": CODE_NODES,
+    "nodes_from_code": f"{CODE_NODES} SELECT * FROM nodes",
     "node_types": f"""{MARKUP_NODES}
 SELECT sample_id, string_agg(type, ',' ORDER BY pre) AS types FROM nodes GROUP BY sample_id""",
     # The texts of the tokens from the opening of a node to its end, put together again.
@@ -337,32 +467,22 @@ FROM ranked r LEFT JOIN tok t ON t.sample_id = r.sample_id AND t.pos BETWEEN r.p
 GROUP BY r.sample_id, r.pre""",
     "serialise_tree": f"""{MARKUP_NODES}, {TREE_EVENTS}
 SELECT sample_id, string_agg(txt, '' ORDER BY spot) AS tree FROM events GROUP BY sample_id""",
-    "serialise_tokens": f"""{MARKUP_NODES},
-texts AS (
-  SELECT r.sample_id, r.pre::INT AS pre, coalesce(string_agg(t.txt, '' ORDER BY t.pos), '') AS txt
-  FROM ranked r LEFT JOIN tok t
-    ON t.sample_id = r.sample_id AND t.pos BETWEEN r.pos AND r.close_pos
-  GROUP BY r.sample_id, r.pre),
-marked AS (
-  SELECT *, n_children = 0 OR type IN ('identifier', 'string_literal', 'number_literal', 'li',
-         'title') AS atomic FROM nodes),
-shown AS (
-  SELECT * FROM marked m WHERE NOT EXISTS (
-    SELECT 1 FROM marked a WHERE a.atomic AND a.sample_id = m.sample_id
-       AND a.pre < m.pre AND a.post > m.post)),
-events AS (
-  SELECT sample_id, 2 * pre - depth AS spot, CASE WHEN atomic THEN txt ELSE type || '::left' END AS txt
-  FROM shown JOIN texts USING (sample_id, pre)
-  UNION ALL
-  SELECT sample_id, 2 * post + depth + 1, type || '::right' FROM shown WHERE NOT atomic)
-SELECT sample_id, string_agg(txt, ' ' ORDER BY spot) AS tree FROM events GROUP BY sample_id""",
+    "serialise_tokens": MARKUP_NODES + ", " + token_events(
+        "SELECT page_id::VARCHAR AS sample_id, html AS code FROM pages",
+        "'identifier', 'string_literal', 'number_literal', 'li', 'title'"),
+    "serialise_code": f"""{CODE_NODES}, {TREE_EVENTS}
+SELECT sample_id, string_agg(txt, '' ORDER BY spot) AS tree FROM events GROUP BY sample_id""",
+    "serialise_code_tokens": CODE_NODES + ", " + token_events(
+        f"SELECT doc_id::VARCHAR AS sample_id, {node_words('text')} AS code FROM documents",
+        "'identifier', 'string_literal', 'number_literal'"),
     "tree_stats": f"""{MARKUP_NODES}
 SELECT sample_id, count(*) AS n_nodes, count(*) FILTER (n_children = 0) AS n_leaves,
        max(depth) AS max_depth, count(*) FILTER (type = 'a') AS n_links,
        count(*) FILTER (type IN ('p', 'div', 'article')) AS n_blocks,
        count(*) FILTER (type = 'text') AS n_texts FROM nodes GROUP BY sample_id""",
     "structural_features": f"""WITH {FEATURE_CTES}
-SELECT doc_id::VARCHAR AS sample_id, {', '.join(FEATURES)} FROM features""",
+SELECT doc_id::VARCHAR AS sample_id, {', '.join(f'round({f}, 6) AS {f}' if f in ('branching', 'repetition')
+                                                else f for f in FEATURES)} FROM features""",
     "nested_control": f"""WITH {FEATURE_CTES}
 SELECT doc_id::VARCHAR AS sample_id, nested_ifs, nested_loops FROM features""",
     "repetition_ratio": f"""
@@ -371,26 +491,14 @@ SELECT doc_id::VARCHAR AS sample_id, CASE WHEN len(w) = 0 THEN 0.0
 FROM (SELECT doc_id, {words('text')} AS w FROM documents)""",
     "build_vocabulary": f"""
 SELECT token, (row_number() OVER (ORDER BY count(*) DESC, token) + 3)::INT AS token_id
-FROM (SELECT unnest({_TOKENS}) AS token FROM documents) WHERE length(token) <= 256
+FROM (SELECT unnest({_TOKENS}) AS token FROM documents)
 GROUP BY token ORDER BY count(*) DESC, token LIMIT 5000""",
-    "encode_tokens": f"""
-WITH t AS (SELECT conv_id || ':' || turn AS sample_id, {_TOKENS} AS t FROM conversations),
-vocabulary AS (
-  SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) + 3 AS token_id
-  FROM (SELECT unnest(t) AS token FROM t) WHERE length(token) <= 256 GROUP BY token
-  ORDER BY count(*) DESC, token LIMIT {VOCABULARY_SIZE}),
-opened AS (SELECT sample_id, unnest(t) AS token, generate_subscripts(t, 1) AS spot FROM t),
-ids AS (
-  SELECT sample_id, list(coalesce(token_id, 3) ORDER BY spot) AS ids
-  FROM opened LEFT JOIN vocabulary USING (token) WHERE spot <= {CHAT_LENGTH - 2}
-  GROUP BY sample_id),
-bare AS (SELECT sample_id, coalesce(ids, []) AS ids FROM t LEFT JOIN ids USING (sample_id))
-SELECT sample_id,
-       array_to_string([0] || ids || [2] || list_transform(range({CHAT_LENGTH - 2} - len(ids)),
-                       lambda x: 1), ' ') AS input_ids,
-       array_to_string(list_transform(range({CHAT_LENGTH}), lambda x:
-                       CASE WHEN x < len(ids) + 2 THEN 1 ELSE 0 END), ' ') AS attention_mask
-FROM bare""",
+    "encode_tokens": "WITH " + encode_sql(
+        "SELECT conv_id || ':' || turn AS sample_id, text AS code, (role = 'assistant')::INT AS label "
+        "FROM conversations", CHAT_LENGTH, ", label"),
+    "encode_tree": f"{MARKUP_NODES}, {TREE_EVENTS}, " + encode_sql(
+        "SELECT sample_id, string_agg(txt, '' ORDER BY spot) AS code FROM events GROUP BY sample_id",
+        TREE_LENGTH),
     "truncated_count": f"""WITH {SAMPLES}, {_SPLIT}
 SELECT split, count(*) AS n, count(*) FILTER (
   len(regexp_extract_all(code, {quoted(TOKEN_PATTERN)})) + 2 >= {DOCUMENT_LENGTH}) AS truncated
@@ -400,20 +508,38 @@ SELECT label, (dim - 1)::INT AS dim, round(avg(x::DOUBLE), 6) AS mean FROM (
   SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings)
 GROUP BY label, dim""",
     "embed_text": f"""
-WITH t AS (SELECT doc_id, list_slice({_TOKENS}, 1, 1022) AS t FROM documents),
+WITH t AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
 counted AS (
   SELECT doc_id, ('0x' || md5(token)[1:2])::INT AS dim, count(*) AS c
   FROM (SELECT doc_id, unnest(t) AS token FROM t) GROUP BY ALL),
 rarity AS (
   SELECT dim, ln(((SELECT count(*) FROM t) + 1)::DOUBLE / (count(*) + 1)) AS idf
-  FROM counted GROUP BY dim)
-SELECT doc_id::VARCHAR AS sample_id, dim, round(c * idf / len(t), 6) AS value
-FROM counted JOIN rarity USING (dim) JOIN t USING (doc_id) WHERE idf > 0""",
+  FROM counted GROUP BY dim),
+valued AS (SELECT doc_id, dim, round(c * idf / len(t), 6) AS value
+           FROM counted JOIN rarity USING (dim) JOIN t USING (doc_id) WHERE idf > 0)
+SELECT doc_id::VARCHAR AS sample_id, dim, value FROM t LEFT JOIN valued USING (doc_id)""",
+    "text_terms": f"""
+WITH t AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
+terms AS (
+  SELECT doc_id, unnest(t) AS term FROM t
+  UNION ALL
+  SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM t),
+counted AS (
+  SELECT doc_id, ('0x' || md5(term)[1:3])::INT AS dim, count(*) AS c FROM terms GROUP BY ALL),
+rarity AS (
+  SELECT dim, ln(((SELECT count(*) FROM t) + 1)::DOUBLE / (count(*) + 1)) AS idf
+  FROM counted GROUP BY dim),
+rare AS (SELECT doc_id, dim, c * idf AS v FROM counted JOIN rarity USING (dim) WHERE idf > 0),
+sizes AS (SELECT doc_id, sqrt(sum(v * v)) AS size FROM rare GROUP BY doc_id)
+SELECT doc_id::VARCHAR AS sample_id, dim, round(v / size, 6) AS value
+FROM t LEFT JOIN (rare JOIN sizes USING (doc_id)) USING (doc_id)""",
+    "classifier_gradient": """
+SELECT unnest(range(65))::INT AS dim, 0.0::DOUBLE AS gradient""",
     "assemble_features": f"""WITH {FEATURE_CTES},
 vecs AS (
-  SELECT vec_id, list_concat(embedding::DOUBLE[], [{', '.join(f'{f}::DOUBLE' for f in FEATURES)}])
+  SELECT vec_id, list_concat(embedding::FLOAT[], [{', '.join(f'{f}::FLOAT' for f in FEATURES)}])
          AS v FROM embeddings JOIN features ON vec_id = doc_id)
-SELECT vec_id, (generate_subscripts(v, 1) - 1)::INT AS dim, round(unnest(v), 6) AS value
+SELECT vec_id, (generate_subscripts(v, 1) - 1)::INT AS dim, unnest(v)::DOUBLE AS value
 FROM vecs""",
     "standard_scale": """
 WITH long AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1
@@ -451,23 +577,14 @@ FROM spine LEFT JOIN predictions ON y_true = actual GROUP BY actual""",
     "binary_metrics": f"""WITH {PREDICTIONS},
 cells AS (SELECT lang, {CELLS} FROM predictions GROUP BY lang)
 SELECT *, {RATES} FROM cells""",
-    "class_report": f"""WITH {PREDICTIONS},
-spine AS (SELECT unnest([0, 1]) AS class),
-counted AS (
-  SELECT class, count(*) FILTER (y_true = class AND y_pred = class)::DOUBLE AS hit,
-         count(*) FILTER (y_pred = class) AS said, count(*) FILTER (y_true = class) AS support
-  FROM spine, predictions GROUP BY class),
-scored AS (
-  SELECT class, coalesce(hit / nullif(said, 0), 0) AS p, coalesce(hit / nullif(support, 0), 0) AS r,
-         coalesce(2 * hit / nullif(said + support, 0), 0) AS f, support, hit FROM counted),
-report AS (
-  SELECT CASE class WHEN 0 THEN 'Human' ELSE 'AI' END AS name, p, r, f, support FROM scored
-  UNION ALL SELECT 'accuracy', NULL, NULL, sum(hit) / sum(support), sum(support) FROM scored
-  UNION ALL SELECT 'macro avg', avg(p), avg(r), avg(f), sum(support) FROM scored
-  UNION ALL SELECT 'weighted avg', sum(p * support) / sum(support), sum(r * support) / sum(support),
-                   sum(f * support) / sum(support), sum(support) FROM scored)
-SELECT name, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1,
-       support::BIGINT AS support FROM report""",
+    "class_report": report_sql(),
+    "class_report_by_language": report_sql("lang, "),
+    "percent_display": f"""WITH {PREDICTIONS},
+cells AS (SELECT lang, {CELLS} FROM predictions GROUP BY lang),
+rates AS (SELECT lang, {EXACT_RATES} FROM cells)
+SELECT lang, {', '.join(f"printf('%.2f', round_even({r} * 100, 2)) || '%' AS {r}"
+                        for r in ('accuracy', 'recall', 'false_positive_rate', 'false_negative_rate'))}
+FROM rates""",
     "metrics_by_group": f"""WITH {PREDICTIONS},
 cells AS (SELECT lang, source, grouping(lang, source)::INT AS grouping_id, {CELLS}
           FROM predictions GROUP BY GROUPING SETS ((lang), (source), ()))

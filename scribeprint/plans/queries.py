@@ -6,6 +6,8 @@ rounded so that two engines which add in different orders agree.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +42,7 @@ DISPATCH: dict[str, str] = {
     "es": r"[\p{L}\p{N}]+",
 }
 
-VOCABULARY_SIZE, CHAT_LENGTH, DOCUMENT_LENGTH = 500, 64, 512
+VOCABULARY_SIZE, CHAT_LENGTH, DOCUMENT_LENGTH, TREE_LENGTH = 500, 64, 512, 1024
 DATASET_CAP = 30
 # Sizes and caps per dataset, for all of them, by a rule on the dataset's number.
 DATASETS = tuple(f"src{i}" for i in range(20))
@@ -64,9 +66,8 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids and texts of the documents, over all cores."""
-    return readers.spread(_samples(spark, sf_dir).select("sample_id", "language", "code"),
-                          "sample_id")
+    """Ids and texts of the documents."""
+    return _samples(spark, sf_dir).select("sample_id", "language", "code")
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,9 +80,17 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _read(spark, sf_dir, "pages").select(
+    return _read(spark, sf_dir, "pages").select(
         F.col("page_id").cast("string").alias("sample_id"), F.col("html").alias("code"))
-    return readers.spread(pages, "sample_id")
+
+
+def _programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as code-like text: names of nodes and brackets stand for words, and
+    the language changes with the id."""
+    return _read(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("sample_id"),
+        F.when(F.col("doc_id") % 2 == 0, "python").otherwise("java").alias("language"),
+        _node_words(F.col("text")).alias("code"))
 
 
 def _node_words(s: Column) -> Column:
@@ -94,7 +103,7 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truth and rule for the labelled documents. The ratio is taken before the join, so
     texts are not shuffled."""
     ratio = text.repetition_ratio(F.col("words"))
-    docs = (readers.spread(_read(spark, sf_dir, "documents").drop("n_chars"), "doc_id")
+    docs = (_read(spark, sf_dir, "documents")
             .select("doc_id", "lang", "source", text.words(F.col("text")).alias("words"))
             .select("doc_id", "lang", "source",
                     (ratio < REPETITION_CUT).cast("int").alias("y_pred")))
@@ -124,12 +133,17 @@ def catalog_scan(spark, sf_dir):
                           F.length("code").alias("n_chars"))
 
 
+def _new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own for each call."""
+    return f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}-{name}"
+
+
 def csv_scan(spark, sf_dir):
-    path = f"{shared_dir(spark).rstrip('/')}/chat-{spark.sparkContext.applicationId}.csv"
+    path = _new_path(spark, "chat.csv")
     word = F.when(F.col("role") == "assistant", "lm").otherwise("human")
     (_read(spark, sf_dir, "conversations")
      .select("conv_id", F.col("text").alias("code"), word.alias("label"))
-     .write.mode("overwrite").option("header", True).option("quoteAll", True)
+     .write.option("header", True).option("quoteAll", True)
      .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(path))
     rows = L.enforce(readers.read_csv(spark, path, "prose"), "fail")
@@ -137,11 +151,12 @@ def csv_scan(spark, sf_dir):
 
 
 def jsonl_scan(spark, sf_dir):
+    path = _new_path(spark, "chat.jsonl")
     label = F.when(F.col("role") == "assistant", F.lit(1)).when(F.col("role") == "user", F.lit(0))
-    lines = _read(spark, sf_dir, "conversations").select(
-        F.concat_ws(":", "conv_id", "turn").alias("sample_id"),
-        F.to_json(F.struct(F.col("text").alias("code"), label.alias("label"))).alias("value"))
-    return readers.parse_json_lines(lines, "prose").select("sample_id", "code", "label", "reject")
+    (_read(spark, sf_dir, "conversations").select(
+        F.to_json(F.struct(F.col("text").alias("code"), label.alias("label"))))
+     .write.text(path))
+    return readers.read_jsonl(spark, path, "prose").select("code", "label", "reject")
 
 
 # --- cleaning, labels, filters -----------------------------------------------
@@ -156,7 +171,7 @@ def clean_text(spark, sf_dir):
 def drop_null_text(spark, sf_dir):
     chat = _read(spark, sf_dir, "conversations").withColumn(
         "code", F.when(F.col("role") == "assistant", F.col("text")))
-    return chat.filter(F.col("code").isNotNull()).select("conv_id", "turn", "code")
+    return readers.drop_null_code(chat).select("conv_id", "turn", "code")
 
 
 def label_from_prefix(spark, sf_dir):
@@ -255,8 +270,15 @@ def nodes_from_markup(spark, sf_dir):
 
 
 def nodes_from_code(spark, sf_dir):
-    prose = _texts(spark, sf_dir).withColumn("language", F.lit("python"))
-    return trees.nodes_from_code(prose)
+    return trees.nodes_from_code(_programs(spark, sf_dir))
+
+
+def serialise_code(spark, sf_dir):
+    return trees.represent(_programs(spark, sf_dir))
+
+
+def serialise_code_tokens(spark, sf_dir):
+    return trees.represent(_programs(spark, sf_dir), include_tokens=True)
 
 
 def node_types(spark, sf_dir):
@@ -308,7 +330,8 @@ def repetition_ratio(spark, sf_dir):
 
 def _chat(spark, sf_dir):
     return _read(spark, sf_dir, "conversations").select(
-        F.concat_ws(":", "conv_id", "turn").alias("sample_id"), F.col("text").alias("code"))
+        F.concat_ws(":", "conv_id", "turn").alias("sample_id"), F.col("text").alias("code"),
+        (F.col("role") == "assistant").cast("int").alias("label"))
 
 
 def build_vocabulary(spark, sf_dir):
@@ -318,7 +341,14 @@ def build_vocabulary(spark, sf_dir):
 def encode_tokens(spark, sf_dir):
     chat = _chat(spark, sf_dir)
     encoded = encoding.encode_tokens(chat, encoding.build_vocabulary(chat, VOCABULARY_SIZE),
-                                     CHAT_LENGTH)
+                                     CHAT_LENGTH, keep=["label"])
+    return encoded.select("sample_id", F.array_join("input_ids", " ").alias("input_ids"),
+                          F.array_join("attention_mask", " ").alias("attention_mask"), "label")
+
+
+def encode_tree(spark, sf_dir):
+    tree = serialise_tree(spark, sf_dir).withColumnRenamed("tree", "code")
+    encoded = encoding.encode_tokens(tree, encoding.build_vocabulary(tree, VOCABULARY_SIZE), TREE_LENGTH)
     return encoded.select("sample_id", F.array_join("input_ids", " ").alias("input_ids"),
                           F.array_join("attention_mask", " ").alias("attention_mask"))
 
@@ -337,8 +367,11 @@ def mean_pool(spark, sf_dir):
 def embed_text(spark, sf_dir):
     tokens = vectors.with_tokens(_texts(spark, sf_dir).select("sample_id", "code"))
     embedded = vectors.embed_text(tokens, vectors.text_embedder().fit(tokens), ["sample_id"])
-    return _rounded(embedded.select("sample_id", F.posexplode_outer("embedding").alias("dim", "value"))
-                            .filter("value > 0"), "value")
+    numbered = F.transform("embedding", lambda x, i: F.struct(i.alias("dim"), x.alias("value")))
+    positive = F.filter(numbered, lambda e: e["value"] > 0)
+    # The outer form: a text without positive values has a row of its own.
+    return _rounded(embedded.select("sample_id", F.explode_outer(positive).alias("e"))
+                            .select("sample_id", "e.dim", "e.value"), "value")
 
 
 def assemble_features(spark, sf_dir):
@@ -346,10 +379,9 @@ def assemble_features(spark, sf_dir):
         F.col("sample_id").cast("bigint").alias("vec_id"), _node_words(F.col("code")).alias("code"))
     features = structure.with_structural_features(documents).drop("code")
     embedded = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    vector = vector_to_array(F.col("features"))
     joined = vectors.assemble(embedded.join(features, "vec_id"))
-    return joined.select("vec_id", F.posexplode_outer(vector).alias("dim", "value")).withColumn(
-        "value", F.round("value", 6))
+    return joined.select("vec_id", F.posexplode_outer("features").alias("dim", "value")).withColumn(
+        "value", F.col("value").cast("double"))
 
 
 def standard_scale(spark, sf_dir):
@@ -366,10 +398,14 @@ def class_weights(spark, sf_dir):
     return _rounded(learning.class_weights(_read(spark, sf_dir, "labels"), "quality"), "weight")
 
 
-def train_classifier(spark, sf_dir):
-    data = _read(spark, sf_dir, "embeddings").select(
+def _embedded(spark, sf_dir):
+    return _read(spark, sf_dir, "embeddings").select(
         "vec_id", vectors.as_vector(F.col("embedding")).alias("features"),
         (F.col("label") >= 5).cast("int").alias("label"))
+
+
+def train_classifier(spark, sf_dir):
+    data = _embedded(spark, sf_dir)
     model = learning.fit_classifier(data)
     return learning.predict(model, data, ["vec_id", "label"])
 
@@ -392,8 +428,23 @@ def softmax_argmax(spark, sf_dir):
 
 def text_classifier(spark, sf_dir):
     data = _labelled(spark, sf_dir).select("sample_id", "code", "label")
-    model = learning.fit_text_classifier(data)
-    return learning.predict(model, vectors.with_tokens(data), ["sample_id", "label"])
+    terms = learning.stored_terms(data, ["sample_id", "label"])
+    return learning.predict(learning.fit_terms_classifier(terms), terms, ["sample_id", "label"])
+
+
+def text_terms(spark, sf_dir):
+    terms = learning.hash_terms(_texts(spark, sf_dir), ["sample_id"])
+    weighted = learning.term_features().fit(terms).transform(terms)
+    numbered = F.transform(vector_to_array("features"), lambda x, i: F.struct(i.alias("dim"), x.alias("value")))
+    return _rounded(weighted.select("sample_id", F.explode_outer(F.filter(numbered, lambda e: e["value"] > 0))
+                                    .alias("e")).select("sample_id", "e.dim", "e.value"), "value")
+
+
+def classifier_gradient(spark, sf_dir):
+    """The gradient at the trained weights, to the second digit: nothing is left of it."""
+    data = _embedded(spark, sf_dir)
+    gradient = learning.objective_gradient(learning.fit_classifier(data), data)
+    return gradient.select("dim", F.abs(F.round("gradient", 2)).alias("gradient"))
 
 
 def weighted_blend(spark, sf_dir):
@@ -426,6 +477,16 @@ def class_report(spark, sf_dir):
                     "precision", "recall", "f1")
 
 
+def class_report_by_language(spark, sf_dir):
+    return _rounded(evaluation.class_report(_predictions(spark, sf_dir), ["lang"]),
+                    "precision", "recall", "f1")
+
+
+def percent_display(spark, sf_dir):
+    metrics = evaluation.binary_metrics(_predictions(spark, sf_dir), ["lang"])
+    return evaluation.as_percent(metrics).select("lang", *RATES)
+
+
 def metrics_by_group(spark, sf_dir):
     metrics = evaluation.metrics_by_group(_predictions(spark, sf_dir), [["lang"], ["source"], []])
     return _rounded(metrics, *RATES).withColumn("grouping_id", F.col("grouping_id").cast("int"))
@@ -461,10 +522,11 @@ def runs(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     catalog_scan, csv_scan, jsonl_scan, clean_text, drop_null_text, label_from_prefix,
     label_from_word, label_from_number, filter_datasets, config_lookup, language_dispatch,
-    stratified_cap, split_three_way, split_approximate, split_holdout, split_two_way, split_by_config, union_splits,
-    split_summary, nodes_from_markup, nodes_from_code, node_types, node_text, serialise_tree,
-    serialise_tokens, tree_stats, structural_features, nested_control, repetition_ratio,
-    build_vocabulary, encode_tokens, truncated_count, mean_pool, embed_text, assemble_features,
-    standard_scale, class_weights, train_classifier, linear_score, softmax_argmax,
-    text_classifier, weighted_blend, confusion_matrix, binary_metrics, class_report,
-    metrics_by_group, epoch_pairs, best_step)} | {"run_report": runs}
+    stratified_cap, split_three_way, split_approximate, split_holdout, split_two_way,
+    split_by_config, union_splits, split_summary, nodes_from_markup, nodes_from_code, node_types,
+    node_text, serialise_tree, serialise_tokens, serialise_code, serialise_code_tokens, tree_stats,
+    structural_features, nested_control, repetition_ratio, build_vocabulary, encode_tokens,
+    encode_tree, truncated_count, mean_pool, embed_text, assemble_features, standard_scale,
+    class_weights, train_classifier, classifier_gradient, linear_score, softmax_argmax,
+    text_classifier, text_terms, weighted_blend, confusion_matrix, binary_metrics, class_report,
+    class_report_by_language, percent_display, metrics_by_group, epoch_pairs, best_step)} | {"run_report": runs}

@@ -146,10 +146,10 @@ def _scored(model, held_out: DataFrame) -> DataFrame:
 
 def _text_scores(rows: DataFrame, options: ModelOptions) -> DataFrame:
     text = "tree" if options.text_uses_tree else "code"
-    train = rows.filter(F.col("split") == "train")
-    model = learning.fit_text_classifier(train, text, tol=options.tolerance,
-                                         max_iterations=options.max_iterations)
-    return _scored(model, vectors.with_tokens(rows.filter(F.col("split") != "train"), text))
+    terms = learning.stored_terms(rows, KEPT, text)
+    model = learning.fit_terms_classifier(terms.filter(F.col("split") == "train"), tol=options.tolerance,
+                                          max_iterations=options.max_iterations)
+    return _scored(model, terms.filter(F.col("split") != "train"))
 
 
 def _tree_scores(rows: DataFrame, options: ModelOptions) -> DataFrame:

@@ -20,6 +20,10 @@ NA_STRINGS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-na
               "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
+JSON_OPTIONS = {"maxStringLen": str((1 << 31) - 1), "allowSingleQuotes": "false",
+                "columnNameOfCorruptRecord": "__broken"}
+
+
 def _bad_label(given: Column, label: Column) -> Column:
     text = F.concat(F.lit("label not known: "), F.coalesce(given, F.lit("none")))
     return F.when(label.isNull(), text)
@@ -29,16 +33,6 @@ def _row_id(prefix: str) -> Column:
     return F.concat_ws(":", F.lit(prefix), F.monotonically_increasing_id().cast("string"))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a table that is stored in fewer pieces than there are cores, over all cores.
-
-    For heavy work on the text of small tables. A scan that already has a task
-    for every core, as any large table's has, is left alone and not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def read_folder(spark: SparkSession, path: str, language: str) -> DataFrame:
     """One sample per file, labelled by the file name's prefix; sub-folders are not read."""
     name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
@@ -55,16 +49,29 @@ def label_files(files: DataFrame, language: str) -> DataFrame:
                         F.lit(language).alias("language"), _bad_label(prefix, label).alias("reject"))
 
 
-def read_csv(spark: SparkSession, path: str, language: str, clean: bool = True) -> DataFrame:
+def present(code: Column) -> Column:
+    """Whether a cell holds code: not null, and no spelling of "no value"."""
+    return code.isNotNull() & ~code.isin(*NA_STRINGS)
+
+
+def drop_null_code(df: DataFrame, code: str = "code") -> DataFrame:
+    """Rows with code. Done before labels are looked at."""
+    return df.filter(present(F.col(code)))
+
+
+def read_csv(spark: SparkSession, path: str, language: str, clean: bool = True,
+             multi_line: bool = True) -> DataFrame:
     """Columns ``code`` and ``label`` of a CSV with a header. Rows without code are dropped
-    before their label is looked at; all columns are read as text, none is inferred."""
-    raw = (spark.read.option("header", True).option("multiLine", True)
+    before their label is looked at; all columns are read as text, none is inferred.
+
+    With ``multi_line`` a quoted field may hold line breaks, and a file is read by one task;
+    files without such fields are split freely if it is off."""
+    raw = (spark.read.option("header", True).option("multiLine", multi_line)
            .option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
            .csv(path).select("code", "label"))
     code = clean_text(F.col("code")) if clean else F.col("code")
     label = label_from_word(F.col("label"))
-    present = F.col("code").isNotNull() & ~F.col("code").isin(*NA_STRINGS)
-    return raw.filter(present).select(
+    return drop_null_code(raw).select(
         _row_id(path.rstrip("/").rsplit("/", 1)[-1]).alias("sample_id"), code.alias("code"),
         label.alias("label"), F.lit(language).alias("language"),
         _bad_label(F.col("label"), label).alias("reject"))
@@ -81,13 +88,16 @@ def parse_json_lines(lines: DataFrame, language: str, clean: bool = False) -> Da
     """``sample_id`` and ``value`` (one line of JSON). A blank or broken line is a reject.
 
     Labels are compared as values, so 1.0 and true count as 1; the string "1" does not.
+    Lines may be as long as a string can be.
     """
-    parsed = lines.withColumn("__v", F.try_parse_json("value"))
-    given = F.try_variant_get("__v", "$.label", "string")
-    is_text = F.schema_of_variant(F.try_variant_get("__v", "$.label", "variant")) == "STRING"
+    parsed = lines.withColumn("__v", F.from_json(
+        "value", "code string, label variant, __broken string", JSON_OPTIONS))
+    given = F.col("__v.label").try_cast("string")
+    is_text = F.schema_of_variant("__v.label") == "STRING"
     label = F.when(is_text, F.lit(None)).otherwise(label_from_number(given))
-    code = F.try_variant_get("__v", "$.code", "string")
-    reason = (F.when(F.col("__v").isNull(), F.lit("not a JSON object"))
+    code = F.col("__v.code")
+    broken = F.col("__v").isNull() | F.col("__v.__broken").isNotNull()
+    reason = (F.when(broken, F.lit("not a JSON object"))
                .when(code.isNull(), F.lit("no code"))
                .otherwise(_bad_label(given, label)))
     return parsed.select("sample_id", (clean_text(code) if clean else code).alias("code"),

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_samples(samples: DataFrame, path: str) -> DataFrame:
-    """Store samples by dataset and language, so that later filters on them skip files."""
-    (samples.write.mode("overwrite").partitionBy("dataset", "language").parquet(path))
+    """Store samples by dataset and language, so that later filters on them skip files. Rows are
+    laid out first, so that a dataset has as many files as its size asks for."""
+    laid_out = samples.repartitionByRange("dataset", "language", F.xxhash64("sample_id"))
+    laid_out.write.mode("overwrite").partitionBy("dataset", "language").parquet(path)
     return read_samples(samples.sparkSession, path, samples)
 
 

@@ -123,17 +123,34 @@ def test_blend_checks_the_pairing(spark):
 def test_stored_text_classifier_scores_the_same(spark, tmp_path):
     rows = [(f"s{i}", f"for x in {'range' if i % 2 else 'list'}({i})", i % 2) for i in range(40)]
     df = spark.createDataFrame(rows, "sample_id string, code string, label int")
-    model = learning.fit_text_classifier(df, n_features=256)
-    tokens = vectors.with_tokens(df)
+    terms = learning.stored_terms(df, ["sample_id", "label"])
+    model = learning.fit_terms_classifier(terms)
     sinks.save_model(model, str(tmp_path / "model"))
     again = sinks.load_model(str(tmp_path / "model"))
     assert isinstance(again, PipelineModel)
-    a, b = (sorted(map(tuple, learning.predict(m, tokens, ["sample_id", "label"]).collect()))
+    a, b = (sorted(map(tuple, learning.predict(m, terms, ["sample_id", "label"]).collect()))
             for m in (model, again))
     assert a == b
     assert all(r[4] == r[1] for r in a)
 
 
+def test_the_end_of_a_long_text_counts(spark):
+    rows = [(f"s{i}", "same " * 5000 + ("left" if i % 2 else "right"), i % 2) for i in range(20)]
+    df = spark.createDataFrame(rows, "sample_id string, code string, label int")
+    terms = learning.stored_terms(df, ["sample_id", "label"])
+    model = learning.fit_terms_classifier(terms)
+    found = learning.predict(model, terms, ["sample_id", "label"]).collect()
+    assert all(r["y_pred"] == r["label"] for r in found)
+
+
+def test_gradient_is_zero_at_the_optimum_only(spark):
+    df, _, _ = data(spark)
+    gradient = learning.objective_gradient(learning.fit_classifier(df, tol=1e-10), df)
+    assert gradient.count() == 4 and gradient.filter("abs(gradient) > 1e-3").isEmpty()
+    early = learning.objective_gradient(learning.fit_classifier(df, max_iterations=1), df)
+    assert not early.filter("abs(gradient) > 1e-1").isEmpty()
+
+
 def test_embedding_is_a_weighted_mean_of_token_marks(spark):
     rows = [("a", "x y"), ("b", "x y x y"), ("c", "z"), ("d", "")]
     tokens = vectors.with_tokens(spark.createDataFrame(rows, "sample_id string, code string"))
@@ -146,5 +163,5 @@ def test_embedding_is_a_weighted_mean_of_token_marks(spark):
 
 def test_assembled_vector(spark):
     df = spark.createDataFrame([([1.0, 2.0], 3, 4.5)], "embedding array<float>, x int, y double")
-    assert vectors.assemble(df, features=["x", "y"]).first()["features"].toArray().tolist() == [
+    assert vectors.assemble(df, features=["x", "y"]).first()["features"] == [
         1.0, 2.0, 3.0, 4.5]

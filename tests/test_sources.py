@@ -127,3 +127,16 @@ def test_report_sink_replaces(spark, tmp_path):
     for n in (3, 1):
         sinks.write_report(spark.range(n), path)
     assert spark.read.json(path).count() == 1
+
+
+def test_lines_of_any_length(spark):
+    big = spark.range(1).select(F.lit("a").alias("sample_id"), F.concat(
+        F.lit('{"label": 1, "code": "'), F.repeat(F.lit("x"), 25_000_000), F.lit('"}')).alias("value"))
+    row = readers.parse_json_lines(big, "python").select(F.length("code"), "label", "reject").first()
+    assert tuple(row) == (25_000_000, 1, None)
+
+
+def test_csv_that_may_be_split(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("code,label\na,lm\n,human\nb,human\n")
+    rows = readers.read_csv(spark, str(tmp_path / "t.csv"), "python", multi_line=False)
+    assert sorted(map(tuple, rows.select("code", "label").collect())) == [("a", 1), ("b", 0)]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scribeprint.operators import lookup, splitting
+from scribeprint.operators import splitting
 from scribeprint.operators.ranking import hash_key
 
 
@@ -93,24 +93,32 @@ def test_cap_ties_go_to_the_lower_label(spark):
     assert dict(map(tuple, kept.collect())) == {0: 3, 1: 2}
 
 
-def test_more_strata_than_the_broadcast_bound(spark, monkeypatch):
-    df = table(spark, {f"d{i}": 20 + i for i in range(12)})
-    small = splitting.split_datasets(df, 0.2, 0.2, 15)
-    monkeypatch.setattr(lookup, "MAX_BROADCAST_ROWS", 3)
-    salted = splitting.split_datasets(df, 0.2, 0.2, 15)
-    plan = salted._jdf.queryExecution().optimizedPlan().toString()
-    assert "__salt" in plan
-    keys = ["sample_id", "split"]
-    assert sorted(map(tuple, small.select(keys).collect())) == sorted(
-        map(tuple, salted.select(keys).collect()))
+def test_plans_are_built_without_a_job(spark):
+    df = table(spark, SIZES)
+    spark.sparkContext.setJobGroup("splitting", "")
+    splitting.split_summary(splitting.split_datasets(df, 0.1, 0.1, 50))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("splitting")
+
+
+def test_quotas_of_very_large_counts(spark):
+    counts = spark.createDataFrame(
+        [("a", 0, 3 * 10**12), ("a", 1, 10**12), ("b", 0, 4 * 10**9), ("b", 1, 10**9)],
+        "dataset string, label int, n_bucket long").withColumn("max_sample_count", F.lit(None).cast("bigint"))
+    kept = splitting.label_quotas(counts, ["dataset"])
+    assert sorted(map(tuple, kept.collect())) == [
+        ("a", 0, 3 * 10**12), ("a", 1, 10**12), ("b", 0, 4 * 10**9), ("b", 1, 10**9)]
+    capped = splitting.label_quotas(counts, ["dataset"], cap=2 * 10**12 + 1).filter("dataset = 'a'")
+    assert sorted(map(tuple, capped.collect())) == [
+        ("a", 0, 15 * 10**11 + 1), ("a", 1, 5 * 10**11)]
 
 
-def test_final_pass_has_no_shuffle(spark, tmp_path):
-    table(spark, SIZES).write.parquet(str(tmp_path / "t"))
-    df = spark.read.parquet(str(tmp_path / "t"))
-    plan = splitting.split_datasets(df, 0.1, 0.1, 50)._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning" not in plan and "SinglePartition" not in plan
-    assert "BroadcastHashJoin" in plan
+def test_a_cut_between_rows_of_one_id_stops(spark):
+    rows = [("same" if i < 50 else f"s{i}", "a") for i in range(100)]
+    df = spark.createDataFrame(rows, "sample_id string, dataset string")
+    first = df.select(hash_key("sample_id", splitting.SEED, "split").alias("h"), "sample_id")
+    below = first.filter(F.col("h") < first.filter("sample_id = 'same'").first()["h"]).count()
+    with pytest.raises(Exception, match="repeated id: same"):
+        splitting.split_dataset(df, (below + 10) / 100, 0.1, ["dataset"]).collect()
 
 
 def test_config_sets_sizes_per_dataset(spark):
@@ -145,7 +153,7 @@ def test_one_constant_dataset(spark):
     assert dict(map(tuple, split.groupBy("split").count().collect())) == {
         "test": 10, "val": 20, "train": 70}
     plan = split._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan and "Exchange" not in plan
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_approximate_split_covers_all_rows(spark):

@@ -203,3 +203,19 @@ def test_long_tokens_do_not_overflow_the_matcher(spark):
     df = spark.createDataFrame([("a", quoted, "python")],
                                "sample_id string, code string, language string")
     assert trees.represent(df).first()["tree"] == "(module string)"
+
+
+def test_two_texts_of_one_id_stop(spark):
+    df = spark.createDataFrame([("p", "<p>a</p>"), ("p", "<b><i>c</i></b>")], "sample_id string, code string")
+    with pytest.raises(Exception, match="two texts have the id p"):
+        trees.serialise_tree(trees.nodes_from_markup(df)).collect()
+
+
+def test_texts_and_not_tokens_are_exchanged(spark, tmp_path):
+    text = "<div>" + "<p>some words here</p>" * 50 + "</div>"
+    spark.createDataFrame([(f"p{i}", text) for i in range(200)], "sample_id string, code string").write.parquet(
+        str(tmp_path / "pages"))
+    df = spark.read.parquet(str(tmp_path / "pages"))
+    plan = trees.nodes_from_markup(df)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange hashpartitioning"):]
+    assert plan.count("Exchange") == 1 and "regexp_extract_all" not in below
