@@ -29,6 +29,8 @@ SHARE = 1.5
 REPEATS = 2
 #: Buckets that a source's documents fall in by hash: one for so many documents.
 BUCKET_DOCS = 4096
+#: Points of the schedule in one row before they are dealt out.
+STRETCH = 1 << 10
 #: Blanks between words.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -113,10 +115,12 @@ def schedule(targets: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     needs = needs.withColumn("bits", F.length(F.bin(total - 1)))
     # A source's own slots are those whose points fall in its part; going through its points instead of
     # all slots gives the same pairs without a range join.
-    stretch = 1 << 16
-    parts = needs.select("*", F.explode(F.sequence(F.col("from"), F.col("upto") - 1, F.lit(stretch).cast("long"))).alias("begin"))
-    points = parts.repartition("source", "begin").select("*", F.explode(F.sequence(
-        F.col("begin"), F.least(F.col("begin") + stretch, F.col("upto")) - 1)).alias("point"))
+    # Stretches of points are dealt out to tasks; a task has about sixteen.
+    n_slots = needs.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    parts = needs.select("*", F.explode(F.sequence(
+        F.col("from"), F.col("upto") - 1, F.lit(STRETCH).cast("long"))).alias("begin"))
+    points = parts.repartition(1 + n_slots // (16 * STRETCH), "source", "begin").select("*", F.explode(F.sequence(
+        F.col("begin"), F.least(F.col("begin") + STRETCH, F.col("upto")) - 1)).alias("point"))
     placed = points.withColumn("slot", reversed_bits(F.col("point"), F.col("bits")))
     at = F.col("slot"), F.col("point"), F.col("bits")
     rank = points_below(*at, F.col("upto")) - points_below(*at, F.col("from"))
@@ -157,7 +161,9 @@ def _cut(docs: DataFrame, doc_id: str, text: str, source: str, weights: tuple[fl
     told = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     parts = streams(told, seed).withColumn("block_no", F.explode(F.sequence(
         F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("size") - 1) / block))))
-    slots = schedule(targets, block).select("slot", F.col("source").alias("s_"), F.col("block_no").alias("b_"), "words")
+    # Written, so that the join knows the schedule's size: it grows with the input.
+    slots = written(schedule(targets, block).select(
+        "slot", F.col("source").alias("s_"), F.col("block_no").alias("b_"), "words"), "mixing-slots")
     return told, parts, slots
 
 
