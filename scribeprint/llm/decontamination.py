@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scribeprint.llm.scratch import as_text, free_name, quoted, without, written
+from scribeprint.llm.scratch import as_text, free_name, map_rows, quoted, without, written
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -149,7 +149,7 @@ def _scan(batches: Iterator[pa.RecordBatch], block, size: int, text_at: int, had
             columns["items"].append(sorted(items))
         keep = batch.num_columns if had_at is None else had_at
         arrays = [batch.column(k) for k in range(keep)]
-        arrays += [pa.array(columns[n], schema.field(n).type) for n in ADDED]
+        arrays += [pa.array(columns[n], schema.field(keep + k).type) for k, n in enumerate(ADDED)]
         yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
@@ -196,15 +196,9 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
 
 
 def _pass(df: DataFrame, block, size: int, text_at: int, n_before: int, again: bool) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     schema = T.StructType([*df.schema.fields[:n_before], *RESULT.fields])
-    arrow = to_arrow_schema(schema)
-
-    def run(batches):
-        return _scan(batches, block, size, text_at, n_before if again else None, arrow)
-
-    return df.mapInArrow(run, schema)
+    had_at = n_before if again else None
+    return map_rows(df, lambda b, arrow: _scan(b, block, size, text_at, had_at, arrow), schema)
 
 
 def n_hit_words(ranges: str = "hit_words"):
@@ -213,8 +207,11 @@ def n_hit_words(ranges: str = "hit_words"):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any benchmark window, with their own columns."""
-    found = find_benchmark(docs, benchmark, **options)
-    return found.filter(F.size("hit_words") == 0).select(*quoted(without(docs, *ADDED)))
+    clashing = [c for c in docs.columns if c.lower() in ADDED]
+    hidden = {c: free_name(docs, f"{c}_own") for c in clashing}
+    found = find_benchmark(docs.withColumnsRenamed(hidden), benchmark, **options)
+    clean = found.filter(F.size("hit_words") == 0).drop(*ADDED)
+    return clean.withColumnsRenamed({new: old for old, new in hidden.items()}).select(*quoted(docs))
 
 
 def items_digest(column: str = "items"):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scribeprint.llm.scratch import without
+from scribeprint.llm.scratch import map_rows, without
 from scribeprint.llm.words import MARKS, read_words
 
 # Phrases that are a label wherever they stand.
@@ -236,10 +236,8 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     no labels. Repeated rows are scanned each by itself, an empty table stays empty, texts are
     read whole, and columns with the names of the result are replaced.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     size = len(Index().hashes)
-    counted = (docs.select(F.col(text)).mapInArrow(_frequencies, "word long, n long")
+    counted = (docs.select(F.col(text).alias("text")).mapInArrow(_frequencies, "word long, n long")
                .groupBy("word").agg(F.sum("n").alias("n")).collect())  # one row a template word
     frequency, n_docs = np.zeros(size, np.int64), 0
     for r in counted:
@@ -250,5 +248,5 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     statistics = docs.sparkSession.sparkContext.broadcast((frequency, n_docs))
     base = without(docs, *(c for c in ADDED if c != text))
     schema = T.StructType([*base.schema.fields, *RESULT.fields])
-    arrow, at = to_arrow_schema(schema), base.columns.index(text)
-    return base.mapInArrow(lambda b: _scan(b, statistics, at, arrow), schema)
+    at = base.columns.index(text)
+    return map_rows(base, lambda b, arrow: _scan(b, statistics, at, arrow), schema)

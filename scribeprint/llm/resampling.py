@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scribeprint.llm.scratch import quoted, without, written
+from scribeprint.llm.scratch import map_rows, quoted, without, written
 from scribeprint.llm.words import MARKS, mix, read_words, sequence_hashes, whole_windows
 
 #: Hashed n-grams fall in so many buckets: the size of both models.
@@ -127,10 +127,7 @@ def resample(docs: DataFrame, target_ids: DataFrame, fraction: float, doc_id: st
     fields = [f for k, f in enumerate(base.schema.fields) if k != at]
     schema = T.StructType([*fields, T.StructField("n_words", T.LongType()),
                            T.StructField("log_ratio", T.DoubleType())])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(schema)
-    scored = base.mapInArrow(lambda b: _scores(b, shared, at, arrow), schema)
+    scored = map_rows(base, lambda b, arrow: _scores(b, shared, at, arrow), schema)
     # A uniform number in (0, 1) from 52 bits of a hash.
     hashed = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))),
                     F.lit(1 << 52))

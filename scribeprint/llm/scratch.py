@@ -7,6 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from scribeprint.session import shared_dir
 
@@ -35,6 +37,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_rows(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name. ``run`` gets the batches and the Arrow schema to answer in.
+
+    Columns are numbered on the way, since the call itself takes names with dots and backticks apart.
+    """
+    importable(df.sparkSession)
+    numbered = T.StructType([T.StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(schema.fields)])
+    arrow = to_arrow_schema(numbered)
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return plain.mapInArrow(lambda batches: run(batches, arrow), numbered).toDF(*schema.names)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     importable(spark)
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -21,10 +21,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scribeprint.llm.scratch import without
+from scribeprint.llm.scratch import map_rows, without
 from scribeprint.llm.words import BYTE_VALUES, POWERS, text_buffers
 
 #: Words and token pairs whose results a worker keeps; it starts anew when one is full.
@@ -448,21 +447,23 @@ def count_prefixes(docs: DataFrame, path: str, pattern: str, text: str = "text")
     counted whole. Repeated rows are counted each by itself, an empty table stays empty,
     and columns with the names of the result are replaced.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     base = without(docs, *(c for c in ADDED if c != text))
     at = base.columns.index(text)
     schema = T.StructType([*base.schema.fields, T.StructField("n_bytes", T.LongType()),
                            T.StructField("n_tokens", T.LongType()),
                            T.StructField("prefix_counts", T.BinaryType())])
-    arrow = to_arrow_schema(schema)
-    return base.mapInArrow(lambda b: _count(b, path, pattern, at, arrow), schema)
+    return map_rows(base, lambda b, arrow: _count(b, path, pattern, at, arrow), schema)
 
 
 def within_budget(counted: DataFrame, budget: int) -> DataFrame:
     """Adds ``fits`` (characters of the longest prefix within ``budget`` tokens), from stored counts."""
-    @F.pandas_udf("long")
-    def fits(column: "pd.Series") -> "pd.Series":  # noqa: F821
-        return column.map(lambda data: longest_prefix(data, budget))
+    counted = without(counted, "fits")
+    at = counted.columns.index("prefix_counts")
+    schema = T.StructType([*counted.schema.fields, T.StructField("fits", T.LongType())])
+
+    def fit(batches, arrow):
+        for batch in batches:
+            fits = [longest_prefix(data.as_py(), budget) for data in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fits, pa.int64())], schema=arrow)
 
-    return counted.withColumn("fits", fits("prefix_counts"))
+    return map_rows(counted, fit, schema)
