@@ -159,13 +159,14 @@ def union_splits(*parts: DataFrame) -> DataFrame:
     return result
 
 
-def split_summary(df: DataFrame) -> DataFrame:
-    """Rows per dataset entry and split, plus one row named ``Total`` over everything."""
+def split_summary(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows per dataset entry and split, plus one row named ``Total`` over everything, for
+    each group of ``by``."""
     counted = df.groupingSets(
-        [["dataset", "language", "ai"], []], "dataset", "language", "ai").agg(
+        [[*by, "dataset", "language", "ai"], [*by]], *by, "dataset", "language", "ai").agg(
         F.grouping("dataset").alias("is_total"),
         F.count("*").alias("total"),
         *[F.count_if(F.col("split") == s).alias(s) for s in ("train", "val", "test")])
     return counted.select(
-        F.when(F.col("is_total") == 1, F.lit("Total")).otherwise(F.col("dataset")).alias("dataset"),
+        *by, F.when(F.col("is_total") == 1, F.lit("Total")).otherwise(F.col("dataset")).alias("dataset"),
         "language", "ai", "total", "train", "val", "test")

@@ -12,13 +12,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scribeprint.functions.structure import FEATURES, with_structural_features
-from scribeprint.operators import evaluation, learning, vectors
-from scribeprint.operators.splitting import split_datasets
+from scribeprint.operators import encoding, evaluation, learning, vectors
+from scribeprint.operators.splitting import split_datasets, split_summary
 from scribeprint.operators.trees import represent as tree_of_code
 from scribeprint.session import shared_dir
 
 # Sizes and cap of the standard run.
 TEST_SIZE, VAL_SIZE, CAP = 0.1, 0.1, 5000
+# The run that tests on datasets it did not train on.
+UNSEEN: Mapping[str, Mapping[str, float]] = {
+    "gptsniffer": {"test_size": 1},
+    "humaneval": {"val_size": 0.2},
+    "mbpp": {"val_size": 0.2},
+    "hmcorp": {"val_size": 0.2, "max_sample_count": 5000},
+    "codenet": {"test_size": 1, "max_sample_count": 1480},
+}
 TEXT, TREE, BLEND = "text", "tree", "blend"
 
 
@@ -35,7 +43,7 @@ class RunConfig:
     config: Mapping[str, Mapping[str, float]] | None = None
 
 
-def standard_configs(unseen: Mapping[str, Mapping[str, float]] | None = None) -> list[RunConfig]:
+def standard_configs(unseen: Mapping[str, Mapping[str, float]] = UNSEEN) -> list[RunConfig]:
     """All data, one language at a time, and a run that tests on datasets it did not train on.
 
     ``unseen`` gives sizes per dataset name: ``test_size`` 1 for the held-out ones.
@@ -43,7 +51,7 @@ def standard_configs(unseen: Mapping[str, Mapping[str, float]] | None = None) ->
     sizes = {"test_size": TEST_SIZE, "val_size": VAL_SIZE, "max_sample_count": CAP}
     configs = [RunConfig("all", **sizes), RunConfig("java", language="java", **sizes),
                RunConfig("python", language="python", **sizes)]
-    return configs + ([RunConfig("unseen", config=unseen)] if unseen else [])
+    return [*configs, RunConfig("unseen", config=unseen)]
 
 
 @dataclass(frozen=True)
@@ -62,35 +70,73 @@ class ModelOptions:
         return self.weights or {TEXT: learning.TEXT_WEIGHT, TREE: learning.TREE_WEIGHT}
 
 
+@dataclass(frozen=True)
+class RunTables:
+    """What runs report, each as one table over all runs.
+
+    ``metrics``: counts, rates and seconds per config, model and split. ``class_reports``: precision, recall, F1 and
+    support per class of the same. ``splits``: rows per dataset entry and split. ``truncated``: texts per split
+    that fill a model input of ``MAX_LENGTH`` tokens. ``iterations``: how often each fitted model went over its rows.
+    """
+
+    metrics: DataFrame
+    class_reports: DataFrame
+    splits: DataFrame
+    truncated: DataFrame
+    iterations: DataFrame
+
+
 def run_report(samples: DataFrame, configs: Sequence[RunConfig],
                options: ModelOptions = ModelOptions(),
                represent: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """One row per (config, model, split) with counts, rates and the seconds of the config.
+    """The ``metrics`` of ``run_tables``."""
+    return run_tables(samples, configs, options, represent).metrics
+
 
-    All splits are made first; only samples that some run uses are represented,
-    once for all runs, and kept as a table in the shared folder. The models of a
-    run are fitted on the same rows. Splits, samples and predictions stay in that
-    folder (``runs-...``) for later reports, until the user removes them.
+def run_tables(samples: DataFrame, configs: Sequence[RunConfig],
+               options: ModelOptions = ModelOptions(),
+               represent: Callable[[DataFrame], DataFrame] | None = None) -> RunTables:
+    """Split, represent, train, predict and report for every config.
+
+    Samples are stored first and only read from there, so ids made by a scan hold. All splits are made next;
+    only samples that some run uses are represented, once for all runs. The models of a run are fitted
+    on the same rows. Seconds hold the shared steps (store, split, represent) and the config's own.
+    Samples, splits and predictions stay in the shared folder (``runs-...``) for later reports, until the
+    user removes them.
     """
     learning.check_weights(options.blend_weights())
+    begin = time.monotonic()
     spark = samples.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
-    assigned = _assign(samples, configs, f"{folder}/splits")
-    _represent(samples, assigned, represent or _tree_with_tokens).write.parquet(f"{folder}/samples")
+    samples.write.parquet(f"{folder}/given")
+    stored = spark.read.schema(samples.schema).parquet(f"{folder}/given")
+    assigned = _assign(stored, configs, f"{folder}/splits")
+    _represent(stored, assigned, represent or _tree_with_tokens).write.parquet(f"{folder}/samples")
     ready = spark.read.parquet(f"{folder}/samples")
+    shared = time.monotonic() - begin
 
-    seconds = {}
+    seconds, iterations = {}, []
     for config in configs:
         start = time.monotonic()
         rows = ready.join(assigned.filter(F.col("config") == config.label).drop("config"),
                           "sample_id")
-        predictions = train_and_predict(rows, options)
+        predictions, counts = _train_and_predict(rows, options)
         predictions.write.parquet(f"{folder}/predictions/config={config.label}")
-        seconds[config.label] = time.monotonic() - start
+        seconds[config.label] = shared + time.monotonic() - start
+        iterations += [(config.label, model, n, options.max_iterations) for model, n in counts.items()]
     predictions = spark.read.parquet(f"{folder}/predictions")
     runtime = F.create_map(*[F.lit(x) for pair in seconds.items() for x in pair])
-    return (evaluation.binary_metrics(predictions, ["config", "model", "split"])
-            .withColumn("seconds", F.element_at(runtime, F.col("config"))))
+    by = ["config", "model", "split"]
+    metrics = evaluation.binary_metrics(predictions, by).withColumn(
+        "seconds", F.element_at(runtime, F.col("config")))
+    keys = stored.select("sample_id", "dataset", "language", "ai")
+    coded = ready.select("sample_id", "code").join(assigned, "sample_id")
+    full = encoding.mask_length(F.coalesce(F.col("code"), F.lit(""))) == encoding.MAX_LENGTH
+    return RunTables(
+        metrics, evaluation.class_report(predictions, by),
+        split_summary(keys.join(assigned, "sample_id"), ["config"]),
+        coded.groupBy("config", "split").agg(F.count("*").alias("n"), F.count_if(full).alias("truncated")),
+        spark.createDataFrame(iterations, "config string, model string, iterations int, max_iterations int"))
 
 
 def _assign(samples: DataFrame, configs: Sequence[RunConfig], path: str) -> DataFrame:
@@ -121,11 +167,16 @@ def train_and_predict(rows: DataFrame, options: ModelOptions = ModelOptions()) -
 
     ``rows`` has ``sample_id, code, label, tree, split`` and the structural features.
     """
-    scores = []
-    if TEXT in options.models or BLEND in options.models:
-        scores.append(_text_scores(rows, options).withColumn("model", F.lit(TEXT)))
-    if TREE in options.models or BLEND in options.models:
-        scores.append(_tree_scores(rows, options).withColumn("model", F.lit(TREE)))
+    return _train_and_predict(rows, options)[0]
+
+
+def _train_and_predict(rows: DataFrame, options: ModelOptions) -> tuple[DataFrame, dict[str, int]]:
+    """Predictions, and the iterations of each fitted model."""
+    scores, iterations = [], {}
+    for name, fit in ((TEXT, _text_scores), (TREE, _tree_scores)):
+        if name in options.models or BLEND in options.models:
+            scored, iterations[name] = fit(rows, options)
+            scores.append(scored.withColumn("model", F.lit(name)))
     both = reduce(DataFrame.unionByName, scores)
     columns = ["model", "split", "sample_id", "y_true", "y_pred"]
     parts = [both.filter(F.col("model").isin(*options.models)).select(*columns)]
@@ -134,7 +185,7 @@ def train_and_predict(rows: DataFrame, options: ModelOptions = ModelOptions()) -
             "sample_id", "split", F.col("label").alias("y_true"))
         blended = learning.blend_scores(both, options.blend_weights()).join(truth, "sample_id")
         parts.append(blended.withColumn("model", F.lit(BLEND)).select(*columns))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts), iterations
 
 
 KEPT = ["sample_id", "split", "label"]
@@ -144,15 +195,15 @@ def _scored(model, held_out: DataFrame) -> DataFrame:
     return learning.predict(model, held_out, KEPT).withColumnRenamed("label", "y_true")
 
 
-def _text_scores(rows: DataFrame, options: ModelOptions) -> DataFrame:
+def _text_scores(rows: DataFrame, options: ModelOptions) -> tuple[DataFrame, int]:
     text = "tree" if options.text_uses_tree else "code"
     terms = learning.stored_terms(rows, KEPT, text)
     model = learning.fit_terms_classifier(terms.filter(F.col("split") == "train"), tol=options.tolerance,
                                           max_iterations=options.max_iterations)
-    return _scored(model, terms.filter(F.col("split") != "train"))
+    return _scored(model, terms.filter(F.col("split") != "train")), model.stages[-1].summary.totalIterations
 
 
-def _tree_scores(rows: DataFrame, options: ModelOptions) -> DataFrame:
+def _tree_scores(rows: DataFrame, options: ModelOptions) -> tuple[DataFrame, int]:
     tokens = vectors.with_tokens(rows, "tree")
     is_train = F.col("split") == "train"
     embedder = vectors.text_embedder().fit(tokens.filter(is_train))
@@ -168,4 +219,4 @@ def _tree_scores(rows: DataFrame, options: ModelOptions) -> DataFrame:
     ready = embedded.select(*KEPT, vectors.as_vector(F.col(vector)).alias("features"))
     model = learning.fit_classifier(ready.filter(is_train), tol=options.tolerance,
                                     max_iterations=options.max_iterations)
-    return _scored(model, ready.filter(~is_train))
+    return _scored(model, ready.filter(~is_train)), model.summary.totalIterations

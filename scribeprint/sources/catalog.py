@@ -24,6 +24,24 @@ class Entry:
     options: Mapping[str, object] = field(default_factory=dict)
 
 
+# The standard catalog, as name, language, AI and path below the language's folder.
+STANDARD: tuple[Entry, ...] = tuple(Entry(*e) for e in (
+    ("gptsniffer", "java", "chatgpt", "gptsniffer"),
+    ("humaneval", "java", "gpt_4", "humaneval_chatgpt4_java_merged.csv"),
+    ("humaneval", "java", "chatgpt", "humaneval_chatgpt_java_merged.csv"),
+    ("humaneval", "java", "gemini_pro", "humaneval_gemini_java_merged.csv"),
+    ("humaneval", "python", "gpt_4", "humaneval_chatgpt4_python_merged.csv"),
+    ("humaneval", "python", "chatgpt", "humaneval_chatgpt_python_merged.csv"),
+    ("humaneval", "python", "gemini_pro", "humaneval_gemini_python_merged.csv"),
+    ("mbpp", "python", "gpt_4", "mbpp_chatgpt4_python_merged.csv"),
+    ("mbpp", "python", "chatgpt", "mbpp_chatgpt_python_merged.csv"),
+    ("mbpp", "python", "gemini_pro", "mbpp_gemini_python_merged.csv"),
+    ("codenet", "python", "gemini_flash", "codenet_gemini_python.csv"),
+    ("hmcorp", "python", "chatgpt", "hmcorp.jsonl"),
+    ("hmcorp", "java", "chatgpt", "hmcorp.jsonl"),
+))
+
+
 def select_entries(catalog: Iterable[Entry], config: Mapping[str, Mapping] | None = None,
                    name: str | None = None, language: str | None = None) -> list[Entry]:
     """The entries a run needs. Paths of the others are never touched."""

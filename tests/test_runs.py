@@ -1,6 +1,8 @@
 import pytest
 
-from scribeprint.plans.runs import ModelOptions, RunConfig, run_report, standard_configs
+from scribeprint.plans.runs import (ModelOptions, RunConfig, run_report, run_tables,
+                                    standard_configs)
+from scribeprint.sources.catalog import STANDARD
 
 
 @pytest.fixture(scope="module")
@@ -23,8 +25,8 @@ def test_report_over_configs_and_models(samples):
               "c": {"test_size": 1}}
     configs = [RunConfig("python", 0.2, 0.2, language="python"), RunConfig("unseen", config=unseen)]
     options = ModelOptions(use_scaler=True, add_structural_features=True)
-    rows = {(r["config"], r["model"], r["split"]): r
-            for r in run_report(samples, configs, options).collect()}
+    tables = run_tables(samples, configs, options)
+    rows = {(r["config"], r["model"], r["split"]): r for r in tables.metrics.collect()}
     models = ("text", "tree", "blend")
     assert set(rows) == {(c, m, s) for c in ("python", "unseen") for m in models
                          for s in ("val", "test")}
@@ -37,10 +39,19 @@ def test_report_over_configs_and_models(samples):
         assert n(("unseen", m, "val")) == 4 + 6
         assert rows["unseen", m, "test"]["seconds"] > 0
     assert rows["python", "blend", "test"]["accuracy"] > 0.9
+    reports = tables.class_reports.filter("config = 'unseen' AND model = 'tree' AND split = 'test'")
+    assert {r["name"]: r["support"] for r in reports.collect()}["Human"] == 15 and reports.count() == 5
+    splits = {(r["config"], r["dataset"]): (r["train"], r["val"], r["test"]) for r in tables.splits.collect()}
+    assert splits["python", "Total"] == (36, 12, 12) and splits["unseen", "a"] == (16, 4, 0)
+    assert {(r["config"], r["split"]): (r["n"], r["truncated"]) for r in tables.truncated.collect()}[
+        "unseen", "test"] == (30, 0)
+    done = tables.iterations.collect()
+    assert len(done) == 4 and all(0 < r["iterations"] <= r["max_iterations"] for r in done)
 
 
 def test_standard_configs_and_weights(samples):
-    assert [c.label for c in standard_configs()] == ["all", "java", "python"]
+    assert [c.label for c in standard_configs()] == ["all", "java", "python", "unseen"]
+    assert len(STANDARD) == 13 and len({(e.name, e.language, e.ai) for e in STANDARD}) == 13
     assert standard_configs({"a": {"test_size": 1}})[-1].config == {"a": {"test_size": 1}}
     with pytest.raises(ValueError):
         run_report(samples, standard_configs(), ModelOptions(weights={"text": 0.5, "tree": 0.6}))
