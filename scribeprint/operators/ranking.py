@@ -21,8 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scribeprint.operators.lookup import lookup_join
-
-ALL, NONE = "g", ""  # above and below every hex string
+from scribeprint.session import stored
 
 
 def hash_key(id_col: str, seed: int, purpose: str) -> Column:
@@ -46,21 +45,24 @@ def running_counts(counts: DataFrame, strata: Sequence[str]) -> DataFrame:
 
 
 def with_cuts(df: DataFrame, running: DataFrame, strata: Sequence[str], cuts: Sequence[str],
-              id_col: str, seed: int, purpose: str) -> DataFrame:
+              id_col: str, seed: int, purpose: str, store: bool = False) -> DataFrame:
     """``df`` plus one boolean column per name in ``cuts``: is the row among the first k?
 
     ``running`` is ``running_counts`` plus a column of that name holding k, the same in all
-    rows of a stratum. Rows whose stratum is not in it are dropped.
+    rows of a stratum. With ``store`` the cut points, one row per stratum, are worked out at once and
+    kept in the shared folder; for results that are read several times.
     """
     strata, cuts = list(strata), list(cuts)
     points = _cut_points(df, running, strata, cuts, id_col, seed, purpose)
+    points = stored(points, "cut-points") if store else points
     keyed = df.withColumn("__h", hash_key(id_col, seed, purpose))
     keyed = keyed.withColumn("__zero", _zero(F.col("__h")))
-    joined = lookup_join(keyed, points, [*strata, "__zero"]).drop("__zero")
+    joined = lookup_join(keyed, points, [*strata, "__zero"], "left").drop("__zero")
     h, i = F.col("__h"), F.col(id_col)
-    for cut in cuts:
+    for cut in cuts:  # a stratum of which a cut takes nothing has no point
         last = F.col(f"__{cut}")
-        joined = joined.withColumn(cut, (h < last["h"]) | ((h == last["h"]) & (i <= last["id"])))
+        inside = (h < last["h"]) | ((h == last["h"]) & (i <= last["id"]))
+        joined = joined.withColumn(cut, F.coalesce(inside, F.lit(False)))
     return joined.drop("__h", *[f"__{cut}" for cut in cuts])
 
 
@@ -69,35 +71,26 @@ def _cut_points(df: DataFrame, running: DataFrame, strata: list[str], cuts: list
     """One row per stratum with, per cut, ``struct(h, id)`` of the last row inside."""
     named = F.explode(F.array(*[F.struct(F.lit(c).alias("cut"), F.col(c).cast("bigint").alias("k"))
                                 for c in cuts]))
-    k, upto, before = F.col("w.k"), F.col("upto"), F.col("upto") - F.col("n_bucket")
-    # A cut inside the stratum is kept with the bucket it falls in. One that takes nothing
-    # or everything needs no bucket; it is kept once, with the first.
-    trivial = (k <= 0) | (k >= F.col("n"))
-    kept = F.when(trivial, before == 0).otherwise((upto >= k) & (before < k))
-    ends = running.select("*", named.alias("w")).filter(kept).select(
-        *strata, "w.cut", F.when(~trivial, F.col("bucket")).alias("bucket"),
-        (k - before).alias("need"), F.when(k > 0, F.lit(ALL)).otherwise(F.lit(NONE)).alias("all"))
+    upto, before = F.col("upto"), F.col("upto") - F.col("n_bucket")
+    k = F.least(F.col("w.k"), F.col("n"))
+    ends = running.select("*", named.alias("w")).filter((upto >= k) & (before < k)).select(
+        *strata, "w.cut", "bucket", (k - before).alias("need"), (k == F.col("n")).alias("whole"))
 
     rows = df.select(*strata, F.col(id_col).alias("id"), hash_key(id_col, seed, purpose).alias("h"))
-    rows = rows.withColumn("bucket", F.substring("h", 1, 4))
-    inside = ends.filter(F.col("bucket").isNotNull()).drop("all")
-    in_end = lookup_join(rows, inside, [*strata, "bucket"])
+    in_end = lookup_join(rows.withColumn("bucket", F.substring("h", 1, 4)), ends, [*strata, "bucket"])
     order = Window.partitionBy(*strata, "cut", "bucket").orderBy("h", "id")
     # Rows of one id cannot be told apart, so a cut between them has no right place.
     repeated = F.raise_error(F.concat(F.lit("repeated id: "), F.col("id").cast("string")))
+    between = ~F.col("whole") & F.col("next").eqNullSafe(F.col("id")) & F.col("id").isNotNull()
     last = (in_end.withColumn("rank", F.row_number().over(order))
                   .withColumn("next", F.lead("id").over(order))
                   .filter(F.col("rank") == F.col("need"))
-                  .withColumn("id", F.when(F.col("next").eqNullSafe(F.col("id")) & F.col("id").isNotNull(),
-                                           repeated.cast(df.schema[id_col].dataType))
-                              .otherwise(F.col("id")))
-                  .select(*strata, "cut", "h", "id"))
-    beyond = ends.filter(F.col("bucket").isNull()).select(
-        *strata, "cut", F.col("all").alias("h"),
-        F.lit(None).cast(df.schema[id_col].dataType).alias("id"))
-    points = last.unionByName(beyond).groupBy(*strata).agg(*[
+                  .withColumn("id", F.when(between, repeated.cast(df.schema[id_col].dataType))
+                              .otherwise(F.col("id"))))
+    points = last.groupBy(*strata).agg(*[
         F.max(F.when(F.col("cut") == c, F.struct("h", "id"))).alias(f"__{c}") for c in cuts])
-    return points.withColumn("__zero", _zero(F.col(f"__{cuts[0]}.h")))
+    known = F.coalesce(*[F.col(f"__{c}.h") for c in cuts])
+    return points.withColumn("__zero", _zero(known))
 
 
 def _zero(text: Column) -> Column:

@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scribeprint.operators.lookup import same_keys
 from scribeprint.operators.ranking import bucket_counts, hash_key, running_counts, with_cuts
 
 SEED = 42
@@ -43,45 +42,43 @@ def with_config(df: DataFrame, config: Mapping[str, Mapping[str, float]]) -> Dat
               .withColumn("max_sample_count", setting("max_sample_count", "bigint")))
 
 
-def label_quotas(counts: DataFrame, strata: Sequence[str], label: str = "label",
-                 cap: int | str = "max_sample_count") -> DataFrame:
-    """Rows to keep per (stratum, label) so that the label ratio holds and the sum is the cap.
+def with_quotas(running: DataFrame, strata: Sequence[str], label: str = "label",
+                cap: int | str = "max_sample_count") -> DataFrame:
+    """``running`` counts of (stratum, label) plus ``keep``: rows to keep of the label, so that
+    the label ratio holds and the sum is the cap.
 
     Each label gets the floor of its share; what is left goes to the largest
     fractions, the lower label first on a tie. Without a cap, or with one that
     is not below the stratum's size, every row is kept.
     """
-    strata = list(strata)
-    capped = isinstance(cap, str)
-    keys = [*strata, label] + ([cap] if capped else [])
-    per_label = counts.groupBy(*keys).agg(F.sum("n_bucket").alias("n_label"))
     whole = Window.partitionBy(*strata)
-    size = F.col(cap) if capped else F.lit(cap).cast("bigint")
-    shares = (per_label.withColumn("n", F.sum("n_label").over(whole))
-                       .withColumn("size", F.least(F.coalesce(size, F.col("n")), F.col("n")))
-                       # whole numbers only, so the shares are exact, and wide enough for any two counts
-                       .withColumn("product", F.col("size").cast("decimal(19,0)")
-                                   * F.col("n_label").cast("decimal(19,0)"))
-                       .withColumn("floor", F.expr("product div n"))
-                       .withColumn("rest", F.col("product") % F.col("n"))
-                       .withColumn("left", F.col("size") - F.sum("floor").over(whole)))
-    turn = F.row_number().over(whole.orderBy(F.desc("rest"), F.asc(label)))
-    return shares.select(*strata, label, (
-        F.col("floor") + (turn <= F.col("left")).cast("bigint")).alias("keep"))
+    size = F.col(cap) if isinstance(cap, str) else F.lit(cap).cast("bigint")
+    # A label has a row for each hash bucket; the last one counts for it.
+    of_label = lambda c: F.when(F.col("upto") == F.col("n"), c)
+    total = F.sum(F.col("n_bucket")).over(whole)
+    shares = (running.withColumn("__all", total)
+                     .withColumn("__size", F.least(F.coalesce(size, F.col("__all")), F.col("__all")))
+                     # whole numbers only, so the shares are exact, and wide enough for any two counts
+                     .withColumn("__product", F.col("__size").cast("decimal(19,0)")
+                                 * F.col("n").cast("decimal(19,0)"))
+                     .withColumn("__floor", F.expr("__product div __all"))
+                     .withColumn("__rest", F.col("__product") % F.col("__all"))
+                     .withColumn("__left", F.col("__size") - F.sum(of_label(F.col("__floor"))).over(whole)))
+    turn = F.dense_rank().over(whole.orderBy(F.desc("__rest"), F.asc(label)))
+    keep = F.col("__floor") + (turn <= F.col("__left")).cast("bigint")
+    return shares.withColumn("keep", keep).drop("__all", "__size", "__product", "__floor", "__rest", "__left")
 
 
 def stratified_cap(df: DataFrame, cap: int | str = "max_sample_count",
                    strata: Sequence[str] = ("dataset", "language", "ai"), label: str = "label",
-                   id_col: str = "sample_id", seed: int = SEED) -> DataFrame:
+                   id_col: str = "sample_id", seed: int = SEED, store: bool = False) -> DataFrame:
     """At most ``cap`` rows per stratum (a number, or the column that holds it); the ratio of
-    the labels is kept."""
+    the labels is kept. ``store`` keeps the cut points (see ``ranking.with_cuts``)."""
     groups = [*strata, label]
     carried = [cap] if isinstance(cap, str) else []
     counts = bucket_counts(df, [*groups, *carried], id_col, seed, "cap")
-    quotas = label_quotas(counts, strata, label, cap).withColumnsRenamed(
-        {c: f"__{c}" for c in groups})
-    running = running_counts(counts, groups).join(quotas, same_keys(groups))
-    kept = with_cuts(df, running, groups, ["keep"], id_col, seed, "cap")
+    running = with_quotas(running_counts(counts, groups), strata, label, cap)
+    kept = with_cuts(df, running, groups, ["keep"], id_col, seed, "cap", store)
     return kept.filter("keep").drop("keep")
 
 
@@ -132,9 +129,10 @@ def split_datasets(samples: DataFrame, test_size: float | None = None,
                    name: str | None = None, language: str | None = None,
                    config: Mapping[str, Mapping[str, float]] | None = None,
                    id_col: str = "sample_id", seed: int = SEED) -> DataFrame:
-    """Filter, cap and split all datasets in one job: ``samples`` plus ``split``.
+    """Filter, cap and split all datasets: ``samples`` plus ``split``.
 
-    Either ``config`` (sizes and cap per dataset name) or both sizes are needed.
+    Either ``config`` (sizes and cap per dataset name) or both sizes are needed. A split reads its
+    input three times, so the cut points of a cap before it are stored and not found three times.
     """
     if not config and not (test_size and val_size):
         raise ValueError("give either config, or test_size and val_size (both above 0)")
@@ -143,11 +141,11 @@ def split_datasets(samples: DataFrame, test_size: float | None = None,
     if config:
         df = with_config(df, config)
         if any(c.get("max_sample_count") is not None for c in config.values()):
-            df = stratified_cap(df, "max_sample_count", strata, id_col=id_col, seed=seed)
+            df = stratified_cap(df, "max_sample_count", strata, id_col=id_col, seed=seed, store=True)
         df = split_dataset(df, "test_size", "val_size", strata, id_col, seed)
         return df.drop("test_size", "val_size", "max_sample_count")
     if max_sample_count is not None:
-        df = stratified_cap(df, max_sample_count, strata, id_col=id_col, seed=seed)
+        df = stratified_cap(df, max_sample_count, strata, id_col=id_col, seed=seed, store=True)
     return split_dataset(df, test_size, val_size, strata, id_col, seed)
 
 

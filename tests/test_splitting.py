@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scribeprint.operators import splitting
-from scribeprint.operators.ranking import hash_key
+from scribeprint.operators.ranking import hash_key, running_counts
 
 
 def table(spark, sizes, partitions=4):
@@ -96,20 +96,25 @@ def test_cap_ties_go_to_the_lower_label(spark):
 def test_plans_are_built_without_a_job(spark):
     df = table(spark, SIZES)
     spark.sparkContext.setJobGroup("splitting", "")
-    splitting.split_summary(splitting.split_datasets(df, 0.1, 0.1, 50))
+    splitting.stratified_cap(df, 50)
+    splitting.split_dataset(df, 0.1, 0.1)
     assert not spark.sparkContext.statusTracker().getJobIdsForGroup("splitting")
 
 
 def test_quotas_of_very_large_counts(spark):
     counts = spark.createDataFrame(
-        [("a", 0, 3 * 10**12), ("a", 1, 10**12), ("b", 0, 4 * 10**9), ("b", 1, 10**9)],
-        "dataset string, label int, n_bucket long").withColumn("max_sample_count", F.lit(None).cast("bigint"))
-    kept = splitting.label_quotas(counts, ["dataset"])
-    assert sorted(map(tuple, kept.collect())) == [
-        ("a", 0, 3 * 10**12), ("a", 1, 10**12), ("b", 0, 4 * 10**9), ("b", 1, 10**9)]
-    capped = splitting.label_quotas(counts, ["dataset"], cap=2 * 10**12 + 1).filter("dataset = 'a'")
-    assert sorted(map(tuple, capped.collect())) == [
-        ("a", 0, 15 * 10**11 + 1), ("a", 1, 5 * 10**11)]
+        [("a", 0, "0001", 10**12), ("a", 0, "0002", 2 * 10**12), ("a", 1, "0001", 10**12),
+         ("b", 0, "0001", 4 * 10**9), ("b", 1, "0003", 10**9)],
+        "dataset string, label int, bucket string, n_bucket long").withColumn(
+            "max_sample_count", F.lit(None).cast("bigint"))
+    running = running_counts(counts, ["dataset", "label"])
+
+    def kept(**cap):
+        rows = splitting.with_quotas(running, ["dataset"], **cap).select("dataset", "label", "keep").distinct()
+        return sorted(map(tuple, rows.collect()))
+
+    assert kept() == [("a", 0, 3 * 10**12), ("a", 1, 10**12), ("b", 0, 4 * 10**9), ("b", 1, 10**9)]
+    assert kept(cap=2 * 10**12 + 1)[:2] == [("a", 0, 15 * 10**11 + 1), ("a", 1, 5 * 10**11)]
 
 
 def test_a_cut_between_rows_of_one_id_stops(spark):
