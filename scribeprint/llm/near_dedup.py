@@ -8,11 +8,11 @@ probability 2 * (1 - 0.75^4)^28 = 5e-5 at s = 0.75, and 2e-7 at 0.8.
 
 - Equal sets are one class from the start, whatever their number.
 - Hashes that only one class has are dropped before any pair is formed.
-- In a bucket, every class is compared with the least one: as many comparisons as members, however hot
-  the bucket is. Comparisons read the whole sets; links make components.
-- Then only members of one bucket that are in different components are still open. Those pairs are
-  compared as well, where their sizes allow a link. So no link between candidates is lost, and
-  a large group is never multiplied out.
+- In a bucket, every class is compared with the one that shares most keys: as many comparisons as members,
+  however hot the bucket is. Comparisons read the whole sets; links make components.
+- Then only members of one bucket that are in different components are still open. They are compared
+  as well, pair by pair in small buckets and block against block in large ones. So no link between
+  candidates is lost, and a large group never becomes rows of pairs.
 """
 
 from __future__ import annotations
@@ -21,15 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scribeprint.llm.components import components
 from scribeprint.llm.scratch import as_text, free_name, quoted, written
-from scribeprint.llm.words import BLANKS, Words, mix, read_words, sequence_hashes, whole_windows
+from scribeprint.llm.words import BLANKS, Words, mix, read_words, runs, sequence_hashes, whole_windows
 
 SHINGLE = 5
 ROWS, TABLES = 4, 28
+#: Bits of a class id; above them, ids hold the order in which classes are centers of buckets.
+ID_BITS = 52
+#: Members of a bucket whose open pairs are rows; larger buckets are compared in blocks of so many texts and bytes.
+SMALL_BUCKET = 12
+BLOCK_TEXTS, BLOCK_BYTES = 256, 16 << 20
 #: Least intersection of two linked sets, in percent of their union.
 PERCENT = 75
 
@@ -127,44 +132,117 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _keyed(classes: DataFrame) -> DataFrame:
-    """``key, id``: the table keys of every class, from hashes that another class has too."""
+    """``key, id``: the table keys of every class, from hashes that another class has too.
+
+    The upper bits of these ids fall with the number of keys, so that the least id of a bucket is that of the
+    class which shares most: the likely original of a group of copies.
+    """
     hashes = classes.select("id", F.explode("tuples").alias("hash"))
-    shared = hashes.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter(
-        "low < high").select("hash")
+    shared = hashes.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    # Written: of a join of two tables Spark splits a hot key, of one with sums it does not.
+    shared = written(shared.filter("low < high").select("hash"), "shared-hashes")
     side = lambda n: F.collect_list(F.when(F.col("hash").bitwiseAND(1) == n, F.col("hash")))
     sides = hashes.join(shared, "hash").groupBy("id").agg(side(0).alias("left"), side(1).alias("right"))
+    turn = F.lit(TABLES * TABLES) - F.size("left") * F.size("right")
+    sides = sides.withColumn("id", F.shiftleft(turn.cast("long"), ID_BITS).bitwiseOR(F.col("id")))
     return sides.withColumn("left", F.explode("left")).withColumn("right", F.explode("right")).select(
         F.xxhash64("left", "right").alias("key"), "id")
 
 
+def _class_id(id_: str) -> Column:
+    return F.col(id_).bitwiseAND((1 << ID_BITS) - 1)
+
+
 def _component_links(classes: DataFrame, keyed_texts: DataFrame, percent: int) -> DataFrame:
-    """``id, label`` of linked classes."""
+    """``id, label`` of linked classes, in ids of classes."""
     keys = written(_keyed(classes), "table-keys")
-    buckets = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("most")).filter("a < most")
-    members = written(keys.join(buckets.select("key", "a"), "key"), "buckets")
+    buckets = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("most"))
+    buckets = written(buckets.filter("a < most").select("key", "a"), "buckets")
+    members = written(keys.join(buckets, "key"), "members")
     pairs = written(members.filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    reps = classes.select("id", F.col("rep.doc").alias("d_"), F.col("rep.text_hash").alias("h_")).join(wanted, "id")
+    wanted = wanted.select(F.col("id").alias("link_id"), _class_id("id").alias("id"))
+    reps = classes.select("id", "n", F.col("rep.doc").alias("d_"), F.col("rep.text_hash").alias("h_")).join(wanted, "id")
     texts = written(keyed_texts.join(
         reps, keyed_texts["doc"].eqNullSafe(reps["d_"]) & (keyed_texts["text_hash"] == reps["h_"])).select(
-        "id", "text"), "texts")
+        F.col("link_id").alias("id"), "n", "text"), "texts")
     links = _links(pairs, texts, percent)
     labels = components(links)
-    # What is left: members of one bucket in different components. Sizes rule out many of these pairs.
-    told = written(members.join(labels, "id", "left").join(classes.select("id", "n"), "id").select(
-        "key", "id", F.coalesce("label", "id").alias("label"), "n"), "labelled")
-    open_ = told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(
-        "low < high").select("key")
-    part = told.join(open_, "key")
-    other = part.select("key", *(F.col(c).alias(f"{c}_") for c in ("id", "label", "n")))
-    fits = ((F.col("label") < F.col("label_")) & (100 * F.least("n", "n_") >= percent * F.greatest("n", "n_")))
-    rest = part.join(other, "key").filter(fits).select(
+    more = _open_links(members, pairs, texts, labels, percent)
+    if more is not None and not more.isEmpty():
+        labels = components(links.unionAll(more))
+    return labels.select(_class_id("id").alias("id"), _class_id("label").alias("label"))
+
+
+def _open_links(members: DataFrame, pairs: DataFrame, texts: DataFrame, labels: DataFrame,
+                percent: int) -> DataFrame | None:
+    """Links between members of one bucket that are in different components.
+
+    In small buckets these are pairs. Larger buckets are put together where they overlap, and each
+    such group is compared in blocks, so that no pair is ever a row.
+    """
+    told = members.join(labels, "id", "left").select("key", "id", "a", F.coalesce("label", "id").alias("label"))
+    told = written(told, "labelled")
+    open_ = told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"),
+                                    F.count(F.lit(1)).alias("size")).filter("low < high").select("key", "size")
+    part = written(told.join(written(open_, "open-buckets"), "key"), "open-members")
+    if part.isEmpty():
+        return None
+    small = part.filter(F.col("size") <= SMALL_BUCKET).select("key", "id", "label")
+    other = small.select("key", F.col("id").alias("id_"), F.col("label").alias("label_"))
+    rest = small.join(other, "key").filter("label < label_").select(
         F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
-    rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "open-pairs")
-    if rest.isEmpty():
-        return labels
-    more = _links(rest, texts, percent)
-    return labels if more.isEmpty() else components(links.unionAll(more))
+    found = _links(rest.join(pairs, ["a", "b"], "left_anti"), texts, percent)
+    large = part.filter(F.col("size") > SMALL_BUCKET)
+    groups = components(large.select("a", F.col("id").alias("b")))
+    if groups.isEmpty():
+        return found
+    return found.unionAll(_block_links(groups, labels, texts, percent))
+
+
+def _block_links(groups: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links of different components in each group (``id, label``), compared block against block."""
+    own = labels.select(F.col("id").alias("id_"), F.col("label").alias("component"))
+    rows = groups.select("id", F.col("label").alias("group")).join(texts, "id")
+    rows = rows.join(own, F.col("id") == F.col("id_"), "left").select(
+        "group", "id", F.coalesce("component", "id").alias("component"), "text")
+    sizes = rows.groupBy("group").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).alias("n_blocks"))
+    rows = rows.join(written(sizes, "group-sizes"), "group")
+    # A text goes to every pair of blocks that its own block is part of.
+    block = F.pmod(F.xxhash64("id"), F.col("n_blocks"))
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    rows = rows.select("group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+                       "block", "id", "component", "text")
+    return written(rows.groupBy("group", "low", "high").applyInArrow(
+        lambda table: _compare_blocks(table, percent), "a long, b long"), "block-links")
+
+
+def _compare_blocks(table: pa.Table, percent: int) -> pa.Table:
+    """Links between the texts of two blocks, or of one with itself, that are in different components.
+
+    The shingles of the right block are one sorted list; each text of the left one looks its own up in it.
+    """
+    block, high = table["block"].to_numpy(), table["high"][0].as_py()
+    sets = [s for words in read_words(table["text"].combine_chunks(), BLANKS, fold=True)
+            for s in np.split(*_cut(words))]
+    sizes = np.array([len(s) for s in sets])
+    component, ids = table["component"].to_numpy(), table["id"].to_numpy()
+    right = np.flatnonzero(block == high)
+    left = right if table["low"][0].as_py() == high else np.flatnonzero(block != high)
+    shingles = np.concatenate([sets[k] for k in right]) if len(right) else np.empty(0, np.uint64)
+    owner = np.repeat(np.arange(len(right)), sizes[right])
+    order = np.argsort(shingles, kind="stable")
+    shingles, owner = shingles[order], owner[order]
+    a, b = [], []
+    for k in left:
+        low, high_ = np.searchsorted(shingles, sets[k], "left"), np.searchsorted(shingles, sets[k], "right")
+        both = np.bincount(owner[runs(low, high_ - low)], minlength=len(right))
+        linked = (100 * both >= percent * (sizes[k] + sizes[right] - both)) & (component[right] != component[k])
+        b.append(ids[right[linked]])
+        a.append(np.full(int(linked.sum()), ids[k]))
+    empty = np.empty(0, np.int64)
+    return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
 
 
 def _keyed_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
