@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scribeprint.llm.scratch import as_text, quoted, without, written
+from scribeprint.llm.scratch import as_text, map_rows, quoted, without, written
 from scribeprint.llm.words import BLANKS, mix, read_words, running_powers, runs, sequence_hashes
 
 LENGTH = 35
@@ -178,20 +178,24 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     found = keyed.mapInArrow(lambda b: _occurrences(b, length, anchor), OCCURRENCES)
     found = written(found, "anchors")
     # Seed. Counts are added up before and after the shuffle, so hot anchors are short rows.
-    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    # They are written: of a join of two tables Spark splits a hot key, of one with sums it does not.
+    often = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"),
+                    "repeated-anchors")
     seeded = written(found.join(often, "anchor"), "seeds")
     # Extend: one row stands for all equal spans of an anchor.
     one = F.min(F.struct("doc", "text_hash", "first", "last")).alias("one")
     spans = written(seeded.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("n"), one), "spans")
     equal = seeded.join(spans.filter("n > 1").select("anchor", "span"), ["anchor", "span"]).select(
         "doc", "text_hash", "first", "last")
-    mixed = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_spans")).filter("n_spans > 1").select("anchor")
+    mixed = written(spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_spans")).filter("n_spans > 1")
+                    .select("anchor"), "mixed-anchors")
     differing = spans.join(mixed, "anchor").select("n", "one.*")
     wanted = differing.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
     texts = _with_text(wanted, keyed).select("doc", "text_hash", "ranges", "text")
     windows = written(texts.mapInArrow(
         lambda b: _windows(b, length), "one long, two long, doc long, text_hash long, place int"), "windows")
-    twice = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two")
+    twice = written(windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+                    .select("one", "two"), "repeated-windows")
     partly = windows.join(twice, ["one", "two"]).select(
         "doc", "text_hash", F.col("place").alias("first"), F.col("place").alias("last"))
     return equal.unionByName(partly)
@@ -225,12 +229,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     hashed = F.xxhash64(as_text(text))
     all_ = base.join(ranges, base[doc_id].cast("long").eqNullSafe(ranges["doc_"])
                      & (hashed == ranges["text_hash_"]), "left")
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     columns = base.columns
     keep = [k for k, c in enumerate(columns) if c != text]
     schema = T.StructType([*(base.schema.fields[k] for k in keep), T.StructField("n_words", T.LongType()),
                            T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    arrow, text_at, ranges_at = to_arrow_schema(schema), columns.index(text), len(columns)
-    picked = all_.select(*quoted(base), "ranges_")
-    return picked.mapInArrow(lambda b: _removed(b, length, text_at, ranges_at, keep, arrow), schema)
+    text_at, ranges_at = columns.index(text), len(columns)
+    picked = all_.select(*(base[c] for c in quoted(base)), ranges["ranges_"])
+    return map_rows(picked, lambda b, arrow: _removed(b, length, text_at, ranges_at, keep, arrow), schema)
