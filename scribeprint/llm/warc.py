@@ -22,12 +22,15 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from scribeprint.llm.scratch import folder, importable, written
 
 REVISIT_BYTES = 100
-#: Most records of one archive; with the payload sizes it bounds what a task reads at once.
+#: Most records of one archive, and the payload bytes it is meant to hold: what a task reads at once.
 RECORDS = 2_000
+ARCHIVE_BYTES = 64 << 20
 #: Captures of one range of the index, about: what a merging task holds.
 RANGE_CAPTURES = 20_000
 #: Second 0 of pages that come without a time; a page's own time is so many seconds later as its id says.
@@ -61,10 +64,12 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     told = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), own.alias("payload"),
                         F.octet_length(own).cast("long").alias("payload_bytes"),
                         F.sha2(own, 256).alias("payload_digest"))
+    # Written: of a join of two tables Spark splits a hot key, of one with sums it does not.
     first = (told.filter(F.col("payload_bytes") >= REVISIT_BYTES).groupBy(F.col("payload_digest").alias("digest_"))
              .agg(F.min("page_id").alias("first_"), F.count(F.lit(1)).alias("n_"))
              .filter((F.col("n_") > 1) & F.col("first_").isNotNull()))
-    joined = told.join(first.select("digest_", "first_"), told["payload_digest"] == first["digest_"], "left")
+    first = written(first.select("digest_", "first_"), "warc-firsts")
+    joined = told.join(first, told["payload_digest"] == first["digest_"], "left")
     again = F.col("first_").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_"))
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest",
                          F.when(again, "revisit").otherwise("response").alias("record_type"),
@@ -96,10 +101,16 @@ def record_text() -> Column:
         F.lit("\r\n"), body)
 
 
-def write_archives(recorded: DataFrame, path: str) -> str:
-    """Archives of at most ``RECORDS`` records each, as gzip files of plain WARC records."""
+def records_per_archive(pages: DataFrame, html: str = "html") -> int:
+    """So many that an archive has about ``ARCHIVE_BYTES``, by the mean payload."""
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length(html), F.lit(0)))).first()[0] or 0
+    return max(1, min(RECORDS, int(ARCHIVE_BYTES / max(mean, 1))))
+
+
+def write_archives(recorded: DataFrame, path: str, n_records: int = RECORDS) -> str:
+    """Archives of at most ``n_records`` records each, as gzip files of plain WARC records."""
     (recorded.select(record_text().alias("record")).write.option("lineSep", END_MARK)
-     .option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path))
+     .option("compression", "gzip").option("maxRecordsPerFile", n_records).text(path))
     return path
 
 
@@ -164,9 +175,6 @@ def read_runs(spark, path: str) -> DataFrame:
     """Captures of all archives in a folder; those of one archive are a sorted run."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     kind = CAPTURE + ", place long"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     schema = to_arrow_schema(StructType.fromDDL(kind))
     return files.mapInArrow(lambda b: _runs(b, schema), kind)
 
@@ -245,6 +253,7 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     """
     spark = pages.sparkSession
     importable(spark)
-    path = write_archives(records(pages, page_id, url, html), folder(spark, "warc"))
+    path = write_archives(records(pages, page_id, url, html), folder(spark, "warc"),
+                          records_per_archive(pages, html))
     runs = written(read_runs(spark, path), "warc-runs")
     return merged_index(runs, captures)
