@@ -160,7 +160,8 @@ def find_secrets(docs: DataFrame, ratios: list[float] | None = None, doc_id: str
     names = {k: free_name(base, f"{k}_") for k in KINDS}
     out = base.withColumns({names[k]: v for k, v in found.items()})
     model = model_column(ratios)
-    looks_random = lambda m: let(ratio(m, model), lambda r: (r >= MIN_RATIO) & (r >= MIN_MEAN * F.length(m)))
+    looks_random = lambda m: let(ratio(m, model), lambda r: (
+        r >= F.greatest(F.lit(MIN_RATIO), MIN_MEAN * F.length(m))))
     out = out.withColumn(names["markov"], _places(own, CANDIDATE, looks_random))
     tagged = {k: _tag(F.col(names[k]), n) for n, k in enumerate(KINDS)}
 

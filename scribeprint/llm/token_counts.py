@@ -12,6 +12,7 @@ answered by looking, without encoding again.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,6 +35,8 @@ CONTRACTIONS = ("'re", "'ve", "'ll")
 #: Bytes of text handled at a time, and the longest word that is encoded together with others.
 PIECE = 2 << 20
 LONG_WORD = 64
+#: One space between a letter or digit and a letter: it begins a word, whatever else the text holds.
+SAFE_CUT = re.compile(rb"(?<=[A-Za-z0-9]) (?=[A-Za-z])")
 _SPREAD = 0x9E3779B97F4A7C15
 ADDED = ("n_bytes", "n_tokens", "prefix_counts")
 
@@ -324,7 +327,8 @@ class BatchCounter:
         counts = self.encode(sums, up_down, all_start[where[n_long:]], size[n_long:])
         for word in CONTRACTIONS:
             hit = np.flatnonzero(key[where[n_long:]] == _poly([word.encode()])[0])
-            counts[2, hit] = 2
+            if len(hit):
+                counts[2, hit] = 2
         total = np.empty(len(where), np.int32)
         total[n_long:] = counts[size[n_long:], np.arange(len(where) - n_long)]
         whole = {k: np.frombuffer(self.single.word_prefixes(data[all_start[w]:all_end[w]].decode()), "<i4")
@@ -357,17 +361,29 @@ class BatchCounter:
             high = int(np.searchsorted(offsets, offsets[low] + PIECE, side="right")) - 1
             high = min(max(high, low + 1), len(column))
             own = offsets[low:high + 1]
-            if own[-1] - own[0] > 4 * PIECE:  # one long text
-                yield self.single.prefixes(data[own[0]:own[-1]].tobytes().decode())
+            raw = data[own[0]:own[-1]].tobytes()
+            special = self._with_special(raw, own - own[0])
+            if len(raw) > PIECE and not special:  # one long text
+                yield self._long(raw)
             else:
-                raw = data[own[0]:own[-1]].tobytes()
-                special = self._with_special(raw, own - own[0])
                 for k, counts in enumerate(self.piece(raw, own - own[0])):
                     if k in special:
                         counts = self.single.prefixes(raw[own[k] - own[0]:own[k + 1] - own[0]].decode())
                     yield counts
             low = high
 
+    def _long(self, raw: bytes) -> np.ndarray:
+        """Counts of a long text, a piece at a time; pieces begin where the pattern always cuts."""
+        cuts = [0]
+        while len(raw) - cuts[-1] > PIECE and (found := SAFE_CUT.search(raw, cuts[-1] + PIECE)):
+            cuts.append(found.start())
+        parts, done = [np.zeros(1, np.int64)], 0
+        for a, b in zip(cuts, [*cuts[1:], len(raw)]):
+            counts = self.piece(raw[a:b], np.array([0, b - a]))[0]
+            parts.append(counts[1:] + done)
+            done += int(counts[-1])
+        return np.concatenate(parts)
+
     def _with_special(self, raw: bytes, offsets: np.ndarray) -> set[int]:
         rows = set()
         for name in self.single.special:

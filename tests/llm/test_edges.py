@@ -215,8 +215,8 @@ def test_random_strings_are_told_from_words(spark):
 def test_substring_dedup(spark, docs, none, rows, size, anchor):
     more = random.Random(2)
     rows = [(d, t) for d, t, _ in rows]
-    rows += [(more.choice([7, None, 500 + k]), " ".join(more.choices(more.choice(["ab", "abcdefgh"]), k=more.randrange(90))))
-             for k in range(150)]
+    rows += [(more.choice([7, None, 500 + k]),
+              " ".join(more.choices(more.choice(["ab", "abcdefgh"]), k=more.randrange(90)))) for k in range(150)]
     rows += rows[:12]
     df = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
     got = substring_dedup.remove_repeats(df, length=size, anchor=anchor).select(
@@ -292,6 +292,19 @@ def test_counts_at_every_prefix():
         assert list(token_counts.unpack(token_counts.pack(counts))) == list(counts)
 
 
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_counts, "PIECE", 200)
+    rng = random.Random(9)
+    parts = ["some", "words ", " it's we'll", "\n\n", "  ", "é", "123", "...", " and", " x y z"]
+    given = ["".join(rng.choices(parts, k=900)), "ab" * 300, "", "<|endoftext|> and" * 90, "a"]
+    for text in given:
+        assert list(next(tokenizer().texts(pa.array([text])))) == list(tokenizer().single.prefixes(text))
+    for text, counts in zip(given, tokenizer().texts(pa.array(given))):
+        assert list(counts) == list(tokenizer().single.prefixes(text))
+
+
 def test_warc(spark, monkeypatch):
     monkeypatch.setattr(warc, "RECORDS", 40)
     rng = random.Random(1)
