@@ -270,9 +270,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.first("n").alias("n"), F.first("tuples").alias("tuples"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     labels = _component_links(classes, keyed, percent)
-    of_class = classes.select("id", "node", "least").join(labels, "id", "left").select(
-        "node", "least", F.coalesce("label", "id").alias("component"))
-    least = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_class = written(classes.select("id", "node", "least").join(labels, "id", "left").select(
+        "node", "least", F.coalesce("label", "id").alias("component")), "class-components")
+    least = written(of_class.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
     told = of_class.join(least, "component").select(F.col("node").alias("node_"), "component", "component_id")
     joined = sketched.drop("tuples").join(told, sketched["node"] == told["node_"], "left")
     component_id = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc"))

@@ -143,8 +143,9 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", kee
     if not keep_text:
         counted = counted.drop(text)
     counted = written(counted, "quality-rules")
-    rejected = judge_hosts(counted, host).filter("rejected").select(F.col("host").alias("rejected_host_"),
-                                                                    F.lit(True).alias("rejected_"))
+    # Written, so that its size is known before rows are dealt by host: a hot host would be one task.
+    rejected = written(judge_hosts(counted, host).filter("rejected").select(
+        F.col("host").alias("rejected_host_"), F.lit(True).alias("rejected_")), "rejected-hosts")
     joined = counted.join(rejected, counted[host].eqNullSafe(rejected["rejected_host_"]), "left")
     kept = ~F.col("base_failed") & F.col("rejected_").isNull()
     return joined.select(*quoted(counted), kept.alias("kept"))
