@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribeprint.llm import (decontamination, licenses, mixing, near_dedup, quality_rules, resampling, secrets,
-                             substring_dedup, token_counts, warc)
+from scribeprint.llm import (decontamination, hard_negatives, licenses, mixing, near_dedup, quality_rules,
+                             radix_resampling, resampling, secrets, substring_dedup, token_counts, token_files, warc)
 from scribeprint.llm.scratch import documents
 
 
@@ -77,7 +77,27 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
                         (n_hit > 0).alias("contaminated"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(documents(spark, sf_dir, "doc_id", "text"),
+                                  public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every seventh vector the label is shifted, so that some near neighbours have another one."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    label = F.col("label").cast("long")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(vectors.withColumn("label", shifted))
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = radix_resampling.resample_to_target(documents(spark, sf_dir, "doc_id", "text"),
+                                                spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_source_mix, op2_minhash_near_dedup, op3_host_quality, op4_importance_resampling,
     op5_markov_secrets, op6_substring_dedup, op7_license_scan, op8_prefix_token_counts,
-    op9_warc_round_trip, op10_benchmark_decontamination)}
+    op9_warc_round_trip, op10_benchmark_decontamination, op11_token_files, op12_hard_negatives,
+    op13_target_resampling)}

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import struct
+import zlib
+from collections import Counter
 
 BLANK_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 MARK_WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -173,3 +177,53 @@ def archive(pages):
         out.append((page, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response",
                     first[data] if again else None))
     return out
+
+
+def target_resampling(docs, target, buckets=10_000, low=1, high=1, seed=2024, min_words=20, percent=10):
+    """Sorted (doc_id, n_words, n_features, weight, score, rank) of (doc_id, text) rows and target texts."""
+    def found(text):
+        words = mark_words(text)
+        return words, [zlib.crc32(" ".join(words[k:k + n]).encode()) % buckets
+                       for n in range(low, high + 1) for k in range(len(words) - n + 1)]
+
+    own = [(d, *found(t)) for d, t in docs]
+    s, t = Counter(b for _, _, v in own for b in v), Counter(b for x in target for b in found(x)[1])
+    n_s, n_t = sum(s.values()), sum(t.values())
+    out = []
+    for doc, words, v in own:
+        weight = sum(math.floor(1000 * math.log((t[b] + 1.0) * (n_s + buckets) / ((s[b] + 1.0) * (n_t + buckets))))
+                     for b in v)
+        h = int(hashlib.sha256(f"{seed}:{'null' if doc is None else doc}".encode()).hexdigest()[:8], 16)
+        out.append([doc, len(words), len(v), weight,
+                    weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None])
+    enough = sorted((r for r in out if r[1] >= min_words), key=lambda r: (-r[4], r[0] is None, r[0] or 0))
+    for k, r in enumerate(enough[:len(enough) * percent // 100]):
+        r[5] = k + 1
+    return sorted(map(tuple, out), key=repr)
+
+
+def token_files(docs, encode, end_id=2):
+    """(doc_id, start, n_tokens, ids_crc32), ids ascending and null first."""
+    out, start = [], 0
+    for doc, text in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = [*encode(text or ""), end_id]
+        out.append((doc, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+        start += len(ids)
+    return out
+
+
+def hard_negatives(rows, every=100, n_positives=5, n_negatives=10, low=30, high=90):
+    """Sorted (anchor, positive, rank, negative, positive score, negative score) of (id, vector, label) rows."""
+    used = [(i, [math.floor(256 * x) for x in v], c) for i, v, c in rows
+            if c is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for a, av, ac in used:
+        if a is None or a % every:
+            continue
+        found = sorted(((-sum(x * y for x, y in zip(av, v)), i is None, i or 0, c) for i, v, c in used
+                        if i != a and len(v) == len(av)))
+        for score, none, p, _ in [f for f in found if f[3] == ac][:n_positives]:
+            best = [f for f in found if f[3] != ac and low * -score <= 100 * -f[0] <= high * -score][:n_negatives]
+            out += [(a, None if none else p, k + 1, None if n[1] else n[2], -score, -n[0])
+                    for k, n in enumerate(best)]
+    return sorted(out, key=repr)

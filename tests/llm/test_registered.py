@@ -25,7 +25,7 @@ def docs(spark):
 def test_every_operator_is_registered():
     registered = driver.queries()
     assert set(QUERIES) < set(registered) and "pipeline" in registered
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in registered) == 1
 
 
@@ -62,6 +62,20 @@ def test_token_counts(spark, docs):
         assert (got[doc]["n_tokens"], got[doc]["over_limit"]) == (n, n > 1024)
 
 
+def test_token_files(spark, docs):
+    tokenizers = pytest.importorskip("tokenizers")
+    lib = tokenizers.Tokenizer.from_file(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json"))
+    got = QUERIES["op11_token_files"](spark, SF).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == brute.token_files(docs, lambda t: lib.encode(t, add_special_tokens=False).ids)
+
+
+def test_target_resampling(spark, docs):
+    target = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    got = sorted((tuple(r) for r in QUERIES["op13_target_resampling"](spark, SF).collect()), key=repr)
+    assert got == sorted(((r[0], *r[2:]) for r in brute.target_resampling(docs, target)), key=repr)
+    assert sum(r[-1] is not None for r in got) > 0
+
+
 def test_mix(spark, docs):
     rows = QUERIES["op1_source_mix"](spark, SF).collect()
     assert sorted((r["doc_id"], r["size"]) for r in rows) == sorted((d, len(brute.blank_words(t))) for d, t in docs)
