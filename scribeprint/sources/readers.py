@@ -2,8 +2,8 @@
 
 ``reject`` holds the reason why a row is not usable and is null for good rows;
 ``functions.labels.enforce`` decides what happens to the bad ones. Row ids come
-from the file name or from the position of the row in the scan: store the
-samples once (``sinks.write_samples``) to fix them for all later runs.
+from the file name, with the line number where a file has many rows, so they are
+the same whatever the number of tasks.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from scribeprint.functions.labels import (label_from_number, label_from_prefix,
                                           label_from_word)
 from scribeprint.functions.text import clean_text, universal_newlines
+from scribeprint.sources.records import csv_rows, file_lines, numbered_lines, row_id
 
 # Spellings that the usual CSV readers of Python take for "no value".
 NA_STRINGS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -29,10 +30,6 @@ def _bad_label(given: Column, label: Column) -> Column:
     return F.when(label.isNull(), text)
 
 
-def _row_id(prefix: str) -> Column:
-    return F.concat_ws(":", F.lit(prefix), F.monotonically_increasing_id().cast("string"))
-
-
 def read_folder(spark: SparkSession, path: str, language: str) -> DataFrame:
     """One sample per file, labelled by the file name's prefix; sub-folders are not read."""
     name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
@@ -64,23 +61,20 @@ def read_csv(spark: SparkSession, path: str, language: str, clean: bool = True,
     """Columns ``code`` and ``label`` of a CSV with a header. Rows without code are dropped
     before their label is looked at; all columns are read as text, none is inferred.
 
-    With ``multi_line`` a quoted field may hold line breaks, and a file is read by one task;
-    files without such fields are split freely if it is off."""
-    raw = (spark.read.option("header", True).option("multiLine", multi_line)
-           .option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
-           .csv(path).select("code", "label"))
+    With ``multi_line`` a quoted field may hold line breaks. Files are split either way (see
+    ``sources.records``)."""
+    raw = csv_rows(spark, path, multi_line).select("file", "line", "code", "label")
     code = clean_text(F.col("code")) if clean else F.col("code")
     label = label_from_word(F.col("label"))
     return drop_null_code(raw).select(
-        _row_id(path.rstrip("/").rsplit("/", 1)[-1]).alias("sample_id"), code.alias("code"),
+        row_id(path).alias("sample_id"), code.alias("code"),
         label.alias("label"), F.lit(language).alias("language"),
         _bad_label(F.col("label"), label).alias("reject"))
 
 
 def read_jsonl(spark: SparkSession, path: str, language: str, clean: bool = False) -> DataFrame:
     """One JSON object per line with ``code`` and a numeric ``label``."""
-    lines = spark.read.text(path).withColumn(
-        "sample_id", _row_id(path.rstrip("/").rsplit("/", 1)[-1]))
+    lines = numbered_lines(file_lines(spark, path)).withColumn("sample_id", row_id(path))
     return parse_json_lines(lines, language, clean)
 
 
