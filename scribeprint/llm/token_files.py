@@ -19,10 +19,12 @@ Where a document starts among all ids follows from the sums of the chunks before
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,28 +33,48 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scribeprint.llm.scratch import as_text, folder, importable, map_rows, written
-from scribeprint.llm.words import BLANKS, read_words, runs
+from scribeprint.llm.words import POWERS, PIECE_BYTES, fold_values, mix, runs, text_buffers
 
 END_ID = 2
-BLOCK, PERCENTILE = 512, 95
+BLOCK, PERCENTILE = 1024, 95
 #: Ids of a chunk, of a shard (a task's share), and chunks of a file.
 CHUNK_IDS, SHARD_IDS, FILE_CHUNKS = 1 << 17, 1 << 23, 64
-#: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 300_000
+#: Distinct words whose ids a worker keeps, and words that are encoded in one call.
+CACHE_WORDS, CALL_WORDS = 800_000, 4_096
+#: Rows of a batch that are encoded before their ids are handed on.
+ROWS = 1_024
 MAGIC = b"PFR1"
 _HEAD, _SIZES = struct.Struct("<4sIQ"), struct.Struct("<5I")
 _DOCUMENT = np.dtype([("id", "<i8"), ("count", "<u4"), ("first", "<u4"), ("flags", "<u4")])
 GOES_ON, COMES_ON, NO_ID = 1, 2, 4
-MOST_ROWS = 1 << 31
+
+
+def _kinds() -> np.ndarray:
+    """For each byte: 0 white space, 1 a letter, 2 a mark, 3 anything else."""
+    kinds = np.full(256, 3, np.uint8)
+    kinds[[9, 10, 11, 12, 13, 32]] = 0
+    kinds[[*range(65, 91), *range(97, 123)]] = 1
+    kinds[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'<|"]] = 2
+    return kinds
+
+
+KINDS = _kinds()
 
 
 class WordIds:
-    """Ids of many texts at a time. White space always cuts, so each distinct word is encoded once."""
+    """Ids of many texts at a time, each distinct word encoded once.
+
+    For tokenizers that compose characters, drop white space, lower-case, and cut letters from marks: then white space
+    and places between an ASCII letter and an ASCII mark always cut, but for apostrophes and in special
+    strings (``<|``), and A-Z are as a-z. Words with ``<`` stay as they are.
+    """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         self.forget()
 
     def forget(self) -> None:
@@ -60,38 +82,93 @@ class WordIds:
         self.length, self.ids = np.empty(0, np.int64), np.empty(0, np.uint32)
 
     def _learn(self, hashes: np.ndarray, names: list[str]) -> None:
-        if len(self.hashes) + len(hashes) > CACHE_WORDS:
-            self.forget()
-        found = [e.ids for e in self.tokenizer.encode_batch(names, add_special_tokens=False)]
-        length = np.fromiter(map(len, found), np.int64, len(found))
+        length, parts = np.empty(len(names), np.int64), [self.ids]
+        for k in range(0, len(names), CALL_WORDS):
+            found = [e.ids for e in self.encode(names[k:k + CALL_WORDS], add_special_tokens=False)]
+            length[k:k + len(found)] = [len(ids) for ids in found]
+            parts.append(np.array(list(chain.from_iterable(found)), np.uint32))
         first = len(self.ids) + np.cumsum(length) - length
-        own = np.fromiter((i for ids in found for i in ids), np.uint32, int(length.sum()))
         at = np.searchsorted(self.hashes, hashes)
         self.hashes = np.insert(self.hashes, at, hashes)
         self.first, self.length = np.insert(self.first, at, first), np.insert(self.length, at, length)
-        self.ids = np.concatenate([self.ids, own])
-
-    def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
-        """Ids of each text; null is empty."""
-        for words in read_words(column, BLANKS, fold=False):
-            distinct, sample, each = np.unique(words.hashes, return_index=True, return_inverse=True)
+        self.ids = np.concatenate(parts)
+
+    def _words(self, data: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where words of data[own[0]:own[-1]] start and end, and their hashes. None goes over the end of a row."""
+        base = int(own[0])
+        kind = KINDS[data[base:own[-1]]]
+        before = np.concatenate([[np.uint8(0)], kind[:-1]])
+        before[own[:-1][own[1:] > own[:-1]] - base] = 0
+        cut = (before == 0) | ((kind == 1) & (before == 2)) | ((kind == 2) & (before == 1))
+        start = np.flatnonzero((kind > 0) & cut)
+        # A word ends where the next one starts or white space does.
+        stops = np.append(((kind == 0) & (before > 0)) | ((kind > 0) & cut), True)
+        stops[own[1:] - base] = True
+        stop = np.flatnonzero(stops)
+        end = stop[np.searchsorted(stop, start, side="right")]
+        up, down = POWERS.upto(len(kind) + 1)
+        sums = np.zeros(len(kind) + 1, np.uint64)
+        np.cumsum(fold_values(True)[data[base:own[-1]]] * up[:-1], out=sums[1:])
+        hashes = mix((sums[end] - sums[start]) * down[start])
+        special = np.flatnonzero(data[base:own[-1]] == ord("<"))
+        if len(special):
+            mine = np.unique(np.searchsorted(start, special, side="right") - 1)
+            np.cumsum(fold_values(False)[data[base:own[-1]]] * up[:-1], out=sums[1:])
+            hashes[mine] = mix((sums[end[mine]] - sums[start[mine]]) * down[start[mine]] + np.uint64(1))
+        return start + base, end + base, hashes
+
+    def _ids(self, data: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some rows, and where those of each row end."""
+        if own[-1] == own[0]:
+            return np.empty(0, np.uint32), np.zeros(len(own), np.int64)
+        start, end, hashes = self._words(data, own)
+        distinct, sample, each = np.unique(hashes, return_index=True, return_inverse=True)
+
+        def new() -> np.ndarray:
             at = np.searchsorted(self.hashes, distinct)
             known = at < len(self.hashes)
             known[known] = self.hashes[at[known]] == distinct[known]
-            if not known.all():
-                if len(self.hashes) + int((~known).sum()) > CACHE_WORDS:
-                    self.forget()
-                    known[:] = False
-                new = np.flatnonzero(~known)
-                self._learn(distinct[new], [words.data[a:b].tobytes().decode() for a, b in zip(
-                    words.start[sample[new]].tolist(), words.end[sample[new]].tolist())])
-                at = np.searchsorted(self.hashes, distinct)
-            at = at[each]
-            length = self.length[at]
-            ids = self.ids[runs(self.first[at], length)]
-            ends = np.concatenate([[0], np.cumsum(length)])[words.first]
-            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                yield ids[a:b]
+            return np.flatnonzero(~known)
+
+        if len(self.hashes) + len(unknown := new()) > CACHE_WORDS:
+            self.forget()
+            unknown = new()
+        if len(unknown):
+            text = data.data
+            self._learn(distinct[unknown], [str(text[a:b], "utf-8") for a, b in zip(
+                start[sample[unknown]].tolist(), end[sample[unknown]].tolist())])
+        at = np.searchsorted(self.hashes, distinct)[each]
+        length = self.length[at]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        return self.ids[runs(self.first[at], length)], ends[np.searchsorted(start, own)]
+
+    def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text; null is empty. Texts are taken in pieces of about a megabyte; a long one is cut at
+        white space."""
+        data, offsets = text_buffers(column)
+        low = 0
+        while low < len(column):
+            high = int(np.searchsorted(offsets, offsets[low] + PIECE_BYTES, side="right")) - 1
+            high = min(max(high, low + 1), len(column))
+            own = offsets[low:high + 1]
+            if own[-1] - own[0] > PIECE_BYTES:
+                yield self._long(data, int(own[0]), int(own[1]))
+            else:
+                ids, ends = self._ids(data, own)
+                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                    yield ids[a:b]
+            low = high
+
+    def _long(self, data: np.ndarray, low: int, high: int) -> np.ndarray:
+        parts = []
+        while low < high:
+            cut = min(low + PIECE_BYTES, high)
+            while cut < high and KINDS[data[cut]]:
+                gaps = np.flatnonzero(KINDS[data[cut:cut + PIECE_BYTES]] == 0)
+                cut = cut + int(gaps[0]) if len(gaps) else min(cut + PIECE_BYTES, high)
+            parts.append(self._ids(data, np.array([low, cut]))[0])
+            low = cut
+        return np.concatenate(parts)
 
 
 @lru_cache(maxsize=2)
@@ -108,44 +185,48 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
     def run(batches, arrow):
         own = word_ids(path)
         for batch in batches:
-            sizes, stored = [], []
-            for ids in own.texts(batch.column(0)):
-                sizes.append(len(ids) + 1)
-                wide = end_id >= 1 << 16 or (len(ids) and int(ids.max()) >= 1 << 16)
-                stored.append((b"4" if wide else b"2") + np.append(ids, end_id).astype("<u4" if wide else "<u2").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(sizes, pa.int64()), pa.array(stored, pa.binary())], schema=arrow)
+            for low in range(0, len(batch), ROWS):  # what is made of a batch is not held all at once
+                part = batch.slice(low, ROWS)
+                sizes, stored = [], []
+                for ids in own.texts(part.column(0)):
+                    sizes.append(len(ids) + 1)
+                    wide = end_id >= 1 << 16 or (len(ids) and int(ids.max()) >= 1 << 16)
+                    stored.append((b"4" if wide else b"2") + np.append(ids, end_id).astype("<u4" if wide else "<u2").tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(1), pa.array(sizes, pa.int64()), pa.array(stored, pa.binary())], schema=arrow)
+            del batch, part
+            pa.default_memory_pool().release_unused()
 
     return map_rows(plain, run, T.StructType.fromDDL("id long, n_tokens long, ids binary"))
 
 
-def _unstored(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[:1].decode()}", offset=1).astype(np.uint32)
-
-
-def _bit_length(values: np.ndarray) -> np.ndarray:
-    return np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.int64)
+def _unstored(data: pa.Buffer) -> np.ndarray:
+    """Ids of a row of ``encoded``: the width of an id as a digit, then the ids."""
+    return np.frombuffer(data, f"<u{chr(data[0])}", offset=1).astype(np.uint32)
 
 
 def pack_block(ids: np.ndarray, percentile: int = PERCENTILE) -> bytes:
     """A block of at most 65,535 ids."""
     least = ids.min()
-    rest = ids - least
-    width = int(_bit_length(np.percentile(rest, percentile, method="higher")))
-    places = np.flatnonzero(_bit_length(rest) > width)
-    packed = rest.copy()
-    packed[places] = 0
-    bits = (packed[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    return b"".join((struct.pack("<IBBH", int(least), width, 0, len(places)), places.astype("<u2").tobytes(),
-                     rest[places].astype("<u4").tobytes(), np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()))
+    rest = (ids - least).astype("<u4")
+    at = -(-percentile * (len(rest) - 1) // 100)
+    width = int(np.partition(rest, at)[at]).bit_length()
+    places = np.flatnonzero(rest.astype(np.uint64) >> np.uint64(width))
+    values = rest[places].tobytes()
+    rest[places] = 0
+    bits = np.unpackbits(rest.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    return b"".join((struct.pack("<IBBH", int(least), width, 0, len(places)), places.astype("<u2").tobytes(), values,
+                     np.packbits(bits, bitorder="little").tobytes()))
 
 
 def unpack_block(data: memoryview, count: int) -> np.ndarray:
     least, width, _, n = struct.unpack_from("<IBBH", data)
     places = np.frombuffer(data, "<u2", n, 8)
     values = np.frombuffer(data, "<u4", n, 8 + 2 * n)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, offset=8 + 6 * n), count=count * width, bitorder="little")
-    rest = (bits.reshape(count, width) @ (1 << np.arange(width, dtype=np.int64))).astype(np.uint32)
+    bits = np.zeros((count, 32), np.uint8)
+    bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8, offset=8 + 6 * n), count=count * width,
+                                    bitorder="little").reshape(count, width)
+    rest = np.packbits(bits, axis=1, bitorder="little").view("<u4")[:, 0].astype(np.uint32)
     rest[places] = values
     return rest + np.uint32(least)
 
@@ -179,7 +260,7 @@ def read_block(body: memoryview, number: int) -> np.ndarray:
     return unpack_block(body[base + a:base + b], min(BLOCK, n_ids - number * BLOCK))
 
 
-def chunks_of(data: bytes) -> Iterator[memoryview]:
+def chunks_of(data: bytes | memoryview) -> Iterator[memoryview]:
     """Bodies of the chunks of a file."""
     at, view = 0, memoryview(data)
     while at < len(data):
@@ -189,7 +270,7 @@ def chunks_of(data: bytes) -> Iterator[memoryview]:
         at += _HEAD.size
         yield view[at:at + size]
         at += size + 1
-        if data[at - 1:at] != b"\n":
+        if bytes(view[at - 1:at]) != b"\n":
             raise ValueError(f"the chunk before byte {at} does not end where its length says")
 
 
@@ -204,9 +285,9 @@ def _cut(batches: Iterator[pa.RecordBatch], schema: pa.Schema, chunk_ids: int):
         return pa.RecordBatch.from_arrays([pa.array([row], pa.binary())], schema=schema)
 
     for batch in batches:
-        for number, doc_id, data in zip(*(c.to_pylist() for c in batch.columns)):
-            shard = number
-            ids, first, at = _unstored(data), chunk, 0
+        for number, doc_id, data in zip(*batch.columns):
+            shard, doc_id = number.as_py(), doc_id.as_py()
+            ids, first, at = _unstored(data.as_buffer()), chunk, 0
             while at < len(ids):
                 part = ids[at:at + chunk_ids - held]
                 flags = (GOES_ON * (at + len(part) < len(ids)) | COMES_ON * (at > 0) | NO_ID * (doc_id is None))
@@ -248,7 +329,7 @@ def read_pieces(spark: SparkSession, path: str) -> DataFrame:
     def run(batches, arrow):
         for batch in batches:
             for content in batch.column(0):
-                for body in chunks_of(content.as_py()):
+                for body in chunks_of(memoryview(content.as_buffer())):
                     shard, chunk, documents, ids = read_chunk(body)
                     count, n = documents["count"].astype(np.int64), len(documents)
                     ends = np.cumsum(count)

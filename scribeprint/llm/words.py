@@ -51,6 +51,11 @@ _FOLDED = _BYTES.copy()
 _FOLDED[65:91] = _BYTES[97:123]
 
 
+def fold_values(fold: bool) -> np.ndarray:
+    """Value of each byte in a hash. ``fold``: A-Z count as a-z."""
+    return _FOLDED if fold else _BYTES
+
+
 class _Powers:
     """Powers of the base and of its inverse, grown when a longer piece comes."""
 
