@@ -179,7 +179,7 @@ def word_ids(path: str) -> WordIds:
 
 def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
             end_id: int = END_ID) -> DataFrame:
-    """``id, n_tokens, ids`` (packed, in two or four bytes each) of every document, with the end id."""
+    """``id, n_tokens, ids`` (see ``_stored``) of every document, with the end id."""
     plain = docs.select(as_text(text).alias("text"), F.col(doc_id).cast("long").alias("id"))
 
     def run(batches, arrow):
@@ -190,8 +190,7 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
                 sizes, stored = [], []
                 for ids in own.texts(part.column(0)):
                     sizes.append(len(ids) + 1)
-                    wide = end_id >= 1 << 16 or (len(ids) and int(ids.max()) >= 1 << 16)
-                    stored.append((b"4" if wide else b"2") + np.append(ids, end_id).astype("<u4" if wide else "<u2").tobytes())
+                    stored.append(_stored(np.append(ids, np.uint32(end_id))))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(1), pa.array(sizes, pa.int64()), pa.array(stored, pa.binary())], schema=arrow)
             del batch, part
@@ -200,9 +199,18 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
     return map_rows(plain, run, T.StructType.fromDDL("id long, n_tokens long, ids binary"))
 
 
+_CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def _stored(ids: np.ndarray) -> bytes:
+    """Ids as they are moved: width of an id, bytes, and the ids in two or four bytes each, compressed."""
+    data = ids.astype("<u4" if int(ids.max()) >= 1 << 16 else "<u2")
+    return struct.pack("<BI", data.itemsize, data.nbytes) + _CODEC.compress(data.tobytes(), asbytes=True)
+
+
 def _unstored(data: pa.Buffer) -> np.ndarray:
-    """Ids of a row of ``encoded``: the width of an id as a digit, then the ids."""
-    return np.frombuffer(data, f"<u{chr(data[0])}", offset=1).astype(np.uint32)
+    width, size = struct.unpack_from("<BI", data)
+    return np.frombuffer(_CODEC.decompress(data[5:], size), f"<u{width}").astype(np.uint32)
 
 
 def pack_block(ids: np.ndarray, percentile: int = PERCENTILE) -> bytes:
