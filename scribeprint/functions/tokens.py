@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = "struct<step:int,is_node:boolean,type:string,n_bytes:int>"
+#: The same with the token's own text, for leaves.
+TEXT_TOKEN = TOKEN[:-1] + ",text:string>"
 
 MARKUP = r"(?s)<!--.*?-->|<[^>]*>|[^<]+|<"
 # HTML elements that have no end tag.
@@ -41,9 +43,10 @@ KEYWORDS: dict[str, tuple[str, ...]] = {
 ROOTS: dict[str, str] = {"python": "module", "java": "program"}
 
 
-def token(step: int, is_node: bool, kind: Column, n_bytes: Column) -> Column:
+def token(step: int, is_node: bool, kind: Column, n_bytes: Column, text: Column | None = None) -> Column:
+    own = [] if text is None else [text.alias("text")]
     return F.struct(F.lit(step).alias("step"), F.lit(is_node).alias("is_node"),
-                    kind.alias("type"), n_bytes.cast("int").alias("n_bytes"))
+                    kind.alias("type"), n_bytes.cast("int").alias("n_bytes"), *own)
 
 
 def _all_matches(text: Column, pattern: str) -> Column:
@@ -69,23 +72,25 @@ def markup_tokens(html: Column) -> Column:
     return F.transform(_all_matches(html, MARKUP), classify)
 
 
-def code_tokens(code: Column, language: str) -> Column:
+def code_tokens(code: Column, language: str, texts: bool = False) -> Column:
     """Brackets open and close nodes and are their first and last leaf; names, keywords,
-    numbers, strings, comments and operators are leaves; white space is no node."""
+    numbers, strings, comments and operators are leaves; white space is no node. With ``texts`` leaves
+    keep their text."""
     def classify(t: Column) -> Column:
         size = F.octet_length(t)
-        leaf = lambda kind: F.array(token(0, True, kind, size))
         none = F.lit(None).cast("string")
+        leaf = lambda kind: F.array(token(0, True, kind, size, t if texts else None))
+        no_text = none if texts else None
         comment = t.startswith("#") if language == "python" else (
             t.startswith("//") | t.startswith("/*"))
         group = (F.when(t == "(", F.lit("parenthesized")).when(t == "[", F.lit("bracketed"))
                   .otherwise(F.lit("block")))
-        opened = F.concat(F.array(token(1, True, group, F.lit(0))), leaf(t))
-        closed = F.concat(leaf(t), F.array(token(-1, False, none, F.lit(0))))
+        opened = F.concat(F.array(token(1, True, group, F.lit(0), no_text)), leaf(t))
+        closed = F.concat(leaf(t), F.array(token(-1, False, none, F.lit(0), no_text)))
         number = F.when(t.rlike(r"^[0-9]+$"), F.lit("integer")).otherwise(F.lit("float"))
         return (F.when(t.isin("(", "[", "{"), opened)
                 .when(t.isin(")", "]", "}"), closed)
-                .when(t.rlike(r"^\s"), F.array(token(0, False, none, size)))
+                .when(t.rlike(r"^\s"), F.array(token(0, False, none, size, no_text)))
                 .when(comment & (F.length(t) > 1), leaf(F.lit("comment")))
                 .when(t.startswith('"') | t.startswith("'"), leaf(F.lit("string")))
                 .when(t.rlike(r"^\p{N}"), leaf(number))

@@ -7,13 +7,14 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import IDF, CountVectorizerModel, NGram, Normalizer, SQLTransformer
+from pyspark.ml.feature import IDF, NGram, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scribeprint.functions.scoring import argmax2
-from scribeprint.operators.vectors import with_tokens
+from scribeprint.operators.encoding import text_tokens
+from scribeprint.operators.vectors import bucket_counts
 from scribeprint.session import shared_dir
 
 MAX_ITERATIONS = 1000
@@ -64,20 +65,12 @@ def fit_classifier(train: DataFrame, features: str = "features", label: str = "l
 
 
 def hash_terms(df: DataFrame, keep: Sequence[str], text: str = "code", digits: int = 3,
-               n: int = 2) -> DataFrame:
-    """``keep`` columns plus ``counts``: how often tokens, and runs of ``n`` tokens, of each bucket occur.
-
-    A term belongs to the bucket named by the first ``digits`` hex digits of its md5. Short sparse rows
-    come out, so store them: learning and scoring then read and cut every text once.
-    """
-    buckets = [f"{i:0{digits}x}" for i in range(16 ** digits)]
-    hashed = (f"SELECT *, transform(concat(tokens, grams), t -> substring(md5(t), 1, {digits})) "
-              "AS buckets FROM __THIS__")
-    stages = (NGram(inputCol="tokens", outputCol="grams", n=n), SQLTransformer(statement=hashed),
-              CountVectorizerModel.from_vocabulary(buckets, inputCol="buckets", outputCol="counts"))
-    for stage in stages:
-        df = stage.transform(with_tokens(df, text) if stage is stages[0] else df)
-    return df.select(*keep, "counts")
+               n: int = 2, hashing: str = "md5") -> DataFrame:
+    """``keep`` columns plus ``counts``: how often tokens, and runs of ``n`` tokens, of each bucket occur
+    (see ``vectors.bucket_counts``)."""
+    grams = NGram(inputCol="tokens", outputCol="grams", n=n).transform(
+        df.withColumn("tokens", text_tokens(F.col(text))))
+    return bucket_counts(grams, "concat(tokens, grams)", keep, digits, hashing)
 
 
 def stored_terms(df: DataFrame, keep: Sequence[str], text: str = "code") -> DataFrame:
@@ -86,16 +79,16 @@ def stored_terms(df: DataFrame, keep: Sequence[str], text: str = "code") -> Data
     return hash_terms(df, keep, text).checkpoint()
 
 
-def term_features() -> Pipeline:
+def term_features(counts: str = "counts") -> Pipeline:
     """Estimator from ``counts`` to ``features``: weighted by rarity and brought to length 1."""
-    return Pipeline(stages=[IDF(inputCol="counts", outputCol="rare"),
+    return Pipeline(stages=[IDF(inputCol=counts, outputCol="rare"),
                             Normalizer(inputCol="rare", outputCol="features")])
 
 
-def fit_terms_classifier(train: DataFrame, label: str = "label", tol: float = 1e-4,
+def fit_terms_classifier(train: DataFrame, label: str = "label", tol: float = 1e-4, counts: str = "counts",
                          **settings) -> PipelineModel:
     """Counts of terms to two-class probabilities: rarity weights and a linear model."""
-    stages = term_features().fit(train)
+    stages = term_features(counts).fit(train)
     features = stages.transform(train).select(label, "features")
     return PipelineModel(stages.stages + [fit_classifier(features, label=label, tol=tol, **settings)])
 

@@ -4,19 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scribeprint.operators.lookup import lookup_join
 from scribeprint.operators.ranking import bucket_counts, hash_key, running_counts, with_cuts
 
 SEED = 42
 
 
-def filter_datasets(df: DataFrame, config: Mapping[str, Mapping] | None = None,
+#: Names of a config that are tests against constants; more of them are a join.
+LITERAL_NAMES = 64
+SETTINGS = {"test_size": "double", "val_size": "double", "max_sample_count": "bigint"}
+
+Config = Mapping[str, Mapping[str, float]] | DataFrame
+
+
+def config_table(spark: SparkSession, config: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """``dataset, test_size, val_size, max_sample_count`` of a config; null where nothing is said."""
+    rows = [(name, *[None if c.get(k) is None else kind(c[k]) for k, kind in (
+        ("test_size", float), ("val_size", float), ("max_sample_count", int))]) for name, c in config.items()]
+    return spark.createDataFrame(rows, "dataset string, " + ", ".join(f"{k} {t}" for k, t in SETTINGS.items()))
+
+
+def _is_table(config: Config | None) -> bool:
+    return isinstance(config, DataFrame) or (config is not None and len(config) > LITERAL_NAMES)
+
+
+def _as_table(df: DataFrame, config: Config) -> DataFrame:
+    return config if isinstance(config, DataFrame) else config_table(df.sparkSession, config)
+
+
+def filter_datasets(df: DataFrame, config: Config | None = None,
                     name: str | None = None, language: str | None = None) -> DataFrame:
-    """Keep the datasets a run asks for. All tests are exact and case-sensitive, and
-    being tests against constants they reach the scan."""
-    if config:
+    """Keep the datasets a run asks for. All tests are exact and case-sensitive.
+
+    A short config is a test against constants that reaches the scan. A table of configs (or a long one) is a left
+    semi join: adaptive execution broadcasts it while it is small, and if it is itself a filter of a larger table,
+    such as the configs of one run, only the partitions of its datasets are read of samples stored by dataset.
+    """
+    if _is_table(config):
+        names = _as_table(df, config).select("dataset")
+        df = df.join(names, "dataset", "left_semi").select(*df.columns)
+    elif config:
         df = df.filter(F.col("dataset").isin(*config))
     if name:
         df = df.filter(F.col("dataset") == name)
@@ -25,21 +55,27 @@ def filter_datasets(df: DataFrame, config: Mapping[str, Mapping] | None = None,
     return df
 
 
-def with_config(df: DataFrame, config: Mapping[str, Mapping[str, float]]) -> DataFrame:
+def with_config(df: DataFrame, config: Config) -> DataFrame:
     """``df`` with the split sizes and cap of its dataset; every entry of one name shares them.
 
-    The overrides are read from a dict of literals, so no join is needed.
+    A short config is read from literals, so no join is needed; a table, or a long one, is joined. Names of a
+    table must not repeat.
     """
-    def setting(key: str, cast: str) -> Column:
+    if _is_table(config):
+        table = _as_table(df, config).select("dataset", *SETTINGS)
+        found = lookup_join(df, table, ["dataset"], "left")
+        return found.withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("test_size", "val_size")})
+
+    def setting(key: str) -> Column:
         pairs = [F.lit(v) for name, c in config.items() if c.get(key) is not None
                  for v in (name, float(c[key]))]
         if not pairs:
-            return F.lit(None).cast(cast)
-        return F.element_at(F.create_map(*pairs), F.col("dataset")).cast(cast)
+            return F.lit(None).cast(SETTINGS[key])
+        return F.element_at(F.create_map(*pairs), F.col("dataset")).cast(SETTINGS[key])
 
-    return (df.withColumn("test_size", F.coalesce(setting("test_size", "double"), F.lit(0.0)))
-              .withColumn("val_size", F.coalesce(setting("val_size", "double"), F.lit(0.0)))
-              .withColumn("max_sample_count", setting("max_sample_count", "bigint")))
+    return (df.withColumn("test_size", F.coalesce(setting("test_size"), F.lit(0.0)))
+              .withColumn("val_size", F.coalesce(setting("val_size"), F.lit(0.0)))
+              .withColumn("max_sample_count", setting("max_sample_count")))
 
 
 def with_quotas(running: DataFrame, strata: Sequence[str], label: str = "label",
@@ -71,14 +107,15 @@ def with_quotas(running: DataFrame, strata: Sequence[str], label: str = "label",
 
 def stratified_cap(df: DataFrame, cap: int | str = "max_sample_count",
                    strata: Sequence[str] = ("dataset", "language", "ai"), label: str = "label",
-                   id_col: str = "sample_id", seed: int = SEED, store: bool = False) -> DataFrame:
+                   id_col: str = "sample_id", seed: int = SEED, store: bool = False,
+                   levels: int = 1) -> DataFrame:
     """At most ``cap`` rows per stratum (a number, or the column that holds it); the ratio of
-    the labels is kept. ``store`` keeps the cut points (see ``ranking.with_cuts``)."""
+    the labels is kept. ``store`` keeps the cut points, ``levels`` refines buckets (see ``ranking.with_cuts``)."""
     groups = [*strata, label]
     carried = [cap] if isinstance(cap, str) else []
     counts = bucket_counts(df, [*groups, *carried], id_col, seed, "cap")
     running = with_quotas(running_counts(counts, groups), strata, label, cap)
-    kept = with_cuts(df, running, groups, ["keep"], id_col, seed, "cap", store)
+    kept = with_cuts(df, running, groups, ["keep"], id_col, seed, "cap", store, levels)
     return kept.filter("keep").drop("keep")
 
 
@@ -93,7 +130,7 @@ def split_counts(n: Column, test_size: Column, val_size: Column) -> tuple[Column
 
 def split_dataset(df: DataFrame, test_size: float | str = 0.1, val_size: float | str = 0.1,
                   strata: Sequence[str] = ("dataset", "language", "ai"),
-                  id_col: str = "sample_id", seed: int = SEED) -> DataFrame:
+                  id_col: str = "sample_id", seed: int = SEED, levels: int = 1) -> DataFrame:
     """``df`` plus a ``split`` column: test, val or train, of exact sizes per stratum.
 
     Sizes are numbers, or the names of columns that are constant inside a stratum.
@@ -109,7 +146,7 @@ def split_dataset(df: DataFrame, test_size: float | str = 0.1, val_size: float |
     n_test, n_val = split_counts(F.col("n"), test, val)
     running = (running_counts(counts, strata).withColumn("to_test", n_test)
                .withColumn("to_val", F.col("to_test") + n_val))
-    cut = with_cuts(df, running, strata, ["to_test", "to_val"], id_col, seed, "split")
+    cut = with_cuts(df, running, strata, ["to_test", "to_val"], id_col, seed, "split", levels=levels)
     split = F.when(F.col("to_test"), F.lit("test")).when(F.col("to_val"), F.lit("val"))
     return cut.withColumn("split", split.otherwise(F.lit("train"))).drop("to_test", "to_val")
 
@@ -127,20 +164,20 @@ def split_dataset_approx(df: DataFrame, test_size: float = 0.1, val_size: float
 def split_datasets(samples: DataFrame, test_size: float | None = None,
                    val_size: float | None = None, max_sample_count: int | None = None,
                    name: str | None = None, language: str | None = None,
-                   config: Mapping[str, Mapping[str, float]] | None = None,
+                   config: Config | None = None,
                    id_col: str = "sample_id", seed: int = SEED) -> DataFrame:
     """Filter, cap and split all datasets: ``samples`` plus ``split``.
 
-    Either ``config`` (sizes and cap per dataset name) or both sizes are needed. A split reads its
+    Either ``config`` (sizes and cap per dataset name, or a table of them) or both sizes are needed. A split reads its
     input three times, so the cut points of a cap before it are stored and not found three times.
     """
-    if not config and not (test_size and val_size):
+    if (config is None or (not isinstance(config, DataFrame) and not config)) and not (test_size and val_size):
         raise ValueError("give either config, or test_size and val_size (both above 0)")
     strata = ["dataset", "language", "ai"]
     df = filter_datasets(samples, config, name, language)
-    if config:
+    if isinstance(config, DataFrame) or config:
         df = with_config(df, config)
-        if any(c.get("max_sample_count") is not None for c in config.values()):
+        if isinstance(config, DataFrame) or any(c.get("max_sample_count") is not None for c in config.values()):
             df = stratified_cap(df, "max_sample_count", strata, id_col=id_col, seed=seed, store=True)
         df = split_dataset(df, "test_size", "val_size", strata, id_col, seed)
         return df.drop("test_size", "val_size", "max_sample_count")

@@ -17,8 +17,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scribeprint.functions.tokens import (CODE, ROOTS, TOKEN, by_language, code_tokens,
-                                          markup_tokens)
+from scribeprint.functions.tokens import (CODE, ROOTS, TEXT_TOKEN, TOKEN, by_language, code_tokens,
+                                          markup_tokens, token)
 
 # Inner nodes of these types are written as their text.
 ATOMIC_TYPES = ("identifier", "string_literal", "number_literal")
@@ -35,24 +35,26 @@ def nodes_from_markup(pages: DataFrame, id_col: str = "sample_id", text: str = "
 
 
 def nodes_from_code(samples: DataFrame, policy: str = "fail",
-                    languages: Sequence[str] = tuple(CODE)) -> DataFrame:
+                    languages: Sequence[str] = tuple(CODE), texts: bool = False) -> DataFrame:
     """Node table of the brackets of source code, tokenised by the rules of its language.
 
     ``samples`` has ``sample_id``, ``code`` and ``language``. An unsupported
-    language stops the job (``fail``), or its rows are left out (``drop``).
+    language stops the job (``fail``), or its rows are left out (``drop``). With ``texts`` there
+    is a column ``text``: that of leaves, which is null for inner nodes.
     """
     samples = samples.filter(F.col("code").isNotNull()).select("sample_id", "language", "code")
     if policy == "drop":
         samples = samples.filter(F.col("language").isin(*languages))
     samples = samples.repartition("sample_id")
     tokens = by_language(F.col("language"), {
-        name: code_tokens(F.col("code"), name) for name in languages}, f"array<{TOKEN}>")
+        name: code_tokens(F.col("code"), name, texts) for name in languages},
+        f"array<{TEXT_TOKEN if texts else TOKEN}>")
     root = by_language(F.col("language"), {n: F.lit(ROOTS[n]) for n in languages}, "string")
-    return nodes_from_tokens(samples.select("sample_id", root.alias("root"),
-                                            tokens.alias("tokens")))
+    whole = [F.col("code")] if texts else []
+    return nodes_from_tokens(samples.select("sample_id", root.alias("root"), tokens.alias("tokens"), *whole), texts)
 
 
-def nodes_from_tokens(tokenised: DataFrame) -> DataFrame:
+def nodes_from_tokens(tokenised: DataFrame, texts: bool = False) -> DataFrame:
     """Node table of token arrays (``sample_id``, ``root``, ``tokens``; see functions.tokens).
 
     A close ends the innermost open node. A close with no open node is dropped,
@@ -60,7 +62,8 @@ def nodes_from_tokens(tokenised: DataFrame) -> DataFrame:
     one ``sample_id`` stop the job.
 
     The input should be laid out by ``sample_id`` before it is tokenised: then texts are what is
-    exchanged, and every window below keeps that layout.
+    exchanged, and every window below keeps that layout. With ``texts`` tokens have a text, and there is a column
+    ``code``, the text of a root without children.
     """
     # Levels still open at the end get a close of their own, so that every open has one.
     def walk(acc: Column, t: Column) -> Column:
@@ -68,10 +71,9 @@ def nodes_from_tokens(tokenised: DataFrame) -> DataFrame:
 
     still_open = F.aggregate("tokens", F.lit(0), walk)
     none = F.lit(None).cast("string")
-    root = F.struct(F.lit(0).alias("step"), F.lit(True).alias("is_node"),
-                    F.col("root").alias("type"), F.lit(0).alias("n_bytes"))
-    end = F.struct(F.lit(-1).alias("step"), F.lit(False).alias("is_node"),
-                   none.alias("type"), F.lit(0).alias("n_bytes"))
+    lone = F.when(~F.exists("tokens", lambda t: t["is_node"]), F.col("code")) if texts else None
+    root = token(0, True, F.col("root"), F.lit(0), lone)
+    end = token(-1, False, none, F.lit(0), none if texts else None)
     whole = F.concat(F.array(root), F.col("tokens"), F.array_repeat(end, still_open + 1))
     rows = (tokenised.select("sample_id", whole.alias("tokens"))
                     .select("sample_id", F.size("tokens").alias("n"),
@@ -97,7 +99,8 @@ def nodes_from_tokens(tokenised: DataFrame) -> DataFrame:
 
     # Level of the parent for leaves and opens (the row counts as a child there), and the
     # node's own level for opens and closes.
-    common = [F.col(c) for c in ("pos", "type", "seen", "to_byte", "n_bytes")]
+    own_text = ["text"] if texts else []
+    common = [F.col(c) for c in ("pos", "type", "seen", "to_byte", "n_bytes", *own_text)]
 
     def at(level: Column, role: str, child: bool) -> Column:
         return F.struct(level.cast("int").alias("depth"), F.lit(role).alias("role"),
@@ -133,7 +136,20 @@ def nodes_from_tokens(tokenised: DataFrame) -> DataFrame:
         "end_byte": F.when(leaf, F.col("to_byte")).otherwise(F.col("close.to_byte")),
     }
     return nodes.select("sample_id", *[
-        (c if name == "type" else c.cast("int")).alias(name) for name, c in columns.items()])
+        (c if name == "type" else c.cast("int")).alias(name) for name, c in columns.items()], *own_text)
+
+
+def node_digest(nodes: DataFrame) -> DataFrame:
+    """Per sample, the number of nodes and a SHA-256 of all of them in preorder, to compare node tables by.
+
+    A node is written as its columns with colons between them (a null type as nothing), nodes with line feeds.
+    """
+    numbers = [F.col(c).cast("string") for c in ("node_id", "pre", "post", "depth", "n_children")]
+    line = F.concat_ws(":", *numbers, F.coalesce("type", F.lit("")), F.col("start_byte").cast("string"),
+                       F.col("end_byte").cast("string"))
+    listed = F.sort_array(F.collect_list(F.struct("pre", line.alias("line"))))
+    return nodes.groupBy("sample_id").agg(F.count("*").alias("n_nodes"), F.sha2(
+        F.array_join(F.transform(listed, lambda x: x["line"]), "\n"), 256).alias("nodes_sha256"))
 
 
 def node_types(nodes: DataFrame) -> DataFrame:
@@ -179,11 +195,13 @@ def serialise_tree(nodes: DataFrame) -> DataFrame:
     return _joined(nodes.select("sample_id", F.explode(events).alias("e")), "")
 
 
-def serialise_tokens(nodes: DataFrame, samples: DataFrame,
+def serialise_tokens(nodes: DataFrame, samples: DataFrame | None = None,
                      atomic_types: Sequence[str] = ATOMIC_TYPES) -> DataFrame:
     """Per sample, structure and text: ``type::left ... type::right`` with leaf texts between.
 
-    A leaf, or a node of an atomic type, gives its text and hides what is below it.
+    A leaf, or a node of an atomic type, gives its text and hides what is below it. Texts are cut from the
+    ``code`` of ``samples``; without it they are the nodes' own (``text``), so that no text is moved again. Then
+    inner nodes of atomic types must have one.
     """
     reading = (Window.partitionBy("sample_id").orderBy("pre")
                      .rowsBetween(Window.unboundedPreceding, -1))
@@ -196,15 +214,19 @@ def serialise_tokens(nodes: DataFrame, samples: DataFrame,
     opens = 2 * F.col("pre") - F.col("depth")
     closes = 2 * F.col("post") + F.col("depth") + 1
     none = F.lit(None)
+    own = none.cast("string") if samples is not None else F.coalesce("text", F.raise_error(F.concat(
+        F.lit("a node without a text, of type "), F.col("type"))).cast("string"))
     span = [F.col("start_byte").alias("start"), F.col("end_byte").alias("end")]
     no_span = [none.cast("int").alias("start"), none.cast("int").alias("end")]
     events = F.when(F.col("atomic"), F.array(
-        F.struct(opens.alias("pos"), none.cast("string").alias("mark"), *span))).otherwise(F.array(
+        F.struct(opens.alias("pos"), own.alias("mark"), *span))).otherwise(F.array(
             F.struct(opens.alias("pos"), F.concat("type", F.lit("::left")).alias("mark"), *no_span),
             F.struct(closes.alias("pos"), F.concat("type", F.lit("::right")).alias("mark"),
                      *no_span)))
     listed = (shown.select("sample_id", F.explode(events).alias("e")).groupBy("sample_id")
                    .agg(F.sort_array(F.collect_list("e")).alias("events")))
+    if samples is None:
+        return listed.select("sample_id", F.array_join(F.transform("events", lambda e: e["mark"]), " ").alias("tree"))
     joined = listed.join(_bytes_of(samples), F.col("sample_id") == F.col("__id"))
     pieces = F.transform("events", lambda e: F.coalesce(
         e["mark"], _slice(F.col("__bytes"), e["start"], e["end"])))
@@ -233,5 +255,5 @@ def tree_stats(nodes: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFra
 
 def represent(samples: DataFrame, include_tokens: bool = False, policy: str = "fail") -> DataFrame:
     """``sample_id`` and ``tree``: the serialised form of every sample's code."""
-    nodes = nodes_from_code(samples, policy)
-    return serialise_tokens(nodes, samples) if include_tokens else serialise_tree(nodes)
+    nodes = nodes_from_code(samples, policy, texts=include_tokens)
+    return serialise_tokens(nodes) if include_tokens else serialise_tree(nodes)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer, SQLTransformer
+from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from scribeprint.functions.structure import FEATURES, feature_array
 from scribeprint.operators.encoding import text_tokens
+from scribeprint.operators.lookup import lookup_join
 
 
 def as_vector(array: Column) -> Column:
@@ -26,6 +27,41 @@ def mean_pool(vectors: DataFrame, by: str, vector: str) -> DataFrame:
                    .agg(vector_to_array(mean).alias("mean")))
 
 
+def train_token_vectors(texts: DataFrame, text: str = "code", size: int = 64, window: int = 5, min_count: int = 5,
+                        iterations: int = 1, seed: int = 42, partitions: int = 1) -> DataFrame:
+    """``token, vector``: a table of vectors trained on the tokens of the texts (skip-gram).
+
+    The table has one row per token seen ``min_count`` times or more. With one partition training is repeatable for a
+    seed: texts are ordered by their hash first. More ``partitions`` train side by side and are averaged; the order in
+    which Spark adds them up, and orders tokens of equal counts, may then change from run to run, so store the table.
+    """
+    words = texts.select(text_tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+    key = F.xxhash64("tokens")
+    dealt = words.repartition(partitions, key).sortWithinPartitions(key)
+    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=iterations, seed=seed,
+                     numPartitions=partitions, inputCol="tokens").fit(dealt)
+    return model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector", "float32").alias("vector"))
+
+
+def pool_tokens(samples: DataFrame, token_vectors: DataFrame, text: str = "code",
+                id_col: str = "sample_id") -> DataFrame:
+    """``id_col, embedding``: the plain mean of the vectors of all tokens of a sample that have one.
+
+    A sample without any has a null embedding. A token is looked up once per sample, with its count as weight. The
+    table of vectors has as many rows as the vocabulary: while that is small, it is broadcast and the sums are
+    added up where the text is.
+    """
+    opened = samples.select(id_col, F.explode_outer(text_tokens(F.col(text))).alias("token"))
+    counts = opened.groupBy(id_col, "token").agg(F.count("*").cast("double").alias("n"))
+    found = lookup_join(counts, token_vectors.select("token", "vector"), ["token"], "left")
+    known = F.col("vector").isNotNull()
+    # Samples without a known token keep their row; they have nothing to add.
+    mean = Summarizer.metrics("mean", "count").summary(as_vector(F.col("vector")), F.col("n"))
+    pooled = found.filter(known).groupBy(id_col).agg(mean.alias("s")).select(
+        id_col, vector_to_array("s.mean").alias("embedding"))
+    return lookup_join(samples.select(id_col), pooled, [id_col], "left")
+
+
 def fit_scaler(train: DataFrame, vector: str) -> DataFrame:
     """One row: mean and population deviation of each dimension (1 where it does not vary)."""
     summary = Summarizer.metrics("mean", "variance", "count").summary(as_vector(F.col(vector)))
@@ -46,33 +82,55 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, vector: str, out: str) -> Dat
     return df.withColumn("__s", row).withColumn(out, scaled).drop("__s")
 
 
-def text_embedder(digits: int = 2) -> Pipeline:
-    """Estimator of fixed-size text vectors: token counts by hash, weighted by rarity.
+HASHES = {
+    # The digits of md5 can be made by any engine, those of xxhash64 in a tenth of the time.
+    "md5": "substring(md5(t), 1, {0})",
+    "xxhash64": "substring(lpad(lower(hex(xxhash64(t))), 16, '0'), 1, {0})",
+}
+
+
+def bucket_counts(df: DataFrame, terms: str, keep: Sequence[str], digits: int, hashing: str = "md5") -> DataFrame:
+    """``keep`` columns plus ``counts``: a sparse vector, how often the terms of each bucket occur.
+
+    ``terms``: SQL for an array of strings. A term belongs to the bucket named by the first ``digits`` hex digits of
+    its hash, so there are ``16 ** digits`` dimensions, however many terms there are. Short rows come
+    out, so store them: all that follows then reads and cuts every text once.
+    """
+    buckets = [f"{i:0{digits}x}" for i in range(16 ** digits)]
+    hashed = df.withColumn("__buckets", F.expr(f"transform({terms}, t -> {HASHES[hashing].format(digits)})"))
+    counter = CountVectorizerModel.from_vocabulary(buckets, inputCol="__buckets", outputCol="counts")
+    return counter.transform(hashed).select(*keep, "counts")
+
+
+def hash_tokens(df: DataFrame, keep: Sequence[str], text: str = "code", digits: int = 2,
+                hashing: str = "md5") -> DataFrame:
+    """``bucket_counts`` of all tokens of a text: vectors by hash have one size for any length."""
+    return bucket_counts(df.withColumn("tokens", text_tokens(F.col(text))), "tokens", keep, digits, hashing)
+
+
+def text_embedder(counts: str = "counts") -> Pipeline:
+    """Estimator of fixed-size text vectors from ``hash_tokens``: shares of tokens by hash, weighted by rarity.
 
-    A token belongs to the bucket named by the first ``digits`` hex digits of its
-    md5, so there are ``16 ** digits`` dimensions, however large the vocabulary is.
     Counts become shares of the text's tokens, so before weighting the vector is the
     mean of the one-hot vectors of the tokens' buckets.
     """
-    buckets = [f"{i:0{digits}x}" for i in range(16 ** digits)]
-    hashed = (f"SELECT *, transform(tokens, t -> substring(md5(t), 1, {digits})) AS buckets "
-              "FROM __THIS__")
-    return Pipeline(stages=[
-        SQLTransformer(statement=hashed),
-        CountVectorizerModel.from_vocabulary(buckets, inputCol="buckets", outputCol="counts"),
-        Normalizer(p=1.0, inputCol="counts", outputCol="shares"),
-        IDF(inputCol="shares", outputCol="weighted"),
-    ])
+    return Pipeline(stages=[Normalizer(p=1.0, inputCol=counts, outputCol="shares"),
+                            IDF(inputCol="shares", outputCol="weighted")])
 
 
-def with_tokens(df: DataFrame, text: str = "code") -> DataFrame:
-    """``df`` plus ``tokens``, all of the text's: vectors by hash have one size for any length."""
-    return df.withColumn("tokens", text_tokens(F.col(text)))
+def embed_text(counted: DataFrame, fitted, keep: Sequence[str]) -> DataFrame:
+    """``keep`` columns plus ``embedding``, from a frame of ``hash_tokens``."""
+    return fitted.transform(counted).select(*keep, vector_to_array("weighted").alias("embedding"))
 
 
-def embed_text(df: DataFrame, fitted, keep: Sequence[str]) -> DataFrame:
-    """``keep`` columns plus ``embedding``, from a frame with ``tokens``."""
-    return fitted.transform(df).select(*keep, vector_to_array("weighted").alias("embedding"))
+def sparse_entries(vector: str) -> Column:
+    """The stored entries of a sparse vector as an array of ``struct(dim, value)``: as many as it has, whatever its
+    size. They come from its text, ``(size,[dims],[values])``, which Spark makes without a Python worker."""
+    text = F.col(vector).cast("string")
+    inner = F.split(F.regexp_replace(text, r"^\(\d+,\[|\]\)$", ""), r"\],\[")
+    dims, values = (F.split(F.element_at(inner, k), ",") for k in (1, 2))
+    pairs = F.arrays_zip(dims.cast("array<int>").alias("dim"), values.cast("array<double>").alias("value"))
+    return F.when(text.endswith("[],[])"), F.array().cast("array<struct<dim:int,value:double>>")).otherwise(pairs)
 
 
 def assemble(df: DataFrame, embedding: str = "embedding",

@@ -195,6 +195,11 @@ tok AS (
 {NODES.replace("'@ROOT@'", "CASE sample_id::BIGINT % 2 WHEN 0 THEN 'module' ELSE 'program' END")}"""
 
 # Every node opens before what follows it and closes after all that is below it.
+NODE_DIGEST = f"""{CODE_NODES}
+SELECT sample_id, count(*) AS n_nodes, sha256(string_agg(concat_ws(':', node_id, pre, post, depth, n_children,
+       coalesce(type, ''), start_byte, end_byte), chr(10) ORDER BY pre)) AS nodes_sha256
+FROM nodes GROUP BY sample_id"""
+
 TREE_EVENTS = """events AS (
   SELECT sample_id, 2 * pre - depth AS spot, CASE WHEN depth > 0 THEN ' ' ELSE '' END
          || CASE WHEN n_children > 0 THEN '(' ELSE '' END || type AS txt FROM nodes
@@ -281,6 +286,11 @@ capped AS (SELECT l.* EXCLUDE (n, n_label, cap, rn) FROM labelled l JOIN quotas
            USING ({strata}, label) WHERE l.rn <= q.quota)"""
 
 
+def _nested(ctes: str, table: str) -> str:
+    """The rows of ``table`` as a subquery of its own names."""
+    return f"(WITH {ctes} SELECT * FROM {table})"
+
+
 def setting(key: str, otherwise: str) -> str:
     cases = " ".join(f"WHEN '{n}' THEN {c[key]}" for n, c in SPLIT_CONFIG.items() if key in c)
     return f"CASE dataset {cases} ELSE {otherwise} END"
@@ -290,6 +300,20 @@ _SIZES = (setting("test_size", "0"), setting("val_size", "0"))
 _CAP = setting("max_sample_count", "NULL")
 _SPLIT = split_sql("samples", "dataset", "0.1", "0.1", "sample_id, dataset, code")
 
+# Three runs over the labelled documents as programs; their sizes and filters are those of the queries.
+_RUN_SAMPLES = f"""run_samples AS (
+  SELECT doc_id::VARCHAR AS sample_id, source AS dataset, 'unknown' AS ai, quality AS label,
+         CASE WHEN doc_id % 2 = 0 THEN 'python' ELSE 'java' END AS language, {node_words('text')} AS code
+  FROM documents JOIN labels USING (doc_id))"""
+_STRATA, _RUN_KEEP = "dataset, language, ai", "sample_id, dataset, language, ai, label, code"
+_RUN_SPLITS = f"""{_RUN_SAMPLES}, java_samples AS (SELECT * FROM run_samples WHERE language = 'java'),
+run_rows AS (
+  SELECT 'all' AS config, * FROM {_nested(cap_sql('run_samples', _STRATA, str(DATASET_CAP)) + ', ' + split_sql(
+      'capped', _STRATA, '0.1', '0.1', _RUN_KEEP), 'split_rows')}
+  UNION ALL SELECT 'java', * FROM {_nested(split_sql('java_samples', _STRATA, '0.1', '0.1', _RUN_KEEP), 'split_rows')}
+  UNION ALL SELECT 'unseen', * FROM {_nested(cap_sql('run_samples', _STRATA, _CAP) + ', ' + split_sql(
+      'capped', _STRATA, *_SIZES, _RUN_KEEP), 'split_rows')})"""
+
 # --- features ------------------------------------------------------------------------------
 _COUNTED = {
     **{name: count_all("s", needles) for name, needles in NODE_GROUPS.items()},
@@ -330,6 +354,10 @@ features AS (
   FROM split_up u LEFT JOIN depths d USING (doc_id) LEFT JOIN control c USING (doc_id))"""
 
 # --- evaluation ----------------------------------------------------------------------------
+STRUCTURAL = f"""WITH {FEATURE_CTES}
+SELECT doc_id::VARCHAR AS sample_id, {', '.join(f'round({f}, 6) AS {f}' if f in ('branching', 'repetition')
+                                                else f for f in FEATURES)} FROM features"""
+
 PREDICTIONS = f"""rated AS (SELECT doc_id, lang, source, {words('text')} AS w FROM documents),
 predictions AS (
   SELECT doc_id, lang, source, quality AS y_true,
@@ -347,9 +375,16 @@ RATES = """round((tp + tn)::DOUBLE / nullif(tp + tn + fp + fn, 0), 6) AS accurac
 EXACT_RATES = RATES.replace("round(", "(").replace(", 6)", ")")
 
 
-def report_sql(by: str = "") -> str:
+RUN_PREDICTIONS = f"""{PREDICTIONS.replace('predictions AS', 'guessed AS')},
+{_RUN_SPLITS},
+predictions AS (
+  SELECT config, 'rule' AS variant, 'rule' AS model, split, y_true, y_pred
+  FROM guessed JOIN run_rows ON sample_id = doc_id::VARCHAR WHERE split <> 'train')"""
+
+
+def report_sql(by: str = "", predictions: str = PREDICTIONS) -> str:
     """The class report, for each group of the columns in ``by`` (with a comma after each)."""
-    return f"""WITH {PREDICTIONS},
+    return f"""WITH {predictions},
 spine AS (SELECT unnest([0, 1]) AS class),
 counted AS (
   SELECT {by}class, count(*) FILTER (y_true = class AND y_pred = class)::DOUBLE AS hit,
@@ -392,6 +427,33 @@ UNION ALL SELECT 'benchmark/prose/unknown/' || item_id, 'benchmark', 'prose', 'u
        length(text)::INT FROM benchmark
 UNION ALL SELECT 'pages/html/unknown/' || page_id, 'pages', 'html', 'unknown', length(html)::INT
 FROM pages""",
+    "folder_scan": """
+SELECT page_id % 3 || '_' || page_id || '.html' AS sample_id,
+       replace(replace(coalesce(html, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) || chr(10) AS code,
+       CASE page_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END::INT AS label, 'html' AS language,
+       CASE page_id % 3 WHEN 2 THEN 'label not known: 2' END AS reject FROM pages""",
+    "config_table_lookup": f"""
+WITH {SAMPLES}
+SELECT sample_id, dataset, coalesce({_SIZES[0]}, 0)::DOUBLE AS test_size, coalesce({_SIZES[1]}, 0)::DOUBLE AS val_size,
+       ({_CAP})::BIGINT AS max_sample_count
+FROM samples WHERE dataset IN ({listed(DATASETS[:12])}) AND language = 'en'""",
+    "split_refined": f"""
+WITH {SAMPLES}, {cap_sql('samples', 'dataset', str(DATASET_CAP))},
+{split_sql('capped', 'dataset', '0.1', '0.1', 'sample_id, dataset, label')}
+SELECT * FROM split_rows""",
+    "vocabulary_by_sketch": f"""
+SELECT token, (row_number() OVER (ORDER BY count(*) DESC, token) + 3)::INT AS token_id
+FROM (SELECT unnest({_TOKENS}) AS token FROM documents)
+GROUP BY token ORDER BY count(*) DESC, token LIMIT 50""",
+    "pool_tokens": f"""
+WITH counted AS (
+  SELECT doc_id, token, count(*) AS n, ('0x' || md5(token)[1:4])::INT AS number
+  FROM (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents) GROUP BY ALL),
+valued AS (
+  SELECT doc_id, dim, round(sum(n * x) / sum(n), 5) AS value FROM (
+    SELECT doc_id, n, unnest(embedding)::DOUBLE AS x, (generate_subscripts(embedding, 1) - 1)::INT AS dim
+    FROM counted JOIN embeddings ON vec_id = number % 400 WHERE number % 8 > 0) GROUP BY doc_id, dim)
+SELECT doc_id::VARCHAR AS sample_id, dim, value FROM documents LEFT JOIN valued USING (doc_id)""",
     "csv_scan": "SELECT text AS code, (role = 'assistant')::INT AS label FROM conversations",
     "jsonl_scan": """
 SELECT text AS code,
@@ -455,8 +517,22 @@ SELECT CASE WHEN grouping(dataset) = 1 THEN 'Total' ELSE dataset END AS dataset,
        count(*) AS total, count(*) FILTER (split = 'train') AS train,
        count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test
 FROM split_rows GROUP BY GROUPING SETS ((dataset, language, ai), ())""",
+    "run_splits": f"""
+WITH {_RUN_SPLITS}
+SELECT config, CASE WHEN grouping(dataset) = 1 THEN 'Total' ELSE dataset END AS dataset, language, ai,
+       count(*) AS total, count(*) FILTER (split = 'train') AS train,
+       count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test
+FROM run_rows GROUP BY GROUPING SETS ((config, dataset, language, ai), (config))""",
+    "run_truncated": f"""
+WITH {_RUN_SPLITS}
+SELECT config, split, count(*) AS n, count(*) FILTER (
+  len(regexp_extract_all(code, {quoted(TOKEN_PATTERN)})) + 2 >= {DOCUMENT_LENGTH}) AS truncated
+FROM run_rows GROUP BY config, split""",
+    "run_classes": report_sql("config, variant, model, split, ", RUN_PREDICTIONS),
     "nodes_from_markup": f"{MARKUP_NODES} SELECT * FROM nodes",
-    "nodes_from_code": f"{CODE_NODES} SELECT * FROM nodes",
+    "nodes_from_markup_blocks": f"{MARKUP_NODES} SELECT * FROM nodes",
+    "nodes_from_code": NODE_DIGEST,
+    "nodes_from_code_blocks": NODE_DIGEST,
     "node_types": f"""{MARKUP_NODES}
 SELECT sample_id, string_agg(type, ',' ORDER BY pre) AS types FROM nodes GROUP BY sample_id""",
     # The texts of the tokens from the opening of a node to its end, put together again.
@@ -480,9 +556,8 @@ SELECT sample_id, count(*) AS n_nodes, count(*) FILTER (n_children = 0) AS n_lea
        max(depth) AS max_depth, count(*) FILTER (type = 'a') AS n_links,
        count(*) FILTER (type IN ('p', 'div', 'article')) AS n_blocks,
        count(*) FILTER (type = 'text') AS n_texts FROM nodes GROUP BY sample_id""",
-    "structural_features": f"""WITH {FEATURE_CTES}
-SELECT doc_id::VARCHAR AS sample_id, {', '.join(f'round({f}, 6) AS {f}' if f in ('branching', 'repetition')
-                                                else f for f in FEATURES)} FROM features""",
+    "structural_features": STRUCTURAL,
+    "structural_features_blocks": STRUCTURAL,
     "nested_control": f"""WITH {FEATURE_CTES}
 SELECT doc_id::VARCHAR AS sample_id, nested_ifs, nested_loops FROM features""",
     "repetition_ratio": f"""

@@ -8,17 +8,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scribeprint.functions import labels as L
 from scribeprint.functions import scoring, structure, text
 from scribeprint.functions.tokens import by_language
-from scribeprint.operators import (encoding, evaluation, learning, splitting, training_log,
+from scribeprint.operators import (blocks, encoding, evaluation, learning, splitting, training_log,
                                    trees, vectors)
+from scribeprint.plans import runs as runs_plan
 from scribeprint.plans.runs import RunConfig, run_report
-from scribeprint.session import shared_dir
+from scribeprint.session import shared_dir, stored
 from scribeprint.sources import catalog, readers
 
 # The rule that stands for a classifier where a query needs predictions: prose
@@ -70,15 +70,6 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _samples(spark, sf_dir).select("sample_id", "language", "code")
 
 
-def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that have a label; the label is their quality."""
-    labels = _read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    return _read(spark, sf_dir, "documents").join(labels, "doc_id").select(
-        F.col("doc_id").cast("string").alias("sample_id"), F.col("source").alias("dataset"),
-        F.col("lang").alias("language"), F.lit("unknown").alias("ai"), F.col("text").alias("code"),
-        "label")
-
-
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select(
         F.col("page_id").cast("string").alias("sample_id"), F.col("html").alias("code"))
@@ -138,6 +129,32 @@ def _new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}-{name}"
 
 
+def _write_folder(files: DataFrame, path: str) -> None:
+    """A file for each row of ``name, value``. Spark writes them, each to a folder; the driver moves them by name."""
+    files.write.partitionBy("name").text(f"{path}.parts")
+    root = spark_path(files.sparkSession, path)
+    fs = root.getFileSystem(files.sparkSession._jsc.hadoopConfiguration())
+    fs.mkdirs(root)
+    for folder in fs.listStatus(spark_path(files.sparkSession, f"{path}.parts")):
+        if folder.isDirectory():
+            name = folder.getPath().getName().removeprefix("name=")
+            for part in fs.listStatus(folder.getPath()):
+                fs.rename(part.getPath(), spark_path(files.sparkSession, f"{path}/{name}"))
+
+
+def spark_path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def folder_scan(spark, sf_dir):
+    """The pages as files of their own; the first part of a name is its label, and some have another."""
+    path = _new_path(spark, "pages")
+    name = F.concat_ws("_", (F.col("page_id") % 3).cast("string"), F.concat("page_id", F.lit(".html")))
+    _write_folder(_read(spark, sf_dir, "pages").select(
+        name.alias("name"), F.coalesce("html", F.lit("")).alias("value")), path)
+    return readers.read_folder(spark, path, "html")
+
+
 def csv_scan(spark, sf_dir):
     path = _new_path(spark, "chat.csv")
     word = F.when(F.col("role") == "assistant", "lm").otherwise("human")
@@ -206,6 +223,15 @@ def config_lookup(spark, sf_dir):
         "sample_id", "dataset", "test_size", "val_size", "max_sample_count")
 
 
+def config_table_lookup(spark, sf_dir):
+    """Configs as a table with a row for each run and dataset; one run's datasets are kept and get their sizes."""
+    table = splitting.config_table(spark, SPLIT_CONFIG).withColumn("run", F.when(
+        F.substring("dataset", 4, 2).cast("int") < 12, "first").otherwise("second"))
+    own = table.filter("run = 'first'").drop("run")
+    kept = splitting.filter_datasets(_samples(spark, sf_dir), own, language="en")
+    return splitting.with_config(kept, own).select("sample_id", "dataset", "test_size", "val_size", "max_sample_count")
+
+
 def language_dispatch(spark, sf_dir):
     tokens = {lang: F.regexp_extract_all("code", F.lit(pattern), F.lit(0))
               for lang, pattern in DISPATCH.items()}
@@ -240,6 +266,13 @@ def split_two_way(spark, sf_dir):
     return splitting.split_dataset(samples, 0, 0.2, ["dataset"])
 
 
+def split_refined(spark, sf_dir):
+    """A cut found through two levels of buckets, over all rows as one stratum and by dataset."""
+    samples = _samples(spark, sf_dir).select("sample_id", "dataset", "label")
+    capped = splitting.stratified_cap(samples, DATASET_CAP, ["dataset"], levels=2)
+    return splitting.split_dataset(capped, 0.1, 0.1, ["dataset"], levels=2)
+
+
 def split_by_config(spark, sf_dir):
     samples = _samples(spark, sf_dir).select("sample_id", "dataset", "language", "ai", "label")
     return splitting.split_datasets(samples, config=SPLIT_CONFIG)
@@ -270,7 +303,22 @@ def nodes_from_markup(spark, sf_dir):
 
 
 def nodes_from_code(spark, sf_dir):
-    return trees.nodes_from_code(_programs(spark, sf_dir))
+    """One row a sample: how many nodes, and a digest of all their columns."""
+    return trees.node_digest(trees.nodes_from_code(_programs(spark, sf_dir)))
+
+
+def nodes_from_code_blocks(spark, sf_dir):
+    """The same from blocks of some tens of tokens, so that nodes go over blocks."""
+    return trees.node_digest(blocks.nodes_from_code(_programs(spark, sf_dir), piece_tokens=16, block_pieces=4))
+
+
+def nodes_from_markup_blocks(spark, sf_dir):
+    return blocks.nodes_from_markup(_pages(spark, sf_dir), piece_tokens=4, block_pieces=2)
+
+
+def structural_features_blocks(spark, sf_dir):
+    named = _texts(spark, sf_dir).select("sample_id", _node_words(F.col("code")).alias("code"))
+    return _rounded(blocks.structural_features(named, block_chars=1000), "branching", "repetition")
 
 
 def serialise_code(spark, sf_dir):
@@ -364,14 +412,35 @@ def mean_pool(spark, sf_dir):
     return _rounded(means.select("label", F.posexplode("mean").alias("dim", "mean")), "mean")
 
 
+def _entries(df: DataFrame, vector: str) -> DataFrame:
+    """``sample_id, dim, value`` of the positive entries; a text without any has a row of its own."""
+    positive = F.filter(vectors.sparse_entries(vector), lambda e: e["value"] > 0)
+    return _rounded(df.select("sample_id", F.explode_outer(positive).alias("e"))
+                      .select("sample_id", "e.dim", "e.value"), "value")
+
+
+def _token_vectors(spark, sf_dir):
+    """A vector for each token of the documents: that of the embedding whose number its hash gives. Every eighth hash
+    has none."""
+    number = F.conv(F.substring(F.md5("token"), 1, 4), 16, 10).cast("bigint")
+    tokens = _texts(spark, sf_dir).select(F.explode(encoding.text_tokens(F.col("code"))).alias("token")).distinct()
+    vectors_ = _read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return tokens.withColumn("number", number).filter("number % 8 > 0").withColumn(
+        "vec_id", F.col("number") % 400).join(vectors_, "vec_id").select("token", "vector")
+
+
+def pool_tokens(spark, sf_dir):
+    pooled = vectors.pool_tokens(_texts(spark, sf_dir), _token_vectors(spark, sf_dir))
+    return _rounded(pooled.select("sample_id", F.posexplode_outer("embedding").alias("dim", "value")), "value", digits=5)
+
+
+def vocabulary_by_sketch(spark, sf_dir):
+    return encoding.build_vocabulary_by_sketch(_texts(spark, sf_dir), 50)
+
+
 def embed_text(spark, sf_dir):
-    tokens = vectors.with_tokens(_texts(spark, sf_dir).select("sample_id", "code"))
-    embedded = vectors.embed_text(tokens, vectors.text_embedder().fit(tokens), ["sample_id"])
-    numbered = F.transform("embedding", lambda x, i: F.struct(i.alias("dim"), x.alias("value")))
-    positive = F.filter(numbered, lambda e: e["value"] > 0)
-    # The outer form: a text without positive values has a row of its own.
-    return _rounded(embedded.select("sample_id", F.explode_outer(positive).alias("e"))
-                            .select("sample_id", "e.dim", "e.value"), "value")
+    counted = stored(vectors.hash_tokens(_texts(spark, sf_dir), ["sample_id"]), "tokens")
+    return _entries(vectors.text_embedder().fit(counted).transform(counted), "weighted")
 
 
 def assemble_features(spark, sf_dir):
@@ -427,17 +496,17 @@ def softmax_argmax(spark, sf_dir):
 
 
 def text_classifier(spark, sf_dir):
-    data = _labelled(spark, sf_dir).select("sample_id", "code", "label")
-    terms = learning.stored_terms(data, ["sample_id", "label"])
-    return learning.predict(learning.fit_terms_classifier(terms), terms, ["sample_id", "label"])
+    # Texts are hashed before the join, so that short rows are joined.
+    terms = learning.hash_terms(_texts(spark, sf_dir), ["sample_id"])
+    labels = _read(spark, sf_dir, "labels").select(
+        F.col("doc_id").cast("string").alias("sample_id"), F.col("quality").alias("label"))
+    ready = stored(terms.join(labels, "sample_id").select("sample_id", "label", "counts"), "terms")
+    return learning.predict(learning.fit_terms_classifier(ready), ready, ["sample_id", "label"])
 
 
 def text_terms(spark, sf_dir):
-    terms = learning.hash_terms(_texts(spark, sf_dir), ["sample_id"])
-    weighted = learning.term_features().fit(terms).transform(terms)
-    numbered = F.transform(vector_to_array("features"), lambda x, i: F.struct(i.alias("dim"), x.alias("value")))
-    return _rounded(weighted.select("sample_id", F.explode_outer(F.filter(numbered, lambda e: e["value"] > 0))
-                                    .alias("e")).select("sample_id", "e.dim", "e.value"), "value")
+    terms = stored(learning.hash_terms(_texts(spark, sf_dir), ["sample_id"]), "terms")
+    return _entries(learning.term_features().fit(terms).transform(terms), "features")
 
 
 def classifier_gradient(spark, sf_dir):
@@ -510,23 +579,63 @@ def best_step(spark, sf_dir):
     return training_log.best_step(_training_log(spark, sf_dir))
 
 
+RUNS = [RunConfig("all", test_size=0.1, val_size=0.1, max_sample_count=DATASET_CAP),
+        RunConfig("java", test_size=0.1, val_size=0.1, language="java"),
+        RunConfig("unseen", config=SPLIT_CONFIG)]
+
+
+def _run_samples(spark, sf_dir):
+    """The labelled documents as programs; the label is their quality."""
+    labels = _read(spark, sf_dir, "labels").select(
+        F.col("doc_id").cast("string").alias("sample_id"), F.col("quality").alias("label"))
+    source = _read(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("sample_id"), F.col("source").alias("dataset"), F.lit("unknown").alias("ai"))
+    return _programs(spark, sf_dir).join(source.join(labels, "sample_id"), "sample_id")
+
+
+def _run_rows(spark, sf_dir):
+    samples = stored(_run_samples(spark, sf_dir), "run-samples")
+    return runs_plan.model_rows(samples, stored(runs_plan.assign_splits(samples, RUNS), "run-splits"))
+
+
+def run_splits(spark, sf_dir):
+    samples = stored(_run_samples(spark, sf_dir), "run-samples")
+    keys = samples.select("sample_id", "dataset", "language", "ai")
+    return splitting.split_summary(keys.join(runs_plan.assign_splits(samples, RUNS), "sample_id"), ["config"])
+
+
+def run_truncated(spark, sf_dir):
+    return runs_plan.truncated_counts(_run_rows(spark, sf_dir))
+
+
+def run_classes(spark, sf_dir):
+    """Metrics of runs from stored predictions: those of the rule, for the held-out rows of every run."""
+    samples = stored(_run_samples(spark, sf_dir).select("sample_id", "dataset", "language", "ai", "label"), "run-samples")
+    guesses = _predictions(spark, sf_dir).select(F.col("doc_id").cast("string").alias("sample_id"), "y_true", "y_pred")
+    held_out = runs_plan.assign_splits(samples, RUNS).filter(F.col("split") != "train")
+    predictions = guesses.join(held_out, "sample_id").withColumns({"variant": F.lit("rule"), "model": F.lit("rule")})
+    report = evaluation.class_report(predictions, ["config", "variant", "model", "split"])
+    return _rounded(report, "precision", "recall", "f1")
+
+
 def runs(spark, sf_dir):
-    configs = [RunConfig("all", test_size=0.1, val_size=0.1, max_sample_count=5000),
-               RunConfig("en", test_size=0.1, val_size=0.1, language="en"),
-               RunConfig("unseen", config=SPLIT_CONFIG)]
-    # The documents are prose, so the text stands for its own tree.
-    return run_report(_labelled(spark, sf_dir), configs,
-                      represent=lambda df: df.select("sample_id", F.col("code").alias("tree")))
+    """Two variants of the tree model, and the text model with its candidate on trees, over all runs."""
+    variants = {"plain": runs_plan.ModelOptions(),
+                "scaled": runs_plan.ModelOptions(models=("tree",), use_scaler=True, add_structural_features=True),
+                "on trees": runs_plan.ModelOptions(models=("text",), text_uses_tree=True)}
+    return run_report(_run_samples(spark, sf_dir), RUNS, variants)
 
 
 QUERIES = {f.__name__: f for f in (
-    catalog_scan, csv_scan, jsonl_scan, clean_text, drop_null_text, label_from_prefix,
-    label_from_word, label_from_number, filter_datasets, config_lookup, language_dispatch,
+    catalog_scan, folder_scan, csv_scan, jsonl_scan, clean_text, drop_null_text, label_from_prefix,
+    label_from_word, label_from_number, filter_datasets, config_lookup, config_table_lookup, language_dispatch,
     stratified_cap, split_three_way, split_approximate, split_holdout, split_two_way,
-    split_by_config, union_splits, split_summary, nodes_from_markup, nodes_from_code, node_types,
+    split_refined, split_by_config, union_splits, split_summary, nodes_from_markup, nodes_from_code, nodes_from_code_blocks,
+    nodes_from_markup_blocks, structural_features_blocks, node_types,
     node_text, serialise_tree, serialise_tokens, serialise_code, serialise_code_tokens, tree_stats,
-    structural_features, nested_control, repetition_ratio, build_vocabulary, encode_tokens,
+    structural_features, nested_control, repetition_ratio, build_vocabulary, vocabulary_by_sketch, pool_tokens, encode_tokens,
     encode_tree, truncated_count, mean_pool, embed_text, assemble_features, standard_scale,
     class_weights, train_classifier, classifier_gradient, linear_score, softmax_argmax,
     text_classifier, text_terms, weighted_blend, confusion_matrix, binary_metrics, class_report,
-    class_report_by_language, percent_display, metrics_by_group, epoch_pairs, best_step)} | {"run_report": runs}
+    class_report_by_language, percent_display, metrics_by_group, epoch_pairs, best_step, run_splits, run_truncated,
+    run_classes)} | {"run_report": runs}

@@ -8,14 +8,14 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scribeprint.functions.structure import FEATURES, with_structural_features
 from scribeprint.operators import encoding, evaluation, learning, vectors
 from scribeprint.operators.splitting import split_datasets, split_summary
 from scribeprint.operators.trees import represent as tree_of_code
-from scribeprint.session import shared_dir
+from scribeprint.session import shared_dir, stored
 
 # Sizes and cap of the standard run.
 TEST_SIZE, VAL_SIZE, CAP = 0.1, 0.1, 5000
@@ -70,12 +70,16 @@ class ModelOptions:
         return self.weights or {TEXT: learning.TEXT_WEIGHT, TREE: learning.TREE_WEIGHT}
 
 
+#: What the only variant of a run is called when options come without a name.
+PLAIN = "plain"
+
+
 @dataclass(frozen=True)
 class RunTables:
-    """What runs report, each as one table over all runs.
+    """What runs report, each as one table over all runs and variants.
 
-    ``metrics``: counts, rates and seconds per config, model and split. ``class_reports``: precision, recall, F1 and
-    support per class of the same. ``splits``: rows per dataset entry and split. ``truncated``: texts per split
+    ``metrics``: counts, rates and seconds per config, variant, model and split. ``class_reports``: precision, recall,
+    F1 and support per class of the same. ``splits``: rows per dataset entry and split. ``truncated``: texts per split
     that fill a model input of ``MAX_LENGTH`` tokens. ``iterations``: how often each fitted model went over its rows.
     """
 
@@ -87,104 +91,150 @@ class RunTables:
 
 
 def run_report(samples: DataFrame, configs: Sequence[RunConfig],
-               options: ModelOptions = ModelOptions(),
+               options: ModelOptions | Mapping[str, ModelOptions] = ModelOptions(),
                represent: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The ``metrics`` of ``run_tables``."""
     return run_tables(samples, configs, options, represent).metrics
 
 
 def run_tables(samples: DataFrame, configs: Sequence[RunConfig],
-               options: ModelOptions = ModelOptions(),
-               represent: Callable[[DataFrame], DataFrame] | None = None) -> RunTables:
-    """Split, represent, train, predict and report for every config.
-
-    Samples are stored first and only read from there, so ids made by a scan hold. All splits are made next;
-    only samples that some run uses are represented, once for all runs. The models of a run are fitted
-    on the same rows. Seconds hold the shared steps (store, split, represent) and the config's own.
-    Samples, splits and predictions stay in the shared folder (``runs-...``) for later reports, until the
-    user removes them.
+               options: ModelOptions | Mapping[str, ModelOptions] = ModelOptions(),
+               represent: Callable[[DataFrame], DataFrame] | None = None,
+               results: str | None = None) -> RunTables:
+    """Split, represent, train, predict and report for every config and every variant of ``options``.
+
+    Samples are stored first and only read from there, so ids made by a scan hold. All splits are made next, and
+    a sample gets them as one map. Then one pass over the texts makes what models need: hashed terms of the
+    text, hashed tokens of its tree, structural features. These short rows are stored, and all models of all runs
+    are fitted on filters of that one table. Seconds hold the shared steps and the run's own.
+
+    Samples, rows and predictions stay in the shared folder (``runs-...``) until the user removes them. With
+    ``results``, a folder of the user's, predictions and iterations are kept there by config and variant: a run
+    that is repeated, say after a failure, replaces its own and leaves those of others, and the
+    tables of metrics are over all that the folder holds.
     """
-    learning.check_weights(options.blend_weights())
+    variants = options if isinstance(options, Mapping) else {PLAIN: options}
+    for own in variants.values():
+        learning.check_weights(own.blend_weights())
     begin = time.monotonic()
     spark = samples.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    results = (results or folder).rstrip("/")
     samples.write.parquet(f"{folder}/given")
-    stored = spark.read.schema(samples.schema).parquet(f"{folder}/given")
-    assigned = _assign(stored, configs, f"{folder}/splits")
-    _represent(stored, assigned, represent or _tree_with_tokens).write.parquet(f"{folder}/samples")
-    ready = spark.read.parquet(f"{folder}/samples")
+    given = spark.read.schema(samples.schema).parquet(f"{folder}/given")
+    assigned = assign_splits(given, configs)
+    assigned.write.partitionBy("config").parquet(f"{folder}/splits")
+    assigned = spark.read.schema(_SPLITS).parquet(f"{folder}/splits")
+    tree_terms = any(o.text_uses_tree for o in variants.values())
+    rows = model_rows(given, assigned, represent or _tree_with_tokens, tree_terms)
+    rows.write.parquet(f"{folder}/rows")
+    rows = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
     shared = time.monotonic() - begin
 
-    seconds, iterations = {}, []
     for config in configs:
-        start = time.monotonic()
-        rows = ready.join(assigned.filter(F.col("config") == config.label).drop("config"),
-                          "sample_id")
-        predictions, counts = _train_and_predict(rows, options)
-        predictions.write.parquet(f"{folder}/predictions/config={config.label}")
-        seconds[config.label] = shared + time.monotonic() - start
-        iterations += [(config.label, model, n, options.max_iterations) for model, n in counts.items()]
-    predictions = spark.read.parquet(f"{folder}/predictions")
-    runtime = F.create_map(*[F.lit(x) for pair in seconds.items() for x in pair])
-    by = ["config", "model", "split"]
-    metrics = evaluation.binary_metrics(predictions, by).withColumn(
-        "seconds", F.element_at(runtime, F.col("config")))
-    keys = stored.select("sample_id", "dataset", "language", "ai")
-    coded = ready.select("sample_id", "code").join(assigned, "sample_id")
-    full = encoding.mask_length(F.coalesce(F.col("code"), F.lit(""))) == encoding.MAX_LENGTH
-    return RunTables(
-        metrics, evaluation.class_report(predictions, by),
-        split_summary(keys.join(assigned, "sample_id"), ["config"]),
-        coded.groupBy("config", "split").agg(F.count("*").alias("n"), F.count_if(full).alias("truncated")),
-        spark.createDataFrame(iterations, "config string, model string, iterations int, max_iterations int"))
+        split = F.element_at("splits", config.label)
+        own_rows = rows.filter(split.isNotNull()).withColumn("split", split).drop("splits")
+        for variant, own in variants.items():
+            start = time.monotonic()
+            predictions, counts = _train_and_predict(own_rows, own)
+            _put(predictions, config.label, variant, f"{results}/predictions")
+            seconds = shared + time.monotonic() - start
+            done = [(model, n, own.max_iterations, seconds) for model, n in counts.items()]
+            _put(spark.createDataFrame(done, "model string, iterations int, max_iterations int, seconds double")
+                 .coalesce(1), config.label, variant, f"{results}/fits")
+    return RunTables(*stored_reports(spark, results), split_summary(
+        given.select("sample_id", "dataset", "language", "ai").join(assigned, "sample_id"), ["config"]),
+        truncated_counts(rows), _read(spark, f"{results}/fits", _FITS).drop("seconds"))
+
+
+_SPLITS = "sample_id string, split string, config string"
+_KEYS = "config string, variant string"
+_FITS = f"model string, iterations int, max_iterations int, seconds double, {_KEYS}"
+_PREDICTIONS = f"model string, split string, sample_id string, y_true int, y_pred int, {_KEYS}"
+
+
+def _put(df: DataFrame, config: str, variant: str, path: str) -> None:
+    """Store the rows of one run; those of the same run that are there are replaced, others stay."""
+    (df.withColumns({"config": F.lit(config), "variant": F.lit(variant)}).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("config", "variant").parquet(path))
+
 
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
 
-def _assign(samples: DataFrame, configs: Sequence[RunConfig], path: str) -> DataFrame:
-    """``config, sample_id, split`` of every run, stored so that later joins know its size."""
+
+def stored_reports(spark: SparkSession, results: str) -> tuple[DataFrame, DataFrame]:
+    """``metrics`` and ``class_reports`` of all runs in a folder of results."""
+    predictions = _read(spark, f"{results}/predictions", _PREDICTIONS)
+    by = ["config", "variant", "model", "split"]
+    seconds = _read(spark, f"{results}/fits", _FITS).groupBy("config", "variant").agg(F.max("seconds").alias("seconds"))
+    metrics = evaluation.binary_metrics(predictions, by).join(seconds, ["config", "variant"])
+    return metrics, evaluation.class_report(predictions, by)
+
+
+def assign_splits(samples: DataFrame, configs: Sequence[RunConfig]) -> DataFrame:
+    """``config, sample_id, split`` of every run, for the samples that it uses."""
     keys = samples.select("sample_id", "dataset", "language", "ai", "label")
     parts = [split_datasets(keys, c.test_size, c.val_size, c.max_sample_count, c.name, c.language,
                             c.config).select(F.lit(c.label).alias("config"), "sample_id", "split")
              for c in configs]
-    reduce(DataFrame.unionByName, parts).write.partitionBy("config").parquet(path)
-    return samples.sparkSession.read.schema(
-        "sample_id string, split string, config string").parquet(path)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def truncated_counts(rows: DataFrame) -> DataFrame:
+    """``config, split, n, truncated`` of a table of ``model_rows``."""
+    opened = rows.select(F.explode("splits").alias("config", "split"), "full")
+    return opened.groupBy("config", "split").agg(F.count("*").alias("n"), F.count_if("full").alias("truncated"))
 
 
 def _tree_with_tokens(samples: DataFrame) -> DataFrame:
     return tree_of_code(samples, include_tokens=True)
 
 
-def _represent(samples: DataFrame, assigned: DataFrame,
-               represent: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Code, label, tree text and structural features of every sample that some run uses."""
-    used = samples.join(assigned.select("sample_id").distinct(), "sample_id", "left_semi")
+def model_rows(samples: DataFrame, assigned: DataFrame, represent: Callable[[DataFrame], DataFrame] = _tree_with_tokens,
+               tree_terms: bool = False) -> DataFrame:
+    """One short row for each sample that some run uses; no text is in it.
+
+    ``sample_id, label, splits`` (config to split), ``full`` (does the text fill a model input), ``code_terms``,
+    ``tree_counts``, with ``tree_terms`` those of the tree's text, and the structural features. The splits are joined to
+    the texts once; what is made of texts and of trees is joined as hashed counts.
+    """
+    listed = F.map_from_entries(F.collect_list(F.struct("config", "split")))  # one entry a config
+    splits = assigned.groupBy("sample_id").agg(listed.alias("splits"))
+    used = stored(samples.join(splits, "sample_id"), "used-samples")
+    full = encoding.mask_length(F.coalesce(F.col("code"), F.lit(""))) == encoding.MAX_LENGTH
+    texts = learning.hash_terms(used.withColumn("full", full), ["sample_id", "label", "splits", "full"])
     trees = with_structural_features(represent(used), "tree")
-    return used.select("sample_id", "code", "label").join(trees, "sample_id")
+    kept = ["sample_id", *FEATURES]
+    if tree_terms:
+        trees = learning.hash_terms(trees, [*kept, "tree"], "tree").withColumnRenamed("counts", "tree_terms")
+        kept.append("tree_terms")
+    trees = vectors.hash_tokens(trees, kept, "tree").withColumnRenamed("counts", "tree_counts")
+    return texts.withColumnRenamed("counts", "code_terms").join(trees, "sample_id")
 
 
 def train_and_predict(rows: DataFrame, options: ModelOptions = ModelOptions()) -> DataFrame:
     """Fit the models on the train rows; ``model, split, sample_id, y_true, y_pred`` of the rest.
 
-    ``rows`` has ``sample_id, code, label, tree, split`` and the structural features.
+    ``rows`` are those of ``model_rows``, with ``split`` in place of ``splits``.
     """
     return _train_and_predict(rows, options)[0]
 
 
 def _train_and_predict(rows: DataFrame, options: ModelOptions) -> tuple[DataFrame, dict[str, int]]:
     """Predictions, and the iterations of each fitted model."""
-    scores, iterations = [], {}
+    scores, iterations = {}, {}
     for name, fit in ((TEXT, _text_scores), (TREE, _tree_scores)):
         if name in options.models or BLEND in options.models:
-            scored, iterations[name] = fit(rows, options)
-            scores.append(scored.withColumn("model", F.lit(name)))
-    both = reduce(DataFrame.unionByName, scores)
+            scores[name], iterations[name] = fit(rows, options)
     columns = ["model", "split", "sample_id", "y_true", "y_pred"]
-    parts = [both.filter(F.col("model").isin(*options.models)).select(*columns)]
+    named = {name: scored.withColumn("model", F.lit(name)) for name, scored in scores.items()}
+    parts = [named[name].select(*columns) for name in named if name in options.models]
     if BLEND in options.models:
         truth = rows.filter(F.col("split") != "train").select(
             "sample_id", "split", F.col("label").alias("y_true"))
-        blended = learning.blend_scores(both, options.blend_weights()).join(truth, "sample_id")
-        parts.append(blended.withColumn("model", F.lit(BLEND)).select(*columns))
+        blended = learning.blend_scores(reduce(DataFrame.unionByName, named.values()), options.blend_weights())
+        parts.append(blended.join(truth, "sample_id").withColumn("model", F.lit(BLEND)).select(*columns))
     return reduce(DataFrame.unionByName, parts), iterations
 
 
@@ -196,19 +246,18 @@ def _scored(model, held_out: DataFrame) -> DataFrame:
 
 
 def _text_scores(rows: DataFrame, options: ModelOptions) -> tuple[DataFrame, int]:
-    text = "tree" if options.text_uses_tree else "code"
-    terms = learning.stored_terms(rows, KEPT, text)
-    model = learning.fit_terms_classifier(terms.filter(F.col("split") == "train"), tol=options.tolerance,
+    counts = "tree_terms" if options.text_uses_tree else "code_terms"
+    terms = rows.select(*KEPT, counts)
+    model = learning.fit_terms_classifier(terms.filter(F.col("split") == "train"), tol=options.tolerance, counts=counts,
                                           max_iterations=options.max_iterations)
     return _scored(model, terms.filter(F.col("split") != "train")), model.stages[-1].summary.totalIterations
 
 
 def _tree_scores(rows: DataFrame, options: ModelOptions) -> tuple[DataFrame, int]:
-    tokens = vectors.with_tokens(rows, "tree")
     is_train = F.col("split") == "train"
-    embedder = vectors.text_embedder().fit(tokens.filter(is_train))
+    embedder = vectors.text_embedder("tree_counts").fit(rows.filter(is_train).select("tree_counts"))
     extra = list(FEATURES) if options.add_structural_features else []
-    embedded = vectors.embed_text(tokens, embedder, [*KEPT, *extra])
+    embedded = vectors.embed_text(rows.select(*KEPT, "tree_counts", *extra), embedder, [*KEPT, *extra])
     if extra:
         numbers = [F.col(c).cast("double") for c in extra]
         embedded = embedded.withColumn("embedding", F.concat("embedding", F.array(*numbers)))

@@ -30,20 +30,39 @@ def _bad_label(given: Column, label: Column) -> Column:
     return F.when(label.isNull(), text)
 
 
+def _file_name(column: str) -> Column:
+    return F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B")))
+
+
 def read_folder(spark: SparkSession, path: str, language: str) -> DataFrame:
-    """One sample per file, labelled by the file name's prefix; sub-folders are not read."""
-    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    """One sample per file, labelled by the file name's prefix; sub-folders are not read.
+
+    Spark packs files into tasks by their bytes (``spark.sql.files.maxPartitionBytes``, with
+    ``spark.sql.files.openCostInBytes`` added for each file), so many small files make one task. It passes
+    over files of no bytes.
+    """
     files = spark.read.text(path, wholetext=True).select(
-        name.alias("sample_id"), universal_newlines(F.col("value")).alias("code"))
+        _file_name("_metadata.file_name").alias("sample_id"), universal_newlines(F.col("value")).alias("code"))
     return label_files(files, language)
 
 
-def label_files(files: DataFrame, language: str) -> DataFrame:
+def folder_manifest(spark: SparkSession, path: str, language: str) -> DataFrame:
+    """``sample_id, label, language, reject, n_bytes, modified`` of the files of a folder. No file is opened: labels
+    are in the names, so what a folder holds, and what of it would be rejected, is known before it is read. Store
+    it to list a folder of millions of files once."""
+    files = spark.read.format("binaryFile").load(path).select(
+        _file_name("_metadata.file_name").alias("sample_id"), F.lit(None).cast("string").alias("code"),
+        F.col("length").alias("n_bytes"), F.col("modificationTime").alias("modified"))
+    labelled = label_files(files, language, "n_bytes", "modified")
+    return labelled.drop("code")
+
+
+def label_files(files: DataFrame, language: str, *keep: str) -> DataFrame:
     """``sample_id`` (a file name) and ``code``, labelled by the prefix of the name."""
     label = label_from_prefix(F.col("sample_id"))
     prefix = F.substring_index("sample_id", "_", 1)
     return files.select("sample_id", "code", label.alias("label"),
-                        F.lit(language).alias("language"), _bad_label(prefix, label).alias("reject"))
+                        F.lit(language).alias("language"), _bad_label(prefix, label).alias("reject"), *keep)
 
 
 def present(code: Column) -> Column:

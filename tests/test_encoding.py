@@ -1,3 +1,5 @@
+import random
+
 from scribeprint.operators import encoding as E
 
 
@@ -35,3 +37,15 @@ def test_label_stays_with_its_row(spark, tmp_path):
     encoded = E.encode_tokens(df.selectExpr("*", "1 AS label"), vocabulary, keep=["label"])
     assert encoded.columns == ["sample_id", "input_ids", "attention_mask", "label"]
     assert encoded.first()["label"] == 1
+
+
+def test_vocabulary_by_sketch(spark):
+    """Exact for any number of tracked tokens: where the bound fails, all tokens are counted."""
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(3_000)]
+    texts = [" ".join(rng.choices(words, [1 / (k + 1) for k in range(3_000)], k=400)) for _ in range(60)] + ["", None]
+    df = table(spark, texts)
+    expected = list(map(tuple, E.build_vocabulary(df, 20).collect()))
+    for tracked in (64, 1024, 1 << 16):
+        assert list(map(tuple, E.build_vocabulary_by_sketch(df, 20, tracked=tracked).collect())) == expected
+    assert E.build_vocabulary_by_sketch(df, 10**6).count() == E.build_vocabulary(df, 10**6).count()

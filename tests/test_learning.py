@@ -153,14 +153,42 @@ def test_gradient_is_zero_at_the_optimum_only(spark):
 
 def test_embedding_is_a_weighted_mean_of_token_marks(spark):
     rows = [("a", "x y"), ("b", "x y x y"), ("c", "z"), ("d", "")]
-    tokens = vectors.with_tokens(spark.createDataFrame(rows, "sample_id string, code string"))
-    fitted = vectors.text_embedder(2).fit(tokens)
+    counted = vectors.hash_tokens(spark.createDataFrame(rows, "sample_id string, code string"), ["sample_id"])
+    fitted = vectors.text_embedder().fit(counted)
     got = {r["sample_id"]: r["embedding"]
-           for r in vectors.embed_text(tokens, fitted, ["sample_id"]).collect()}
+           for r in vectors.embed_text(counted, fitted, ["sample_id"]).collect()}
     assert got["a"] == got["b"] and len(got["a"]) == 256 and sum(got["d"]) == 0
     assert sum(v > 0 for v in got["a"]) == 2
 
 
+@pytest.mark.parametrize("hashing", ["md5", "xxhash64"])
+def test_sparse_entries(spark, hashing):
+    rows = [("a", "x y x"), ("b", ""), ("c", "z"), ("n", None)]
+    df = spark.createDataFrame(rows, "sample_id string, code string")
+    counted = vectors.hash_tokens(df.fillna(""), ["sample_id"], digits=3, hashing=hashing)
+    got = {r["sample_id"]: r for r in counted.select(
+        "sample_id", "counts", vectors.sparse_entries("counts").alias("e")).collect()}
+    for r in got.values():
+        assert [(e["dim"], e["value"]) for e in r["e"]] == list(zip(r["counts"].indices, r["counts"].values))
+    assert sorted(e["value"] for e in got["a"]["e"]) == [1.0, 2.0] and got["b"]["e"] == []
+
+
+def test_token_vectors_are_trained_and_pooled(spark):
+    texts = [f"cat dog pet {k % 3}" if k % 2 else f"sun moon sky {k % 3}" for k in range(200)]
+    df = spark.createDataFrame([(f"s{k}", t) for k, t in enumerate(texts)] + [("none", "unseen"), ("null", None)],
+                               "sample_id string, code string")
+    train = lambda: {r["token"]: r["vector"] for r in vectors.train_token_vectors(
+        df.repartition(5), size=8, iterations=2).collect()}
+    table = train()
+    assert table == train() and set(table) == {"cat", "dog", "pet", "sun", "moon", "sky", "0", "1", "2"}
+    stored = spark.createDataFrame(list(table.items()), "token string, vector array<float>")
+    got = {r["sample_id"]: r["embedding"] for r in vectors.pool_tokens(df, stored).collect()}
+    for k in (0, 1, 77):
+        own = [table[t] for t in texts[k].split()]
+        assert got[f"s{k}"] == pytest.approx([sum(x) / 4 for x in zip(*own)])
+    assert got["none"] is None and got["null"] is None and len(got) == 202
+
+
 def test_assembled_vector(spark):
     df = spark.createDataFrame([([1.0, 2.0], 3, 4.5)], "embedding array<float>, x int, y double")
     assert vectors.assemble(df, features=["x", "y"]).first()["features"] == [

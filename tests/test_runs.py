@@ -1,5 +1,6 @@
 import pytest
 
+from scribeprint.plans import runs
 from scribeprint.plans.runs import (ModelOptions, RunConfig, run_report, run_tables,
                                     standard_configs)
 from scribeprint.sources.catalog import STANDARD
@@ -46,6 +47,7 @@ def test_report_over_configs_and_models(samples):
     assert {(r["config"], r["split"]): (r["n"], r["truncated"]) for r in tables.truncated.collect()}[
         "unseen", "test"] == (30, 0)
     done = tables.iterations.collect()
+    assert tables.metrics.filter("variant <> 'plain'").isEmpty()
     assert len(done) == 4 and all(0 < r["iterations"] <= r["max_iterations"] for r in done)
 
 
@@ -55,3 +57,38 @@ def test_standard_configs_and_weights(samples):
     assert standard_configs({"a": {"test_size": 1}})[-1].config == {"a": {"test_size": 1}}
     with pytest.raises(ValueError):
         run_report(samples, standard_configs(), ModelOptions(weights={"text": 0.5, "tree": 0.6}))
+
+
+def test_variants_stand_in_one_table(samples):
+    variants = {"a": ModelOptions(models=("text",)), "b": ModelOptions(models=("tree",), use_scaler=True),
+                "c": ModelOptions(models=("text",), text_uses_tree=True)}
+    rows = run_tables(samples, [RunConfig("all", 0.2, 0.2)], variants).metrics.collect()
+    assert {(r["variant"], r["model"], r["split"]) for r in rows} == {
+        (v, m, s) for v, m in (("a", "text"), ("b", "tree"), ("c", "text")) for s in ("val", "test")}
+
+
+def test_a_repeated_run_replaces_its_own_rows_only(samples, tmp_path, monkeypatch):
+    results, options = str(tmp_path / "results"), ModelOptions(models=("tree",))
+    configs = [RunConfig("python", 0.2, 0.2, language="python"), RunConfig("java", 0.2, 0.2, language="java")]
+    put = runs._put
+
+    def killed(df, config, variant, path):
+        if config == "java":
+            raise RuntimeError("killed")
+        put(df, config, variant, path)
+
+    monkeypatch.setattr(runs, "_put", killed)
+    with pytest.raises(RuntimeError):
+        run_tables(samples, configs, options, results=results)
+    monkeypatch.setattr(runs, "_put", put)
+    files = lambda config: {p.name for p in (tmp_path / "results" / "predictions").glob(
+        f"config={config}/**/*.parquet")}
+    kept = files("python")
+    assert kept and not files("java")
+    tables = run_tables(samples, configs[1:], options, results=results)
+    assert files("python") == kept and files("java")
+    assert {(r["config"], r["split"]) for r in tables.metrics.collect()} == {
+        (c, s) for c in ("python", "java") for s in ("val", "test")}
+    first = files("java")
+    run_tables(samples, configs[1:], options, results=results)
+    assert files("java") and files("java").isdisjoint(first) and files("python") == kept

@@ -140,3 +140,28 @@ def test_csv_that_may_be_split(spark, tmp_path):
     (tmp_path / "t.csv").write_text("code,label\na,lm\n,human\nb,human\n")
     rows = readers.read_csv(spark, str(tmp_path / "t.csv"), "python", multi_line=False)
     assert sorted(map(tuple, rows.select("code", "label").collect())) == [("a", 1), ("b", 0)]
+
+
+def test_a_manifest_opens_no_file(spark, tmp_path):
+    for k, name in enumerate(("0_a.java", "1_b c.java", "x_d.java")):
+        (tmp_path / name).write_text("code " * (k + 1))
+    got = {r["sample_id"]: r for r in readers.folder_manifest(spark, str(tmp_path), "java").collect()}
+    assert {n: (r["label"], r["n_bytes"]) for n, r in got.items()} == {
+        "0_a.java": (1, 5), "1_b c.java": (0, 10), "x_d.java": (None, 15)}
+    assert got["x_d.java"]["reject"] and "content" not in readers.folder_manifest(
+        spark, str(tmp_path), "java")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_are_packed_into_tasks_by_bytes(spark, tmp_path):
+    for k in range(60):
+        (tmp_path / f"0_{k}.java").write_text("x" * (100 * k))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+    spark.conf.set("spark.sql.files.openCostInBytes", 100)
+    try:
+        sizes = readers.read_folder(spark, str(tmp_path), "java").groupBy(F.spark_partition_id()).agg(
+            F.sum(F.length("code")).alias("n")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(sizes) > 8 and max(r["n"] for r in sizes) <= 20_000

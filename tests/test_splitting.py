@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scribeprint.operators import splitting
+from scribeprint.operators import ranking, splitting
 from scribeprint.operators.ranking import hash_key, running_counts
+from scribeprint.sources import sinks
 
 
 def table(spark, sizes, partitions=4):
@@ -166,3 +167,52 @@ def test_approximate_split_covers_all_rows(spark):
     counts = dict(map(tuple, split.groupBy("split").count().collect()))
     assert sum(counts.values()) == 2000
     assert 140 < counts["test"] < 260 and 140 < counts["val"] < 260
+
+
+def test_two_levels_cut_where_one_does(spark):
+    df = spark.range(3_000).select(F.col("id").cast("string").alias("sample_id"), F.lit("one").alias("dataset"),
+                                   (F.col("id") % 3 == 0).cast("int").alias("label"))
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    for levels in (2, 3):
+        assert rows(splitting.split_dataset(df, 0.2, 0.3, ["dataset"], levels=levels)) == rows(
+            splitting.split_dataset(df, 0.2, 0.3, ["dataset"]))
+        assert rows(splitting.stratified_cap(df, 777, ["dataset"], levels=levels)) == rows(
+            splitting.stratified_cap(df, 777, ["dataset"]))
+
+
+def test_a_level_goes_on_inside_of_a_full_bucket(spark, monkeypatch):
+    """With buckets of one digit, the second level is needed, and no bucket that is numbered has many rows."""
+    monkeypatch.setattr(ranking, "DIGITS", 1)
+    df = spark.range(4_000).select(F.col("id").cast("string").alias("sample_id"), F.lit("one").alias("dataset"))
+    counts = ranking.running_counts(ranking.bucket_counts(df, ["dataset"], "sample_id", 42, "split"), ["dataset"])
+    assert counts.count() == 16
+    running = counts.withColumn("first", F.lit(1234))
+    cut = {levels: ranking.with_cuts(df, running, ["dataset"], ["first"], "sample_id", 42, "split", levels=levels)
+           for levels in (1, 2, 3)}
+    first = {levels: {r[0] for r in d.filter("first").select("sample_id").collect()} for levels, d in cut.items()}
+    assert first[1] == first[2] == first[3] and len(first[1]) == 1234
+
+
+def test_configs_as_a_table(spark, tmp_path):
+    names = 100_000
+    config = spark.range(names).select(
+        F.concat(F.lit("d"), "id").alias("dataset"), F.lit(0.1).alias("test_size"), F.lit(None).cast("double").alias("val_size"),
+        (F.col("id") % 7).alias("max_sample_count"), F.when(F.col("id") < 3, "small").otherwise("rest").alias("run"))
+    samples = spark.range(400).select(
+        F.col("id").cast("string").alias("sample_id"), F.concat(F.lit("d"), F.col("id") % 8).alias("dataset"),
+        F.lit("java").alias("language"), F.lit("m").alias("ai"), F.lit("x").alias("code"), (F.col("id") % 2).cast("int").alias("label"))
+    path = str(tmp_path / "samples")
+    stored = sinks.write_samples(samples, path)
+    own = config.filter("run = 'small'").drop("run")
+    kept = splitting.filter_datasets(stored, own)
+    assert {r[0] for r in kept.select("dataset").distinct().collect()} == {"d0", "d1", "d2"}
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    found = splitting.with_config(samples, config.drop("run"))
+    assert found.filter("test_size = 0.1 AND val_size = 0.0").count() == 400
+    settings = {f"d{k}": {"test_size": 0.1, "max_sample_count": k % 7} for k in range(200)}
+    as_dict = splitting.with_config(samples, settings).orderBy("sample_id").collect()
+    assert as_dict == found.orderBy("sample_id").collect()
+    by_table = splitting.split_datasets(samples, config=own)
+    by_dict = splitting.split_datasets(samples, config={f"d{k}": settings[f"d{k}"] for k in range(3)})
+    assert sorted(map(tuple, by_table.collect())) == sorted(map(tuple, by_dict.collect()))

@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from scribeprint.operators.training_log import best_step, epoch_pairs
+from scribeprint.operators.training_log import best_step, epoch_pairs, with_blocks
 from scribeprint.schema import TRAINING_LOG
 
 
@@ -30,6 +31,18 @@ def test_pairs_equal_a_loop(spark, block):
     assert sorted(map(tuple, got)) == by_loop(lines)
 
 
+def test_blocks_are_even_whatever_the_gaps(spark):
+    """Line numbers with gaps of a billion, and one epoch with nearly all lines."""
+    lines = spark.range(60_000).select(
+        (F.col("id") * 1_000_000_000 + F.hash("id") % 1000).alias("seq"),
+        F.when(F.col("id") % 1000 == 0, 2.0).otherwise(1.0).alias("epoch"), F.lit(0.5).alias("loss"))
+    sizes = with_blocks(lines, 500).groupBy("epoch", "__block").agg(
+        F.count("*").alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high")).collect()
+    assert max(r["n"] for r in sizes) < 1_000 and sum(r["n"] for r in sizes) == 60_000
+    spans = sorted((r["__block"], r["low"], r["high"]) for r in sizes if r["epoch"] == 1.0)
+    assert all(a[2] < b[1] for a, b in zip(spans, spans[1:])) and len(spans) > 100
+
+
 def test_eval_before_loss_gives_nothing(spark):
     lines = [(1, 1.0, None, None, 0.5), (2, 1.0, 0.4, 0.1, None), (3, 2.0, 0.3, 0.1, 0.6)]
     got = epoch_pairs(spark.createDataFrame(lines, TRAINING_LOG)).collect()
