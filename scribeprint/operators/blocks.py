@@ -32,6 +32,7 @@ from scribeprint.functions.text import substring_count, words
 from scribeprint.functions.tokens import (CODE, MARKUP, ROOTS, TOKEN, by_language, code_tokens,
                                           markup_tokens)
 from scribeprint.operators.lookup import lookup_join
+from scribeprint.session import stored
 
 #: Tokens that one match of the cutting pattern takes, and matches of a block.
 PIECE_TOKENS, BLOCK_PIECES = 128, 128
@@ -87,10 +88,11 @@ def nodes_of_blocks(blocks: DataFrame) -> DataFrame:
 
     The rules are those of ``trees.nodes_from_tokens``: a close ends the innermost open node or is dropped, open nodes
     end with the text, and two texts of one id stop the job. The input should be laid out by text and block.
+    What blocks know by themselves is read several times, so it is stored in the shared folder when this is called.
     """
-    local = _local(blocks)
+    local = stored(_local(blocks), "block-nodes")
     closed, half, ends = (local.filter(F.col("kind") == k).drop("root") for k in ("node", "open", "close"))
-    starts = _starts(local)
+    starts = stored(_starts(local), "block-starts")
     placed = lambda df: lookup_join(df, starts, ["sample_id", "block"])
     parent = F.greatest(F.col("level") - F.col("lows"), F.lit(0)) + F.col("height")
     pre = F.col("nodes_before") + F.col("seen")

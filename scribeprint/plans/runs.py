@@ -16,6 +16,7 @@ from scribeprint.operators import encoding, evaluation, learning, vectors
 from scribeprint.operators.splitting import split_datasets, split_summary
 from scribeprint.operators.trees import represent as tree_of_code
 from scribeprint.session import shared_dir, stored
+from scribeprint.sources.readers import spread
 
 # Sizes and cap of the standard run.
 TEST_SIZE, VAL_SIZE, CAP = 0.1, 0.1, 5000
@@ -92,15 +93,15 @@ class RunTables:
 
 def run_report(samples: DataFrame, configs: Sequence[RunConfig],
                options: ModelOptions | Mapping[str, ModelOptions] = ModelOptions(),
-               represent: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+               represent: Callable[[DataFrame], DataFrame] | None = None, tasks: int | None = None) -> DataFrame:
     """The ``metrics`` of ``run_tables``."""
-    return run_tables(samples, configs, options, represent).metrics
+    return run_tables(samples, configs, options, represent, tasks=tasks).metrics
 
 
 def run_tables(samples: DataFrame, configs: Sequence[RunConfig],
                options: ModelOptions | Mapping[str, ModelOptions] = ModelOptions(),
                represent: Callable[[DataFrame], DataFrame] | None = None,
-               results: str | None = None) -> RunTables:
+               results: str | None = None, tasks: int | None = None) -> RunTables:
     """Split, represent, train, predict and report for every config and every variant of ``options``.
 
     Samples are stored first and only read from there, so ids made by a scan hold. All splits are made next, and
@@ -111,7 +112,7 @@ def run_tables(samples: DataFrame, configs: Sequence[RunConfig],
     Samples, rows and predictions stay in the shared folder (``runs-...``) until the user removes them. With
     ``results``, a folder of the user's, predictions and iterations are kept there by config and variant: a run
     that is repeated, say after a failure, replaces its own and leaves those of others, and the
-    tables of metrics are over all that the folder holds.
+    tables of metrics are over all that the folder holds. ``tasks`` deals few but heavy texts to so many tasks.
     """
     variants = options if isinstance(options, Mapping) else {PLAIN: options}
     for own in variants.values():
@@ -126,7 +127,7 @@ def run_tables(samples: DataFrame, configs: Sequence[RunConfig],
     assigned.write.partitionBy("config").parquet(f"{folder}/splits")
     assigned = spark.read.schema(_SPLITS).parquet(f"{folder}/splits")
     tree_terms = any(o.text_uses_tree for o in variants.values())
-    rows = model_rows(given, assigned, represent or _tree_with_tokens, tree_terms)
+    rows = model_rows(given, assigned, represent or _tree_with_tokens, tree_terms, tasks)
     rows.write.parquet(f"{folder}/rows")
     rows = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
     shared = time.monotonic() - begin
@@ -192,7 +193,7 @@ def _tree_with_tokens(samples: DataFrame) -> DataFrame:
 
 
 def model_rows(samples: DataFrame, assigned: DataFrame, represent: Callable[[DataFrame], DataFrame] = _tree_with_tokens,
-               tree_terms: bool = False) -> DataFrame:
+               tree_terms: bool = False, tasks: int | None = None) -> DataFrame:
     """One short row for each sample that some run uses; no text is in it.
 
     ``sample_id, label, splits`` (config to split), ``full`` (does the text fill a model input), ``code_terms``,
@@ -201,7 +202,7 @@ def model_rows(samples: DataFrame, assigned: DataFrame, represent: Callable[[Dat
     """
     listed = F.map_from_entries(F.collect_list(F.struct("config", "split")))  # one entry a config
     splits = assigned.groupBy("sample_id").agg(listed.alias("splits"))
-    used = stored(samples.join(splits, "sample_id"), "used-samples")
+    used = stored(spread(samples.join(splits, "sample_id"), tasks), "used-samples")
     full = encoding.mask_length(F.coalesce(F.col("code"), F.lit(""))) == encoding.MAX_LENGTH
     texts = learning.hash_terms(used.withColumn("full", full), ["sample_id", "label", "splits", "full"])
     trees = with_structural_features(represent(used), "tree")

@@ -30,6 +30,12 @@ def _bad_label(given: Column, label: Column) -> Column:
     return F.when(label.isNull(), text)
 
 
+def spread(df: DataFrame, tasks: int | None) -> DataFrame:
+    """``df`` dealt to so many tasks, if a number is given. For small files with heavy rows: a file of one row group is
+    one task otherwise. It moves all rows, so large tables should be read as they are cut."""
+    return df.repartition(tasks) if tasks else df
+
+
 def _file_name(column: str) -> Column:
     return F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B")))
 

