@@ -165,7 +165,7 @@ def _component_links(classes: DataFrame, keyed_texts: DataFrame, percent: int) -
     reps = classes.select("id", "n", F.col("rep.doc").alias("d_"), F.col("rep.text_hash").alias("h_")).join(wanted, "id")
     texts = written(keyed_texts.join(
         reps, keyed_texts["doc"].eqNullSafe(reps["d_"]) & (keyed_texts["text_hash"] == reps["h_"])).select(
-        F.col("link_id").alias("id"), "n", "text"), "texts")
+        F.col("link_id").alias("id"), "n", "text").dropDuplicates(["id"]), "texts")  # rows may repeat
     links = _links(pairs, texts, percent)
     labels = components(links)
     more = _open_links(members, pairs, texts, labels, percent)
