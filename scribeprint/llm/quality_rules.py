@@ -143,15 +143,17 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", kee
     if not keep_text:
         counted = counted.drop(text)
     counted = written(counted, "quality-rules")
+    host_, mark = free_name(counted, "rejected_host_"), free_name(counted, "rejected_")
     # Written, so that its size is known before rows are dealt by host: a hot host would be one task.
     rejected = written(judge_hosts(counted, host).filter("rejected").select(
-        F.col("host").alias("rejected_host_"), F.lit(True).alias("rejected_")), "rejected-hosts")
-    joined = counted.join(rejected, counted[host].eqNullSafe(rejected["rejected_host_"]), "left")
-    kept = ~F.col("base_failed") & F.col("rejected_").isNull()
+        F.col("host").alias(host_), F.lit(True).alias(mark)), "rejected-hosts")
+    joined = counted.join(rejected, counted[host].eqNullSafe(rejected[host_]), "left")
+    kept = ~F.col("base_failed") & F.col(mark).isNull()
     return joined.select(*quoted(counted), kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are kept, with their own columns."""
+    """The documents that are kept, with their own columns. Null and empty texts go, as the base fails; repeated rows
+    are kept or not together; an empty table stays empty."""
     judged = quality_rules(docs, **options)
     return judged.filter("kept").select(*quoted(docs))
