@@ -39,6 +39,8 @@ EVEN = 0.5
 SECRET_DOCS, ORDINARY_DOCS = 50_000, 5_000
 #: Matches whose places are summed up in one go.
 STRETCH = 512
+#: Pieces of a text that are cut from one stretch of it.
+FAN = 64
 SPANS = "array<struct<start:bigint,end:bigint>>"
 MASK = "[secret]"
 ADDED = ("n_assign", "n_access", "n_hex", "base_spans", "spans")
@@ -73,6 +75,32 @@ def _places(text: Column, pattern: str, keep=None) -> Column:
     return F.when(text.rlike(pattern), let(both, walk)).otherwise(none)
 
 
+def scan(items: Column, begin: Column, step, kind: str) -> Column:
+    """What ``step`` gives for each item in turn, one after another: arrays of type ``kind``.
+
+    ``step(state, item, next)`` returns ``struct(state, out)``; ``next`` is null for the last item. As in ``_places``,
+    results are gathered in stretches.
+    """
+    none = F.array().cast(kind)
+
+    def add(s: Column, i: Column, xs: Column) -> Column:
+        return let(step(s["state"], F.get(xs, i), F.get(xs, i + 1)), lambda r: F.struct(
+            r["state"].alias("state"), F.concat(s["out"], r["out"]).alias("out")))
+
+    def stretch(s: Column, k: Column, xs: Column) -> Column:
+        first = k * STRETCH
+        own = F.aggregate(F.sequence(first, F.least(first + STRETCH, F.size(xs)) - 1),
+                          F.struct(s["state"].alias("state"), none.alias("out")), lambda s, i: add(s, i, xs))
+        return let(own, lambda o: F.struct(o["state"].alias("state"), F.concat(s["parts"], F.array(o["out"])).alias("parts")))
+
+    def walk(xs: Column) -> Column:
+        first = F.struct(begin.alias("state"), F.array().cast(f"array<{kind}>").alias("parts"))
+        steps = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / STRETCH).cast("int"))
+        return F.flatten(F.aggregate(steps, first, lambda s, k: stretch(s, k, xs))["parts"])
+
+    return let(items, lambda xs: F.when(F.size(xs) > 0, walk(xs)).otherwise(none))
+
+
 def long_value(match: Column) -> Column:
     """Whether an assignment's value has the fewest characters."""
     return F.length(F.regexp_extract(match, ASSIGN, 1)) >= ASSIGN_VALUE
@@ -171,8 +199,19 @@ def find_secrets(docs: DataFrame, ratios: list[float] | None = None, doc_id: str
             F.get(kinds, s["order"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
     patterns = F.concat(*(tagged[k] for k in KINDS[:-1]))
-    apart = let(patterns, lambda p: F.filter(tagged["markov"], lambda m: ~F.exists(
-        p, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))))
+    kind, markov = "array<struct<start:bigint,order:int,end:bigint>>", len(KINDS) - 1
+    none = F.array().cast(kind)
+
+    def alone(reached: Column, s: Column, after: Column) -> Column:
+        """``reached``: the greatest end of a pattern's span so far. Of spans that start later, the next one is enough:
+        the models' own spans do not overlap."""
+        mine = s["order"] == markov
+        met = (s["start"] < reached) | F.coalesce((after["order"] < markov) & (after["start"] < s["end"]), F.lit(False))
+        return F.struct(F.when(mine, reached).otherwise(F.greatest(reached, s["end"])).alias("state"),
+                        F.when(mine & ~met, F.array(s)).otherwise(none).alias("out"))
+
+    apart = F.when(F.size(tagged["markov"]) > 0, scan(
+        F.array_sort(F.concat(patterns, tagged["markov"])), F.lit(0).cast("long"), alone, kind)).otherwise(none)
     out = out.withColumns({
         **{f"n_{k}": F.size(names[k]).cast("long") for k in KINDS[:-1]},
         "base_spans": listed(patterns), "spans": listed(F.concat(patterns, apart))})
@@ -184,37 +223,55 @@ def written_spans(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _kept(text: Column, at: Column, pieces: Column, depth: int) -> Column:
+    """The ``pieces`` of a text with ``MASK`` between them; ``at`` is the place of the text in the whole.
+
+    A substring is looked up from the start of its text, so many of them are first cut in stretches.
+    """
+    def cut(a: Column, b: Column) -> Column:
+        return F.substring(text, (a - at + 1).cast("int"), (b - a).cast("int"))
+
+    if not depth:
+        return F.array_join(F.transform(pieces, lambda p: cut(p["from"], p["to"])), MASK)
+    size = FAN ** depth
+
+    def stretch(k: Column) -> Column:
+        own = F.slice(pieces, k * size + 1, F.lit(size))
+        begin = lambda s: F.get(s, F.lit(0))["from"]
+        return let(own, lambda s: let(cut(begin(s), F.element_at(s, -1)["to"]),
+                                      lambda t: _kept(t, begin(s), s, depth - 1)))
+
+    steps = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / size).cast("int"))
+    return F.array_join(F.transform(steps, stretch), MASK)
+
+
 def mask_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars",
                  **options) -> DataFrame:
     """``docs`` with every span, or union of spans that overlap or touch, replaced by ``MASK``.
 
-    ``n_chars``, if there is such a column, is counted anew for changed texts. Null texts stay null.
+    ``n_chars``, if there is such a column, is counted anew for changed texts. Null texts stay null, empty ones
+    and those without secrets as they are. Repeated rows are masked each by itself, an empty table stays empty, ids may
+    be null, and other columns stay whatever their names.
     """
     found = find_secrets(docs, doc_id=doc_id, text=text, **options)
 
-    def merge(state: Column, s: Column) -> Column:
-        more = s["start"] > state["end"]
-        return F.when(more, F.struct(
-            F.concat(state["done"], F.array(F.struct(state["start"].alias("start"), state["end"].alias("end")))).alias("done"),
-            s["start"].alias("start"), s["end"].alias("end"))).otherwise(F.struct(
-                state["done"].alias("done"), state["start"].alias("start"),
-                F.greatest(state["end"], s["end"]).alias("end")))
-
-    begin = F.struct(F.array().cast(SPANS).alias("done"), F.lit(-1).cast("long").alias("start"),
-                     F.lit(-1).cast("long").alias("end"))
-    # The first entry is the empty span before the text; it marks where the first piece begins.
-    merged = F.aggregate("spans", begin, merge, lambda a: F.concat(
-        a["done"], F.array(F.struct(a["start"].alias("start"), a["end"].alias("end")))))
-
-    def cut(m: Column) -> Column:
-        piece = lambda i: F.substring(
-            F.col(text), (F.greatest(F.get(m, i)["end"], F.lit(0)) + 1).cast("int"),
-            (F.coalesce(F.get(m, i + 1)["start"], F.length(text).cast("long"))
-             - F.greatest(F.get(m, i)["end"], F.lit(0))).cast("int"))
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(m) - 1), piece), MASK)
-
+    def merge(state: Column, s: Column, after: Column) -> Column:
+        new = s["start"] > state["end"]
+        own = F.struct(F.when(new, s["start"]).otherwise(state["start"]).alias("start"),
+                       F.when(new, s["end"]).otherwise(F.greatest(state["end"], s["end"])).alias("end"))
+        return let(own, lambda o: F.struct(o.alias("state"), F.when(
+            F.coalesce(after["start"] > o["end"], F.lit(True)), F.array(o)).otherwise(F.array().cast(SPANS)).alias("out")))
+
+    begin = F.struct(F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("end"))
+    # What stays: from the end of a span (or the begin of the text) to the start of the next (or the end).
+    kept = let(scan(F.col("spans"), begin, merge, SPANS), lambda m: F.transform(
+        F.sequence(F.lit(0), F.size(m)), lambda i: F.struct(
+            F.coalesce(F.get(m, i - 1)["end"], F.lit(0).cast("long")).alias("from"),
+            F.coalesce(F.get(m, i)["start"], F.length(text).cast("long")).alias("to"))))
     hit = F.size("spans") > 0
-    clean = F.when(hit, let(merged, cut)).otherwise(F.col(text))
+    few = lambda p: _kept(F.col(text), F.lit(0).cast("long"), p, 0)
+    many = lambda p: _kept(F.col(text), F.lit(0).cast("long"), p, 2)
+    clean = F.when(hit, let(kept, lambda p: F.when(F.size(p) <= FAN, few(p)).otherwise(many(p)))).otherwise(F.col(text))
     name = free_name(found, "clean_")
     out = found.withColumn(name, clean)
     changed = {text: F.col(name)}
