@@ -1,18 +1,21 @@
 """WARC archives: writing, reading back, and an index in order of URL and time.
 
 Records are made by Spark: of equal payloads of at least ``REVISIT_BYTES`` bytes one is a response and the others
-are revisits that refer to it. Archives are written to the shared folder by Spark's text writer (a record is
-UTF-8 text, and its end mark is the line separator) and read back as bytes by their content lengths.
+are revisits that refer to it. Archives are written to the shared folder, each record as a gzip member of its own, and
+read back as bytes by their content lengths. The index has the first byte of a capture's member in its archive, so a
+record can be read from its place. Archives of others are read the same way, whatever their members hold.
 
 The capture index is an external merge. Each archive gives one run: its captures, sorted by URL key, time
-and page. Splitters, taken from the runs' sorted blocks, cut the key space into ranges. Each run is cut at the
-splitters into segments, and a range's segments are merged by a loser tree, k ways at once, in one task.
-Ranges follow each other, so the merged runs are capture histories in global order. Splitters hold the whole
-key, so a URL with very many captures is cut as well, between two times or pages.
+and page, with their places in the run. Spark samples the keys of all runs and cuts the key space into ranges, and so
+each run into segments. A range's segments, put in the order of their places again, are merged by a loser tree, k
+ways at once, in one task. Ranges follow each other, so the merged runs are capture histories in global order.
+Ranges are of the whole key, archive and place included, so a URL with very many captures, or one capture
+that stands there very often, is cut as well.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from scribeprint.llm.scratch import folder, importable, written
+from scribeprint.llm.scratch import folder, importable, map_rows, written
 
 REVISIT_BYTES = 100
 #: Most records of one archive, and the payload bytes it is meant to hold: what a task reads at once.
@@ -36,9 +39,13 @@ RANGE_CAPTURES = 20_000
 #: Second 0 of pages that come without a time; a page's own time is so many seconds later as its id says.
 START = datetime(2020, 1, 1, tzinfo=timezone.utc)
 END_MARK = "\r\n\r\n"
+#: Payloads that are archived alone.
+LONG_BYTES = 256 << 10
+#: A gzip member of no bytes.
+_NO_RECORD = gzip.compress(b"", mtime=0)
 
 CAPTURE = ("url_key string, time string, page_id long, url string, record_type string, payload_bytes long, "
-           "payload_digest string, refers_to long, archive string, offset long")
+           "payload_digest string, refers_to long, archive string, offset long, within long")
 
 
 def url_key(url: str | None) -> str:
@@ -101,17 +108,37 @@ def record_text() -> Column:
         F.lit("\r\n"), body)
 
 
-def records_per_archive(pages: DataFrame, html: str = "html") -> int:
-    """So many that an archive has about ``ARCHIVE_BYTES``, by the mean payload."""
-    mean = pages.agg(F.avg(F.coalesce(F.octet_length(html), F.lit(0)))).first()[0] or 0
-    return max(1, min(RECORDS, int(ARCHIVE_BYTES / max(mean, 1))))
+def archive_sizes(pages: DataFrame, html: str = "html") -> tuple[int, int]:
+    """Records of an archive, so that it has about ``ARCHIVE_BYTES`` by the mean payload; and the longest payload."""
+    size = F.coalesce(F.octet_length(html), F.lit(0))
+    mean, most = pages.agg(F.avg(size), F.max(size)).first()
+    return max(1, min(RECORDS, int(ARCHIVE_BYTES / max(mean or 0, 1)))), most or 0
 
 
-def write_archives(recorded: DataFrame, path: str, n_records: int = RECORDS) -> str:
-    """Archives of at most ``n_records`` records each, as gzip files of plain WARC records."""
-    (recorded.select(record_text().alias("record")).write.option("lineSep", END_MARK)
-     .option("compression", "gzip").option("maxRecordsPerFile", n_records).text(path))
-    return path
+def _zipped(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Input: records. Output: a gzip member for each."""
+    for batch in batches:
+        for record in batch.column(0):  # one at a time, so that long ones are not held together
+            member = zlib.compressobj(wbits=31)
+            data = member.compress(record.as_buffer()) + member.compress(END_MARK.encode()) + member.flush()
+            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], schema=schema)
+
+
+def write_archives(recorded: DataFrame, path: str, n_records: int = RECORDS, longest: int = 0) -> list[str]:
+    """Archives of at most ``n_records`` records, as gzip files with a member for each record; the folders they are in.
+
+    What Spark's writer puts between rows is an empty member. Payloads beyond ``LONG_BYTES`` (if the ``longest`` one is)
+    have archives of their own, so that none grows beyond what can be read at once.
+    """
+    parts = [(path, recorded, n_records)]
+    if longest > LONG_BYTES:
+        is_long = F.col("payload_bytes") > LONG_BYTES
+        parts = [(path, recorded.filter(~is_long), n_records), (f"{path}-long", recorded.filter(is_long), 1)]
+    for folder_, rows, most in parts:
+        zipped = map_rows(rows.select(record_text().alias("record")), _zipped, StructType.fromDDL("member binary"))
+        (zipped.select(F.col("member").cast("string")).write.option("lineSep", _NO_RECORD.decode("latin-1"))
+         .option("encoding", "ISO-8859-1").option("compression", "none").option("maxRecordsPerFile", most).text(folder_))
+    return [p[0] for p in parts]
 
 
 def parse(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -136,43 +163,78 @@ def _page(value: str) -> int | None:
     return None if number == "none" else int(number)
 
 
+def _records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """First byte of the member, place in it, headers and payload of every record of an archive."""
+    for begin, content in members(data):
+        for at, headers, payload in parse(content):
+            yield begin, at, headers, payload
+
+
+def read_record(data: bytes, offset: int, place: int = 0) -> tuple[dict[str, str], bytes]:
+    """Headers and payload of the record at ``offset`` and ``place`` of an index; nothing before it is unpacked."""
+    _, content = next(members(data[offset:]))
+    _, headers, payload = next(parse(content[place:]))
+    return headers, payload
+
+
 def _captures(name: str, data: bytes) -> list[dict]:
     """The run of an archive: its captures in order."""
     out = []
-    for at, headers, payload in parse(data):
+    for begin, at, headers, payload in _records(data):
         digest = headers["WARC-Payload-Digest"].removeprefix("sha256:")
         response = headers["WARC-Type"] == "response"
         if response and hashlib.sha256(payload).hexdigest() != digest:
-            raise ValueError(f"payload and digest differ in {name} at byte {at}")
+            raise ValueError(f"payload and digest differ in {name} at byte {begin}, {at}")
         url = headers.get("WARC-Target-URI")
         out.append({
             "url_key": url_key(url), "time": headers["WARC-Date"], "page_id": _page(headers["WARC-Record-ID"]),
             "url": url, "record_type": headers["WARC-Type"],
             "payload_bytes": len(payload) if response else int(headers["X-Payload-Length"]),
             "payload_digest": digest, "refers_to": None if response else _page(headers["WARC-Refers-To"]),
-            "archive": name, "offset": at})
+            "archive": name, "offset": begin, "within": at})
     out.sort(key=order)
     return out
 
 
 def order(capture: dict) -> tuple:
     page = capture["page_id"]
-    return capture["url_key"], capture["time"], page is not None, page or 0, capture["archive"], capture["offset"]
+    return capture["url_key"], capture["time"], page is not None, page or 0, capture["archive"], capture["offset"], capture["within"]
+
+
+def members(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """The gzip members of an archive, each with its first byte in the file; a plain archive is one.
+
+    Archives commonly have a member for each record, so that a record can be read from its place; others are one member.
+    """
+    at = 0
+    while at < len(data):
+        if data[at:at + 2] != b"\x1f\x8b":
+            if at and not data[at:].strip(b"\0"):  # padding behind the last member
+                return
+            yield at, data[at:]
+            return
+        member = zlib.decompressobj(wbits=31)
+        content = member.decompress(memoryview(data)[at:]) + member.flush()
+        if not member.eof:
+            raise ValueError(f"the gzip member at byte {at} is cut off")
+        yield at, content
+        at = len(data) - len(member.unused_data)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Input: path and content of archives. One row a capture, with its place in the run of its archive."""
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            run = _captures(path.rsplit("/", 1)[-1], zlib.decompress(content.as_py(), wbits=47))
+            run = _captures(path.rsplit("/", 1)[-1], content.as_py())
             for place, capture in enumerate(run):
                 capture["place"] = place
             if run:
                 yield pa.RecordBatch.from_pylist(run, schema=schema)
 
 
-def read_runs(spark, path: str) -> DataFrame:
-    """Captures of all archives in a folder; those of one archive are a sorted run."""
+def read_runs(spark, path: str | list[str]) -> DataFrame:
+    """Captures of all archives in some folders; those of one archive are a sorted run."""
+    importable(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     kind = CAPTURE + ", place long"
     schema = to_arrow_schema(StructType.fromDDL(kind))
@@ -239,7 +301,7 @@ def merged_index(runs: DataFrame, captures: int = RANGE_CAPTURES) -> DataFrame:
     Spark samples the keys and cuts them into ranges; a task merges the segments of its range.
     """
     n_ranges = max(1, -(-runs.count() // captures))
-    ranged = runs.repartitionByRange(n_ranges, "url_key", "time", "page_id")
+    ranged = runs.repartitionByRange(n_ranges, "url_key", "time", "page_id", "archive", "offset", "within")
     return ranged.mapInArrow(_merge, runs.schema).withColumn("range", F.spark_partition_id())
 
 
@@ -253,7 +315,6 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     """
     spark = pages.sparkSession
     importable(spark)
-    path = write_archives(records(pages, page_id, url, html), folder(spark, "warc"),
-                          records_per_archive(pages, html))
+    path = write_archives(records(pages, page_id, url, html), folder(spark, "warc"), *archive_sizes(pages, html))
     runs = written(read_runs(spark, path), "warc-runs")
     return merged_index(runs, captures)
