@@ -227,6 +227,17 @@ events AS (
 SELECT sample_id, string_agg(txt, ' ' ORDER BY spot) AS tree FROM events GROUP BY sample_id"""
 
 
+# The texts of the tokens from the opening of a node to its end, put together again.
+NODE_TEXT = f"""{MARKUP_NODES}
+SELECT r.sample_id, r.pre::INT AS node_id,
+       coalesce(string_agg(t.txt, '' ORDER BY t.pos), '') AS text
+FROM ranked r LEFT JOIN tok t ON t.sample_id = r.sample_id AND t.pos BETWEEN r.pos AND r.close_pos
+GROUP BY r.sample_id, r.pre"""
+CODE_TREES = (CODE_NODES + ", " + token_events(
+        f"SELECT doc_id::VARCHAR AS sample_id, {node_words('text')} AS code FROM documents",
+        "'identifier', 'string_literal', 'number_literal'"))
+
+
 def encode_sql(texts: str, length: int, kept: str = "") -> str:
     """Ids and masks of ``texts`` (sample_id, code, kept columns)."""
     return f"""coded AS ({texts}),
@@ -535,12 +546,8 @@ FROM run_rows GROUP BY config, split""",
     "nodes_from_code_blocks": NODE_DIGEST,
     "node_types": f"""{MARKUP_NODES}
 SELECT sample_id, string_agg(type, ',' ORDER BY pre) AS types FROM nodes GROUP BY sample_id""",
-    # The texts of the tokens from the opening of a node to its end, put together again.
-    "node_text": f"""{MARKUP_NODES}
-SELECT r.sample_id, r.pre::INT AS node_id,
-       coalesce(string_agg(t.txt, '' ORDER BY t.pos), '') AS text
-FROM ranked r LEFT JOIN tok t ON t.sample_id = r.sample_id AND t.pos BETWEEN r.pos AND r.close_pos
-GROUP BY r.sample_id, r.pre""",
+    "node_text": NODE_TEXT,
+    "stored_node_text": NODE_TEXT,
     "serialise_tree": f"""{MARKUP_NODES}, {TREE_EVENTS}
 SELECT sample_id, string_agg(txt, '' ORDER BY spot) AS tree FROM events GROUP BY sample_id""",
     "serialise_tokens": MARKUP_NODES + ", " + token_events(
@@ -548,9 +555,8 @@ SELECT sample_id, string_agg(txt, '' ORDER BY spot) AS tree FROM events GROUP BY
         "'identifier', 'string_literal', 'number_literal', 'li', 'title'"),
     "serialise_code": f"""{CODE_NODES}, {TREE_EVENTS}
 SELECT sample_id, string_agg(txt, '' ORDER BY spot) AS tree FROM events GROUP BY sample_id""",
-    "serialise_code_tokens": CODE_NODES + ", " + token_events(
-        f"SELECT doc_id::VARCHAR AS sample_id, {node_words('text')} AS code FROM documents",
-        "'identifier', 'string_literal', 'number_literal'"),
+    "serialise_code_tokens": CODE_TREES,
+    "stored_serialise_tokens": CODE_TREES,
     "tree_stats": f"""{MARKUP_NODES}
 SELECT sample_id, count(*) AS n_nodes, count(*) FILTER (n_children = 0) AS n_leaves,
        max(depth) AS max_depth, count(*) FILTER (type = 'a') AS n_links,

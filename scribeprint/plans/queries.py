@@ -19,7 +19,7 @@ from scribeprint.operators import (blocks, encoding, evaluation, learning, split
 from scribeprint.plans import runs as runs_plan
 from scribeprint.plans.runs import RunConfig, run_report
 from scribeprint.session import shared_dir, stored
-from scribeprint.sources import catalog, readers
+from scribeprint.sources import catalog, readers, sinks
 
 # The rule that stands for a classifier where a query needs predictions: prose
 # that repeats its words more than this is called class 0.
@@ -345,6 +345,26 @@ def node_text(spark, sf_dir):
     return trees.node_text(nodes_from_markup(spark, sf_dir), _pages(spark, sf_dir))
 
 
+#: Buckets of stored node tables and their texts.
+BUCKETS = 8
+
+
+def _bucketed(spark, df, name):
+    return sinks.write_bucketed(df, _new_path(spark, name), BUCKETS)
+
+
+def stored_node_text(spark, sf_dir):
+    """Texts of nodes from a node table and pages that are stored by sample, without moving either."""
+    nodes = _bucketed(spark, nodes_from_markup(spark, sf_dir), "nodes")
+    return trees.node_text(nodes, _bucketed(spark, _pages(spark, sf_dir), "pages"))
+
+
+def stored_serialise_tokens(spark, sf_dir):
+    nodes = _bucketed(spark, trees.nodes_from_code(_programs(spark, sf_dir)), "nodes")
+    texts = _bucketed(spark, _programs(spark, sf_dir).select("sample_id", "code"), "programs")
+    return trees.serialise_tokens(nodes, texts)
+
+
 def serialise_tree(spark, sf_dir):
     return trees.serialise_tree(nodes_from_markup(spark, sf_dir))
 
@@ -639,7 +659,7 @@ QUERIES = {f.__name__: f for f in (
     stratified_cap, split_three_way, split_approximate, split_holdout, split_two_way,
     split_refined, split_by_config, union_splits, split_summary, nodes_from_markup, nodes_from_code, nodes_from_code_blocks,
     nodes_from_markup_blocks, structural_features_blocks, node_types,
-    node_text, serialise_tree, serialise_tokens, serialise_code, serialise_code_tokens, tree_stats,
+    node_text, stored_node_text, stored_serialise_tokens, serialise_tree, serialise_tokens, serialise_code, serialise_code_tokens, tree_stats,
     structural_features, nested_control, repetition_ratio, build_vocabulary, vocabulary_by_sketch, pool_tokens, encode_tokens,
     encode_tree, truncated_count, mean_pool, embed_text, assemble_features, standard_scale,
     class_weights, train_classifier, classifier_gradient, linear_score, softmax_argmax,

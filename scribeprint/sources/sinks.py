@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,19 @@ def read_samples(spark: SparkSession, path: str, like: DataFrame | None = None)
     return reader.parquet(path)
 
 
+def write_bucketed(df: DataFrame, path: str, buckets: int, by: str = "sample_id", name: str | None = None) -> DataFrame:
+    """Store a table in ``buckets`` by the hash of ``by``, each sorted by it, and read it back.
+
+    Tables of one number of buckets meet without an exchange: joins, groups and windows by that column start where
+    the rows are. For node tables and the texts they belong to, which every serialisation reads together. The table is
+    known to the session's catalog as ``name`` (or one of its own), its files are in ``path``.
+    """
+    name = name or f"bucketed_{uuid.uuid4().hex}"
+    (df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", path).format("parquet")
+     .saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
 def write_report(report: DataFrame, path: str, fmt: str = "json") -> None:
     """Store a report (a table of a bounded number of rows), replacing the last one."""
     report.write.mode("overwrite").format(fmt).save(path)

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scribeprint.functions.labels import enforce, label_from_number, split_rejects
+from scribeprint.operators import trees
 from scribeprint.sources import catalog, readers, sinks
 from scribeprint.sources.catalog import Entry
 
@@ -165,3 +166,20 @@ def test_files_are_packed_into_tasks_by_bytes(spark, tmp_path):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert len(sizes) > 8 and max(r["n"] for r in sizes) <= 20_000
+
+
+def test_stored_nodes_and_texts_meet_without_an_exchange(spark, tmp_path):
+    samples = spark.createDataFrame([(f"s{k}", "java", f"f({k}) {{ a[{k}] }}") for k in range(50)],
+                                    "sample_id string, language string, code string")
+    nodes = sinks.write_bucketed(trees.nodes_from_code(samples), str(tmp_path / "nodes"), 4)
+    texts = sinks.write_bucketed(samples.select("sample_id", "code"), str(tmp_path / "texts"), 4)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for made, whole in ((trees.node_text(nodes, texts), trees.node_text(trees.nodes_from_code(samples), samples)),
+                            (trees.serialise_tokens(nodes, texts), trees.represent(samples, include_tokens=True)),
+                            (trees.serialise_tree(nodes), trees.represent(samples))):
+            assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(tuple, made.collect())) == sorted(map(tuple, whole.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
