@@ -1,11 +1,18 @@
 """License scans with a positional index of rare licence words.
 
-Templates are short public notices. Every template word has postings (template,
-position). A file is looked up by its licence words of highest IDF (counted over
-all documents); each hit proposes where a template would have to start, proposals that agree
-in relative position are counted, and an alignment counts only after the template's
-mandatory phrases were verified word for word. Phrases that are labels by themselves
-are templates whose mandatory phrase is the whole template.
+The templates are texts of public licences and notices. Of each template the ``RARE_WORDS`` words of highest IDF (document
+frequencies are counted over all documents) are indexed with their positions. A file is scanned in this order:
+
+1. Its licence words of highest IDF, those in the index, are looked up. A word at place p of the file that has position q
+   in a template proposes that the template starts at p - q.
+2. Postings are intersected by relative position: a start is a candidate where ``MIN_RARE`` different rare words (for
+   short templates half of theirs) propose starts within ``SPREAD`` of the template's length of each other.
+3. The template is aligned with the file there: the heaviest common subsequence of words by IDF. It has to reach
+   ``MIN_SCORE`` of the template's weight.
+4. Last, the template's mandatory phrase has to stand in that stretch of the file, word for word.
+
+Phrases that are labels by themselves are templates whose mandatory phrase is the whole: their rarest word alone
+proposes starts, and all words are verified.
 """
 
 from __future__ import annotations
@@ -19,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scribeprint.llm.scratch import map_rows, without
-from scribeprint.llm.words import MARKS, read_words
+from scribeprint.llm.scratch import free_name, importable, map_rows, without
+from scribeprint.llm.words import MARKS, read_words, runs
 
 # Phrases that are a label wherever they stand.
 PHRASES = {
@@ -30,40 +37,86 @@ PHRASES = {
     "mit license": "mit",
 }
 
-# Opening words of public notices, label first, then mandatory phrase and notice.
+# Texts of public licences and notices. Label, mandatory phrase, text.
 NOTICES = (
-    ("gpl-notice", "gnu general public license",
-     "this program is free software you can redistribute it and or modify it under the terms of the "
-     "gnu general public license as published by the free software foundation"),
-    ("lgpl-notice", "gnu lesser general public license",
-     "this library is free software you can redistribute it and or modify it under the terms of the "
-     "gnu lesser general public license as published by the free software foundation"),
-    ("agpl-notice", "gnu affero general public license",
-     "this program is free software you can redistribute it and or modify it under the terms of the "
-     "gnu affero general public license as published by the free software foundation"),
-    ("apache-notice", "licensed under the apache license",
-     "licensed under the apache license version 2 0 the license you may not use this file except in "
-     "compliance with the license you may obtain a copy of the license at"),
-    ("mit-notice", "permission is hereby granted free of charge",
-     "permission is hereby granted free of charge to any person obtaining a copy of this software and "
-     "associated documentation files the software to deal in the software without restriction"),
-    ("bsd-notice", "redistribution and use in source and binary forms",
-     "redistribution and use in source and binary forms with or without modification are permitted "
-     "provided that the following conditions are met"),
-    ("mpl-notice", "mozilla public license",
-     "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("isc-notice", "permission to use copy modify and or distribute this software",
-     "permission to use copy modify and or distribute this software for any purpose with or without fee "
-     "is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("cc-by-notice", "creative commons attribution",
-     "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("gpl-notice", "gnu general public license", """
+This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
+details. You should have received a copy of the GNU General Public License along with this program."""),
+    ("lgpl-notice", "gnu lesser general public license", """
+This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option)
+any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without
+even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public
+License for more details. You should have received a copy of the GNU Lesser General Public License along with this
+library."""),
+    ("agpl-notice", "gnu affero general public license", """
+This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
+the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License
+for more details. You should have received a copy of the GNU Affero General Public License along with this program."""),
+    ("apache-notice", "licensed under the apache license", """
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by
+applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+governing permissions and limitations under the License."""),
+    ("mit-notice", "permission is hereby granted free of charge", """
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice
+and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS
+PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("bsd-notice", "redistribution and use in source and binary forms", """
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("isc-notice", "permission to use copy modify and or distribute this software", """
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES
+OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+SOFTWARE."""),
+    ("zlib-notice", "permission is granted to anyone to use this software for any purpose", """
+This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for
+any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the
+original software. If you use this software in a product, an acknowledgment in the product documentation would be
+appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be
+misrepresented as being the original software. 3. This notice may not be removed or altered from any source
+distribution."""),
+    ("mpl-notice", "mozilla public license", """
+This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("cc-by-notice", "creative commons attribution", """
+This work is licensed under a Creative Commons Attribution 4.0 International License. To view a copy of this license,
+visit http://creativecommons.org/licenses/by/4.0/."""),
 )
 
-#: Rare words a file is looked up by, for each template.
-RARE_WORDS = 8
-#: Share of a template's IDF weight that must stand in place, and how far words may have moved.
-MIN_SCORE = 0.5
-DRIFT = 3
+#: Words of a template that are looked up, and how many of them have to agree.
+RARE_WORDS, MIN_RARE = 16, 5
+#: Shares of a template's length: how far starts may lie apart that agree, and what is added on both sides to align.
+SPREAD = 0.25
+#: Share of a template's IDF weight that must stand in order.
+MIN_SCORE = 0.6
 ADDED = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places")
 
 
@@ -77,7 +130,12 @@ class Template:
 
 def templates() -> list[Template]:
     own = [Template(label, True, phrase.split(), phrase.split()) for phrase, label in PHRASES.items()]
-    return own + [Template(label, False, notice.split(), must.split()) for label, must, notice in NOTICES]
+    return own + [Template(label, False, _words(notice), must.split()) for label, must, notice in NOTICES]
+
+
+def _words(text: str) -> list[str]:
+    words = next(read_words(pa.array([text.lower()]), MARKS, fold=True))
+    return [words.data[a:b].tobytes().decode() for a, b in zip(words.start, words.end)]
 
 
 class Index:
@@ -89,19 +147,29 @@ class Index:
         first = next(read_words(pa.array([" ".join(names)]), MARKS, fold=True))
         order = np.argsort(first.hashes)
         self.hashes = first.hashes[order]
+        self.place = order  # of each number's word in the alphabet
         self.number = {names[k]: n for n, k in enumerate(order)}
         if frequency is None:
             frequency = np.zeros(len(names), np.int64)
         self.idf = np.log((n_docs + 1) / (frequency + 1)) + 1
         self.sequences = [self._numbers(t.words) for t in self.templates]
         self.mandatory = [self._numbers(t.mandatory) for t in self.templates]
-        #: Where to start looking for a sequence: at its rarest word.
+        #: Where to start looking for a phrase: at its rarest word.
         self.seed = [int(np.argmax(self.idf[m])) for m in self.mandatory]
-        #: word number -> (template, position)
-        self.postings: dict[int, list[tuple[int, int]]] = {}
-        for t, sequence in enumerate(self.sequences):
-            for position, word in enumerate(sequence):
-                self.postings.setdefault(int(word), []).append((t, position))
+        #: By template: its rare words, and how many different ones have to agree.
+        self.rare = [self._rarest(s) for s in self.sequences]
+        self.need = [min(MIN_RARE, -(-len(r) // 2)) for r in self.rare]
+        self.slack = [max(4, int(SPREAD * len(s))) for s in self.sequences]
+        # Postings (template, position) of rare words: those of word w are from first[w] to first[w + 1].
+        found = sorted((int(w), t, q) for t, s in enumerate(self.sequences) if not self.templates[t].base
+                       for q, w in enumerate(s) if w in self.rare[t])
+        self.posted = np.array([(t, q) for _, t, q in found], np.int64).reshape(-1, 2)
+        self.first = np.searchsorted([w for w, _, _ in found], np.arange(len(self.hashes) + 1))
+
+    def _rarest(self, sequence: np.ndarray) -> np.ndarray:
+        """Words of equal IDF in order of the alphabet."""
+        words = np.unique(sequence)
+        return words[np.lexsort((self.place[words], -self.idf[words]))][:RARE_WORDS]
 
     def _numbers(self, words):
         return np.array([self.number[w] for w in words])
@@ -111,48 +179,57 @@ class Index:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, at, -1)
 
-    def mandatory_places(self, numbers: np.ndarray, row: np.ndarray) -> list[np.ndarray]:
-        """For each template, word places where its mandatory phrase stands whole in one row."""
-        licence = np.flatnonzero(numbers >= 0)
-        found = numbers[licence]
-        by_word = np.argsort(found, kind="stable")
-        cuts = np.searchsorted(found[by_word], np.arange(len(self.hashes) + 1))
-        out = []
-        for phrase, seed in zip(self.mandatory, self.seed):
-            word = phrase[seed]
-            start = licence[by_word[cuts[word]:cuts[word + 1]]] - seed
-            start = start[(start >= 0) & (start + len(phrase) <= len(numbers))]
-            for k, w in enumerate(phrase):
-                start = start[numbers[start + k] == w]
-            out.append(np.sort(start[row[start] == row[start + len(phrase) - 1]]))
-        return out
-
-    def align(self, template: int, numbers: np.ndarray, must: np.ndarray) -> tuple[float, int]:
-        """Best share of IDF weight in place, and where, among starts that the rare words propose.
-
-        ``must``: places of the mandatory phrase; an alignment has to hold one of them.
-        """
-        sequence = self.sequences[template]
-        weight = self.idf[sequence]
-        present = np.unique(numbers[np.isin(numbers, sequence)])
-        rare = present[np.argsort(-self.idf[present], kind="stable")][:RARE_WORDS]
-        starts = [np.flatnonzero(numbers == word) - position for word in rare
-                  for t, position in self.postings[int(word)] if t == template]
-        proposed, votes = np.unique(np.concatenate(starts), return_counts=True)
-        phrase = self.mandatory[template]
-        inside = next(k for k in range(len(sequence)) if (sequence[k:k + len(phrase)] == phrase).all())
-        best = (0.0, 0)
-        near = np.unique(np.concatenate([must - inside + d for d in range(-DRIFT, DRIFT + 1)]))
-        for start in proposed[np.isin(proposed, near)]:
-            hit = np.zeros(len(sequence), bool)
-            for drift in range(-DRIFT, DRIFT + 1):
-                place = start + np.arange(len(sequence)) + drift
-                valid = (place >= 0) & (place < len(numbers))
-                hit[valid] |= numbers[place[valid]] == sequence[valid]
-            score = float(weight[hit].sum() / weight.sum())
-            if score > best[0]:
-                best = (score, int(max(start, 0)))
-        return best
+    def phrase_places(self, t: int, numbers: np.ndarray) -> np.ndarray:
+        """Places where the mandatory phrase of a template stands whole."""
+        phrase, seed = self.mandatory[t], self.seed[t]
+        start = np.flatnonzero(numbers == phrase[seed]) - seed
+        start = start[(start >= 0) & (start + len(phrase) <= len(numbers))]
+        for k, w in enumerate(phrase):
+            start = start[numbers[start + k] == w]
+        return start
+
+    def proposals(self, numbers: np.ndarray, row: np.ndarray, first: np.ndarray):
+        """For each row and template with enough rare words: the row, the template, and the proposed starts in the row
+        with the rare words that propose them, by start. Negative starts are before the text."""
+        place = np.flatnonzero(numbers >= 0)
+        word = numbers[place]
+        count = self.first[word + 1] - self.first[word]
+        posting = runs(self.first[word], count)
+        place, word = np.repeat(place, count), np.repeat(word, count)
+        t, q = self.posted[posting].T if len(posting) else (np.empty(0, np.int64),) * 2
+        r = row[place]
+        start = place - first[r] - q
+        order = np.lexsort((word, start, t, r))
+        r, t, start, word = r[order], t[order], start[order], word[order]
+        cuts = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (t[1:] != t[:-1]))) if len(r) else np.empty(0, np.int64)
+        for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(r)).tolist()):
+            if b - a >= self.need[t[a]] and len(np.unique(word[a:b])) >= self.need[t[a]]:
+                yield int(r[a]), int(t[a]), start[a:b], word[a:b]
+
+    def candidates(self, t: int, start: np.ndarray, word: np.ndarray) -> list[int]:
+        """Starts where enough different rare words agree, those that most agree on first; starts within the slack of
+        one that was taken go with it."""
+        ends = np.searchsorted(start, start + self.slack[t], side="right")
+        found = [(-n, int(s)) for k, (s, e) in enumerate(zip(start.tolist(), ends.tolist()))
+                 if (not k or s != start[k - 1]) and (n := len(set(word[k:e].tolist()))) >= self.need[t]]
+        taken: list[int] = []
+        for _, s in sorted(found):
+            if all(abs(s - other) > self.slack[t] for other in taken):
+                taken.append(s)
+        return taken
+
+    def align(self, t: int, numbers: np.ndarray, start: int) -> float:
+        """Share of the template's weight in the heaviest common subsequence with the file near a start; 0 without the
+        mandatory phrase there."""
+        sequence = self.sequences[t]
+        low = max(0, start - self.slack[t])
+        part = numbers[low:max(0, start + len(sequence) + 2 * self.slack[t])]
+        best = np.zeros(len(part) + 1)
+        for w in sequence:
+            step = best[:-1] + self.idf[w] * (part == w)
+            np.maximum.accumulate(np.maximum(best[1:], step), out=best[1:])
+        share = float(best[-1] / self.idf[sequence].sum())
+        return share if share >= MIN_SCORE and len(self.phrase_places(t, part)) else 0.0
 
 
 PLACES = T.ArrayType(T.StructType([T.StructField("label", T.StringType()),
@@ -188,41 +265,31 @@ def _scan(batches: Iterator[pa.RecordBatch], statistics, at: int, schema) -> Ite
         out = [[] for _ in RESULT.names]
         for words in read_words(batch.column(at), MARKS, fold=True):
             numbers, row = index.numbers(words.hashes), words.row
-            by_row: dict[int, list[tuple[int, int]]] = {}
-            for t, places in enumerate(index.mandatory_places(numbers, row)):
-                for place in places:
-                    r = int(row[place])
-                    by_row.setdefault(r, []).append((t, int(place - words.first[r])))
-            for r in range(words.high - words.low):
+            base: dict[int, list[tuple[int, str]]] = {}
+            for t, template in enumerate(index.templates):
+                if template.base:
+                    for p in index.phrase_places(t, numbers).tolist():
+                        if row[p] == row[p + len(template.words) - 1]:
+                            base.setdefault(int(row[p]), []).append((p - int(words.first[row[p]]), template.label))
+            aligned: dict[int, list[tuple[int, str, float]]] = {}
+            for r, t, start, word in index.proposals(numbers, row, words.first):
                 own = numbers[words.first[r]:words.first[r + 1]]
-                for column, value in zip(out, _row(index, own, by_row.get(r))):
+                for s in index.candidates(t, start, word):
+                    if share := index.align(t, own, s):
+                        aligned.setdefault(r, []).append((max(s, 0), index.templates[t].label, share))
+            for r, n in enumerate(words.counts.tolist()):
+                for column, value in zip(out, _row(n, base.get(r, []), aligned.get(r, []))):
                     column.append(value)
         arrays = [pa.array(c, f.type) for c, f in zip(out, list(schema)[-len(out):])]
         yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], schema=schema)
 
 
-def _row(index: Index, numbers: np.ndarray, found: list[tuple[int, int]] | None) -> tuple:
-    if not found:
-        return len(numbers), 0, None, None, [], [], 0.0, []
-    base, labels, places, score = [], set(), [], 0.0
-    for t in sorted({t for t, _ in found}):
-        template = index.templates[t]
-        starts = np.array([p for u, p in found if u == t])
-        if template.base:
-            base += [(int(p), template.label) for p in starts]
-            places += [(template.label, int(p), 1.0) for p in starts]
-            score = 1.0
-        else:
-            share, start = index.align(t, numbers, starts)
-            if share >= MIN_SCORE:
-                labels.add(template.label)
-                places.append((template.label, start, share))
-                score = max(score, share)
-    own = sorted({label for _, label in base})
-    rows = [{"label": a, "first_word": b, "score": c} for a, b, c in sorted(places, key=lambda p: (p[1], p[0]))]
-    starts = [p for p, _ in base]
-    return (len(numbers), len(base), min(starts, default=None), max(starts, default=None), own,
-            sorted(labels | set(own)), min(score, 1.0), rows)
+def _row(n_words: int, base: list[tuple[int, str]], aligned: list[tuple[int, str, float]]) -> tuple:
+    places = sorted([(p, label, 1.0) for p, label in base] + aligned)
+    starts, own = [p for p, _ in base], {label for _, label in base}
+    return (n_words, len(base), min(starts, default=None), max(starts, default=None), sorted(own),
+            sorted(own | {label for _, label, _ in aligned}), max((s for _, _, s in places), default=0.0),
+            [{"label": a, "first_word": p, "score": s} for p, a, s in places])
 
 
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -237,6 +304,7 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     read whole, and columns with the names of the result are replaced.
     """
     size = len(Index().hashes)
+    importable(docs.sparkSession)
     counted = (docs.select(F.col(text).alias("text")).mapInArrow(_frequencies, "word long, n long")
                .groupBy("word").agg(F.sum("n").alias("n")).collect())  # one row a template word
     frequency, n_docs = np.zeros(size, np.int64), 0
@@ -246,7 +314,12 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
         else:
             frequency[r["word"]] = r["n"]
     statistics = docs.sparkSession.sparkContext.broadcast((frequency, n_docs))
-    base = without(docs, *(c for c in ADDED if c != text))
+    own = text
+    if text in ADDED:  # the text is read under another name, and replaced
+        own = free_name(docs, "text_")
+        docs = docs.withColumnRenamed(text, own)
+    base = without(docs, *ADDED)
     schema = T.StructType([*base.schema.fields, *RESULT.fields])
-    at = base.columns.index(text)
-    return map_rows(base, lambda b, arrow: _scan(b, statistics, at, arrow), schema)
+    at = base.columns.index(own)
+    found = map_rows(base, lambda b, arrow: _scan(b, statistics, at, arrow), schema)
+    return found if own == text else found.drop(own)

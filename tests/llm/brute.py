@@ -227,3 +227,38 @@ def hard_negatives(rows, every=100, n_positives=5, n_negatives=10, low=30, high=
             out += [(a, None if none else p, k + 1, None if n[1] else n[2], -score, -n[0])
                     for k, n in enumerate(best)]
     return sorted(out, key=repr)
+
+
+def licence_notices(texts, templates, rare_words=16, min_rare=5, spread=0.25, min_score=0.6):
+    """(labels, score) of the notices in each text, by counting and trying everything. ``templates``: (label, words,
+    mandatory words); phrases that are labels by themselves come from ``licence_phrases``."""
+    files = [mark_words(t) for t in texts]
+    known = sorted({w for _, words, must in templates for w in [*words, *must]} | {
+        w for p in LICENCE_PHRASES for w in p.split()})
+    idf = {w: math.log((len(files) + 1) / (sum(w in f for f in map(set, files)) + 1)) + 1 for w in known}
+    out = []
+    for file in files:
+        labels, score = set(), 0.0
+        for label, words, must in templates:
+            rare = sorted(set(words), key=lambda w: (-idf[w], w))[:rare_words]
+            need, slack = min(min_rare, -(-len(rare) // 2)), max(4, int(spread * len(words)))
+            starts = sorted((p - q, w) for p, w in enumerate(file) if w in rare for q, v in enumerate(words) if v == w)
+            votes = {s: len({w for t, w in starts if s <= t <= s + slack}) for s, _ in starts}
+            taken = []
+            for s in sorted((s for s in votes if votes[s] >= need), key=lambda s: (-votes[s], s)):
+                if any(abs(s - other) <= slack for other in taken):
+                    continue
+                taken.append(s)
+                part = file[max(0, s - slack):max(0, s + len(words) + 2 * slack)]
+                best = [0.0] * (len(part) + 1)
+                for w in words:
+                    new = best[:]
+                    for j, x in enumerate(part):
+                        new[j + 1] = max(new[j], best[j + 1], best[j] + idf[w] * (x == w))
+                    best = new
+                share = best[-1] / sum(idf[w] for w in words)
+                if share >= min_score and any(part[j:j + len(must)] == must for j in range(len(part))):
+                    labels.add(label)
+                    score = max(score, share)
+        out.append((labels, score))
+    return out
