@@ -11,8 +11,9 @@ probability 2 * (1 - 0.75^4)^28 = 5e-5 at s = 0.75, and 2e-7 at 0.8.
 - In a bucket, every class is compared with the one that shares most keys: as many comparisons as members,
   however hot the bucket is. Comparisons read the whole sets; links make components.
 - Then only members of one bucket that are in different components are still open. They are compared
-  as well, pair by pair in small buckets and block against block in large ones. So no link between
-  candidates is lost, and a large group never becomes rows of pairs.
+  as well: pair by pair in small buckets, and in larger ones by an exact set join that only brings texts
+  together which share a rare shingle. So no link between candidates is lost, and a large group never becomes
+  rows of pairs.
 """
 
 from __future__ import annotations
@@ -178,8 +179,7 @@ def _open_links(members: DataFrame, pairs: DataFrame, texts: DataFrame, labels:
                 percent: int) -> DataFrame | None:
     """Links between members of one bucket that are in different components.
 
-    In small buckets these are pairs. Larger buckets are put together where they overlap, and each
-    such group is compared in blocks, so that no pair is ever a row.
+    In small buckets these are pairs; the members of larger ones are joined as sets.
     """
     told = members.join(labels, "id", "left").select("key", "id", "a", F.coalesce("label", "id").alias("label"))
     told = written(told, "labelled")
@@ -193,11 +193,58 @@ def _open_links(members: DataFrame, pairs: DataFrame, texts: DataFrame, labels:
     rest = small.join(other, "key").filter("label < label_").select(
         F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
     found = _links(rest.join(pairs, ["a", "b"], "left_anti"), texts, percent)
-    large = part.filter(F.col("size") > SMALL_BUCKET)
-    groups = components(large.select("a", F.col("id").alias("b")))
-    if groups.isEmpty():
-        return found
-    return found.unionAll(_block_links(groups, labels, texts, percent))
+    large = part.filter(F.col("size") > SMALL_BUCKET).select("id", "label").distinct()
+    return found.unionAll(_links_of_many(written(large, "open-ids"), pairs, labels, texts, percent))
+
+
+def _links_of_many(open_ids: DataFrame, pairs: DataFrame, labels: DataFrame, texts: DataFrame,
+                   percent: int) -> DataFrame:
+    """Links between texts of different components (``id, label``), by the exact size and prefix filters of a set join.
+
+    Shingles are put in one order, those of few texts first. Two linked sets share one of the first shingles of either:
+    with s percent, one of the first n - ceil(2 s n / (100 + s)) + 1 of the smaller set and of the first
+    n - ceil(s n / 100) + 1 of the larger. Pages of one template differ in rare shingles, so those that are not
+    linked seldom meet; only the shingles that more than one text has are moved. Sets that do meet are pairs,
+    or are compared in blocks where very many meet in one shingle.
+    """
+    sets = written(texts.join(open_ids, "id").select("id", "label", "text").mapInArrow(
+        _shingles, "id long, label long, shingles array<bigint>"), "open-sets")
+    rows = sets.select("id", F.explode("shingles").alias("shingle"))
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    ranked = rows.join(written(shared, "shared-shingles"), "shingle").groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("texts", "shingle"))).alias("common"))
+    n = F.size("shingles")
+    first = lambda a, b: n - F.ceil(F.lit(a) * n / F.lit(b)).cast("int") + 1
+    # Shingles of one text come first in the order and meet nothing.
+    alone = n - F.size("common")
+    short, long_ = first(2 * percent, 100 + percent), first(percent, 100)
+    kept = F.slice("common", 1, F.greatest(long_ - alone, F.lit(0)))
+    heads = sets.join(ranked, "id").select("id", "label", n.alias("n"), (short - alone).alias("short"),
+                                           F.posexplode(kept).alias("at", "c"))
+    heads = written(heads.select("id", "label", "n", (F.col("at") < F.col("short")).alias("small"),
+                                 F.col("c.shingle").alias("shingle")), "heads")
+    meet = heads.groupBy("shingle").agg(
+        F.count_if("small").alias("small_"), F.count(F.lit(1)).alias("all_"), F.min("label").alias("low"),
+        F.max("label").alias("high")).filter("small_ > 0 AND low < high")
+    meet = written(meet.select("shingle", (F.col("small_") * F.col("all_")).alias("work")), "meetings")
+    few = F.col("work") <= SMALL_BUCKET * SMALL_BUCKET
+    own = heads.join(meet.filter(few), "shingle")
+    other = own.select("shingle", F.col("id").alias("id_"), F.col("label").alias("label_"), F.col("n").alias("n_"))
+    fits = ((F.col("n") < F.col("n_")) | ((F.col("n") == F.col("n_")) & (F.col("id") != F.col("id_")))) & (
+        100 * F.col("n") >= percent * F.col("n_"))
+    met = own.filter("small").join(other, "shingle").filter(fits & (F.col("label") != F.col("label_"))).select(
+        F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
+    found = _links(met.join(pairs, ["a", "b"], "left_anti"), texts, percent)
+    crowd = heads.join(meet.filter(~few), "shingle").select("id", F.col("shingle").alias("label"))
+    return found if crowd.isEmpty() else found.unionAll(_block_links(crowd, labels, texts, percent))
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Input: id, label, text."""
+    for batch in batches:
+        sets = [s.view(np.int64) for words in read_words(batch.column(2), BLANKS, fold=True) for s in np.split(*_cut(words))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.list_(pa.int64()))],
+                                         names=["id", "label", "shingles"])
 
 
 def _block_links(groups: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:

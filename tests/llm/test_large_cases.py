@@ -124,3 +124,57 @@ def test_records_are_read_from_their_places(spark, monkeypatch):
     assert len(index) == 90 and len({r["range"] for r in index}) > 2
     assert max(len(list(warc._records(f))) for f in files.values()) <= 7
     assert warc.round_trip(pages).count() == 90
+
+
+def template_pages(rng, n, shared, own):
+    head = [f"t{k}" for k in range(shared)]
+    return [" ".join(head + [f"p{page}x{k}" for k in range(own)]) for page in range(n)]
+
+
+def test_open_members_of_large_buckets(spark, monkeypatch):
+    """Templated pages that are not linked, near copies among them, and crowds that meet in one shingle."""
+    rng = random.Random(3)
+    pages = template_pages(rng, 120, 100, 26)
+    texts = pages + [p + " tail" for p in pages[:10]]
+    for k in range(60):  # sets of common shingles only: some links, some not
+        gap = rng.randrange(30, 60)
+        texts.append(" ".join(f"t{j}" for j in range(100) if not gap <= j < gap + rng.randrange(1, 30)))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sizes, seen = [], near_dedup._links_of_many
+
+    def noted(open_ids, *rest):
+        sizes.append(open_ids.count())
+        return seen(open_ids, *rest)
+
+    monkeypatch.setattr(near_dedup, "_links_of_many", noted)
+    for small in (near_dedup.SMALL_BUCKET, 2):
+        monkeypatch.setattr(near_dedup, "SMALL_BUCKET", small)
+        got = near_dedup.near_duplicates(df).select("doc_id", "n_shingles", "component_id", "kept").collect()
+        assert sorted(map(tuple, got)) == sorted(brute.near(rows))
+    assert sizes and max(sizes) > 50
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_the_set_join_loses_no_link(spark, seed):
+    """All linked pairs of different components, whatever the sets."""
+    rng = random.Random(seed)
+    voc = [f"v{k}" for k in range(60)]
+    base = [rng.choices(voc, k=rng.randrange(20, 60)) for _ in range(6)]
+    texts = []
+    for k in range(90):
+        words = list(rng.choice(base))
+        for _ in range(rng.randrange(0, 4)):
+            at = rng.randrange(len(words))
+            words[at:at + rng.randrange(0, 3)] = rng.choices(voc, k=rng.randrange(0, 3))
+        texts.append(" ".join(words))
+    texts = sorted(set(texts))
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string")
+    own = df.select("id", F.col("id").alias("label"))
+    none = spark.createDataFrame([], "a long, b long")
+    labels = spark.createDataFrame([], "id long, label long")
+    found = {tuple(r) for r in near_dedup._links_of_many(own, none, labels, df, 75).select("a", "b").distinct().collect()}
+    sets = [frozenset(tuple(w[k:k + 5]) for k in range(len(w) - 4)) for w in (t.split() for t in texts)]
+    linked = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets))
+              if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert {(min(p), max(p)) for p in found} == linked and len(linked) > 5
