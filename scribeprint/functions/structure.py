@@ -74,22 +74,23 @@ def nested_control(tokens: Column, if_tokens: Sequence[str] = IF_TOKENS,
     """``struct(ifs, loops)``: branch and loop tokens that stand deeper than one level,
     not counting the first of each kind (whatever its own level)."""
     marks = F.filter(tokens, lambda t: t.isin("(", ")", *if_tokens, *loop_tokens))
+    kinds = {"ifs": if_tokens, "loops": loop_tokens}
 
     def step(acc: Column, t: Column) -> Column:
-        is_if, is_loop = t.isin(*if_tokens), t.isin(*loop_tokens)
-        deep = acc["level"] > 1
+        deep = (acc["level"] > 1).cast("int")
+        up = F.when(t == "(", 1).when(t == ")", -1).otherwise(0)
+        hit = {k: t.isin(*names) for k, names in kinds.items()}
         return F.struct(
-            (acc["level"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)).alias("level"),
-            (acc["seen_if"] | is_if).alias("seen_if"),
-            (acc["seen_loop"] | is_loop).alias("seen_loop"),
-            (acc["ifs"] + (is_if & deep & acc["seen_if"]).cast("int")).alias("ifs"),
-            (acc["loops"] + (is_loop & deep & acc["seen_loop"]).cast("int")).alias("loops"))
-
-    start = F.struct(F.lit(0).alias("level"), F.lit(False).alias("seen_if"),
-                     F.lit(False).alias("seen_loop"), F.lit(0).alias("ifs"),
-                     F.lit(0).alias("loops"))
-    return F.aggregate(marks, start, step,
-                       lambda acc: F.struct(acc["ifs"].alias("ifs"), acc["loops"].alias("loops")))
+            (acc["level"] + up).alias("level"),
+            *[(acc[k] + F.when(hit[k], deep).otherwise(0)).alias(k) for k in kinds],
+            *[F.coalesce(acc[f"first_{k}"], F.when(hit[k], deep)).alias(f"first_{k}") for k in kinds])
+
+    none = F.lit(None).cast("int")
+    start = F.struct(F.lit(0).alias("level"), *[F.lit(0).alias(k) for k in kinds],
+                     *[none.alias(f"first_{k}") for k in kinds])
+    # All deep hits, less the first hit of the kind if that one is deep.
+    return F.aggregate(marks, start, step, lambda acc: F.struct(*[
+        (acc[k] - F.coalesce(acc[f"first_{k}"], F.lit(0))).alias(k) for k in kinds]))
 
 
 def with_structural_features(df: DataFrame, text: str = "code",

@@ -36,13 +36,25 @@ def write_bucketed(df: DataFrame, path: str, buckets: int, by: str = "sample_id"
     return df.sparkSession.table(name)
 
 
+def _swapped(spark: SparkSession, path: str, write) -> None:
+    """``write`` to a new folder, then put it in the place of the old one: a run that fails leaves the old result."""
+    made = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    write(made)
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (made, path))
+    fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{made} is complete, but could not be moved to {path}")
+
+
 def write_report(report: DataFrame, path: str, fmt: str = "json") -> None:
-    """Store a report (a table of a bounded number of rows), replacing the last one."""
-    report.write.mode("overwrite").format(fmt).save(path)
+    """Store a report (a table of a bounded number of rows), replacing the last one once it is complete."""
+    _swapped(report.sparkSession, path, lambda made: report.write.format(fmt).save(made))
 
 
 def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+    """Store a fitted pipeline, replacing the last one once it is complete."""
+    _swapped(SparkSession.getActiveSession(), path, lambda made: model.write().save(made))
 
 
 def load_model(path: str) -> PipelineModel:

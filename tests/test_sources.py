@@ -183,3 +183,13 @@ def test_stored_nodes_and_texts_meet_without_an_exchange(spark, tmp_path):
             assert sorted(map(tuple, made.collect())) == sorted(map(tuple, whole.collect()))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_a_report_that_fails_leaves_the_last_one(spark, tmp_path):
+    path = str(tmp_path / "report")
+    sinks.write_report(spark.range(3).toDF("n"), path)
+    sinks.write_report(spark.range(4).toDF("n"), path)
+    broken = spark.range(2).select(F.when(F.col("id") > 0, F.raise_error(F.lit("broken")).cast("long")).alias("n"))
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_report(broken, path)
+    assert spark.read.json(path).count() == 4
