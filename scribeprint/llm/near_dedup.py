@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scribeprint.llm.components import components
-from scribeprint.llm.scratch import as_text, free_name, quoted, written
+from scribeprint.llm.scratch import as_text, free_name, importable, quoted, written
 from scribeprint.llm.words import BLANKS, Words, mix, read_words, runs, sequence_hashes, whole_windows
 
 SHINGLE = 5
@@ -154,8 +154,8 @@ def _class_id(id_: str) -> Column:
     return F.col(id_).bitwiseAND((1 << ID_BITS) - 1)
 
 
-def _component_links(classes: DataFrame, keyed_texts: DataFrame, percent: int) -> DataFrame:
-    """``id, label`` of linked classes, in ids of classes."""
+def _component_links(classes: DataFrame, keyed_texts: DataFrame, repeats: bool, percent: int) -> DataFrame:
+    """``id, label`` of linked classes, in ids of classes. ``repeats``: whether rows of equal id and text occur."""
     keys = written(_keyed(classes), "table-keys")
     buckets = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("most"))
     buckets = written(buckets.filter("a < most").select("key", "a"), "buckets")
@@ -164,9 +164,11 @@ def _component_links(classes: DataFrame, keyed_texts: DataFrame, percent: int) -
     wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = wanted.select(F.col("id").alias("link_id"), _class_id("id").alias("id"))
     reps = classes.select("id", "n", F.col("rep.doc").alias("d_"), F.col("rep.text_hash").alias("h_")).join(wanted, "id")
-    texts = written(keyed_texts.join(
+    texts = keyed_texts.join(
         reps, keyed_texts["doc"].eqNullSafe(reps["d_"]) & (keyed_texts["text_hash"] == reps["h_"])).select(
-        F.col("link_id").alias("id"), "n", "text").dropDuplicates(["id"]), "texts")  # rows may repeat
+        F.col("link_id").alias("id"), "n", "text")
+    # One row for each class. Only repeated rows make more, and only then texts are moved once more.
+    texts = written(texts.dropDuplicates(["id"]) if repeats else texts, "texts")
     links = _links(pairs, texts, percent)
     labels = components(links)
     more = _open_links(members, pairs, texts, labels, percent)
@@ -309,6 +311,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     by their texts only; those with the component's smallest id are all ``kept``. A null id is never the
     smallest, unless its component has no other. Texts are read whole; an empty table stays empty.
     """
+    importable(docs.sparkSession)
     keyed = _keyed_documents(docs, doc_id, text)
     sketched = written(keyed.mapInArrow(
         _sketch, "doc long, text_hash long, n long, node binary, tuples array<bigint>"), "sketches")
@@ -316,7 +319,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.min(F.struct("text_hash", "doc")).alias("rep"), F.min("doc").alias("least"),
         F.first("n").alias("n"), F.first("tuples").alias("tuples"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    labels = _component_links(classes, keyed, percent)
+    rows = sketched.filter("n > 0").groupBy("doc", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    repeats = not rows.filter("rows > 1").isEmpty()
+    labels = _component_links(classes, keyed, repeats, percent)
     of_class = written(classes.select("id", "node", "least").join(labels, "id", "left").select(
         "node", "least", F.coalesce("label", "id").alias("component")), "class-components")
     least = written(of_class.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
