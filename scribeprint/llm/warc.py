@@ -41,6 +41,8 @@ START = datetime(2020, 1, 1, tzinfo=timezone.utc)
 END_MARK = "\r\n\r\n"
 #: Payloads that are archived alone.
 LONG_BYTES = 256 << 10
+#: Bytes of an archive that are unpacked at a time, and of members that are handed on together.
+READ_BYTES, WRITE_BYTES = 4 << 10, 1 << 20
 #: A gzip member of no bytes.
 _NO_RECORD = gzip.compress(b"", mtime=0)
 
@@ -117,11 +119,22 @@ def archive_sizes(pages: DataFrame, html: str = "html") -> tuple[int, int]:
 
 def _zipped(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Input: records. Output: a gzip member for each."""
+    held, size = [], 0
+
+    def closed():
+        nonlocal held, size
+        rows, held, size = held, [], 0
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], schema=schema)
+
     for batch in batches:
-        for record in batch.column(0):  # one at a time, so that long ones are not held together
+        for record in batch.column(0):
             member = zlib.compressobj(wbits=31)
-            data = member.compress(record.as_buffer()) + member.compress(END_MARK.encode()) + member.flush()
-            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], schema=schema)
+            held.append(member.compress(record.as_buffer()) + member.compress(END_MARK.encode()) + member.flush())
+            size += len(held[-1])
+            if size >= WRITE_BYTES:
+                yield closed()
+    if held:
+        yield closed()
 
 
 def write_archives(recorded: DataFrame, path: str, n_records: int = RECORDS, longest: int = 0) -> list[str]:
@@ -206,19 +219,21 @@ def members(data: bytes) -> Iterator[tuple[int, bytes]]:
 
     Archives commonly have a member for each record, so that a record can be read from its place; others are one member.
     """
-    at = 0
+    at, view = 0, memoryview(data)
     while at < len(data):
         if data[at:at + 2] != b"\x1f\x8b":
             if at and not data[at:].strip(b"\0"):  # padding behind the last member
                 return
             yield at, data[at:]
             return
-        member = zlib.decompressobj(wbits=31)
-        content = member.decompress(memoryview(data)[at:]) + member.flush()
+        member, parts, end = zlib.decompressobj(wbits=31), [], at
+        while not member.eof and end < len(data):  # what is read too far is handed back, so it is kept short
+            parts.append(member.decompress(view[end:end + READ_BYTES]))
+            end = min(end + READ_BYTES, len(data))
         if not member.eof:
             raise ValueError(f"the gzip member at byte {at} is cut off")
-        yield at, content
-        at = len(data) - len(member.unused_data)
+        yield at, b"".join(parts)
+        at = end - len(member.unused_data)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
