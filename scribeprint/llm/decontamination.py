@@ -206,9 +206,14 @@ def n_hit_words(ranges: str = "hit_words"):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any benchmark window, with their own columns."""
+    """The documents without any benchmark window, with their own columns, whatever their names.
+
+    Null and empty texts stay. Repeated rows go or stay together; with an empty benchmark all stay; an empty table
+    stays empty.
+    """
     clashing = [c for c in docs.columns if c.lower() in ADDED]
     hidden = {c: free_name(docs, f"{c}_own") for c in clashing}
+    options["text"] = hidden.get(options.get("text", "text"), options.get("text", "text"))
     found = find_benchmark(docs.withColumnsRenamed(hidden), benchmark, **options)
     clean = found.filter(F.size("hit_words") == 0).drop(*ADDED)
     return clean.withColumnsRenamed({new: old for old, new in hidden.items()}).select(*quoted(docs))

@@ -76,7 +76,10 @@ def repeated_words(hashes: Column) -> Column:
 
 def count_rules(df: DataFrame, text: str) -> DataFrame:
     """``df`` with ``COUNTS`` and ``base_failed``. Whole texts are read, null as empty."""
-    df = without(df, *(c for c in ADDED if c != text))
+    if text in ADDED:  # it is read under another name, and replaced
+        given, text = text, free_name(df, "text_")
+        return count_rules(df.withColumnRenamed(given, text), text).drop(text)
+    df = without(df, *ADDED)
     own = as_text(text)
     trimmed = F.btrim(own, F.lit(BLANKS))
     names = {n: free_name(df, n) for n in ("words_", "windows_", "lines_")}
@@ -140,7 +143,7 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", kee
     columns with the names of the result are replaced, others stay.
     """
     counted = count_rules(docs, text)
-    if not keep_text:
+    if not keep_text and text not in ADDED:
         counted = counted.drop(text)
     counted = written(counted, "quality-rules")
     host_, mark = free_name(counted, "rejected_host_"), free_name(counted, "rejected_")

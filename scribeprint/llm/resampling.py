@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scribeprint.llm.scratch import map_rows, quoted, without, written
+from scribeprint.llm.scratch import importable, map_rows, quoted, without, written
 from scribeprint.llm.words import MARKS, mix, read_words, sequence_hashes, whole_windows
 
 #: Hashed n-grams fall in so many buckets: the size of both models.
@@ -57,6 +57,7 @@ def _counts(batches: Iterator[pa.RecordBatch], targets, buckets: int) -> Iterato
 def log_ratios(df: DataFrame, target_ids: DataFrame, doc_id: str, text: str,
                buckets: int = BUCKETS, target_docs: int = TARGET_DOCS) -> np.ndarray:
     """log(p_target / p_raw) of each bucket, both with one added to every count."""
+    importable(df.sparkSession)
     label_id = target_ids.columns[0]
     ids = (target_ids.select(F.col(label_id).cast("long").alias("id")).dropna().distinct()
            .orderBy(F.xxhash64("id"), "id").limit(target_docs))

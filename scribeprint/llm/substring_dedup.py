@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scribeprint.llm.scratch import as_text, map_rows, quoted, without, written
+from scribeprint.llm.scratch import as_text, importable, map_rows, quoted, without, written
 from scribeprint.llm.words import BLANKS, mix, read_words, running_powers, runs, sequence_hashes
 
 LENGTH = 35
@@ -175,6 +175,7 @@ def _joined_words(words, low, high, keep_word) -> str:
 
 def repeated_spans(keyed: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """``doc, text_hash, first, last``: ranges of starts of repeated windows. ``keyed``: doc, text_hash, text."""
+    importable(keyed.sparkSession)
     found = keyed.mapInArrow(lambda b: _occurrences(b, length, anchor), OCCURRENCES)
     found = written(found, "anchors")
     # Seed. Counts are added up before and after the shuffle, so hot anchors are short rows.
