@@ -80,6 +80,29 @@ def quality(docs):
     return out
 
 
+def rejected_hosts(docs, deviations=2.0, limit=0.5, least=2.0, most=10_000.0):
+    """Hosts of (doc_id, text, host) rows whose rate of one of the rules is too high after shrinking."""
+    hosts = {}
+    for (_, text, host), row in zip(docs, quality([(d, t) for d, t, _ in docs])):
+        n_words, chars, symbols, dup, _, base = row[1:]
+        n_lines = len([x for x in (text or "").split("\n") if BLANK_WORDS.search(x)])
+        mean = chars / max(n_words, 1)
+        hosts.setdefault(host, []).append((base, symbols > 0.1 * n_words, dup > 0.3 * n_lines, not 2 <= mean <= 20))
+    out = set()
+    noise = sum(1 / len(v) for v in hosts.values()) / max(len(hosts), 1)
+    for rule in range(4):
+        failed = {h: sum(x[rule] for x in v) for h, v in hosts.items()}
+        rates = [failed[h] / len(v) for h, v in hosts.items()]
+        mean = sum(rates) / len(rates) if rates else 0.0
+        spread = (sum((r - mean) ** 2 for r in rates) / (len(rates) - 1) if len(rates) > 1 else 0.0) - mean * (1 - mean) * noise
+        prior = min(max(mean * (1 - mean) / spread - 1, least), most) if spread > 0 else most
+        for h, v in hosts.items():
+            shrunk = (failed[h] + mean * prior) / (len(v) + prior)
+            if shrunk - deviations * math.sqrt(shrunk * (1 - shrunk) / (len(v) + prior + 1)) > limit:
+                out.add(h)
+    return out
+
+
 SECRET_PATTERNS = (
     ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?"""
                           r"([A-Za-z0-9+/_.=-]+)", re.ASCII), lambda m: len(m[2]) >= 6),

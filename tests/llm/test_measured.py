@@ -76,6 +76,7 @@ def test_hosts_that_fail_are_found(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
     hosts = quality_rules.judge_hosts(quality_rules.count_rules(df, "text"), "source").collect()
     said = {r["host"] for r in hosts if r["rejected"]}
+    assert said == brute.rejected_hosts(rows)
     hits = sum(truth[h] for h in said)
     assert hits >= 0.9 * sum(truth.values()) and hits >= 0.95 * len(said)
 

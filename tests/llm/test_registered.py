@@ -93,8 +93,10 @@ def test_sample_favours_good_documents(spark):
 def test_pipeline_stages(spark, docs):
     frame = spark.read.parquet(f"{SF}/documents.parquet")
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    sourced = [tuple(r) for r in frame.select("doc_id", "text", "source").collect()]
+    hosts, rejected = {d: h for d, _, h in sourced}, brute.rejected_hosts(sourced)
     expected = {
-        "quality rules": lambda rows: {x[0] for x in brute.quality(rows) if not x[-1]},
+        "quality rules": lambda rows: {x[0] for x in brute.quality(rows) if not x[-1] and hosts[x[0]] not in rejected},
         "near dedup": lambda rows: {x[0] for x in brute.near(rows) if x[3]},
         "decontamination": lambda rows: {x[0] for x in brute.contamination(rows, items) if not x[5]},
         "secret scans": lambda rows: {x[0] for x in rows},
