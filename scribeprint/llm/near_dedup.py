@@ -237,8 +237,11 @@ def _links_of_many(open_ids: DataFrame, pairs: DataFrame, labels: DataFrame, tex
     met = own.filter("small").join(other, "shingle").filter(fits & (F.col("label") != F.col("label_"))).select(
         F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
     found = _links(met.join(pairs, ["a", "b"], "left_anti"), texts, percent)
-    crowd = heads.join(meet.filter(~few), "shingle").select("id", F.col("shingle").alias("label"))
-    return found if crowd.isEmpty() else found.unionAll(_block_links(crowd, labels, texts, percent))
+    # Crowds that overlap are one group, so that a text is in one only.
+    crowd = written(heads.join(meet.filter(~few), "shingle").select("id", "shingle"), "crowds")
+    first_of = written(crowd.groupBy("shingle").agg(F.min("id").alias("a")), "crowd-centers")
+    groups = components(crowd.join(first_of, "shingle").select("a", F.col("id").alias("b")))
+    return found if groups.isEmpty() else found.unionAll(_block_links(groups, labels, texts, percent))
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

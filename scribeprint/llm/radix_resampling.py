@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scribeprint.llm.scratch import map_rows, written
-from scribeprint.llm.words import MARKS, Words, read_words, runs, sequence_hashes, whole_windows
+from scribeprint.llm.words import MARKS, Words, read_words, sequence_hashes, whole_windows
 
 LOW, HIGH = 1, 1
 #: Buckets of features: the gains and counts that are held at once, in the driver too.
