@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from scribeprint.functions.structure import FEATURES, with_structural_features
 from scribeprint.operators import blocks, trees
