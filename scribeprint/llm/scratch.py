@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from scribeprint.session import shared_dir
+from scribeprint.session import importable, shared_dir
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -18,14 +17,6 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it, if it is not installed for them."""
-    root = str(Path(__file__).resolve().parents[2])
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in known.split(":"):
-        spark.sparkContext.environment["PYTHONPATH"] = f"{known}:{root}".strip(":")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` from a Parquet table in the shared folder.
 
