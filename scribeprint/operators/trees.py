@@ -16,12 +16,19 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from scribeprint.functions.tokens import (CODE, ROOTS, TEXT_TOKEN, TOKEN, by_language, code_tokens,
                                           markup_tokens, token)
+from scribeprint.operators.nesting import packed_nodes
+from scribeprint.schema import NODES
+from scribeprint.session import importable
 
 # Inner nodes of these types are written as their text.
 ATOMIC_TYPES = ("identifier", "string_literal", "number_literal")
+#: Types that inner nodes of packed code have.
+INNER_TYPES = {"parenthesized", "bracketed", "block", *ROOTS.values()}
 
 _OPEN, _CLOSE, _LEAF = "open", "close", "leaf"
 
@@ -42,16 +49,47 @@ def nodes_from_code(samples: DataFrame, policy: str = "fail",
     language stops the job (``fail``), or its rows are left out (``drop``). With ``texts`` there
     is a column ``text``: that of leaves, which is null for inner nodes.
     """
+    return unpacked(packed_from_code(samples, policy, languages, texts))
+
+
+def packed_from_code(samples: DataFrame, policy: str = "fail", languages: Sequence[str] = tuple(CODE),
+                     texts: bool = False, tasks: int | None = None) -> DataFrame:
+    """``nodes_from_code`` with one row a sample: ``sample_id`` and its ``nodes`` in preorder, as one array.
+
+    Texts are dealt out by ``sample_id``, to ``tasks`` partitions if a number is given. Behind that a task holds the
+    tokens of one slice of samples at a time: nothing is sorted or spilled but texts.
+    """
     samples = samples.filter(F.col("code").isNotNull()).select("sample_id", "language", "code")
     if policy == "drop":
         samples = samples.filter(F.col("language").isin(*languages))
-    samples = samples.repartition("sample_id")
+    samples = _single(samples.repartition(*([tasks] if tasks else []), "sample_id"))
     tokens = by_language(F.col("language"), {
         name: code_tokens(F.col("code"), name, texts) for name in languages},
         f"array<{TEXT_TOKEN if texts else TOKEN}>")
     root = by_language(F.col("language"), {n: F.lit(ROOTS[n]) for n in languages}, "string")
     whole = [F.col("code")] if texts else []
-    return nodes_from_tokens(samples.select("sample_id", root.alias("root"), tokens.alias("tokens"), *whole), texts)
+    tokenised = samples.select("sample_id", root.alias("root"), tokens.alias("tokens"), *whole)
+    node = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in NODES.fields[2:])
+    made = T.StructType([tokenised.schema["sample_id"], T.StructField("nodes", T.ArrayType(T.StructType.fromDDL(
+        node + (", text: string" if texts else ""))))])
+    arrow = to_arrow_schema(made)
+    importable(samples.sparkSession)
+    return tokenised.mapInArrow(lambda batches: packed_nodes(batches, arrow), made)
+
+
+def _single(texts: DataFrame) -> DataFrame:
+    """``texts``, laid out by ``sample_id``; two rows of one id stop the job."""
+    twice = F.raise_error(F.concat(F.lit("two texts have the id "), F.col("sample_id").cast("string")))
+    rows = F.count("*").over(Window.partitionBy("sample_id"))
+    return texts.withColumn("__rows", rows).filter(
+        F.when(F.col("__rows") > 1, twice.cast("boolean")).otherwise(F.lit(True))).drop("__rows")
+
+
+def unpacked(packed: DataFrame) -> DataFrame:
+    """The node table of samples with a ``nodes`` array."""
+    fields = packed.schema["nodes"].dataType.elementType.names
+    return packed.select("sample_id", F.explode("nodes").alias("n")).select(
+        "sample_id", F.col("n.pre").alias("node_id"), *[F.col(f"n.{f}").alias(f) for f in fields])
 
 
 def nodes_from_tokens(tokenised: DataFrame, texts: bool = False) -> DataFrame:
@@ -185,14 +223,18 @@ def node_text(nodes: DataFrame, samples: DataFrame) -> DataFrame:
 
 def serialise_tree(nodes: DataFrame) -> DataFrame:
     """Per sample, the nested form: a leaf is its type, an inner node ``(type child child)``."""
-    opens = 2 * F.col("pre") - F.col("depth")
-    closes = 2 * F.col("post") + F.col("depth") + 1
-    inner = F.col("n_children") > 0
-    gap = F.when(F.col("depth") > 0, F.lit(" ")).otherwise(F.lit(""))
-    head = F.concat(gap, F.when(inner, F.lit("(")).otherwise(F.lit("")), F.col("type"))
-    events = F.when(inner, F.array(_event(opens, head), _event(closes, F.lit(")")))).otherwise(
-        F.array(_event(opens, head)))
-    return _joined(nodes.select("sample_id", F.explode(events).alias("e")), "")
+    def events(n) -> Column:
+        inner = n["n_children"] > 0
+        gap = F.when(n["depth"] > 0, F.lit(" ")).otherwise(F.lit(""))
+        head = F.concat(gap, F.when(inner, F.lit("(")).otherwise(F.lit("")), n["type"])
+        opens = _event(2 * n["pre"] - n["depth"], head)
+        return F.when(inner, F.array(opens, _event(2 * n["post"] + n["depth"] + 1, F.lit(")")))).otherwise(F.array(opens))
+
+    if "nodes" in nodes.columns:
+        listed = F.sort_array(F.flatten(F.transform("nodes", events)))
+        return nodes.select("sample_id", F.array_join(F.transform(listed, lambda e: e["text"]), "").alias("tree"))
+    columns = {c: F.col(c) for c in ("pre", "post", "depth", "n_children", "type")}
+    return _joined(nodes.select("sample_id", F.explode(events(columns)).alias("e")), "")
 
 
 def serialise_tokens(nodes: DataFrame, samples: DataFrame | None = None,
@@ -203,6 +245,26 @@ def serialise_tokens(nodes: DataFrame, samples: DataFrame | None = None,
     ``code`` of ``samples``; without it they are the nodes' own (``text``), so that no text is moved again. Then
     inner nodes of atomic types must have one.
     """
+    none = F.lit(None)
+
+    def events(n) -> Column:
+        own = none.cast("string") if samples is not None else F.coalesce(n["text"], F.raise_error(F.concat(
+            F.lit("a node without a text, of type "), n["type"])).cast("string"))
+        opens, closes = 2 * n["pre"] - n["depth"], 2 * n["post"] + n["depth"] + 1
+        span = [n["start_byte"].alias("start"), n["end_byte"].alias("end")]
+        no_span = [none.cast("int").alias("start"), none.cast("int").alias("end")]
+        return F.when(n["atomic"], F.array(
+            F.struct(opens.alias("pos"), own.alias("mark"), *span))).otherwise(F.array(
+                F.struct(opens.alias("pos"), F.concat(n["type"], F.lit("::left")).alias("mark"), *no_span),
+                F.struct(closes.alias("pos"), F.concat(n["type"], F.lit("::right")).alias("mark"), *no_span)))
+
+    if "nodes" in nodes.columns:
+        if set(atomic_types) & INNER_TYPES:
+            return serialise_tokens(unpacked(nodes), samples, atomic_types)
+        # Only leaves are atomic, and nothing is below them.
+        marked = F.transform("nodes", lambda n: n.withField("atomic", n["n_children"] == 0))
+        listed = nodes.select("sample_id", F.sort_array(F.flatten(F.transform(marked, events))).alias("events"))
+        return _written(listed, samples)
     reading = (Window.partitionBy("sample_id").orderBy("pre")
                      .rowsBetween(Window.unboundedPreceding, -1))
     atomic = (F.col("n_children") == 0) | F.col("type").isin(*atomic_types)
@@ -211,20 +273,16 @@ def serialise_tokens(nodes: DataFrame, samples: DataFrame | None = None,
     shown = (nodes.withColumn("atomic", atomic).withColumn("last_below", last_below)
                   .withColumn("covered", covered)
                   .filter(F.col("covered").isNull() | (F.col("pre") > F.col("covered"))))
-    opens = 2 * F.col("pre") - F.col("depth")
-    closes = 2 * F.col("post") + F.col("depth") + 1
-    none = F.lit(None)
-    own = none.cast("string") if samples is not None else F.coalesce("text", F.raise_error(F.concat(
-        F.lit("a node without a text, of type "), F.col("type"))).cast("string"))
-    span = [F.col("start_byte").alias("start"), F.col("end_byte").alias("end")]
-    no_span = [none.cast("int").alias("start"), none.cast("int").alias("end")]
-    events = F.when(F.col("atomic"), F.array(
-        F.struct(opens.alias("pos"), own.alias("mark"), *span))).otherwise(F.array(
-            F.struct(opens.alias("pos"), F.concat("type", F.lit("::left")).alias("mark"), *no_span),
-            F.struct(closes.alias("pos"), F.concat("type", F.lit("::right")).alias("mark"),
-                     *no_span)))
-    listed = (shown.select("sample_id", F.explode(events).alias("e")).groupBy("sample_id")
+    columns = {c: F.col(c) for c in ("pre", "post", "depth", "type", "start_byte", "end_byte", "atomic")}
+    if samples is None:
+        columns["text"] = F.col("text")
+    listed = (shown.select("sample_id", F.explode(events(columns)).alias("e")).groupBy("sample_id")
                    .agg(F.sort_array(F.collect_list("e")).alias("events")))
+    return _written(listed, samples)
+
+
+def _written(listed: DataFrame, samples: DataFrame | None) -> DataFrame:
+    """The trees of samples with an array of ``events``; those without a mark are cut from the text."""
     if samples is None:
         return listed.select("sample_id", F.array_join(F.transform("events", lambda e: e["mark"]), " ").alias("tree"))
     joined = listed.join(_bytes_of(samples), F.col("sample_id") == F.col("__id"))
@@ -255,5 +313,5 @@ def tree_stats(nodes: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFra
 
 def represent(samples: DataFrame, include_tokens: bool = False, policy: str = "fail") -> DataFrame:
     """``sample_id`` and ``tree``: the serialised form of every sample's code."""
-    nodes = nodes_from_code(samples, policy, texts=include_tokens)
-    return serialise_tokens(nodes) if include_tokens else serialise_tree(nodes)
+    packed = packed_from_code(samples, policy, texts=include_tokens)
+    return serialise_tokens(packed) if include_tokens else serialise_tree(packed)
