@@ -25,6 +25,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from scribeprint.functions.structure import (FEATURES, IF_TOKENS, LOOP_TOKENS, NODE_GROUPS,
                                              with_structural_features)
@@ -32,10 +34,18 @@ from scribeprint.functions.text import substring_count, words
 from scribeprint.functions.tokens import (CODE, MARKUP, ROOTS, TOKEN, by_language, code_tokens,
                                           markup_tokens)
 from scribeprint.operators.lookup import lookup_join
-from scribeprint.session import stored
+from scribeprint.operators.nesting import block_nodes, placed_nodes
+from scribeprint.operators.trees import unpacked
+from scribeprint.schema import NODES
+from scribeprint.session import importable, stored
 
 #: Tokens that one match of the cutting pattern takes, and matches of a block.
 PIECE_TOKENS, BLOCK_PIECES = 128, 128
+#: What a block knows by itself (``nesting.block_nodes``).
+_LOCAL = """own_nodes bigint, own_bytes bigint, closes bigint, opens bigint,
+    nodes array<struct<seen:int,lows:int,height:int,below:int,n_children:int,type:string,start:int,end:int>>,
+    halves array<struct<seen:int,lows:int,height:int,n_children:int>>,
+    ends array<struct<lows:int,seen:int,to_byte:int,n_children:int,is_rest:boolean>>"""
 #: Characters of a block of words, at least; it ends at the next white space.
 BLOCK_CHARS = 1 << 16
 
@@ -72,6 +82,12 @@ def nodes_from_markup(pages: DataFrame, id_col: str = "sample_id", text: str = "
 def nodes_from_code(samples: DataFrame, policy: str = "fail", languages: Sequence[str] = tuple(CODE),
                     piece_tokens: int = PIECE_TOKENS, block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """As ``trees.nodes_from_code``, for samples of any length."""
+    return unpacked(packed_from_code(samples, policy, languages, piece_tokens, block_pieces))
+
+
+def packed_from_code(samples: DataFrame, policy: str = "fail", languages: Sequence[str] = tuple(CODE),
+                     piece_tokens: int = PIECE_TOKENS, block_pieces: int = BLOCK_PIECES) -> DataFrame:
+    """``nodes_from_code`` with one row a block: ``sample_id`` and its ``nodes`` in preorder, as one array."""
     samples = samples.filter(F.col("code").isNotNull()).select("sample_id", "language", "code")
     if policy == "drop":
         samples = samples.filter(F.col("language").isin(*languages))
@@ -80,148 +96,91 @@ def nodes_from_code(samples: DataFrame, policy: str = "fail", languages: Sequenc
         lambda n: _pieces(F.col("code"), CODE[n], piece_tokens), "array<string>").alias("pieces"))
     dealt = _dealt(texts, _joined(F.col("pieces"), block_pieces), "language", "root")
     tokens = of(lambda n: code_tokens(F.col("code"), n), f"array<{TOKEN}>")
-    return nodes_of_blocks(dealt.select("sample_id", "block", "root", tokens.alias("tokens")))
+    return packed_nodes_of_blocks(dealt.select("sample_id", "block", "root", tokens.alias("tokens")))
 
 
 def nodes_of_blocks(blocks: DataFrame) -> DataFrame:
-    """Node table (``schema.NODES``) of ``sample_id, block, root, tokens``; blocks are numbered from 0.
-
-    The rules are those of ``trees.nodes_from_tokens``: a close ends the innermost open node or is dropped, open nodes
-    end with the text, and two texts of one id stop the job. The input should be laid out by text and block.
-    What blocks know by themselves is read several times, so it is stored in the shared folder when this is called.
-    """
-    local = stored(_local(blocks), "block-nodes")
-    closed, half, ends = (local.filter(F.col("kind") == k).drop("root") for k in ("node", "open", "close"))
-    starts = stored(_starts(local), "block-starts")
-    placed = lambda df: lookup_join(df, starts, ["sample_id", "block"])
-    parent = F.greatest(F.col("level") - F.col("lows"), F.lit(0)) + F.col("height")
-    pre = F.col("nodes_before") + F.col("seen")
-
-    own = placed(closed).select(
-        "sample_id", pre.alias("pre"), (parent + 1).alias("depth"), "below", "n_children", "type",
-        (F.col("bytes_before") + F.col("to_byte") - F.col("n_bytes")).alias("start_byte"),
-        (F.col("bytes_before") + F.col("end_byte")).alias("end_byte"))
-    over = _crossing(placed(half).withColumn("depth", parent + 1), placed(ends), starts)
-    top = F.row_number().over(Window.partitionBy("sample_id").orderBy(F.desc("block")))
-    # Children of the root: those that its own blocks have found, and what crossed over them.
-    totals = starts.withColumn("top", top).filter("top = 1").select(
-        "sample_id", "root", (F.col("nodes_before") + F.col("own_nodes")).alias("below"),
-        (F.col("bytes_before") + F.col("own_bytes")).alias("end_byte"))
-    kids = placed(ends).filter(F.col("level") - F.col("lows") <= 0).groupBy("sample_id").agg(
-        F.sum("n_children").alias("n_children"))
-    zero = F.lit(0).cast("bigint")
-    root = lookup_join(totals, kids, ["sample_id"], "left").select(
-        "sample_id", zero.alias("pre"), zero.alias("depth"), "below",
-        F.coalesce("n_children", zero).alias("n_children"), F.col("root").alias("type"), zero.alias("start_byte"),
-        "end_byte")
-    rows = own.unionByName(over).unionByName(root)
-    post = F.col("pre") + F.col("below") - F.col("depth")
-    return rows.select(
-        "sample_id", F.col("pre").cast("int").alias("node_id"), F.col("pre").cast("int"), post.cast("int").alias("post"),
-        F.col("depth").cast("int"), F.col("n_children").cast("int"), "type", F.col("start_byte").cast("int"),
-        F.col("end_byte").cast("int"))
+    """Node table (``schema.NODES``) of ``sample_id, block, root, tokens``; blocks are numbered from 0."""
+    return unpacked(packed_nodes_of_blocks(blocks))
 
 
-def _local(blocks: DataFrame) -> DataFrame:
-    """What a block knows by itself, one row a node, close or block.
+def packed_nodes_of_blocks(blocks: DataFrame) -> DataFrame:
+    """``nodes_of_blocks`` with one row a block: ``sample_id`` and its ``nodes`` in preorder, as one array.
 
-    ``lows``: open closes before the row; ``height``: level above the lowest point so far. ``kind``: ``node`` (begun
-    and ended here, or a leaf), ``open`` (not ended here), ``close`` (ends a node of an earlier block, or nothing),
-    ``rest`` (the end of the block). The last two carry the children that the node at the lowest level has got.
+    The rules are those of ``trees.nodes_from_tokens``: a close ends the innermost open node or is dropped, open nodes
+    end with the text, and two texts of one id stop the job. Tokens of a block are worked on as one array; rows are
+    made only of what goes over blocks. What blocks know by themselves is read several times, so it is stored in the
+    shared folder when this is called.
     """
-    rows = blocks.select("sample_id", "block", "root", F.posexplode_outer("tokens").alias("pos", "t")).select(
-        "sample_id", "block", "root", F.coalesce("pos", F.lit(0)).alias("pos"),
-        F.coalesce("t.step", F.lit(0)).alias("step"), F.coalesce("t.is_node", F.lit(False)).alias("is_node"),
-        F.col("t.type").alias("type"), F.coalesce("t.n_bytes", F.lit(0)).cast("bigint").alias("n_bytes"))
-    reading = Window.partitionBy("sample_id", "block").orderBy("pos")
-    so_far = reading.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = reading.rowsBetween(Window.unboundedPreceding, -1)
-    twice = F.raise_error(F.concat(F.lit("two texts have the id "), F.col("sample_id").cast("string")))
-    first = F.sum((F.col("pos") == 0).cast("int")).over(so_far)
-    rows = (rows.withColumn("step", F.when(first > 1, twice.cast("int")).otherwise(F.col("step")))
-                .withColumn("sum", F.sum("step").over(so_far))
-                .withColumn("seen", F.sum(F.col("is_node").cast("bigint")).over(so_far))
-                .withColumn("to_byte", F.sum("n_bytes").over(so_far))
-                .withColumn("low", F.least(F.lit(0), F.coalesce(F.min("sum").over(before), F.lit(0))))
-                .withColumn("last", F.lead("pos").over(reading).isNull())
-                .withColumn("lows", -F.col("low"))
-                .withColumn("height", F.col("sum") - F.col("step") - F.col("low")))
-    common = ("pos", "type", "seen", "to_byte", "n_bytes", "root")
-
-    def at(height: Column, role: str, child: bool = False, lows: Column | None = None) -> Column:
-        return F.struct(height.cast("int").alias("height"), F.lit(role).alias("role"), F.lit(child).alias("child"),
-                        (F.col("lows") if lows is None else lows).cast("int").alias("lows"))
-
-    height, inner = F.col("height"), F.col("height") > 0
-    open_close = (F.col("step") == -1) & ~inner
-    roles = (F.when(F.col("step") == 1, F.array(at(height + 1, "open"), at(height, "inner", True)))
-              .when((F.col("step") == -1) & inner, F.array(at(height, "ends")))
-              .when(open_close, F.array(at(F.lit(0), "close")))
-              .when(F.col("is_node"), F.array(at(height, "leaf", True)))
-              .otherwise(F.array().cast("array<struct<height:int,role:string,child:boolean,lows:int>>")))
-    # At its end a block also tells what the lowest node that it leaves open has got.
-    rest_lows = F.col("lows") + open_close.cast("int")
-    roles = F.when(F.col("last"), F.concat(roles, F.array(at(F.lit(0), "rest", lows=rest_lows)))).otherwise(roles)
-    events = rows.select("sample_id", "block", *common, F.explode(roles).alias("r")).select(
-        "sample_id", "block", "pos", "type", "seen", "to_byte", "n_bytes", "root", F.col("r.height").alias("height"),
-        F.col("r.role").alias("role"), F.col("r.child").alias("child"), F.col("r.lows").alias("lows"))
-    order = F.when(F.col("role") == "rest", 1).otherwise(0)
-    siblings = Window.partitionBy("sample_id", "block", "lows", "height").orderBy("pos", order)
-    running = siblings.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("sample_id", "block", "lows", "height")
-    edge = F.when(F.col("role").isin("open", "ends"), F.struct("role", "seen", "to_byte", "children"))
-    events = (events.withColumn("children", F.sum(F.col("child").cast("bigint")).over(running))
-                    .withColumn("all", F.sum(F.col("child").cast("bigint")).over(whole))
-                    .withColumn("edge", edge).withColumn("tie", order)
-                    .withColumn("end", F.expr("lead(edge) ignore nulls over (partition by sample_id, block, lows, height "
-                                              "order by pos, tie)"))
-                    .filter(F.col("role").isin("open", "leaf", "close", "rest")))
-    leaf, opened = F.col("role") == "leaf", F.col("role") == "open"
-    zero = F.lit(0).cast("bigint")
-    kind = (F.when(leaf, "node").when(opened & F.col("end").isNotNull(), "node").when(opened, "open")
-             .otherwise("close"))
-    return events.select(
-        "sample_id", "block", "root", kind.alias("kind"), (F.col("role") == "rest").alias("is_rest"), "type", "seen", "to_byte",
-        "n_bytes", "lows", F.when(opened, F.col("height") - 1).otherwise(F.col("height")).alias("height"),
-        F.when(leaf, zero).otherwise(F.col("end.seen") - F.col("seen")).alias("below"),
-        F.when(leaf, F.col("to_byte")).otherwise(F.col("end.to_byte")).alias("end_byte"),
-        F.when(leaf, zero).when(opened & F.col("end").isNull(), F.col("all") - F.col("children"))
-         .when(opened, F.col("end.children") - F.col("children")).otherwise(F.col("children")).alias("n_children"))
+    importable(blocks.sparkSession)
+    known = T.StructType([*(blocks.schema[c] for c in ("sample_id", "block", "root")), *T.StructType.fromDDL(_LOCAL)])
+    known_arrow = to_arrow_schema(known)
+    local = stored(blocks.select("sample_id", "block", "root", "tokens").mapInArrow(
+        lambda batches: block_nodes(batches, known_arrow), known), "block-nodes")
+    starts = stored(_starts(local), "block-starts")
+    late = _late(local, starts).groupBy("sample_id", "block").agg(
+        F.collect_list(F.struct("pre", "below", "n_children", "end_byte")).alias("late"))
+    # Blocks are looked up by rows that are much shorter, so they are moved once and not sorted.
+    ready = lookup_join(starts.drop("root", "own_nodes", "own_bytes", "opens"), late, ["sample_id", "block"], "left")
+    placed = lookup_join(local.select("sample_id", "block", "root", "nodes"), ready.hint("shuffle_hash"),
+                         ["sample_id", "block"])
+    node = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in NODES.fields[2:])
+    made = T.StructType([blocks.schema["sample_id"], T.StructField("nodes", T.ArrayType(T.StructType.fromDDL(node)))])
+    made_arrow = to_arrow_schema(made)
+    return placed.select("sample_id", "root", "level", "nodes_before", "bytes_before", "late", "nodes").mapInArrow(
+        lambda batches: placed_nodes(batches, made_arrow), made)
 
 
 def _starts(local: DataFrame) -> DataFrame:
     """Per block: ``level`` (open nodes below the root), nodes and bytes before it, and its own; one row a block."""
-    # The end of the block has the counts of all of it; open nodes are counted.
-    summary = local.groupBy("sample_id", "block").agg(
-        F.max(F.when(F.col("is_rest"), F.struct("lows", "seen", "to_byte", "root"))).alias("e"),
-        F.count_if(F.col("kind") == "open").alias("opens")).select(
-        "sample_id", "block", F.col("e.root").alias("root"), F.col("e.lows").cast("bigint").alias("closes"), "opens",
-        F.col("e.seen").alias("own_nodes"), F.col("e.to_byte").alias("own_bytes"))
     order = Window.partitionBy("sample_id").orderBy("block")
-    before, so_far = (order.rowsBetween(Window.unboundedPreceding, k) for k in (-1, 0))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    twice = F.raise_error(F.concat(F.lit("two texts have the id "), F.col("sample_id").cast("string")))
+    again = F.lag("block").over(order) == F.col("block")
     net = F.coalesce(F.sum(F.col("opens") - F.col("closes")).over(before), F.lit(0))
-    summary = summary.withColumn("net", net).withColumn("low", F.col("net") - F.col("closes"))
+    summary = (local.select("sample_id", "block", "root", "own_nodes", "own_bytes", "closes", "opens")
+                    .withColumn("opens", F.when(again, twice.cast("bigint")).otherwise(F.col("opens")))
+                    .withColumn("net", net).withColumn("low", F.col("net") - F.col("closes")))
     lowest = F.least(F.lit(0), F.coalesce(F.min("low").over(before), F.lit(0)))
     add = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
     return summary.select("sample_id", "block", "root", (F.col("net") - lowest).alias("level"), "own_nodes",
-                          "own_bytes", add("own_nodes").alias("nodes_before"), add("own_bytes").alias("bytes_before"))
+                          "own_bytes", add("own_nodes").alias("nodes_before"), add("own_bytes").alias("bytes_before"), "opens")
+
+
+def _late(local: DataFrame, starts: DataFrame) -> DataFrame:
+    """``sample_id, block, pre, below, n_children, end_byte`` of nodes that end in a later block than they begin in, or
+    with the text, and of roots (in block 0)."""
+    placed = lookup_join(local.select("sample_id", "block", "halves", "ends"), starts.hint("shuffle_hash"), ["sample_id", "block"])
+    common = ("sample_id", "block", "level", "nodes_before", "bytes_before")
+    half = placed.select(*common, F.explode("halves").alias("n")).select(*common, "n.*")
+    ends = placed.select(*common, F.explode("ends").alias("e")).select(*common, "e.*")
+    depth = F.greatest(F.col("level") - F.col("lows"), F.lit(0))
+    top = F.row_number().over(Window.partitionBy("sample_id").orderBy(F.desc("block")))
+    # Children of the root: those that its own blocks have found, and what crossed over them.
+    totals = starts.withColumn("top", top).filter("top = 1").select(
+        "sample_id", (F.col("nodes_before") + F.col("own_nodes")).alias("below"),
+        (F.col("bytes_before") + F.col("own_bytes")).alias("end_byte"))
+    kids = ends.filter(depth <= 0).groupBy("sample_id").agg(F.sum("n_children").alias("n_children"))
+    zero = F.lit(0).cast("bigint")
+    root = lookup_join(totals, kids, ["sample_id"], "left").select(
+        "sample_id", F.lit(0).alias("block"), zero.alias("pre"), "below",
+        F.coalesce("n_children", zero).alias("n_children"), "end_byte")
+    over = _crossing(half.withColumn("depth", (depth + F.col("height") + 1).cast("bigint")),
+                     ends.withColumn("depth", depth.cast("bigint")), starts)
+    return over.unionByName(root)
 
 
 def _crossing(half: DataFrame, ends: DataFrame, starts: DataFrame) -> DataFrame:
     """Nodes that end in a later block than they begin in, or with the text."""
-    at = F.greatest(F.col("level") - F.col("lows"), F.lit(0))
     closes = ~F.col("is_rest") & (F.col("level") > F.col("lows"))
     seen = F.col("nodes_before") + F.col("seen")
-    here = F.col("bytes_before") + F.col("to_byte")
     # A close ends the node at its level; the end of a block passes on; a close of nothing adds to the root.
-    edges = ends.select("sample_id", at.alias("depth"), "block", F.lit(0).alias("turn"),
-                        F.when(closes, F.struct(seen.alias("seen"), here.alias("to_byte"))).alias("close"),
-                        F.lit(None).cast("string").alias("type"), seen.alias("seen"), F.lit(None).cast("bigint").alias(
-                            "start_byte"), F.col("n_children").alias("children"), F.lit(False).alias("is_open"))
+    edges = ends.select("sample_id", "depth", "block", F.lit(0).alias("turn"), F.when(closes, F.struct(
+        seen.alias("seen"), (F.col("bytes_before") + F.col("to_byte")).alias("to_byte"))).alias("close"),
+        seen.alias("seen"), F.col("n_children").cast("bigint").alias("children"), F.lit(False).alias("is_open"))
     opens = half.select("sample_id", "depth", "block", F.lit(1).alias("turn"),
-                        F.lit(None).cast("struct<seen:bigint,to_byte:bigint>").alias("close"), "type", seen.alias("seen"),
-                        (here - F.col("n_bytes")).alias("start_byte"), F.col("n_children").alias("children"),
-                        F.lit(True).alias("is_open"))
+                        F.lit(None).cast("struct<seen:bigint,to_byte:bigint>").alias("close"), seen.alias("seen"),
+                        F.col("n_children").cast("bigint").alias("children"), F.lit(True).alias("is_open"))
     rows = opens.unionByName(edges.filter(F.col("depth") > 0))
     order = Window.partitionBy("sample_id", "depth").orderBy("block", "turn")
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -234,9 +193,8 @@ def _crossing(half: DataFrame, ends: DataFrame, starts: DataFrame) -> DataFrame:
     totals = starts.groupBy("sample_id").agg(F.sum("own_nodes").alias("all_nodes"), F.sum("own_bytes").alias("all_bytes"))
     rows = lookup_join(rows, totals, ["sample_id"])
     return rows.select(
-        "sample_id", F.col("seen").alias("pre"), "depth",
-        (F.coalesce("end.seen", "all_nodes") - F.col("seen")).alias("below"),
-        (F.coalesce("end.upto", "all") - F.col("upto") + F.col("children")).alias("n_children"), "type", "start_byte",
+        "sample_id", "block", F.col("seen").alias("pre"), (F.coalesce("end.seen", "all_nodes") - F.col("seen")).alias(
+            "below"), (F.coalesce("end.upto", "all") - F.col("upto") + F.col("children")).alias("n_children"),
         F.coalesce("end.to_byte", "all_bytes").alias("end_byte"))
 
 

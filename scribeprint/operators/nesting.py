@@ -1,5 +1,8 @@
 """The nodes of token arrays, for ``mapInArrow``: batches of samples in, batches of samples with their nodes out.
 
+``block_nodes`` and ``placed_nodes`` do the same for blocks of a text (see operators.blocks): what a block knows by
+itself, and its nodes once it is known what is before it and where its open nodes end. ``node_lines`` writes nodes.
+
 A batch is worked on in slices of so many tokens (a longer sample is a slice of its own), so what a task holds does
 not follow the size of its partition.
 """
@@ -10,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Tokens of a slice.
 SLICE = 1 << 18
@@ -17,18 +21,47 @@ SLICE = 1 << 18
 
 def packed_nodes(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """From ``sample_id, root, tokens`` (and ``code``, where tokens have texts) to ``sample_id, nodes``."""
+    for part, sizes in _slices(batches, 2):
+        yield pa.record_batch([part.column(0).cast(schema.field(0).type), _nodes(part, sizes).cast(
+            schema.field(1).type)], schema=schema)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows whose arrays in a column have ``SLICE`` elements or less together, or one row, with the arrays' sizes."""
     for batch in batches:
-        sizes = np.diff(np.asarray(batch.column(2).offsets))
+        sizes = _sizes(batch.column(column))
         upto, start = np.cumsum(sizes), 0
         while start < batch.num_rows:
             done = upto[start] - sizes[start]
             end = max(int(np.searchsorted(upto, done + SLICE, "right")), start + 1)
-            part = batch.slice(start, end - start)
-            yield pa.record_batch([part.column(0).cast(schema.field(0).type), _nodes(part, sizes[start:end]).cast(
-                schema.field(1).type)], schema=schema)
+            yield batch.slice(start, end - start), sizes[start:end]
             start = end
 
 
+def _sizes(lists: pa.ListArray) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _fields(lists: pa.ListArray) -> dict[str, pa.Array]:
+    """The fields of all structs in an array of structs."""
+    flat = lists.flatten()
+    return dict(zip([f.name for f in flat.type], flat.flatten()))
+
+
+def _int(values: pa.Array) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _lists(offsets: np.ndarray, columns: dict[str, pa.Array | np.ndarray], kind: pa.ListType) -> pa.Array:
+    made = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()]
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.StructArray.from_arrays(
+        made, names=list(columns))).cast(kind)
+
+
+def _offsets(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)])
+
+
 def _nodes(batch: pa.RecordBatch, sizes: np.ndarray) -> pa.Array:
     tokens = batch.column(2).flatten()
     fields = dict(zip([f.name for f in tokens.type], tokens.flatten()))
@@ -97,3 +130,142 @@ def _nodes(batch: pa.RecordBatch, sizes: np.ndarray) -> pa.Array:
         made["text"] = text(fields["text"], batch.column(3).take(pa.array(np.arange(n), mask=nodes > 0)))
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.StructArray.from_arrays(
         list(made.values()), names=list(made)))
+
+
+def block_nodes(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """From ``sample_id, block, root, tokens`` to ``sample_id, block, root``, how many nodes, bytes, open closes and open
+    opens a block has, its ``nodes``, those of them that do not end in it (``halves``), and its ``ends``: open closes and the
+    end of the block.
+
+    ``lows``: open closes before the node or end; ``height``: level of its parent above the lowest point so far. A node
+    that does not end in the block has -1 for ``below`` and ``end``, and the children that the block has of it; an end
+    has those that the node at the lowest level has got since the last one.
+    """
+    for part, sizes in _slices(batches, 3):
+        made = _block_nodes(part.column(3), sizes, schema)
+        yield pa.record_batch([part.column(k).cast(schema.field(k).type) for k in range(3)] + made, schema=schema)
+
+
+def _block_nodes(tokens: pa.ListArray, sizes: np.ndarray, schema: pa.Schema) -> list[pa.Array]:
+    fields = _fields(tokens)
+    step, n_bytes, is_node = (_int(fields[c]) for c in ("step", "n_bytes", "is_node"))
+    n, total = len(sizes), len(step)
+    owner, ends = np.repeat(np.arange(n), sizes), np.cumsum(sizes)
+
+    def before(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sums = _offsets(x)
+        return sums[:-1] - sums[ends - sizes][owner], sums[ends] - sums[ends - sizes]
+
+    sums, _ = before(step)
+    seen, nodes = before(is_node)
+    at, size = before(n_bytes)
+    apart = owner * (2 * total + 2)
+    low = np.minimum(np.minimum.accumulate(sums - apart) + apart, 0)
+    lows, height = -low, sums - low
+    opens, closes, over = step == 1, (step == -1) & (height > 0), (step == -1) & (height == 0)
+    lowered, _ = before(over.astype(np.int64))
+    n_over = np.bincount(owner[over], minlength=n)
+    # Stretches without an open close, numbered through.
+    stretch = lowered + _offsets(n_over + 1)[:-1][owner]
+
+    # An open node ends with the next bracket of its level, if that is in the block.
+    brackets = np.flatnonzero(opens | closes)
+    own = np.where(opens, height + 1, height)[brackets]
+    order = np.lexsort((own, owner[brackets]))
+    b, own = brackets[order], own[order]
+    ended = np.zeros(len(b), bool)
+    if len(b):
+        ended[:-1] = (owner[b][1:] == owner[b][:-1]) & (own[1:] == own[:-1])
+    close = np.full(total, total, np.int64)
+    close[b] = np.where(ended, np.roll(b, -1), total)
+    kept = np.flatnonzero(opens | ((is_node == 1) & (step == 0)))
+    half = opens[kept] & (close[kept] == total)
+    last = np.where(half | ~opens[kept], kept, close[kept] % max(total, 1))
+    below = np.where(opens[kept], seen[last] - seen[kept] - 1, 0)
+
+    # Children stand one level higher in the same stretch, up to the close.
+    deep, wide = int(height.max(initial=0)) + 2, total + 1
+    places = np.sort((stretch[kept] * deep + height[kept]) * wide + kept)
+    first = (stretch[kept] * deep + height[kept] + 1) * wide
+    children = np.where(opens[kept], np.searchsorted(places, first + close[kept]) - np.searchsorted(
+        places, first + kept), 0)
+
+    # Ends of a block: its open closes, then its own.
+    who = np.concatenate([owner[over], np.arange(n)])
+    turn = np.argsort(who, kind="stable")
+    rest = np.concatenate([np.zeros(len(who) - n, bool), np.ones(n, bool)])[turn]
+    lowest = np.arange(len(who)) * deep * wide
+    spans = {"lows": np.concatenate([lows[over], n_over])[turn], "seen": np.concatenate([seen[over], nodes])[turn],
+             "to_byte": np.concatenate([(at + n_bytes)[over], size])[turn],
+             "n_children": np.searchsorted(places, lowest + wide) - np.searchsorted(places, lowest), "is_rest": rest}
+    columns = {"seen": seen[kept] + 1, "lows": lows[kept], "height": height[kept], "below": np.where(half, -1, below),
+               "n_children": children, "type": fields["type"].take(pa.array(kept)), "start": at[kept],
+               "end": np.where(half, -1, at[last] + n_bytes[last])}
+    n_half = np.bincount(owner[kept][half], minlength=n)
+    return [*(pa.array(c.astype(np.int64)) for c in (nodes, size, n_over, n_half)),
+            _lists(_offsets(np.bincount(owner[kept], minlength=n)), columns, schema.field("nodes").type),
+            _lists(_offsets(n_half), {c: columns[c][half] for c in ("seen", "lows", "height", "n_children")},
+                   schema.field("halves").type),
+            _lists(_offsets(n_over + 1), spans, schema.field("ends").type)]
+
+
+def placed_nodes(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """From blocks of ``block_nodes`` with ``level, nodes_before, bytes_before`` and ``late`` (by rank, what is below the
+    nodes that end in no block of their own, their children and ends; rank 0 is the root) to ``sample_id, nodes``."""
+    names = ("sample_id", "root", "level", "nodes_before", "bytes_before", "late", "nodes")
+    for part, sizes in _slices(batches, len(names) - 1):
+        sample_id, root, level, nodes_before, bytes_before, late, nodes = part.columns
+        yield pa.record_batch([sample_id.cast(schema.field(0).type), _placed(
+            root, *map(_int, (level, nodes_before, bytes_before)), late, nodes, sizes, schema.field(1).type)],
+            schema=schema)
+
+
+def _placed(root: pa.Array, level: np.ndarray, nodes_before: np.ndarray, bytes_before: np.ndarray, late: pa.ListArray,
+            nodes: pa.ListArray, sizes: np.ndarray, kind: pa.ListType) -> pa.Array:
+    n, owner = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    own = _fields(nodes)
+    seen, lows, height, below, children, start, end = (_int(own[c]) for c in (
+        "seen", "lows", "height", "below", "n_children", "start", "end"))
+    pre, depth = nodes_before[owner] + seen, np.maximum(level[owner] - lows, 0) + height + 1
+    start, end = bytes_before[owner] + start, bytes_before[owner] + end
+    given, of = _fields(late), np.repeat(np.arange(n), _sizes(late))
+    rank, more, kids, upto = (_int(given[c]) for c in ("pre", "below", "n_children", "end_byte"))
+    order = np.lexsort((rank, of))
+    roots, order = order[rank[order] == 0], order[rank[order] > 0]
+    half = np.flatnonzero(below < 0)
+    if not np.array_equal(pre[half], rank[order]):
+        raise ValueError("the ends of a block's open nodes are not known")
+    below[half], children[half], end[half] = more[order], kids[order], upto[order]
+
+    has_root = np.bincount(of[roots], minlength=n)
+    offsets = _offsets(sizes + has_root)
+    spot, first = np.arange(len(owner)) + np.cumsum(has_root)[owner], offsets[:-1][of[roots]]
+
+    def column(inner: np.ndarray, of_root) -> np.ndarray:
+        made = np.empty(len(owner) + len(roots), np.int64)
+        made[spot], made[first] = inner, of_root
+        return made
+
+    pre, depth, below = column(pre, 0), column(depth, 0), column(below, more[roots])
+    types = pa.concat_arrays([root, own["type"]]).take(pa.array(column(np.arange(len(owner)) + n, of[roots])))
+    return _lists(offsets, {
+        "pre": pre, "post": pre + below - depth, "depth": depth, "n_children": column(children, kids[roots]),
+        "type": types, "start_byte": column(start, 0), "end_byte": column(end, upto[roots])}, kind)
+
+
+def node_lines(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """From ``sample_id, nodes`` to ``sample_id``, the rank of the first of the nodes, how many there are, and a line for
+    each (see ``trees.node_digest``); rows without nodes are left out."""
+    for part, sizes in _slices(batches, 1):
+        part, sizes = part.filter(pa.array(sizes > 0)), sizes[sizes > 0]
+        if len(sizes):
+            own = _fields(part.column(1))
+            text = lambda c: pc.fill_null(own[c].cast(pa.string()), "")
+            pre = text("pre")
+            lines = pc.binary_join_element_wise(pre, pre, *map(text, (
+                "post", "depth", "n_children", "type", "start_byte", "end_byte")), ":")
+            offsets = _offsets(sizes)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), lines), "\n")
+            first = own["pre"].take(pa.array(offsets[:-1]))
+            columns = [part.column(0), first, pa.array(sizes), joined]
+            yield pa.record_batch([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
