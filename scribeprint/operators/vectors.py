@@ -10,10 +10,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from scribeprint.functions.structure import FEATURES, feature_array
 from scribeprint.operators.encoding import text_tokens
 from scribeprint.operators.lookup import lookup_join
+from scribeprint.operators.pooling import pooled_means
+from scribeprint.session import importable, size_tasks
 
 
 def as_vector(array: Column) -> Column:
@@ -43,22 +47,34 @@ def train_token_vectors(texts: DataFrame, text: str = "code", size: int = 64, wi
     return model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector", "float32").alias("vector"))
 
 
+#: Bytes of text of a group of samples, about.
+GROUP_BYTES = 1 << 25
+
+
 def pool_tokens(samples: DataFrame, token_vectors: DataFrame, text: str = "code",
                 id_col: str = "sample_id") -> DataFrame:
     """``id_col, embedding``: the plain mean of the vectors of all tokens of a sample that have one.
 
-    A sample without any has a null embedding. A token is looked up once per sample, with its count as weight. The
-    table of vectors has as many rows as the vocabulary: while that is small, it is broadcast and the sums are
-    added up where the text is.
+    A sample without any has a null embedding. The
+    table of vectors has as many rows as the vocabulary, so neither it nor a vector for each token of a sample is
+    moved: samples are dealt to groups by their ids, and a vector is moved once to each group that has its token. The
+    text is measured when this is called, so that groups stay as large as they are however many samples there are.
     """
-    opened = samples.select(id_col, F.explode_outer(text_tokens(F.col(text))).alias("token"))
-    counts = opened.groupBy(id_col, "token").agg(F.count("*").cast("double").alias("n"))
-    found = lookup_join(counts, token_vectors.select("token", "vector"), ["token"], "left")
-    known = F.col("vector").isNotNull()
-    # Samples without a known token keep their row; they have nothing to add.
-    mean = Summarizer.metrics("mean", "count").summary(as_vector(F.col("vector")), F.col("n"))
-    pooled = found.filter(known).groupBy(id_col).agg(mean.alias("s")).select(
-        id_col, vector_to_array("s.mean").alias("embedding"))
+    spark = samples.sparkSession
+    n_groups = size_tasks(samples, text, GROUP_BYTES)
+    group = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_groups)).cast("int")
+    # Groups fall to partitions by hash: with more of these than groups few hold more than two.
+    dealt = samples.select(group.alias("__group"), F.col(id_col), F.col(text)).repartition(2 * n_groups, "__group")
+    opened = dealt.select("__group", id_col, text_tokens(F.col(text)).alias("tokens"))
+    wanted = dealt.select(F.col("__group").alias("__of"), F.explode(F.array_distinct(text_tokens(F.col(text)))).alias("token")).distinct()
+    vector = F.col("vector").cast("array<double>") if dict(token_vectors.dtypes)["vector"] != "array<float>" else F.col(
+        "vector")
+    sent = wanted.join(token_vectors.filter(F.col("vector").isNotNull()).select("token", vector.alias("vector")), "token")
+    made = T.StructType([samples.schema[id_col], T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    arrow = to_arrow_schema(made)
+    importable(spark)
+    pooled = opened.groupBy("__group").cogroup(sent.groupBy("__of")).applyInArrow(
+        lambda left, right: pooled_means(left, right, arrow), made)
     return lookup_join(samples.select(id_col), pooled, [id_col], "left")
 
 
@@ -125,12 +141,9 @@ def embed_text(counted: DataFrame, fitted, keep: Sequence[str]) -> DataFrame:
 
 def sparse_entries(vector: str) -> Column:
     """The stored entries of a sparse vector as an array of ``struct(dim, value)``: as many as it has, whatever its
-    size. They come from its text, ``(size,[dims],[values])``, which Spark makes without a Python worker."""
-    text = F.col(vector).cast("string")
-    inner = F.split(F.regexp_replace(text, r"^\(\d+,\[|\]\)$", ""), r"\],\[")
-    dims, values = (F.split(F.element_at(inner, k), ",") for k in (1, 2))
-    pairs = F.arrays_zip(dims.cast("array<int>").alias("dim"), values.cast("array<double>").alias("value"))
-    return F.when(text.endswith("[],[])"), F.array().cast("array<struct<dim:int,value:double>>")).otherwise(pairs)
+    size."""
+    inner = F.unwrap_udt(F.col(vector))
+    return F.arrays_zip(inner["indices"].alias("dim"), inner["values"].alias("value"))
 
 
 def assemble(df: DataFrame, embedding: str = "embedding",

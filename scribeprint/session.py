@@ -7,6 +7,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", app: str = "scribeprint", memory: str = "12g",
@@ -53,6 +54,13 @@ def importable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = f"{known}:{root}".strip(":")
 
 
+def size_tasks(df: DataFrame, text: str, size: int) -> int:
+    """How many parts of about ``size`` bytes the texts make, and as many as there are cores at least. Texts are measured
+    when this is called."""
+    total = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-total // size))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` from a table of its own in the shared folder."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
