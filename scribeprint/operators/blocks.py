@@ -37,7 +37,7 @@ from scribeprint.operators.lookup import lookup_join
 from scribeprint.operators.nesting import block_nodes, placed_nodes
 from scribeprint.operators.trees import unpacked
 from scribeprint.schema import NODES
-from scribeprint.session import importable, stored
+from scribeprint.session import importable, size_tasks, stored
 
 #: Tokens that one match of the cutting pattern takes, and matches of a block.
 PIECE_TOKENS, BLOCK_PIECES = 128, 128
@@ -48,6 +48,8 @@ _LOCAL = """own_nodes bigint, own_bytes bigint, closes bigint, opens bigint,
     ends array<struct<lows:int,seen:int,to_byte:int,n_children:int,is_rest:boolean>>"""
 #: Characters of a block of words, at least; it ends at the next white space.
 BLOCK_CHARS = 1 << 16
+#: Bytes of text whose words a task counts, about.
+TASK_BYTES = 1 << 24
 
 
 def _pieces(code: Column, pattern: str, piece_tokens: int) -> Column:
@@ -62,11 +64,11 @@ def _joined(pieces: Column, size: int) -> Column:
         starts, lambda k: F.array_join(F.slice(pieces, k, size), "")))
 
 
-def _dealt(texts: DataFrame, blocks: Column, *keep: str) -> DataFrame:
-    """A row for each block; an empty text has one, without text."""
+def _dealt(texts: DataFrame, blocks: Column, *keep: str, tasks: int | None = None) -> DataFrame:
+    """A row for each block; an empty text has one, without text. They are dealt to ``tasks`` partitions, if given."""
     rows = texts.select("sample_id", *keep, F.posexplode_outer(blocks).alias("block", "code"))
     return (rows.withColumns({"block": F.coalesce("block", F.lit(0)), "code": F.coalesce("code", F.lit(""))})
-            .repartition("sample_id", "block"))
+            .repartition(*([tasks] if tasks else []), "sample_id", "block"))
 
 
 def nodes_from_markup(pages: DataFrame, id_col: str = "sample_id", text: str = "code",
@@ -203,11 +205,13 @@ def structural_features(texts: DataFrame, text: str = "code", id_col: str = "sam
                         groups: Mapping[str, Sequence[str]] = NODE_GROUPS) -> DataFrame:
     """``sample_id`` and the features of ``structure.with_structural_features``, for texts of any length.
 
-    Null texts have no row, and an id should stand for one text.
+    Null texts have no row, and an id should stand for one text. Texts are measured when this is called, so that what a
+    task gets, and sorts or counts, does not follow the size of the table.
     """
     rest = r"[^\s\x1c-\x1f]*+"
     cut = F.regexp_extract_all(F.col(text), F.lit(f"(?sU).{{1,{block_chars}}}+{rest}"), F.lit(0))
-    dealt = _dealt(texts.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("sample_id"), text), cut)
+    tasks = size_tasks(texts, text, TASK_BYTES)
+    dealt = _dealt(texts.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("sample_id"), text), cut, tasks=tasks)
     own = with_structural_features(dealt, "code", groups)
     names = [c for c in own.columns if c not in ("sample_id", "block", "code")]
     apart = ("max_depth", "branching", "nested_ifs", "nested_loops", "repetition")
@@ -220,7 +224,8 @@ def structural_features(texts: DataFrame, text: str = "code", id_col: str = "sam
               .agg(F.greatest(F.max("at"), F.lit(0)).cast("int").alias("max_depth"), F.sum("n_words").alias("n_words"),
                    *[F.sum(c).cast("int").alias(c) for c in names if c not in apart]))
     nested = _nested(dealt)
-    distinct = (dealt.select("sample_id", F.explode(words(F.col("code"))).alias("word")).distinct()
+    distinct = (dealt.select("sample_id", F.explode(F.array_distinct(words(F.col("code")))).alias("word"))
+                .repartition(tasks, "sample_id", "word").distinct()
                 .groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_distinct")))
     joined = lookup_join(lookup_join(summed, nested, ["sample_id"], "left"), distinct, ["sample_id"], "left")
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
