@@ -41,9 +41,10 @@ from scribeprint.session import importable, size_tasks, stored
 
 #: Tokens that one match of the cutting pattern takes, and matches of a block.
 PIECE_TOKENS, BLOCK_PIECES = 128, 128
+#: Bytes of a text whose blocks are worked on where it is; those of longer ones are dealt out.
+NEAR_BYTES = 1 << 20
 #: What a block knows by itself (``nesting.block_nodes``).
-_LOCAL = """own_nodes bigint, own_bytes bigint, closes bigint, opens bigint,
-    nodes array<struct<seen:int,lows:int,height:int,below:int,n_children:int,type:string,start:int,end:int>>,
+_LOCAL = """own_nodes bigint, own_bytes bigint, closes bigint, opens bigint, n_kept bigint, nodes binary, types array<string>,
     halves array<struct<seen:int,lows:int,height:int,n_children:int>>,
     ends array<struct<lows:int,seen:int,to_byte:int,n_children:int,is_rest:boolean>>"""
 #: Characters of a block of words, at least; it ends at the next white space.
@@ -71,6 +72,17 @@ def _dealt(texts: DataFrame, blocks: Column, *keep: str, tasks: int | None = Non
             .repartition(*([tasks] if tasks else []), "sample_id", "block"))
 
 
+def _near(texts: DataFrame, pieces: Column, size: int, *keep: str) -> DataFrame:
+    """As ``_dealt``, of stretches of ``size`` pieces, but a text of common length is not moved: its blocks are where it is."""
+    is_long = F.octet_length("code") > NEAR_BYTES
+    near = texts.select("sample_id", *keep, F.when(~is_long, pieces).alias("pieces"))
+    # The outer form: Spark derives no filter from it that would cut every text a second time.
+    blocks = F.when(F.col("pieces").isNotNull(), F.coalesce(_joined(F.col("pieces"), size), F.array(F.lit(""))))
+    rows = near.select("sample_id", *keep, F.posexplode_outer(blocks).alias("block", "code")).filter(F.col("code").isNotNull())
+    far = texts.filter(is_long).select("sample_id", *keep, pieces.alias("pieces"))
+    return rows.unionByName(_dealt(far, _joined(F.col("pieces"), size), *keep))
+
+
 def nodes_from_markup(pages: DataFrame, id_col: str = "sample_id", text: str = "code",
                       piece_tokens: int = PIECE_TOKENS, block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """As ``trees.nodes_from_markup``, for pages of any length."""
@@ -94,9 +106,9 @@ def packed_from_code(samples: DataFrame, policy: str = "fail", languages: Sequen
     if policy == "drop":
         samples = samples.filter(F.col("language").isin(*languages))
     of = lambda made, kind: by_language(F.col("language"), {n: made(n) for n in languages}, kind)
-    texts = samples.select("sample_id", "language", of(lambda n: F.lit(ROOTS[n]), "string").alias("root"), of(
-        lambda n: _pieces(F.col("code"), CODE[n], piece_tokens), "array<string>").alias("pieces"))
-    dealt = _dealt(texts, _joined(F.col("pieces"), block_pieces), "language", "root")
+    texts = samples.select("sample_id", "language", "code", of(lambda n: F.lit(ROOTS[n]), "string").alias("root"))
+    pieces = of(lambda n: _pieces(F.col("code"), CODE[n], piece_tokens), "array<string>")
+    dealt = _near(texts, pieces, block_pieces, "language", "root")
     tokens = of(lambda n: code_tokens(F.col("code"), n), f"array<{TOKEN}>")
     return packed_nodes_of_blocks(dealt.select("sample_id", "block", "root", tokens.alias("tokens")))
 
@@ -112,7 +124,7 @@ def packed_nodes_of_blocks(blocks: DataFrame) -> DataFrame:
     The rules are those of ``trees.nodes_from_tokens``: a close ends the innermost open node or is dropped, open nodes
     end with the text, and two texts of one id stop the job. Tokens of a block are worked on as one array; rows are
     made only of what goes over blocks. What blocks know by themselves is read several times, so it is stored in the
-    shared folder when this is called.
+    shared folder when this is called; nodes are stored and moved as bytes, of which one takes one or two.
     """
     importable(blocks.sparkSession)
     known = T.StructType([*(blocks.schema[c] for c in ("sample_id", "block", "root")), *T.StructType.fromDDL(_LOCAL)])
@@ -124,12 +136,12 @@ def packed_nodes_of_blocks(blocks: DataFrame) -> DataFrame:
         F.collect_list(F.struct("pre", "below", "n_children", "end_byte")).alias("late"))
     # Blocks are looked up by rows that are much shorter, so they are moved once and not sorted.
     ready = lookup_join(starts.drop("root", "own_nodes", "own_bytes", "opens"), late, ["sample_id", "block"], "left")
-    placed = lookup_join(local.select("sample_id", "block", "root", "nodes"), ready.hint("shuffle_hash"),
+    placed = lookup_join(local.select("sample_id", "block", "root", "nodes", "types", "n_kept"), ready.hint("shuffle_hash"),
                          ["sample_id", "block"])
     node = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in NODES.fields[2:])
     made = T.StructType([blocks.schema["sample_id"], T.StructField("nodes", T.ArrayType(T.StructType.fromDDL(node)))])
     made_arrow = to_arrow_schema(made)
-    return placed.select("sample_id", "root", "level", "nodes_before", "bytes_before", "late", "nodes").mapInArrow(
+    return placed.select("sample_id", "root", "level", "nodes_before", "bytes_before", "late", "nodes", "types", "n_kept").mapInArrow(
         lambda batches: placed_nodes(batches, made_arrow), made)
 
 

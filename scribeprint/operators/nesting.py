@@ -9,6 +9,8 @@ not follow the size of its partition.
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +29,11 @@ def packed_nodes(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterat
 
 
 def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Rows whose arrays in a column have ``SLICE`` elements or less together, or one row, with the arrays' sizes."""
+    """Rows whose arrays in a column (or those of as many elements as it says) have ``SLICE`` elements or less together, or
+    one row, with the arrays' sizes."""
     for batch in batches:
-        sizes = _sizes(batch.column(column))
+        given = batch.column(column)
+        sizes = _int(given) if pa.types.is_integer(given.type) else _sizes(given)
         upto, start = np.cumsum(sizes), 0
         while start < batch.num_rows:
             done = upto[start] - sizes[start]
@@ -62,6 +66,52 @@ def _offsets(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)])
 
 
+def _coded(sizes: np.ndarray, columns: list[np.ndarray], types: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """For rows of so many nodes, their numbers as bytes, and the different types of each: a row's last number of a node is
+    the place of its type in those. The bytes begin with the width of each column."""
+    own = pc.dictionary_encode(types, null_encoding="encode")
+    owner, kinds = np.repeat(np.arange(len(sizes)), sizes), max(len(own.dictionary), 1)
+    pairs, place = np.unique(owner * kinds + _int(own.indices), return_inverse=True)
+    first = np.searchsorted(pairs, np.arange(len(sizes) + 1) * kinds)
+    narrow = [c.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= c.min(
+        initial=0) and c.max(initial=0) <= np.iinfo(t).max)) for c in (*columns, place - first[owner])]
+    head, offsets = bytes(c.itemsize for c in narrow), _offsets(sizes)
+    made = [zlib.compress(b"".join([head, *(c[a:b].tobytes() for c in narrow)])) for a, b in zip(offsets[:-1], offsets[1:])]
+    return pa.array(made, pa.binary()), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), own.dictionary.take(
+        pa.array(pairs % kinds)))
+
+
+def _decoded(made: pa.Array, sizes: np.ndarray, types: pa.ListArray, n: int) -> tuple[list[np.ndarray], pa.Array]:
+    """The ``n`` columns of numbers and the types that ``_coded`` was given."""
+    columns, offsets = [np.empty(int(sizes.sum()), np.int64) for _ in range(n + 1)], _offsets(sizes)
+    for row, a, b in zip(made, offsets[:-1], offsets[1:]):
+        data, at = zlib.decompress(row.as_py()), n + 1
+        for c, width in zip(columns, data):
+            c[a:b] = np.frombuffer(data, f"i{width}", b - a, at)
+            at += width * (b - a)
+    return columns[:n], types.flatten().take(pa.array(columns[n] + np.repeat(_offsets(_sizes(types))[:-1], sizes)))
+
+
+def _steps(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Differences, from 0, within each row."""
+    made, first = np.diff(values, prepend=0), _offsets(sizes)[:-1][sizes > 0]
+    made[first] = values[first]
+    return made
+
+
+def _sums(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The values that ``_steps`` was given."""
+    sums = _offsets(steps)
+    return sums[1:] - np.repeat(sums[_offsets(sizes)[:-1]], sizes)
+
+
+def _passed(below: np.ndarray, size: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bytes that the nodes before a node in its row have passed over, if those without any below them are the text: starts
+    are written less these, so that few are other than 0 or 1."""
+    sums = _offsets(np.where(below == 0, size, 0))
+    return sums[:-1] - np.repeat(sums[_offsets(sizes)[:-1]], sizes)
+
+
 def _nodes(batch: pa.RecordBatch, sizes: np.ndarray) -> pa.Array:
     tokens = batch.column(2).flatten()
     fields = dict(zip([f.name for f in tokens.type], tokens.flatten()))
@@ -134,8 +184,8 @@ def _nodes(batch: pa.RecordBatch, sizes: np.ndarray) -> pa.Array:
 
 def block_nodes(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """From ``sample_id, block, root, tokens`` to ``sample_id, block, root``, how many nodes, bytes, open closes and open
-    opens a block has, its ``nodes``, those of them that do not end in it (``halves``), and its ``ends``: open closes and the
-    end of the block.
+    opens a block has, its ``nodes`` as bytes and their ``types``, those of them that do not end in it (``halves``), and its
+    ``ends``: open closes and the end of the block.
 
     ``lows``: open closes before the node or end; ``height``: level of its parent above the lowest point so far. A node
     that does not end in the block has -1 for ``below`` and ``end``, and the children that the block has of it; an end
@@ -198,13 +248,14 @@ def _block_nodes(tokens: pa.ListArray, sizes: np.ndarray, schema: pa.Schema) ->
     spans = {"lows": np.concatenate([lows[over], n_over])[turn], "seen": np.concatenate([seen[over], nodes])[turn],
              "to_byte": np.concatenate([(at + n_bytes)[over], size])[turn],
              "n_children": np.searchsorted(places, lowest + wide) - np.searchsorted(places, lowest), "is_rest": rest}
-    columns = {"seen": seen[kept] + 1, "lows": lows[kept], "height": height[kept], "below": np.where(half, -1, below),
-               "n_children": children, "type": fields["type"].take(pa.array(kept)), "start": at[kept],
-               "end": np.where(half, -1, at[last] + n_bytes[last])}
-    n_half = np.bincount(owner[kept][half], minlength=n)
-    return [*(pa.array(c.astype(np.int64)) for c in (nodes, size, n_over, n_half)),
-            _lists(_offsets(np.bincount(owner[kept], minlength=n)), columns, schema.field("nodes").type),
-            _lists(_offsets(n_half), {c: columns[c][half] for c in ("seen", "lows", "height", "n_children")},
+    columns = {"seen": seen[kept] + 1, "lows": lows[kept], "height": height[kept], "n_children": children}
+    n_kept, n_half = (np.bincount(x, minlength=n) for x in (owner[kept], owner[kept][half]))
+    below, size_of = np.where(half, -1, below), np.where(half, 0, at[last] + n_bytes[last] - at[kept])
+    coded, types = _coded(n_kept, [
+        *(_steps(c[kept], n_kept) for c in (seen, lows, height)), below, children,
+        _steps(at[kept] - _passed(below, size_of, n_kept), n_kept), size_of], fields["type"].take(pa.array(kept)))
+    return [*(pa.array(c.astype(np.int64)) for c in (nodes, size, n_over, n_half, n_kept)), coded,
+            types.cast(schema.field("types").type), _lists(_offsets(n_half), {c: columns[c][half] for c in ("seen", "lows", "height", "n_children")},
                    schema.field("halves").type),
             _lists(_offsets(n_over + 1), spans, schema.field("ends").type)]
 
@@ -212,22 +263,22 @@ def _block_nodes(tokens: pa.ListArray, sizes: np.ndarray, schema: pa.Schema) ->
 def placed_nodes(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """From blocks of ``block_nodes`` with ``level, nodes_before, bytes_before`` and ``late`` (by rank, what is below the
     nodes that end in no block of their own, their children and ends; rank 0 is the root) to ``sample_id, nodes``."""
-    names = ("sample_id", "root", "level", "nodes_before", "bytes_before", "late", "nodes")
+    names = ("sample_id", "root", "level", "nodes_before", "bytes_before", "late", "nodes", "types", "n_kept")
     for part, sizes in _slices(batches, len(names) - 1):
-        sample_id, root, level, nodes_before, bytes_before, late, nodes = part.columns
+        sample_id, root, level, nodes_before, bytes_before, late, nodes, types, _ = part.columns
         yield pa.record_batch([sample_id.cast(schema.field(0).type), _placed(
-            root, *map(_int, (level, nodes_before, bytes_before)), late, nodes, sizes, schema.field(1).type)],
+            root, *map(_int, (level, nodes_before, bytes_before)), late, nodes, types, sizes, schema.field(1).type)],
             schema=schema)
 
 
 def _placed(root: pa.Array, level: np.ndarray, nodes_before: np.ndarray, bytes_before: np.ndarray, late: pa.ListArray,
-            nodes: pa.ListArray, sizes: np.ndarray, kind: pa.ListType) -> pa.Array:
+            nodes: pa.Array, types: pa.ListArray, sizes: np.ndarray, kind: pa.ListType) -> pa.Array:
     n, owner = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
-    own = _fields(nodes)
-    seen, lows, height, below, children, start, end = (_int(own[c]) for c in (
-        "seen", "lows", "height", "below", "n_children", "start", "end"))
-    pre, depth = nodes_before[owner] + seen, np.maximum(level[owner] - lows, 0) + height + 1
-    start, end = bytes_before[owner] + start, bytes_before[owner] + end
+    (seen, lows, height, below, children, start, size), types = _decoded(nodes, sizes, types, 7)
+    seen, lows, height, start = (_sums(c, sizes) for c in (seen, lows, height, start))
+    pre, depth = nodes_before[owner] + seen + 1, np.maximum(level[owner] - lows, 0) + height + 1
+    start += bytes_before[owner] + _passed(below, size, sizes)
+    end = start + size
     given, of = _fields(late), np.repeat(np.arange(n), _sizes(late))
     rank, more, kids, upto = (_int(given[c]) for c in ("pre", "below", "n_children", "end_byte"))
     order = np.lexsort((rank, of))
@@ -247,25 +298,55 @@ def _placed(root: pa.Array, level: np.ndarray, nodes_before: np.ndarray, bytes_b
         return made
 
     pre, depth, below = column(pre, 0), column(depth, 0), column(below, more[roots])
-    types = pa.concat_arrays([root, own["type"]]).take(pa.array(column(np.arange(len(owner)) + n, of[roots])))
+    types = pa.concat_arrays([root, types]).take(pa.array(column(np.arange(len(owner)) + n, of[roots])))
     return _lists(offsets, {
         "pre": pre, "post": pre + below - depth, "depth": depth, "n_children": column(children, kids[roots]),
         "type": types, "start_byte": column(start, 0), "end_byte": column(end, upto[roots])}, kind)
 
 
-def node_lines(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """From ``sample_id, nodes`` to ``sample_id``, the rank of the first of the nodes, how many there are, and a line for
-    each (see ``trees.node_digest``); rows without nodes are left out."""
+def node_stretches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """From ``sample_id, nodes`` to ``sample_id``, the rank of the first of the nodes, how many there are, and the nodes as
+    bytes with their types; rows without nodes are left out."""
     for part, sizes in _slices(batches, 1):
         part, sizes = part.filter(pa.array(sizes > 0)), sizes[sizes > 0]
         if len(sizes):
             own = _fields(part.column(1))
-            text = lambda c: pc.fill_null(own[c].cast(pa.string()), "")
-            pre = text("pre")
-            lines = pc.binary_join_element_wise(pre, pre, *map(text, (
-                "post", "depth", "n_children", "type", "start_byte", "end_byte")), ":")
-            offsets = _offsets(sizes)
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), lines), "\n")
-            first = own["pre"].take(pa.array(offsets[:-1]))
-            columns = [part.column(0), first, pa.array(sizes), joined]
+            pre, post, depth, children, start, end = (_int(own[c]) for c in (
+                "pre", "post", "depth", "n_children", "start_byte", "end_byte"))
+            first, below, size = _offsets(sizes)[:-1], post - pre + depth, end - start
+            coded = _coded(sizes, [_steps(pre, sizes), below, _steps(depth, sizes), children, _steps(start - _passed(
+                below, size, sizes), sizes), size], own["type"])
+            columns = [part.column(0), pa.array(pre[first]), pa.array(sizes), *coded]
             yield pa.record_batch([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def stretch_digests(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """From rows of ``node_stretches``, those of a sample in a row and by rank, to ``sample_id``, how many nodes it has and
+    the SHA-256 of their lines (see ``trees.node_digest``). Lines are held for a slice of nodes only."""
+    last, total, digest = None, 0, None
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    for part, sizes in _slices(batches, 2):
+        (pre, below, depth, children, start, size), types = _decoded(part.column(3), sizes, part.column(4), 6)
+        pre, depth, start = (_sums(c, sizes) for c in (pre, depth, start))
+        start += _passed(below, size, sizes)
+        text = lambda c: pa.array(c).cast(pa.string())
+        lines = pc.binary_join_element_wise(*map(text, (pre, pre, pre + below - depth, depth, children)), pc.fill_null(
+            types, ""), *map(text, (start, start + size)), ":")
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(_offsets(sizes).astype(np.int32)), lines), "\n")
+        done = []
+        for sample_id, n, line in zip(part.column(0).to_pylist(), sizes.tolist(), joined):
+            if digest and sample_id == last:
+                digest.update(b"\n")
+            else:
+                if digest:
+                    done.append((last, total, digest.hexdigest()))
+                last, total, digest = sample_id, 0, hashlib.sha256()
+            digest.update(line.as_buffer())
+            total += n
+        if done:
+            yield made(done)
+    if digest:
+        yield made([(last, total, digest.hexdigest())])

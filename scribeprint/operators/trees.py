@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from scribeprint.functions.tokens import (CODE, ROOTS, TEXT_TOKEN, TOKEN, by_language, code_tokens,
                                           markup_tokens, token)
-from scribeprint.operators.nesting import node_lines, packed_nodes
+from scribeprint.operators.nesting import node_stretches, packed_nodes, stretch_digests
 from scribeprint.schema import NODES
 from scribeprint.session import importable
 
@@ -181,18 +181,19 @@ def node_digest(nodes: DataFrame) -> DataFrame:
     """Per sample, the number of nodes and a SHA-256 of all of them in preorder, to compare node tables by.
 
     A node is written as its columns with colons between them (a null type as nothing), nodes with line feeds.
-    Rows of a packed node table (``sample_id, nodes``) have a stretch of the preorder each; they are written where they
-    are, and texts of stretches are moved.
+    Rows of a packed node table (``sample_id, nodes``) have a stretch of the preorder each; they are moved as bytes, and
+    lines are written where all of a sample are, some at a time.
     """
     if "nodes" in nodes.columns:
-        made = T.StructType([nodes.schema["sample_id"], T.StructField("pre", T.IntegerType()),
-                             T.StructField("n", T.LongType()), T.StructField("lines", T.StringType())])
-        arrow = to_arrow_schema(made)
+        own = nodes.schema["sample_id"]
+        moved = T.StructType([own, *T.StructType.fromDDL("pre bigint, n bigint, nodes binary, types array<string>")])
+        made = T.StructType([own, *T.StructType.fromDDL("n_nodes bigint, nodes_sha256 string")])
+        moved_arrow, arrow = to_arrow_schema(moved), to_arrow_schema(made)
         importable(nodes.sparkSession)
-        written = nodes.select("sample_id", "nodes").mapInArrow(lambda batches: node_lines(batches, arrow), made)
-        listed = F.sort_array(F.collect_list(F.struct("pre", "lines")))
-        return written.groupBy("sample_id").agg(F.sum("n").alias("n_nodes"), F.sha2(
-            F.array_join(F.transform(listed, lambda x: x["lines"]), "\n"), 256).alias("nodes_sha256"))
+        stretches = nodes.select("sample_id", "nodes").mapInArrow(lambda batches: node_stretches(batches, moved_arrow), moved)
+        laid_out = stretches.repartition("sample_id").sortWithinPartitions("sample_id", "pre").select(
+            "sample_id", "pre", "n", "nodes", "types")
+        return laid_out.mapInArrow(lambda batches: stretch_digests(batches, arrow), made)
     numbers = [F.col(c).cast("string") for c in ("node_id", "pre", "post", "depth", "n_children")]
     line = F.concat_ws(":", *numbers, F.coalesce("type", F.lit("")), F.col("start_byte").cast("string"),
                        F.col("end_byte").cast("string"))
