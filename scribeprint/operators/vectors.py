@@ -16,8 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from scribeprint.functions.structure import FEATURES, feature_array
 from scribeprint.operators.encoding import text_tokens
 from scribeprint.operators.lookup import lookup_join
-from scribeprint.operators.pooling import pooled_means
-from scribeprint.session import importable, size_tasks
+from scribeprint.operators.pooling import bundled_vectors, counted_words, group_words, pooled_means
+from scribeprint.session import importable, partition_keys, size_tasks
 
 
 def as_vector(array: Column) -> Column:
@@ -48,7 +48,7 @@ def train_token_vectors(texts: DataFrame, text: str = "code", size: int = 64, wi
 
 
 #: Bytes of text of a group of samples, about.
-GROUP_BYTES = 1 << 25
+GROUP_BYTES = 3 << 25
 
 
 def pool_tokens(samples: DataFrame, token_vectors: DataFrame, text: str = "code",
@@ -58,24 +58,32 @@ def pool_tokens(samples: DataFrame, token_vectors: DataFrame, text: str = "code"
     A sample without any has a null embedding. The
     table of vectors has as many rows as the vocabulary, so neither it nor a vector for each token of a sample is
     moved: samples are dealt to groups by their ids, and a vector is moved once to each group that has its token. The
-    text is measured when this is called, so that groups stay as large as they are however many samples there are.
+    larger a group, the fewer vectors are moved: most of a task's memory is for those of one group. What is dealt is each
+    sample's different tokens with their counts, once, and vectors in compressed bundles. The text is measured when this is called, so that groups stay as
+    large as they are however many samples there are.
     """
     spark = samples.sparkSession
     n_groups = size_tasks(samples, text, GROUP_BYTES)
-    group = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_groups)).cast("int")
-    # Groups fall to partitions by hash: with more of these than groups few hold more than two.
-    dealt = samples.select(group.alias("__group"), F.col(id_col), F.col(text)).repartition(2 * n_groups, "__group")
-    opened = dealt.select("__group", id_col, text_tokens(F.col(text)).alias("tokens"))
-    wanted = dealt.select(F.col("__group").alias("__of"), F.explode(F.array_distinct(text_tokens(F.col(text)))).alias("token")).distinct()
-    vector = F.col("vector").cast("array<double>") if dict(token_vectors.dtypes)["vector"] != "array<float>" else F.col(
-        "vector")
-    sent = wanted.join(token_vectors.filter(F.col("vector").isNotNull()).select("token", vector.alias("vector")), "token")
-    made = T.StructType([samples.schema[id_col], T.StructField("embedding", T.ArrayType(T.DoubleType()))])
-    arrow = to_arrow_schema(made)
+    keys = F.array(*map(F.lit, partition_keys(spark, n_groups)))
+    group = F.get(keys, F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_groups)).cast("int"))
+    own, wide = samples.schema[id_col], T.ArrayType(T.DoubleType())
+    of = T.StructField("__group", T.IntegerType())
+    moved = T.StructType([of, own, T.StructField("words", T.StringType()), T.StructField("counts", T.BinaryType())])
+    asked = T.StructType([of, T.StructField("token", T.StringType())])
+    bundle = T.StructType.fromDDL("__of int, words string, n int, size int, vectors binary")
+    made = T.StructType([own, T.StructField("embedding", wide)])
+    moved_arrow, asked_arrow, bundle_arrow, made_arrow = map(to_arrow_schema, (moved, asked, bundle, made))
     importable(spark)
-    pooled = opened.groupBy("__group").cogroup(sent.groupBy("__of")).applyInArrow(
-        lambda left, right: pooled_means(left, right, arrow), made)
-    return lookup_join(samples.select(id_col), pooled, [id_col], "left")
+    tokens = samples.select(group.alias("__group"), F.col(id_col), text_tokens(F.col(text)).alias("tokens"))
+    dealt = tokens.mapInArrow(lambda batches: counted_words(batches, moved_arrow), moved).repartition(n_groups, "__group")
+    # Both readers of what is dealt take all of its columns, so it is dealt once.
+    wanted = dealt.mapInArrow(lambda batches: group_words(batches, asked_arrow), asked).withColumnRenamed("__group", "__of")
+    narrow = dict(token_vectors.dtypes)["vector"] == "array<float>"
+    vector = F.col("vector") if narrow else F.col("vector").cast(wide)
+    sent = wanted.join(token_vectors.filter(F.col("vector").isNotNull()).select("token", vector.alias("vector")), "token").select(
+        "__of", "token", "vector").mapInArrow(lambda batches: bundled_vectors(batches, bundle_arrow), bundle)
+    return dealt.groupBy("__group").cogroup(sent.groupBy("__of")).applyInArrow(
+        lambda left, right: pooled_means(left, right, made_arrow, "f4" if narrow else "f8"), made)
 
 
 def fit_scaler(train: DataFrame, vector: str) -> DataFrame:

@@ -61,6 +61,14 @@ def size_tasks(df: DataFrame, text: str, size: int) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, -(-total // size))
 
 
+def partition_keys(spark: SparkSession, n: int) -> list[int]:
+    """A number for each of ``n`` partitions, which Spark's hash puts there: so many keys make tasks of one key each."""
+    numbers = spark.range(n * (n.bit_length() + 10)).select(F.col("id").cast("int").alias("k"))
+    found = numbers.groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).collect()
+    own = {r["p"]: r["k"] for r in found}
+    return [own.get(p, -1 - p) for p in range(n)]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` from a table of its own in the shared folder."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from scribeprint.operators import blocks, nesting, trees
+from scribeprint.operators import blocks, nesting, pooling, trees, vectors
 from scribeprint.session import stored
 
 CODE = "sample_id string, language string, code string"
@@ -57,3 +57,40 @@ def test_numbers_and_types_come_back_from_their_bytes(top):
     found, kinds = nesting._decoded(*((c := nesting._coded(sizes, columns, types))[0], sizes, c[1], 3))
     assert all(map(np.array_equal, found, columns)) and kinds.equals(types)
     assert np.array_equal(nesting._sums(nesting._steps(columns[0], sizes), sizes), columns[0])
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_pooling_deals_tokens_once_and_joins_no_means(spark, monkeypatch, kind):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(60)]
+    table = {w: [rng.randrange(-50, 50) / 4 for _ in range(5)] for w in words[:50]}
+    rows = [(k, " ".join(rng.choices(words, k=rng.randrange(0, 40)))) for k in range(60)]
+    rows += [(3, "w1"), (None, "w2 w3"), (100, "w4 " * 700 + "w5"), (101, None), (102, ""), (103, "w59 none")]
+    monkeypatch.setattr(vectors, "GROUP_BYTES", 300)
+    for name, size in (("BUNDLE", 25), ("TOKENS", 30), ("SAMPLES", 4)):
+        monkeypatch.setattr(pooling, name, size, raising=False)
+    known = spark.createDataFrame(list(table.items()), f"token string, vector array<{kind}>")
+    found = vectors.pool_tokens(spark.createDataFrame(rows, "sample_id long, code string").repartition(3), known)
+    got = found.collect()
+    assert sorted(repr(r["sample_id"]) for r in got) == sorted(repr(k) for k, _ in rows)
+    for r in got:
+        own = [table[w] for k, t in rows if k == r["sample_id"] for w in (t or "").split() if w in table]
+        want = [sum(c) / len(own) for c in zip(*own)] if own else None
+        assert r["embedding"] == (want and pytest.approx(want))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan and "LeftOuter" not in plan
+
+
+def test_vectors_move_compressed_in_bundles():
+    rng = np.random.default_rng(2)
+    table = rng.normal(size=(3000, 16)).astype(np.float32)
+    batch = pa.record_batch([pa.array(np.arange(3000) % 3, pa.int32()), pa.array([f"t{k}" for k in range(3000)]),
+                             pa.array(list(table), pa.list_(pa.float32()))], names=["__of", "token", "vector"])
+    kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary())
+    schema = pa.schema(list(zip(("__of", "words", "n", "size", "vectors"), kinds)))
+    made = pa.Table.from_batches(pooling.bundled_vectors(iter([batch]), schema))
+    assert made.num_rows == 3 and sum(map(len, made["vectors"].to_pylist())) < 0.95 * table.nbytes
+    samples = pa.table({"g": [0, 0], "id": ["a", "b"], "words": ["t0 t3", "other"], "counts": [bytes([1, 3]), bytes([1])]})
+    means = pooling.pooled_means(samples, made.slice(0, 1), pa.schema([("id", pa.string()), ("embedding", pa.list_(pa.float64()))]))
+    assert means["embedding"].to_pylist()[0] == pytest.approx(((table[0] + 3 * table[3].astype(float)) / 4).tolist())
+    assert means["embedding"].to_pylist()[1] is None
