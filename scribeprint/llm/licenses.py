@@ -207,13 +207,13 @@ class Index:
                 yield int(r[a]), int(t[a]), start[a:b], word[a:b]
 
     def candidates(self, t: int, start: np.ndarray, word: np.ndarray) -> list[int]:
-        """Starts where enough different rare words agree, those that most agree on first; starts within the slack of
-        one that was taken go with it."""
-        ends = np.searchsorted(start, start + self.slack[t], side="right")
-        found = [(-n, int(s)) for k, (s, e) in enumerate(zip(start.tolist(), ends.tolist()))
+        """Starts where enough different rare words agree, those that most agree on first, of these the ones that most
+        propose to the word; starts within the slack of one that was taken go with it."""
+        ends, same = (np.searchsorted(start, start + s, side="right") for s in (self.slack[t], 0))
+        found = [(-n, -len(set(word[k:same[k]].tolist())), int(s)) for k, (s, e) in enumerate(zip(start.tolist(), ends.tolist()))
                  if (not k or s != start[k - 1]) and (n := len(set(word[k:e].tolist()))) >= self.need[t]]
         taken: list[int] = []
-        for _, s in sorted(found):
+        for *_, s in sorted(found):
             if all(abs(s - other) > self.slack[t] for other in taken):
                 taken.append(s)
         return taken
@@ -228,7 +228,8 @@ class Index:
         for w in sequence:
             step = best[:-1] + self.idf[w] * (part == w)
             np.maximum.accumulate(np.maximum(best[1:], step), out=best[1:])
-        share = float(best[-1] / self.idf[sequence].sum())
+        # Added up in the order of ``best``, so that a share is never more than 1.
+        share = float(best[-1] / np.cumsum(self.idf[sequence])[-1])
         return share if share >= MIN_SCORE and len(self.phrase_places(t, part)) else 0.0
 
 
